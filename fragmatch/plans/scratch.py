@@ -62,7 +62,14 @@ def drop(*saved: DataFrame) -> None:
             _delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``save`` made in this application."""
-    for path in _live.pop(spark.sparkContext.applicationId, []):
+def live(spark: SparkSession) -> set[str]:
+    """Paths of the tables that ``save`` made in this application and that still exist."""
+    return set(_live.get(spark.sparkContext.applicationId, []))
+
+
+def forget(spark: SparkSession, paths: set[str]) -> None:
+    """Delete the tables at ``paths``, as far as ``save`` made them."""
+    mine = _live.get(spark.sparkContext.applicationId, [])
+    for path in paths & set(mine):
+        mine.remove(path)
         _delete(spark, path)
