@@ -61,7 +61,7 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Memo:
-    """What was made of recent short texts: at most 2 x ``MEMO`` of them.
+    """The ids of recent short texts: at most 2 x ``MEMO`` of them.
 
     Two generations: as the young one is full it becomes the old one, and what
     is asked for again moves up, so that frequent texts stay.
@@ -71,26 +71,12 @@ class Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def look_up(self, keys: Iterable[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """The value of each key; ``make`` gets the new ones, all at once."""
-        young, old = self.young, self.old
-        out, new = {}, []
-        for k in keys:
-            v = young.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    new.append(k)
-                    continue
-            out[k] = v
-        out.update(zip(new, make(new)))
-        for k, v in out.items():
-            if len(k) <= MEMO_CHARS and k not in young:
-                if len(young) >= MEMO:
-                    self.young, self.old = {}, young
-                    young = self.young
-                young[k] = v
-        return out
+    def keep(self, found: dict[str, bytes]) -> None:
+        for k, v in found.items():
+            if len(k) <= MEMO_CHARS:
+                if len(self.young) >= MEMO:
+                    self.young, self.old = {}, self.young
+                self.young[k] = v
 
 
 class Merger:
@@ -127,13 +113,13 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.key_rank[at], _NONE)
 
-    def merge(self, words: list[bytes], ends: bool = True) -> list[np.ndarray]:
+    def merge(self, words: list[bytes], ends: bool = True) -> list[bytes]:
         """Token ids of each word, by rank and then from the left, in lockstep over words.
 
-        ``ends``: the words' last bytes end a word. Words of like length share
-        a matrix, so that padding stays small.
+        Ids are little-endian 32-bit integers. ``ends``: the words' last bytes
+        end a word. Words of like length share a matrix, so that padding stays small.
         """
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        out = [b""] * len(words)
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 0]
@@ -142,32 +128,28 @@ class Merger:
             to = at + max(1, min(8192, (1 << 18) // int(size[order[min(at + 8192, len(order)) - 1]])))
             rows = order[at:to]
             at += len(rows)
-            width = int(size[rows[-1]])
             n = size[rows]
+            width = int(n[-1])
             raw = np.frombuffer(b"".join([words[r] for r in rows]), np.uint8)
             cols = np.arange(width)
-            inside = cols < n[:, None]
             tokens = np.full((len(rows), width), -1, np.int64)
-            tokens[inside] = self.first[raw]
+            tokens[cols < n[:, None]] = self.first[raw]
             if ends:
-                row = np.arange(len(rows))
-                tokens[row, n - 1] = self.last[raw[np.cumsum(n) - 1]]
+                tokens[np.arange(len(rows)), n - 1] = self.last[raw[np.cumsum(n) - 1]]
             rank = np.full((len(rows), width), _NONE, np.int32)
             rank[:, :-1] = self.ranks(tokens[:, :-1], tokens[:, 1:])
+            done = np.full((len(rows), width), -1, np.int64)
             live = np.arange(len(rows))
             while len(live):
                 pos = rank.argmin(axis=1)
-                row = np.arange(len(live))
-                best = rank[row, pos]
+                best = rank[np.arange(len(live)), pos]
                 going = best < _NONE
                 if not going.all():
-                    for k in np.flatnonzero(~going):
-                        t = tokens[k]
-                        out[rows[live[k]]] = t[t >= 0]
+                    done[live[~going]] = tokens[~going]
                     tokens, rank, live, pos, best = tokens[going], rank[going], live[going], pos[going], best[going]
                     if not len(live):
                         break
-                    row = np.arange(len(live))
+                row = np.arange(len(live))
                 tokens[row, pos] = self.made[best]
                 gone = cols[None, :-1] > pos[:, None]
                 tokens[:, :-1] = np.where(gone, tokens[:, 1:], tokens[:, :-1])
@@ -177,6 +159,11 @@ class Merger:
                 rank[row, pos] = np.where(pos + 1 < width, self.ranks(tokens[row, pos], tokens[row, nxt]), _NONE)
                 some = np.flatnonzero(pos > 0)
                 rank[some, pos[some] - 1] = self.ranks(tokens[some, pos[some] - 1], tokens[some, pos[some]])
+            mask = done >= 0
+            flat = done[mask].astype("<u4").tobytes()
+            end = (4 * np.cumsum(mask.sum(axis=1))).tolist()
+            for r, lo, hi in zip(rows.tolist(), [0, *end], end):
+                out[r] = flat[lo:hi]
         return out
 
     def stream(self, chunks: Iterator[bytes]) -> Iterator[np.ndarray]:
@@ -189,73 +176,109 @@ class Merger:
             for at in range(0, len(chunk), self.window):
                 held += chunk[at : at + self.window]
                 if len(held) > self.window + 1:
-                    ids = self.merge([held], ends=False)[0]
+                    ids = np.frombuffer(self.merge([held], ends=False)[0], "<u4")
                     end = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
                     stable = int(np.searchsorted(end, len(held) - self.lookahead - 1, side="right"))
                     if stable:
                         yield ids[:stable]
                         held = held[int(end[stable - 1]) :]
-        yield self.merge([held])[0]
+        yield np.frombuffer(self.merge([held])[0], "<u4")
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each pre-token, as little-endian 32-bit integers."""
         raw = [w.encode() for w in words]
-        short = [k for k, w in enumerate(raw) if len(w) <= self.window]
-        out = [b""] * len(raw)
-        for k, ids in zip(short, self.merge([raw[k] for k in short])):
-            out[k] = ids.astype("<u4").tobytes()
-        for k, w in enumerate(raw):
-            if len(w) > self.window:
-                out[k] = np.concatenate(list(self.stream(iter((w,))))).astype("<u4").tobytes()
+        long = [k for k, w in enumerate(raw) if len(w) > self.window]
+        out = self.merge([b"" if len(w) > self.window else w for w in raw] if long else raw)
+        for k in long:
+            out[k] = np.concatenate(list(self.stream(iter((raw[k],))))).astype("<u4").tobytes()
         return out
 
 
-class Transducer:
-    """Encoder and decoder of one byte-level vocabulary."""
+class Encoder:
+    """Texts to ids: cut into chunks that can be encoded apart, each new one split into pre-tokens."""
+
+    pattern: str
 
     def __init__(self, path: str):
         self.merger = Merger(path)
-        self.split = regex.compile(PRETOKEN)
-        self.word_memo, self.chunk_memo = Memo(), Memo()
-        size = max(self.merger.bytes_of) + 1
-        self.names = [self.merger.bytes_of.get(i, b"") for i in range(size)]
-        self.name_len = np.array([len(b) for b in self.names], np.int64)
-        self.name_at = np.concatenate([[0], np.cumsum(self.name_len)])
-        self.name_raw = np.frombuffer(b"".join(self.names), np.uint8)
+        self.split = regex.compile(self.pattern)
+        self.memo = Memo()
 
     def _chunks(self, text: str) -> list[str]:
-        """Parts that can be encoded apart; special tokens stand alone.
+        raise NotImplementedError
 
-        A single space between two other characters always starts a pre-token:
-        there the text can be cut, but not next to more white space.
-        """
+    def _parts(self, text: str) -> list[str]:
+        """Special tokens and the texts between them."""
         m = self.merger
-        out: list[str] = []
-        for part in m.cut.split(text) if m.cut and any(s in text for s in m.special) else (text,):
-            if part in m.special:
-                out.append(part)
-                continue
-            first, *rest = _SAFE.split(part) if _UNSAFE.search(part) else part.split(" ")
-            if first:
-                out.append(first)
-            out.extend([" " + w for w in rest])
+        return m.cut.split(text) if m.cut and any(s in text for s in m.special) else [text]
+
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the young generation doesn't know."""
+        m, old = self.merger, self.memo.old
+        out: dict[str, bytes] = {}
+        words, several = [], {}
+        for c in chunks:
+            if (v := old.get(c)) is not None:
+                out[c] = v
+            elif c in m.special:
+                out[c] = np.array([m.special[c]], "<u4").tobytes()
+            elif c.isalpha() or c[0] == " " and c[1:].isalpha():
+                words.append(c)
+            else:
+                several[c] = self.split.findall(c)
+        young = self.memo.young
+        parts = {p for ps in several.values() for p in ps}
+        known = {p: v for p in parts if (v := young.get(p) or old.get(p)) is not None}
+        words += parts - known.keys() - set(words)
+        known.update(zip(words, m.words(words)))
+        for c, ps in several.items():
+            out[c] = b"".join([known[p] for p in ps])
+        out |= known
+        self.memo.keep(out)
         return out
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        special = self.merger.special
-        parts = [() if c in special else self.split.findall(c) for c in chunks]
-        ids = self.word_memo.look_up({w for p in parts for w in p}, self.merger.words)
-        return [np.array([special[c]], "<u4").tobytes() if c in special else b"".join([ids[w] for w in p]) for c, p in zip(chunks, parts)]
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
+        get = self.memo.young.get
         chunks = [self._chunks(t) for t in texts]
-        ids = self.chunk_memo.look_up({c for cs in chunks for c in cs}, self._new)
-        return [b"".join([ids[c] for c in cs]) for cs in chunks]
+        found = [list(map(get, cs)) for cs in chunks]
+        missing = {c for cs, fs in zip(chunks, found) if None in fs for c, f in zip(cs, fs) if f is None}
+        if missing:
+            new = self._new(missing)
+            found = [[new[c] if f is None else f for c, f in zip(cs, fs)] if None in fs else fs for cs, fs in zip(chunks, found)]
+        return [b"".join(fs) for fs in found]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
+
+class Transducer(Encoder):
+    """Encoder and decoder of one byte-level vocabulary."""
+
+    pattern = PRETOKEN
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        names = [self.merger.bytes_of.get(i, b"") for i in range(max(self.merger.bytes_of) + 1)]
+        self.name_len = np.array([len(b) for b in names], np.int64)
+        self.name_at = np.concatenate([[0], np.cumsum(self.name_len)])
+        self.name_raw = np.frombuffer(b"".join(names), np.uint8)
+
+    def _chunks(self, text: str) -> list[str]:
+        """A single space between two other characters always starts a pre-token:
+        there a text can be cut, but not next to more white space.
+        """
+        out: list[str] = []
+        for part in self._parts(text):
+            if part in self.merger.special:
+                out.append(part)
+                continue
+            first, *rest = _SAFE.split(part) if _UNSAFE.search(part) else part.split(" ")
+            if first:
+                out.append(first)
+            out += [" " + w for w in rest]
+        return out
+
     def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
         """Text of ``ids`` in parts, by a machine that holds an unfinished character at most.
 
@@ -264,7 +287,7 @@ class Transducer:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for at in range(0, len(ids), 4 * step):
             part = np.frombuffer(ids[at : at + 4 * step], "<u4").astype(np.int64)
-            part = part[part < len(self.names)]
+            part = part[part < len(self.name_len)]
             n = self.name_len[part]
             end = np.cumsum(n)
             where = np.repeat(self.name_at[part] - (end - n), n)

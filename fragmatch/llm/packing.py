@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmatch.llm.arrow import plus, slices
-from fragmatch.llm.bpe import Memo, Merger
+from fragmatch.llm.arrow import slices
+from fragmatch.llm.bpe import Encoder
 
 #: The split pattern of this tokenizer; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,61 +35,29 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 _RARE_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class WordTokenizer:
+class WordTokenizer(Encoder):
     """Ids of the word-end vocabulary: normal form C, lower case, white space dropped."""
 
-    def __init__(self, path: str):
-        self.merger = Merger(path)
-        self.split = regex.compile(PATTERN)
-        self.word_memo, self.chunk_memo = Memo(), Memo()
+    pattern = PATTERN
 
     def _chunks(self, text: str) -> list[str]:
-        m = self.merger
         out: list[str] = []
-        for part in m.cut.split(text) if m.cut and any(s in text for s in m.special) else (text,):
-            if part in m.special:
+        for part in self._parts(text):
+            if part in self.merger.special:
                 out.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
-            out.extend(regex.split(r"\s+", part) if _RARE_SPACE.search(part) else part.split())
+            out += [c for c in regex.split(r"\s+", part) if c] if _RARE_SPACE.search(part) else part.split()
         return out
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        special = self.merger.special
-        parts = [() if c in special else self.split.findall(c) for c in chunks]
-        ids = self.word_memo.look_up({w for p in parts for w in p}, self.merger.words)
-        return [np.array([special[c]], "<u4").tobytes() if c in special else b"".join([ids[w] for w in p]) for c, p in zip(chunks, parts)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._chunks(t) for t in texts]
-        ids = self.chunk_memo.look_up({c for cs in chunks for c in cs}, self._new)
-        return [b"".join([ids[c] for c in cs]) for cs in chunks]
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def tokenize(df: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """``df`` without ``text`` but with ``ids``, little-endian 32-bit, ended by ``end_id``.
-
-    A null text counts as empty and so gives the end token alone.
-    """
-    keep = [c for c in df.columns if c not in (text, "ids")]
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches):
-        tool = tokenizer(path)
-        for part in slices(batches, text):
-            ids = [i + end for i in tool.encode_batch([t or "" for t in part[text].to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(ids, pa.binary())], names=[*keep, "ids"])
-
-    return df.select(*keep, text).mapInArrow(run, plus(df.select(*keep).schema, ids="binary"))
-
-
 def cost(n: int) -> float:
     """What attention over a piece of ``n`` tokens costs."""
     return LINEAR * n + QUADRATIC * n * n
@@ -145,21 +113,13 @@ def place(sizes: list[int], room: int = SEQUENCE) -> list[tuple[int, int, int, i
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(with_ids: bool):
-    """Full sequences of each row by their checksums, and the ids that are still to place."""
-
-    def cut(batches):
-        step = 4 * SEQUENCE
-        for part in slices(batches, "ids"):
-            total, full, rest = [], [], []
-            for ids in part["ids"].to_pylist():
-                whole = len(ids) // step * step
-                total.append(len(ids) // 4)
-                full.append([zlib.crc32(ids[k : k + step]) for k in range(0, whole, step)])
-                rest.append(ids if with_ids else ids[whole:])
-            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["key", "nokey", "total", "full", "rest"])
-
-    return cut
+def _cut(ids: list[bytes], with_ids: bool) -> list[pa.Array]:
+    """Per row: tokens, checksums of its full sequences, and the ids that are still to place."""
+    step = 4 * SEQUENCE
+    whole = [len(i) // step * step for i in ids]
+    full = [[zlib.crc32(i[k : k + step]) for k in range(0, w, step)] for i, w in zip(ids, whole)]
+    rest = ids if with_ids else [i[w:] for i, w in zip(ids, whole)]
+    return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())]
 
 
 def _fill(with_ids: bool):
@@ -188,18 +148,33 @@ def _fill(with_ids: bool):
     return fill
 
 
-def pack(tokens: DataFrame, groups: int, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """Pieces of every row of ``tokens`` (``key``, ``ids``) and their place, as ``PIECES``.
+def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_id", with_ids: bool = True, end_id: int = END_ID) -> DataFrame:
+    """Pieces of every row of ``rows`` and their place, as ``PIECES``.
 
-    Each id of each row lies in exactly one piece; repeated rows are packed as
-    often as they come, and a null key stays null. Rows without ids give no
-    piece. ``ids`` of pieces is null unless ``with_ids``. Sequences are at most
-    4096 tokens long, gapless, and all but the last one of a group full.
-    ``groups`` should follow the input; each is packed in one task.
+    ``rows`` has ``key`` and either ``ids`` (little-endian 32-bit integers) or,
+    with the ``path`` of a vocabulary, ``text``, which is tokenised on the way
+    and ended by ``end_id``; a null text counts as empty. Each id of each row
+    lies in exactly one piece; repeated rows are packed as often as they come,
+    and a null key stays null. Rows without ids give no piece. ``ids`` of
+    pieces is null unless ``with_ids``. Sequences are at most 4096 tokens
+    long, gapless, and all but the last one of a group full. ``groups`` should
+    follow the input; each is packed in one task.
     """
-    named = tokens.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNull().alias("nokey"), "ids").where("ids is not null")
-    cut = named.mapInArrow(_cut(with_ids), "key long, nokey boolean, total long, full array<long>, rest binary")
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("key", "total", F.crc32("rest")), F.lit(groups)).cast("int"))
+    column = "text" if path else "ids"
+    end = np.array([end_id], "<u4").tobytes()
+
+    def cut(batches):
+        for part in slices(batches, column):
+            if path:
+                ids = [i + end for i in tokenizer(path).encode_batch([t or "" for t in part["text"].to_pylist()])]
+            else:
+                ids = part["ids"].to_pylist()
+            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *_cut(ids, with_ids)], names=["key", "nokey", "total", "full", "rest"])
+
+    named = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNull().alias("nokey"), column)
+    named = named if path else named.where("ids is not null")
+    dealt = named.mapInArrow(cut, "key long, nokey boolean, total long, full array<long>, rest binary")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "total", F.crc32("rest")), F.lit(groups)).cast("int"))
     out = dealt.groupBy("group").applyInPandas(_fill(with_ids), PIECES.replace("doc_id long", "key long, nokey boolean"))
     return out.select(F.when(~F.col("nokey"), F.col("key")).alias("doc_id"), *[c.split()[0] for c in PIECES.split(", ")[1:]])
 
@@ -209,8 +184,7 @@ def pieces(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    groups = max(1, -(-total // GROUP_BYTES))
-    return pack(tokenize(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")), groups, with_ids=with_ids)
+    return pack(docs, max(1, -(-total // GROUP_BYTES)), public_tokenizers.path("word_bpe_49k.json"), with_ids=with_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
