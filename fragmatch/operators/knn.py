@@ -79,8 +79,8 @@ def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame
 
 def _block_join(queries: DataFrame, targets: DataFrame, k: int, n_q: int, n_t: int) -> DataFrame:
     q_blocks, t_blocks = -(-n_q // BLOCK_ROWS), -(-n_t // BLOCK_ROWS)
-    left = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).cast("long").alias("b"))
-    right = targets.select("t", "v", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("a"), F.pmod(F.xxhash64("t"), F.lit(t_blocks)).alias("b"))
+    left = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))).alias("b"))
+    right = targets.select("t", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("t"), F.lit(t_blocks)).alias("b"))
 
     def run(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(l) or not len(r):
