@@ -5,7 +5,8 @@ are tokenised where they lie; what is longer than a sequence gives full
 sequences at once, and the remainders are dealt by a hash into groups of about
 ``GROUP_BYTES`` bytes of text. Within a group, pieces go by descending length to the
 sequence of the lowest cost so far that has room; a piece that fits into none
-is cut to fill what is left, so that only a group's last sequence is padded.
+is cut to fill what is left. A group has as many sequences as its tokens need,
+so that its padding is less than one sequence.
 """
 
 from __future__ import annotations
@@ -157,8 +158,8 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
     lies in exactly one piece; repeated rows are packed as often as they come,
     and a null key stays null. Rows without ids give no piece. ``ids`` of
     pieces is null unless ``with_ids``. Sequences are at most 4096 tokens
-    long, gapless, and all but the last one of a group full. ``groups`` should
-    follow the input; each is packed in one task.
+    long and gapless; a group's padding is less than one sequence. ``groups``
+    should follow the input; each is packed in one task.
     """
     column = "text" if path else "ids"
     end = np.array([end_id], "<u4").tobytes()
