@@ -1,4 +1,4 @@
-"""Command line: ``python -m fragmatch match|index|search|version``."""
+"""Command line: ``python -m fragmatch match|index|search|serve|version``."""
 
 from __future__ import annotations
 
@@ -70,6 +70,13 @@ def search(args) -> int:
     return 0
 
 
+def run_service(args) -> int:
+    from fragmatch.service import serve
+
+    serve(_session(), _config(args), args.host, args.port)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="fragmatch")
     sub = p.add_subparsers(dest="command", required=True)
@@ -92,6 +99,10 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("index")
     s.add_argument("--top", type=int, default=10)
     s.set_defaults(run=search)
+    r = sub.add_parser("serve", parents=[common])
+    r.add_argument("--host", default="127.0.0.1")
+    r.add_argument("--port", type=int, default=8000)
+    r.set_defaults(run=run_service)
     v = sub.add_parser("version")
     v.set_defaults(run=lambda args: print(__version__) or 0)
     args = p.parse_args(argv)

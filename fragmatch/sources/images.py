@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,10 @@ def scan(spark: SparkSession, folder: str, patterns: str | None = None, recursiv
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """One image file; errors if it is missing, unreadable, not RGB or under 3 x 3."""
-    good, bad = scan(spark, path, patterns="*", recursive=False)
+    try:
+        good, bad = scan(spark, path, patterns="*", recursive=False)
+    except AnalysisException as e:
+        raise ImageError(f"{path}: no such file") from e
     problem = bad.first()
     if problem:
         raise ImageError(f"{problem['path']}: {problem['reason']}")

@@ -1,0 +1,61 @@
+import json
+
+import numpy as np
+import pytest
+
+from fragmatch import cli
+from fragmatch.config import Config
+from fragmatch.errors import MissingDependencyError
+from fragmatch.functions import kernels as K
+from fragmatch.functions.learned import LearnedDescriptor
+from fragmatch.operators import evaluate
+from fragmatch.service import Service
+from fragmatch.sources.report import png
+
+rng = np.random.RandomState(0)
+IMAGE = (rng.rand(20, 22, 3) * 255).astype(np.uint8)
+
+
+def test_service(spark):
+    s = Service(spark, Config(entropy_threshold=None, k_neighbors=2, stride=2), K.photometric)
+    assert s.handle("GET", "/health/ready", b"")[0] == 503 and s.handle("POST", "/match", png(IMAGE))[0] == 503
+    assert s.handle("POST", "/index?image_id=a/1", png(IMAGE)) == (200, {"image_id": "a1", "patches": 90})
+    assert s.handle("POST", "/index?image_id=a1", png(IMAGE))[0] == 409
+    assert s.handle("POST", "/index?image_id=b", b"no image")[0] == 400
+    status, doc = s.handle("POST", "/match?target_ids=a1,zz", png(IMAGE[2:12, 4:14]))
+    best = doc["best_match"]
+    assert status == 200 and (best["tgt_x"] - best["src_x"], best["tgt_y"] - best["src_y"]) == (4, 2)
+    assert json.dumps(doc) and s.handle("GET", "/targets", b"")[1]["targets"][0]["image_id"] == "a1"
+    assert s.handle("DELETE", "/targets/zz", b"")[0] == 404 and s.handle("DELETE", "/targets/a1", b"")[0] == 200
+    assert s.handle("GET", "/config", b"")[1]["stride"] == 2 and s.handle("GET", "/x", b"")[0] == 404 and s.handle("GET", "/", b"")[0] == 200
+
+
+def test_command_line(spark, tmp_path, capsys):
+    big = np.kron(IMAGE, np.ones((1, 1, 1), np.uint8))
+    (tmp_path / "t.png").write_bytes(png(big))
+    (tmp_path / "s.png").write_bytes(png(big[3:13, 5:15]))
+    opts = ["--entropy-threshold", "0.1", "--k-neighbors", "2"]
+    assert cli.main(["match", str(tmp_path / "s.png"), str(tmp_path / "t.png"), "--report", str(tmp_path / "r.json"), "--heatmap", str(tmp_path / "h.png"), *opts]) == 0
+    doc = json.loads((tmp_path / "r.json").read_text())
+    assert doc["result"]["match_found"] and doc["result"]["coherent_regions"][0]["offset"] == [4, 2]
+    assert doc["inputs"]["source"]["height"] == 10 and (tmp_path / "h.png").read_bytes()[:4] == b"\x89PNG"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "t.png").write_bytes(png(big))
+    assert cli.main(["index", str(tmp_path / "d"), str(tmp_path / "i"), *opts]) == 0
+    assert cli.main(["search", str(tmp_path / "s.png"), str(tmp_path / "i"), *opts]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["image_id"].endswith("t.png")
+    assert cli.main(["match", str(tmp_path / "none.png"), str(tmp_path / "t.png")]) == 1
+
+
+def test_learned_descriptor_needs_its_library():
+    try:
+        import torch  # noqa: F401
+    except ImportError:
+        with pytest.raises(MissingDependencyError):
+            LearnedDescriptor()(np.zeros((1, 3, 3, 3)))
+
+
+def test_splice_detection(spark):
+    rows = evaluate.trials(spark, 4, 3, size=48, fragment=20)
+    one = evaluate.summary(rows).first()
+    assert one["n"] == 7 and one["iou"] > 0.5 and one["det_auc"] >= 0.8
