@@ -20,7 +20,7 @@ from fragmatch.llm.arrow import plus, slices
 from fragmatch.plans.scratch import save
 
 MIN_WORDS = 8
-_UNIT = re.compile(r"[^\n]*?[.!?]+(?=\s|\Z)\s*|[^\n]+\n?|\n")
+_UNIT = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=\s|\Z)\s*|[^\n]+\n?|\n")
 _WORD = re.compile(r"\w+")
 
 
@@ -57,11 +57,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wor
     all texts share costs each task one row.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
-    found = save(rows.mapInArrow(_digests(min_words), "id long, h long, start int, end int, digest binary").distinct())
+    found = save(rows.mapInArrow(_digests(min_words), "id long, h long, start int, end int, digest binary"))
     rank = F.struct("id", "h", "start")
     first = found.groupBy("digest").agg(F.min(rank).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, "digest").where(rank > F.col("lead")).select("id", "h", "start", "end")
-    return save(later.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")))
+    return save(later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone")))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
