@@ -8,9 +8,9 @@ of 0.8 two sets miss every table with a probability of 1e-4, at 0.9 of 2e-7.
 
 Exact copies of a set are folded first. In each bucket of each table all
 members are compared with the bucket's smallest one, which makes as many
-candidates as there are members; buckets whose members are then still in
-several components are followed up until no pair of members in different
-components is left unverified. Every link is confirmed on the full sets.
+candidates as there are members. The members of buckets that are then still
+in several components are joined exactly by a prefix filter, so that no bucket
+is capped and none emits all its pairs. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fragmatch.llm.arrow import slices, utf8
 from fragmatch.operators.components import components
-from fragmatch.plans.scratch import drop, save
+from fragmatch.plans.scratch import save
 
 COLLECTIONS, ROWS = 12, 2
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -134,22 +134,19 @@ def table_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def _signatures(size: int):
+    """Per text: set size, a 128-bit digest of the set, and minhashes."""
+
     def run(batches):
         for part in slices(batches, "text"):
-            raw, off = utf8(part["text"])
-            values, at = shingle_sets(raw, off, size)
+            values, at = shingle_sets(*utf8(part["text"]), size)
             n = np.diff(at)
             sums = np.zeros((len(n), 2), np.uint64)
             full = np.flatnonzero(n)
             if len(full):
                 sums[full, 0] = np.add.reduceat(_mix(values), at[full])
                 sums[full, 1] = np.add.reduceat(_mix(values ^ _BASE), at[full])
-            mins = minhashes(values, at)
-            sets = [values[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part["id"], pa.array(n.astype(np.int64)), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array([m.tobytes() for m in mins], pa.binary()), pa.array(sets, pa.binary())],
-                names=["id", "n", "h1", "h2", "mins", "words"],
-            )
+            mins = [m.tobytes() if k else None for m, k in zip(minhashes(values, at), n)]
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(n.astype(np.int64)), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), pa.array(mins, pa.binary())], names=["id", "n", "h1", "h2", "mins"])
 
     return run
 
@@ -158,10 +155,39 @@ def _keys(batches):
     tables = COLLECTIONS * (COLLECTIONS - 1) // 2
     for batch in batches:
         mins = np.frombuffer(b"".join(batch["mins"].to_pylist()), np.uint64).reshape(-1, len(_SEEDS))
-        keys = table_keys(mins)
-        ids = batch["id"].to_numpy(zero_copy_only=False)
-        n = batch["n"].to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, tables)), pa.array(np.repeat(n, tables))], names=["key", "id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(table_keys(mins).ravel().view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(zero_copy_only=False), tables))], names=["key", "id"])
+
+
+#: Bits of the filter that keeps texts without candidates from being read twice; 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, n, words): full sets of at least the texts whose id is among ``ids``.
+
+    A bitmap of hashed ids, of a fixed size, goes along with the scan; what it
+    lets through by chance is never asked for.
+    """
+    spark = rows.sparkSession
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    parts = ids.select(bit("id").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    width = 32768
+    table = np.zeros((FILTER_BITS // width + 2, width // 8), np.uint8)
+    for r in parts.collect():  # FILTER_BITS / 32768 + 1 rows at most
+        table[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
+    held = spark.sparkContext.broadcast(table)
+    numbered = rows.where("id is not null").select("id", "text", F.bitmap_bucket_number(bit("id")).cast("int").alias("k"), F.bitmap_bit_position(bit("id")).cast("int").alias("at"))
+
+    def run(batches):
+        for batch in batches:
+            k, at = batch["k"].to_numpy(), batch["at"].to_numpy()
+            some = np.flatnonzero(held.value[k, at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for part in slices(iter([batch.take(pa.array(some))]), "text"):
+                values, ends = shingle_sets(*utf8(part["text"]), size)
+                sets = [values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(sets, pa.binary())], names=["id", "n", "words"])
+
+    return numbered.mapInArrow(run, "id long, n long, words binary")
 
 
 def _confirm(percent: int):
@@ -201,16 +227,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     null as its component, links nothing and is kept.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    base = save(rows.mapInArrow(_signatures(size), "id long, n long, h1 long, h2 long, mins binary, words binary"))
+    base = save(rows.mapInArrow(_signatures(size), "id long, n long, h1 long, h2 long, mins binary"))
     full = base.where("n > 0 and id is not null")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     member = save(full.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    sets = full.select("id", "words")
-    one = full.select("id", "n", "mins").join(member.select(F.col("a").alias("id")), "id", "left_anti")
-    keys = one.mapInArrow(_keys, "key long, id long, n long")
+    one = full.select("id", "mins").join(member.select(F.col("a").alias("id")), "id", "left_anti")
+    keys = one.mapInArrow(_keys, "key long, id long")
     leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("m")).where("last <> lead")
     shared = save(keys.join(leads.select("key", "lead", "m"), "key"))
-    star = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    star = save(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    sets = save(_sets_of(rows, shared.select("id"), size))
     links = save(_verified(star, sets, percent))
     links = _follow_up(shared, sets, links, percent)
     comp = components(member.unionAll(links))
@@ -219,28 +245,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _follow_up(shared: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between members of buckets that still hold several components.
+def _tokens(batches):
+    for batch in batches:
+        for part in slices(iter([batch]), "words", 8 << 20):
+            sets = [np.frombuffer(w, np.int64) for w in part["words"].to_pylist()]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([part["id"].take(take), part["n"].take(take), part["c"].take(take), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["id", "n", "c", "token"])
+
 
-    In each round every open bucket names a member of its rarest component as
-    the next lead, all members in other components are compared with it, and
-    the lead leaves the bucket. A bucket closes as soon as its members are all
-    in one component, so groups of near copies close at once, and no pair in
-    different components is left out.
+def _follow_up(shared: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between members of open buckets, those whose members the stars left in several components.
+
+    An exact join over the members' full sets, by prefix filtering: with tokens
+    ordered by rarity, two sets of the similarity share one among their first
+    n - ceil(percent n / 100) + 1 tokens, and its places bound what they can
+    share. Only pairs in different components count, and of each token's rows
+    those outside its largest component are compared with the others; so a
+    large group of near copies in one component, or in which no two are alike
+    enough, makes few candidates. No pair of members that links is left out.
     """
-    here = shared.where("m > 2 and id <> lead").select("key", "id")
-    while True:
-        comp = components(links)
-        here = here.join(comp, here["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        parts = here.groupBy("key", "c").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        heads = parts.groupBy("key").agg(F.min(F.struct("n", "id", "c")).alias("lo"), F.count("*").alias("k")).where("k > 1")
-        rows = save(here.join(heads.select("key", F.col("lo.id").alias("next"), F.col("lo.c").alias("next_c")), "key"))
-        if not rows.head(1):
-            return links
-        pairs = rows.where("c <> next_c").select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")).distinct()
-        more = save(links.unionAll(_verified(pairs, sets, percent)).distinct())
-        drop(links)
-        links, here = more, rows.where("id <> next").select("key", "id")
+    comp = components(links)
+    here = shared.where("m > 2").select("key", "id")
+    here = here.join(comp, here["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    opened = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    members = save(here.join(opened, "key").select("id", "c").distinct())
+    tokens = save(sets.join(members, "id").select("id", "n", "c", "words").mapInArrow(_tokens, "id long, n long, c long, token long"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("f", F.lit(1)), "token"))
+    ranked = tokens.join(common, "token", "left").withColumn("r", order)
+    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("f").isNotNull()).select("token", "id", "n", "c", "r")
+    prefix = save(prefix)
+    sizes = prefix.groupBy("token", "c").agg(F.count("*").alias("k"))
+    big = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    rows = save(prefix.join(big, "token"))
+    x, y = rows.where("c <> big").alias("x"), rows.alias("y")
+    n1, n2 = F.col("x.n"), F.col("y.n")
+    most = F.least(n1 - F.col("x.r") + 1, n2 - F.col("y.r") + 1)
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.big")) | (F.col("y.id") < F.col("x.id")))
+    on = on & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * most >= percent * (n1 + n2))
+    pairs = save(x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    return links.unionAll(_verified(pairs, sets, percent))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
