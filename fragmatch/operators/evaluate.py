@@ -29,8 +29,8 @@ def fragment_detector(size: int = 8, stride: int = 2, k: int = 1, threshold: flo
         mask = np.zeros((h, w), bool)
         if not len(a) or not len(b):
             return mask, 0.0
-        d, i = best(K.photometric(a), K.photometric(b), np.arange(len(b)), k)
-        q, rank = np.nonzero(d <= threshold)
+        d, i = best(K.photometric(a), K.photometric(b), np.arange(len(b)), k, threshold)
+        q, rank = np.nonzero(i >= 0)
         t = i[q, rank]
         n = size * size
         rss, ok = K.affine_fit(a[q].reshape(-1, n, 3), b[t].reshape(-1, n, 3), sigma=sigma)[2:] if len(q) else (np.zeros(0), np.zeros(0, bool))

@@ -24,34 +24,45 @@ BLOCK_ROWS = 8192
 NEAR = "array<struct<d:double,t:long>>"
 
 
-def best(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, <= k) distances and ids of the nearest targets; ties go to the smaller id.
+def best(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, k) distances and ids of the nearest targets at ``limit`` or nearer; ties go to the smaller id.
 
-    Candidates come from |q|^2 + |t|^2 - 2 q t; those near the cut are measured again exactly.
+    Places without a target hold infinity and -1. Candidates come from
+    |q|^2 + |t|^2 - 2 q t in single precision, with room for its error, and are
+    measured again exactly; queries without any cost no more than that.
     """
-    k = min(k, len(t))
-    out_d, out_i = np.zeros((len(q), k)), np.zeros((len(q), k), np.int64)
-    norm = (t * t).sum(axis=1)
+    out_d, out_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    if not len(t) or not len(q):
+        return out_d, out_i
+    limit = np.broadcast_to(np.asarray(limit, float), (len(q),))
+    q32, t32 = q.astype(np.float32), t.astype(np.float32)
+    norm, q_norm = (t32 * t32).sum(axis=1), (q32 * q32).sum(axis=1)
+    room = 1e-5 * (norm.max() + q_norm.max())
     for lo in range(0, len(q), 512):
-        part = q[lo : lo + 512]
-        rough = np.maximum(0.0, (part * part).sum(axis=1)[:, None] + norm[None, :] - 2 * (part @ t.T))
-        cut = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(t) else np.full(len(part), np.inf)
-        slack = cut + 1e-9 * (1 + cut)
-        for r in range(len(part)):
-            near = np.flatnonzero(rough[r] <= slack[r])
-            d = ((t[near] - part[r]) ** 2).sum(axis=1)
-            order = np.lexsort((ids[near], d))[:k]
-            out_d[lo + r], out_i[lo + r] = d[order], ids[near][order]
+        rough = q32[lo : lo + 512] @ t32.T
+        rough *= -2
+        rough += norm
+        rough += q_norm[lo : lo + 512, None]
+        near = rough <= (limit[lo : lo + 512] + room).astype(np.float32)[:, None]
+        for r in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[r])
+            if len(at) > 4 * k:
+                v = rough[r, at]
+                at = at[v <= np.partition(v, k - 1)[k - 1] + 2 * room]
+            d = ((t[at] - q[lo + r]) ** 2).sum(axis=1)
+            at, d = at[d <= limit[lo + r]], d[d <= limit[lo + r]]
+            order = np.lexsort((ids[at], d))[:k]
+            out_d[lo + r, : len(order)], out_i[lo + r, : len(order)] = d[order], ids[at][order]
     return out_d, out_i
 
 
 def _near(d: np.ndarray, i: np.ndarray) -> pa.Array:
-    width = d.shape[1] if len(d) else 0
-    items = pa.StructArray.from_arrays([pa.array(d.ravel()), pa.array(i.ravel())], names=["d", "t"])
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * width), items)
+    some = np.isfinite(d)
+    items = pa.StructArray.from_arrays([pa.array(d[some]), pa.array(i[some])], names=["d", "t"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)), items)
 
 
-def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int, limit: float) -> DataFrame:
     rows = queries.toArrow()  # size checked by the caller
     ids = rows["q"].to_numpy()
     width = len(rows["v"][0]) if len(rows) else 0
@@ -62,22 +73,24 @@ def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame
         q_ids, q = held.value
         if not len(q_ids):
             return
-        d, i = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        d, i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                nd, ni = best(q, stack(part["v"], -1), part["t"].to_numpy(), k)
-                d, i = np.concatenate([d, nd], axis=1), np.concatenate([i, ni], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if d.shape[1]:
-            for at in range(0, len(q), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at : at + 8192]), pa.array([TaskContext.get().partitionId()] * len(q_ids[at : at + 8192]), pa.int64()), _near(d[at : at + 8192], i[at : at + 8192])], names=["q", "part", "near"])
+                nd, ni = best(q, stack(part["v"], -1), part["t"].to_numpy(), k, np.minimum(d[:, -1], limit))
+                new = np.flatnonzero(np.isfinite(nd[:, 0]))
+                both, who = np.concatenate([d[new], nd[new]], axis=1), np.concatenate([i[new], ni[new]], axis=1)
+                order = np.lexsort((who, both), axis=1)[:, :k]
+                d[new], i[new] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+        found = np.flatnonzero(np.isfinite(d[:, 0]))
+        for at in range(0, len(found), 8192):
+            rows = found[at : at + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), _near(d[rows], i[rows])], names=["q", "part", "near"])
 
     return targets.mapInArrow(run, f"q long, part long, near {NEAR}")
 
 
-def _block_join(queries: DataFrame, targets: DataFrame, k: int, n_q: int, n_t: int) -> DataFrame:
+def _block_join(queries: DataFrame, targets: DataFrame, k: int, n_q: int, n_t: int, limit: float) -> DataFrame:
     q_blocks, t_blocks = -(-n_q // BLOCK_ROWS), -(-n_t // BLOCK_ROWS)
     left = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))).alias("b"))
     right = targets.select("t", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("t"), F.lit(t_blocks)).alias("b"))
@@ -85,19 +98,20 @@ def _block_join(queries: DataFrame, targets: DataFrame, k: int, n_q: int, n_t: i
     def run(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(l) or not len(r):
             return pd.DataFrame({"q": [], "part": [], "near": []})
-        d, i = best(np.stack(l["v"]), np.stack(r["v"]), r["t"].to_numpy(), k)
-        near = [[{"d": x, "t": y} for x, y in zip(a, b)] for a, b in zip(d.tolist(), i.tolist())]
+        d, i = best(np.stack(l["v"]), np.stack(r["v"]), r["t"].to_numpy(), k, limit)
+        near = [[{"d": x, "t": y} for x, y in zip(a, b) if y >= 0 or x < np.inf] for a, b in zip(d.tolist(), i.tolist())]
         return pd.DataFrame({"q": l["q"].to_numpy(), "part": int(key[1]), "near": near})
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"q long, part long, near {NEAR}")
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, limit: float = float("inf")) -> DataFrame:
     """(q, rank, t, dist): the ``k`` nearest targets of every query, rank from 1.
 
     Ids are bigint. Rows with a null vector or id take no part; with fewer
     targets than ``k`` all are given. ``skip_self`` leaves out targets of the
-    query's own id. Equal distances go to the smaller target id.
+    query's own id. Equal distances go to the smaller target id. With a
+    ``limit``, farther targets are left out, which prunes most of the work.
     """
     vec = F.col(vector).cast("array<double>").alias("v")
     q = queries.select(F.col(query_id).cast("long").alias("q"), vec).where("q is not null and v is not null")
@@ -105,9 +119,9 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id
     n_q, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
     take = k + (1 if skip_self else 0)
     if n_q * (width or 0) * 8 <= broadcast_bytes:
-        parts = _broadcast_join(q, t, take)
+        parts = _broadcast_join(q, t, take, limit)
     else:
-        parts = _block_join(q, t, take, n_q, t.count())
+        parts = _block_join(q, t, take, n_q, t.count(), limit)
     merge = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, take)
     first = parts.groupBy("q", F.pmod("part", F.lit(64)).alias("part")).agg(merge("near").alias("near"))
     near = first.groupBy("q").agg(merge("near").alias("near"))

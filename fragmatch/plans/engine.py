@@ -71,7 +71,7 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     src = patches.explode(sources, s, config.stride, config.entropy_threshold).withColumn("q", F.xxhash64("image_id", "patch_idx"))
     described = save(patches.describe(src, kernel or kernel_for(config), s))
     find = lsh.lsh_knn if config.lsh_enabled else knn.knn
-    more = {"candidates": config.lsh_candidates} if config.lsh_enabled else {}
+    more = {"candidates": config.lsh_candidates} if config.lsh_enabled else {"limit": config.distance_threshold}
     hits = knn.within(find(described, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold)
     left = described.select("q", F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("patch").alias("src_patch"))
     right = targets.select("t", "image_id", F.col("patch_idx").alias("tgt_idx"), F.col("orig_x").alias("tgt_x"), F.col("orig_y").alias("tgt_y"), "scale", F.col("patch").alias("tgt_patch"))
