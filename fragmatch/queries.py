@@ -268,11 +268,11 @@ def rg_slope(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(slope.alias("slope")).select("l_suppkey", F.round(X.holder_exponent(F.col("slope")), 6).alias("alpha"))
 
 
-@query("WITH a AS (SELECT l_suppkey, l_returnflag, coalesce((regr_slope(ln(l_extendedprice), ln(l_quantity)) - 2) / 2, 0) AS alpha FROM lineitem GROUP BY ALL) SELECT a.l_suppkey, round(-0.5 * pow((a.alpha - b.alpha) / 0.4, 2), 5) AS agreement FROM a JOIN a b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'N'")
+@query("WITH a AS (SELECT l_suppkey, l_returnflag, coalesce((regr_slope(ln(l_extendedprice), ln(l_quantity)) - 2) / 2, 0) AS alpha FROM lineitem GROUP BY ALL) SELECT a.l_suppkey, round(-0.5 * pow((a.alpha - b.alpha) / 0.4, 2), 5) + 0.0 AS agreement FROM a JOIN a b ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'N'")
 def rg_agreement(spark, d):
     a = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(X.holder_exponent(F.regr_slope(F.log("l_extendedprice"), F.log("l_quantity"))).alias("alpha"))
     b = a.where("l_returnflag = 'N'").select("l_suppkey", F.col("alpha").alias("beta"))
-    return a.where("l_returnflag = 'A'").join(b, "l_suppkey").select("l_suppkey", F.round(X.agreement(F.col("alpha"), F.col("beta")), 5).alias("agreement"))
+    return a.where("l_returnflag = 'A'").join(b, "l_suppkey").select("l_suppkey", (F.round(X.agreement(F.col("alpha"), F.col("beta")), 5) + F.lit(0.0)).alias("agreement"))
 
 
 @query(f"WITH {RASTER_SQL} SELECT image_id, patch_idx, round(list_sum(list_transform(p, lambda a: (a - list_sum(p) / 48) * (a - list_sum(p) / 48))) / 48, 8) AS energy FROM pat")
