@@ -229,12 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     base = save(rows.mapInArrow(_signatures(size), "id long, n long, h1 long, h2 long, mins binary"))
     full = base.where("n > 0 and id is not null")
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # saved before they are joined, so that Spark can split a large group's rows
+    classes = save(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     member = save(full.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     one = full.select("id", "mins").join(member.select(F.col("a").alias("id")), "id", "left_anti")
     keys = one.mapInArrow(_keys, "key long, id long")
     leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("m")).where("last <> lead")
-    shared = save(keys.join(leads.select("key", "lead", "m"), "key"))
+    leads = save(leads.select("key", "lead", "m"))
+    shared = save(keys.join(leads, "key"))
     star = save(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     sets = save(_sets_of(rows, shared.select("id"), size))
     links = save(_verified(star, sets, percent))
@@ -260,12 +262,15 @@ def _follow_up(shared: DataFrame, sets: DataFrame, links: DataFrame, percent: in
     An exact join over the members' full sets, by prefix filtering: with tokens
     ordered by rarity, two sets of the similarity share one among their first
     n - ceil(percent n / 100) + 1 tokens, and its places bound what they can
-    share. Only pairs in different components count, and of each token's rows
+    share. Only pairs in different components count (by two steps along links,
+    which may part a component but never joins two), and of each token's rows
     those outside its largest component are compared with the others; so a
     large group of near copies in one component, or in which no two are alike
     enough, makes few candidates. No pair of members that links is left out.
     """
-    comp = components(links)
+    up = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))  # a leads b and is smaller
+    top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    comp = save(up.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("component")))
     here = shared.where("m > 2").select("key", "id")
     here = here.join(comp, here["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     opened = here.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
