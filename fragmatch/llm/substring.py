@@ -1,6 +1,8 @@
 """Substring dedup by hashing lines and the sentences within them.
 
-Every text is cut into units at line ends and after sentence ends. Units of
+Every text is cut into units at line ends and after sentence ends; units of more
+than ``LONG_WORDS`` words are also cut after anchor words, told by their hash,
+so that a passage inside a longer sentence has units of its own. Units of
 ``MIN_WORDS`` words or more are normalised (lower case, words only) and
 digested; digests are grouped globally for the smallest rank (document, then
 position), and every other occurrence is removed. Removed and kept parts keep
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +23,44 @@ from fragmatch.llm.arrow import plus, slices
 from fragmatch.plans.scratch import save
 
 MIN_WORDS = 8
+LONG_WORDS = 16
+#: One word in so many is an anchor.
+ANCHOR = 8
 _UNIT = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=\s|\Z)\s*|[^\n]+\n?|\n")
 _WORD = re.compile(r"\w+")
 
 
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of ``text`` that are long enough, in code points."""
+    """(start, end, digest) of the units of ``text`` that are long enough, in code points; a part follows its whole."""
     out = []
     for m in _UNIT.finditer(text):
         words = _WORD.findall(m.group().lower())
-        if len(words) >= min_words:
-            out.append((m.start(), m.end(), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+        if len(words) < min_words:
+            continue
+        out.append((m.start(), m.end(), _digest(words)))
+        if len(words) > LONG_WORDS:
+            part, start = [], m.start()
+            for w in _WORD.finditer(text, m.start(), m.end()):
+                part.append(w.group().lower())
+                if zlib.crc32(part[-1].encode()) % ANCHOR == 0:
+                    if len(part) >= min_words:
+                        out.append((start, w.end(), _digest(part)))
+                    part, start = [], w.end()
+    return out
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Sorted (start, end) spans without overlaps."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
     return out
 
 
@@ -76,18 +106,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     on = (docs[id_col].cast("long") == found["id"]) & (F.xxhash64(docs[text]) == found["h"])
     joined = docs.join(found, on, "left").select(*[docs[c] for c in keep], F.coalesce(found["gone"], F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
 
+    names = joined.columns
+
     def run(batches):
         for part in slices(batches, text):
-            out = []
+            out, spans = [], []
             for t, gone in zip(part[text].to_pylist(), part["removed"].to_pylist()):
-                if t is not None and gone:
+                cut = merged((g["start"], g["end"]) for g in gone)
+                if t is not None and cut:
                     bits, at = [], 0
-                    for g in gone:
-                        bits.append(t[at : g["start"]])
-                        at = g["end"]
+                    for s, e in cut:
+                        bits.append(t[at:s])
+                        at = e
                     t = "".join([*bits, t[at:]])
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "clean_text"])
+                spans.append([{"start": s, "end": e} for s, e in cut])
+            told = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*[told if c == "removed" else part[c] for c in names], pa.array(out, pa.string())], names=[*names, "clean_text"])
 
     return joined.mapInArrow(run, plus(joined.schema, clean_text="string"))
 

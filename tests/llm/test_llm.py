@@ -112,6 +112,15 @@ def test_bpe_rows(spark):
 # -- 3 -------------------------------------------------------------------------------------
 
 
+def test_passages_inside_sentences(spark, words):
+    r = np.random.RandomState(22)
+    shared = [prose(words, r, 60) for _ in range(6)]
+    texts = [prose(words, r, 20) + " " + shared[k % 6] + " " + prose(words, r, 20) for k in range(18)] + [prose(words, r, 80) for _ in range(10)]
+    rows = {x["doc_id"]: x for x in substring.drop_repeats(docs(spark, texts)).collect()}
+    assert all(rows[k]["clean_text"] == texts[k] for k in (*range(6), *range(18, 28)))
+    assert all(rows[k]["removed"] and len(rows[k]["clean_text"].split()) <= 88 for k in range(6, 18))
+
+
 def test_substring_dedup_against_brute_force(spark, words):
     r = np.random.RandomState(2)
     shared = prose(words, r, 60) + "."
@@ -120,13 +129,15 @@ def test_substring_dedup_against_brute_force(spark, words):
     df = docs(spark, texts).withColumn("clean_text", F.lit(1))
     df = df.unionAll(df.where("doc_id = 3"))
     rows = {x["doc_id"]: x for x in substring.drop_repeats(df).collect()}
-    order = [(k, xx, s, e, d) for k, t in enumerate(texts) if t for xx, (s, e, d) in enumerate(substring.units(t))]
+    order = sorted((k, s, e, d) for k, t in enumerate(texts) if t for s, e, d in substring.units(t))
     seen, gone = set(), defaultdict(list)
-    for k, _, s, e, d in order:
+    for k, s, e, d in order:
         if d in seen:
             gone[k].append((s, e))
         seen.add(d)
+    assert sum(len(substring.units(t or "")) for t in texts) > 200
     for k, t in enumerate(texts):
+        gone[k] = substring.merged(sorted(set(gone[k])))
         assert [tuple(g) for g in rows[k]["removed"]] == gone[k]
         cut, at = "", 0
         for s, e in gone[k]:
