@@ -17,6 +17,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +155,50 @@ def _rerank(size: int, k: int):
     return run
 
 
+def _merge(k: int):
+    """Rows sorted by query: the best ``k`` of all that its blocks gave, each candidate once."""
+
+    def run(batches):
+        now, scores, ids, out = None, [], [], []
+
+        def close():
+            if now is not None:
+                s, i = np.concatenate(scores), np.concatenate(ids)
+                i, first = np.unique(i, return_index=True)
+                order = np.lexsort((i, -s[first]))[:k]
+                out.append((np.full(len(order), now), np.arange(1, len(order) + 1), i[order], s[first][order]))
+
+        def table():
+            q, r, i, s = (np.concatenate(c) for c in zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r.astype(np.int32)), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, flat = batch["query_id"].to_numpy(), batch["near"].flatten()
+            end = np.concatenate([[0], np.cumsum(pc.list_value_length(batch["near"]).to_numpy(zero_copy_only=False))])
+            s, i = flat.field("s").to_numpy(), flat.field("id").to_numpy()
+            cuts = np.flatnonzero(q[1:] != q[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(q)]):
+                if q[lo] != now:
+                    close()
+                    now, scores, ids = q[lo], [], []
+                scores.append(s[end[lo] : end[hi]])
+                ids.append(i[end[lo] : end[hi]])
+            if len(out) > 4096:
+                yield table()
+                out.clear()
+        close()
+        if out:
+            yield table()
+
+    return run
+
+
+def _merged(hits: DataFrame, k: int) -> DataFrame:
+    return hits.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+
+
 def _hits(index: DataFrame, sizes: DataFrame, probes: DataFrame, size: int, k: int) -> DataFrame:
     """(query_id, near): the best of each visited block; large buckets are cut into blocks."""
     blocks = sizes.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -203,19 +248,18 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec: str = "embedd
     index = save(good.select("id", "v").mapInArrow(hashed, "key long, id long, vec binary"))
     sizes = save(index.groupBy("key").agg(F.count("*").alias("n")))
     queries = good.where("q").select("id", "v")
-    hits = save(_hits(index, sizes, queries.mapInArrow(asked, "key long, id long, vec binary"), size, k))
-    near = F.slice(F.sort_array(F.transform(F.array_distinct(F.flatten(F.collect_list("near"))), lambda x: F.struct((-x["s"]).alias("o"), x["id"].alias("id")))), 1, k)
-    merged = hits.groupBy("query_id").agg(near.alias("near"))
-    if hasher.deltas.shape[1]:
-        enough = merged.where(F.size("near") >= F.lit(min(k, count - 1))).select(F.col("query_id").alias("id"))
-        short = save(queries.join(enough, "id", "left_anti"))
-        if short.head(1):  # a stated query set against all rows, in blocks
-            first = index.select("key").distinct()
-            pack_v = short.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b["id"], packed(matrix(b["v"]))], names=["id", "vec"]) for b in it if b.num_rows), "id long, vec binary")
-            more = _hits(index, sizes, pack_v.join(first), size, k)
-            merged = hits.unionAll(more).groupBy("query_id").agg(near.alias("near"))
-    out = merged.select("query_id", F.posexplode("near").alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.o")).alias("score"))
+    found = save(_merged(_hits(index, sizes, queries.mapInArrow(asked, "key long, id long, vec binary"), size, k), k))
+    if not hasher.deltas.shape[1]:
+        return found
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(k, count - 1))
+    short = save(queries.join(enough, "id", "left_anti"))
+    if not short.head(1):
+        return found
+    # a stated query set against all rows, in blocks
+    every = index.select("key").distinct()
+    vectors = short.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b["id"], packed(matrix(b["v"]))], names=["id", "vec"]) for b in it if b.num_rows), "id long, vec binary")
+    rest = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(found.columns)
+    return rest.unionAll(_merged(_hits(index, sizes, vectors.join(every), size, k), k))
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
