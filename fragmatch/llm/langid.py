@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 #: The classifier is fitted on about so many rows of each language at most, chosen by a hash of the row.
 TRAIN_ROWS = 4000
 SMOOTHING = 0.5
+#: n-grams take about 50 times their text's memory, so texts are taken in small parts.
+PART_BYTES = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _alpha: np.ndarray | None = None
@@ -82,7 +84,7 @@ class Model:
 def _count(batches):
     """Sparse n-gram counts of a partition by language."""
     held: dict[str, np.ndarray] = {}
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", PART_BYTES):
         buckets, at = grams(part["text"])
         langs = np.array(part["lang"].to_pylist(), object)
         owner = np.repeat(np.arange(len(langs)), np.diff(at))
@@ -147,7 +149,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "la
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, PART_BYTES):
             langs, scores = score(part[text], held.value)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, lang_col, score_col])
 
