@@ -1,12 +1,17 @@
-"""Substring dedup by hashing lines and the sentences within them.
-
-Every text is cut into units at line ends and after sentence ends; units of more
-than ``LONG_WORDS`` words are also cut after anchor words, told by their hash,
-so that a passage inside a longer sentence has units of its own. Units of
-``MIN_WORDS`` words or more are normalised (lower case, words only) and
-digested; digests are grouped globally for the smallest rank (document, then
-position), and every other occurrence is removed. Removed and kept parts keep
-their offsets in the original text.
+"""Substring dedup by hashing pieces of sentences, joined to units of enough words.
+
+Every text is cut into pieces at line ends and after sentence ends, and within
+sentences before anchor words: those whose hash is the smallest among the
+``REACH`` words on either side in the sentence, so that a passage inside a
+longer sentence has cuts of its own. A unit runs from a cut to the first one
+``MIN_WORDS`` words or more away, forwards and backwards, so that short pieces
+are joined to their neighbours and every word of a text of that many words is
+in a unit. Cuts in a sentence depend on that sentence alone: a repeated
+sentence, line or run of sentences of ``MIN_WORDS`` words is made of repeated
+units. Units are normalised (lower case, words only) and digested; digests are
+grouped globally for the smallest rank (document, then position), and every
+other occurrence is removed. Removed and kept parts keep their offsets in the
+original text.
 """
 
 from __future__ import annotations
@@ -15,42 +20,84 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.llm.arrow import plus, slices
-from fragmatch.plans.scratch import save
+from fragmatch.plans.scratch import drop, save
 
 MIN_WORDS = 8
-LONG_WORDS = 16
-#: One word in so many is an anchor.
-ANCHOR = 8
+#: An anchor's hash is the smallest of so many words on either side.
+REACH = 6
 _UNIT = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=\s|\Z)\s*|[^\n]+\n?|\n")
 _WORD = re.compile(r"\w+")
 
 
 def _digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=12).digest()
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of ``text`` that are long enough, in code points; a part follows its whole."""
-    out = []
+def _pieces(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of ``text``, and for each cut its place in code points and the words before it.
+
+    Every piece between cuts has a word; white space and marks alone go to the piece before.
+    """
+    words: list[str] = []
+    starts, ends = [], []
+    place, count = [0], [0]
     for m in _UNIT.finditer(text):
-        words = _WORD.findall(m.group().lower())
-        if len(words) < min_words:
+        n = len(words)
+        for w in _WORD.finditer(text, m.start(), m.end()):
+            words.append(w.group().lower())
+            starts.append(w.start())
+        if len(words) == n:
+            if n:
+                place[-1] = m.end()
             continue
-        out.append((m.start(), m.end(), _digest(words)))
-        if len(words) > LONG_WORDS:
-            part, start = [], m.start()
-            for w in _WORD.finditer(text, m.start(), m.end()):
-                part.append(w.group().lower())
-                if zlib.crc32(part[-1].encode()) % ANCHOR == 0:
-                    if len(part) >= min_words:
-                        out.append((start, w.end(), _digest(part)))
-                    part, start = [], w.end()
-    return out
+        ends.append((n, len(words)))
+        place.append(m.end())
+        count.append(len(words))
+    if not words:
+        return words, [0], [0]
+    place[-1] = len(text)
+    if max(b - a for a, b in ends) > 2 * REACH:
+        hashes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+        near = np.ones(len(words), bool)
+        for k in range(1, REACH + 1):
+            near[k:] &= hashes[k:] < hashes[:-k]
+            near[:-k] &= hashes[:-k] <= hashes[k:]
+        for a, b in ends:
+            near[a : a + REACH] = False
+            near[max(a, b - REACH) : b] = False
+        at = np.flatnonzero(near).tolist()
+        both = sorted([*zip(count, place), *((k, starts[k]) for k in at)])
+        count, place = [c for c, _ in both], [p for _, p in both]
+    return words, place, count
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest) of the units of ``text``, in code points, without repeated spans."""
+    words, place, count = _pieces(text)
+    if len(words) < min_words:
+        return []
+    spans, last = [], len(count) - 1
+    to = 0
+    for a in range(last):  # forwards
+        while to <= last and count[to] - count[a] < min_words:
+            to += 1
+        if to > last:
+            break
+        spans.append((a, to))
+    seen = set(spans)
+    at = 0
+    for b in range(1, last + 1):  # backwards
+        while count[b] - count[at + 1] >= min_words:
+            at += 1
+        if count[b] - count[at] >= min_words and (at, b) not in seen:
+            spans.append((at, b))
+    return [(place[a], place[b], _digest(words[count[a] : count[b]])) for a, b in spans]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -75,7 +122,8 @@ def _digests(min_words: int):
                     starts.append(s)
                     ends.append(e)
                     digests.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())], names=["id", "h", "start", "end", "digest"])
+            both = np.frombuffer(b"".join(digests), np.dtype([("d1", "<i8"), ("d2", "<i4")]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(both["d1"].copy()), pa.array(both["d2"].copy())], names=["id", "h", "start", "end", "d1", "d2"])
 
     return run
 
@@ -84,14 +132,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wor
     """(id, h, gone): per text (by id and hash) the spans of units that occur earlier.
 
     Digests are grouped with map-side minima, so that a unit which a third of
-    all texts share costs each task one row.
+    all texts share costs each task one row; the leads are saved, so that Spark
+    can split the rows of such a unit in the join.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("id is not null")
-    found = save(rows.mapInArrow(_digests(min_words), "id long, h long, start int, end int, digest binary"))
+    found = save(rows.mapInArrow(_digests(min_words), "id long, h long, start int, end int, d1 long, d2 int"))
     rank = F.struct("id", "h", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, "digest").where(rank > F.col("lead")).select("id", "h", "start", "end")
-    return save(later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone")))
+    first = save(found.groupBy("d1", "d2").agg(F.min(rank).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = found.join(first, ["d1", "d2"]).where(rank > F.col("lead")).select("id", "h", "start", "end")
+    gone = save(later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone")))
+    drop(found, first)
+    return gone
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

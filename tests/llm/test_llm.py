@@ -148,6 +148,28 @@ def test_substring_dedup_against_brute_force(spark, words):
     assert substring.drop_repeats(df.where("false")).count() == 0
 
 
+def test_every_word_of_a_repeated_passage_of_sentences_goes(spark, words):
+    r = np.random.RandomState(23)
+    short = [" ".join(prose(words, r, n).capitalize() + "." for n in (3, 5, 2, 6, 4)) for _ in range(3)]  # no sentence of 8 words
+    lists = ["\n".join(prose(words, r, n) for n in (2, 3, 4, 1, 5)) for _ in range(3)]  # no line of 8 words
+    tails = [prose(words, r, 31) + "." for _ in range(3)]
+    inside = [prose(words, r, 100) for _ in range(3)]
+    texts = [f"{prose(words, r, 9)}.\n{p}\n{prose(words, r, 9)}." for _ in range(2) for p in short + lists + tails]
+    texts += [prose(words, r, 20) + " " + p + " " + prose(words, r, 20) for _ in range(2) for p in inside]
+    rows = {x["doc_id"]: x for x in substring.drop_repeats(docs(spark, texts)).collect()}
+    for k in (*range(9), *range(18, 21)):
+        assert rows[k]["clean_text"] == texts[k]
+    for k in range(9, 18):
+        assert rows[k]["clean_text"].split() == (texts[k].split("\n")[0] + " " + texts[k].split("\n")[-1]).split()
+    for k in range(21, 24):  # only what lies before the first and after the last cut may stay: no patch between
+        gone = rows[k]["removed"]
+        assert all(a["end"] == b["start"] for a, b in zip(gone, gone[1:])) and len(rows[k]["clean_text"].split()) >= 40
+    for t in texts:  # every place is in a unit
+        assert substring.merged(sorted((s, e) for s, e, _ in substring.units(t)))[0][0] == 0
+        assert max(e for _, e, _ in substring.units(t)) == len(t)
+    assert sum(len(rows[k]["clean_text"].split()) - 40 for k in range(21, 24)) <= 75  # of 300 words
+
+
 # -- 4 -------------------------------------------------------------------------------------
 
 
