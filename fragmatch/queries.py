@@ -342,8 +342,9 @@ def heatmap_raw(spark, d):
 
 @query()
 def heatmap_smooth(spark, d):
-    m = _matches(spark, d).where("tgt_x between 0 and 199 and tgt_y between 0 and 199")
-    sizes = m.select("image_id").distinct().withColumn("height", F.lit(200)).withColumn("width", F.lit(200))
+    """Hot regions of all matches, whose targets of -1000 to 1048 are moved into the image."""
+    m = _matches(spark, d).withColumns({c: F.col(c) + 1000 for c in ("tgt_x", "tgt_y")})
+    sizes = m.select("image_id").distinct().withColumn("height", F.lit(2060)).withColumn("width", F.lit(2060))
     return heatmap.hot_regions(heatmap.smooth(heatmap.pixels(m), sizes), 0.5)
 
 

@@ -2,6 +2,7 @@ import importlib
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -38,6 +39,38 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_heatmap_smooth_against_brute_force(spark, db):
+    got = {tuple(r) for r in entry.queries()["heatmap_smooth"](spark, SF).select("image_id", "area", "x", "y", "w", "h").collect()}
+    sql = entry.oracle_sql()["heatmap_raw"]
+    points = db.sql(sql).df()
+    assert len(points) > 1400  # of 1,500 orders, some on one pixel
+    kernel = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    kernel = np.outer(kernel, kernel) / kernel.sum() ** 2
+    want = set()
+    for image, rows in points.groupby("image_id"):
+        grid = np.zeros((2060, 2060))
+        grid[rows["y"] + 1000, rows["x"] + 1000] = rows["value"]
+        wide = np.pad(grid, 8, "symmetric")
+        heat = np.zeros((2060 + 32, 2060 + 32))
+        for y, x in zip(*np.nonzero(wide)):
+            heat[y : y + 17, x : x + 17] += wide[y, x] * kernel
+        heat = heat[16:-16, 16:-16]
+        hot = set(zip(*(c.tolist() for c in np.nonzero(heat > 0.5 * heat.max()))))
+        while hot:
+            part, todo = set(), [hot.pop()]
+            while todo:
+                y, x = todo.pop()
+                part.add((y, x))
+                for near in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if near in hot:
+                        hot.remove(near)
+                        todo.append(near)
+            if len(part) >= 9:
+                ys, xs = zip(*part)
+                want.add((image, len(part), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1))
+    assert got == want and len({w[0] for w in want}) == 5
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
