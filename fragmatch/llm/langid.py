@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 #: The classifier is fitted on about so many rows of each language at most, chosen by a hash of the row.
 TRAIN_ROWS = 4000
 SMOOTHING = 0.5
+#: What a text's mean log-likelihood per n-gram may lack, the share of the usual margin it needs, and the spread of one n-gram.
+DROP, LEAST_MARGIN, SPREAD = 1.0, 0.35, 4.0
 #: n-grams take about 50 times their text's memory, so texts are taken in small parts.
 PART_BYTES = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
@@ -79,6 +81,7 @@ class Model:
     langs: list[str]
     weights: np.ndarray  # (buckets, languages), log probabilities
     prior: np.ndarray
+    usual: np.ndarray  # (languages, languages), mean log probability of an n-gram of the first by the second
 
 
 def _count(batches):
@@ -106,7 +109,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: i
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     total = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count("*")).collect()}
     if not total:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     share = F.create_map([x for k, v in total.items() for x in (F.lit(k), F.lit(min(1.0, train_rows / v)))])
     drawn = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(float(1 << 20))
     counted = rows.where(drawn).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -117,43 +120,78 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: i
         table[r[1], at[r[0]]] = r[2]
     weights = np.log(table + SMOOTHING) - np.log((table + SMOOTHING).sum(axis=0))
     n = np.array([total[k] for k in langs], float)
-    return Model(langs, weights.astype(np.float32), np.log(n / n.sum()))
+    usual = table.T @ weights / np.maximum(table.sum(axis=0), 1)[:, None]
+    return Model(langs, weights.astype(np.float32), np.log(n / n.sum()), usual)
 
 
-def score(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """The best language and its posterior for each text; ``und`` and 0 without letters."""
+def _likelihoods(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) log-likelihoods, and the number of n-grams of each text."""
     buckets, at = grams(texts)
     like = np.zeros((len(texts), len(model.langs)))
     full = np.flatnonzero(np.diff(at))
     for k in range(len(model.langs)):
         if len(full):
             like[full, k] = np.add.reduceat(model.weights[:, k][buckets], at[full], dtype=np.float64)
+    return like, np.diff(at)
+
+
+def _typical(like: np.ndarray, count: np.ndarray, model: Model) -> np.ndarray:
+    """Whether a text is as likely by its best language as that language's texts are, and as far from the others.
+
+    Both are means per n-gram, so that they don't grow with a text's length.
+    The best language's may lie ``DROP`` below the usual one, and the margin to
+    any other at ``LEAST_MARGIN`` of the usual one; few n-grams vary more.
+    """
+    if not model.langs:
+        return np.zeros(len(like), bool)
+    mean = like / np.maximum(count, 1)[:, None]
+    best, rows = (like + model.prior).argmax(axis=1), np.arange(len(like))
+    own, usual = mean[rows, best], np.diag(model.usual)[best]
+    slack = SPREAD / np.sqrt(np.maximum(count, 1))
+    apart = own[:, None] - mean >= LEAST_MARGIN * (usual[:, None] - model.usual[best]) - slack[:, None]
+    apart[rows, best] = True
+    return (count > 0) & (own >= usual - DROP - slack) & apart.all(axis=1)
+
+
+def _posterior(texts: pa.Array, like: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
     named = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
     if not model.langs:
         return ["und"] * len(texts), np.zeros(len(texts))
-    like += model.prior
+    like = like + model.prior
     best = like.argmax(axis=1)
     post = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
     return [model.langs[b] if ok else "und" for b, ok in zip(best, named)], np.where(named, post, 0.0)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def score(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """The best language and its posterior for each text; ``und`` and 0 without letters."""
+    return _posterior(texts, _likelihoods(texts, model)[0], model)
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", typical_col: str | None = None) -> DataFrame:
     """``df`` with the predicted language and its posterior, 0 to 1, appended.
 
+    A ``typical_col`` tells whether the text is one of that language: the
+    posterior compares the languages only, and is near 1 for most long texts.
+
     Null texts and texts without a letter get ``und`` and 0. All other columns
-    pass unchanged; columns of the two new names are replaced. Ties go to the
+    pass unchanged; columns of the new names are replaced. Ties go to the
     language that sorts first.
     """
-    keep = [c for c in df.columns if c not in (lang_col, score_col)]
+    keep = [c for c in df.columns if c not in (lang_col, score_col, typical_col)]
     df = df.select(*keep)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for part in slices(batches, text, PART_BYTES):
-            langs, scores = score(part[text], held.value)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, lang_col, score_col])
-
-    schema = plus(df.schema, **{lang_col: "string", score_col: "double"})
+            like, count = _likelihoods(part[text], held.value)
+            langs, scores = _posterior(part[text], like, held.value)
+            out = {lang_col: pa.array(langs, pa.string()), score_col: pa.array(scores)}
+            if typical_col:
+                out[typical_col] = pa.array(_typical(like, count, held.value))
+            yield pa.RecordBatch.from_arrays([*part.columns, *out.values()], names=[*keep, *out])
+
+    schema = plus(df.schema, **{lang_col: "string", score_col: "double"}, **({typical_col: "boolean"} if typical_col else {}))
     return df.mapInArrow(run, schema)
 
 
@@ -173,8 +211,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Documents whose language is told with a posterior of ``least`` or more.
+    """Documents in a learned language, told with a posterior of ``least`` or more.
 
-    Rejected: null texts, texts without a letter, and texts between languages.
+    Rejected: null texts, texts without a letter, texts between languages, and
+    texts that are not like those of any learned language.
     """
-    return predict(docs, learned(docs), lang_col="_lang", score_col="_score").where((F.col("_lang") != "und") & (F.col("_score") >= least)).drop("_lang", "_score")
+    told = predict(docs, learned(docs), lang_col="_lang", score_col="_score", typical_col="_typical")
+    return told.where((F.col("_lang") != "und") & (F.col("_score") >= least) & F.col("_typical")).drop("_lang", "_score", "_typical")

@@ -68,6 +68,23 @@ def test_langid_scores_equal_a_plain_sum(spark):
     assert score[0] == pytest.approx(p.max(), rel=1e-5)
 
 
+def test_stage_rejects_foreign_mixed_and_noise_texts(spark):
+    r = np.random.RandomState(21)
+    stems = {"en": ["the", "and", "ing", "of", "tion"], "de": ["der", "und", "sch", "ung", "ü"], "fr": ["eau", "que", "é", "oi", "ment"]}
+
+    def text(g, n):
+        return " ".join("".join(r.choice(stems[g], 2)) for _ in range(n))
+
+    rows = [(k, text(g, r.randint(4, 60)), g) for k, g in enumerate(r.choice(list(stems), 600))]
+    rows += [(1000 + k, f"{text(a, 60)} {text(b, 60)}", a) for k, (a, b) in enumerate(itertools.permutations(stems, 2))]
+    rows += [(2000, "Все люди рождаются свободными и равными в своем достоинстве", "en"), (2001, "人人生而自由在尊严和权利上一律平等", "de"), (2002, "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar", "fr")]
+    rows += [(3000 + k, "".join(r.choice(list("qwertyuiopasdfghjklzxcvbnm   "), 200)), "en") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert {x["doc_id"] for x in kept.collect()} == set(range(600))
+
+
 # -- 2 -------------------------------------------------------------------------------------
 
 ODD = [" ", "  ", "\n", "a", "B", "\t", "é", "'s", "1", "!", "\x1c", "\x85", "\xa0", "ß", "the", "<|endoftext|>", "\u3000", "漢", "½", "\r", "😀", "́", "\x00", "Σ", "İ", "12"]
