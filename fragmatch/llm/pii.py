@@ -39,6 +39,8 @@ _ANY = re.compile(r"[0-9@]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 #: A string with a digit or ``@`` between white space, less the punctuation around it.
 _INSTANCE = re.compile(r"[^\s0-9@]*+[0-9@][^\s]*")
+#: Numbers that white space or brackets part, as the forms of cards and phones allow; no part of a word.
+_RUN = re.compile(r"(?<![^\s\"'\[{<:=#,;])[+(]{0,2}[0-9](?:[\x20().-]*[0-9])*\)?(?![\w@+-]|\.\w)")
 _TRIM = ".,;:!?()[]{}\"'*#&%$|<>="
 
 
@@ -125,9 +127,36 @@ def _patterns(text: str, start: int, end: int) -> list[int]:
     return out
 
 
+def _runs(text: str) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, end, shapes) of cards and phones that are written as several strings."""
+    for m in _RUN.finditer(text):
+        start, end, run = m.start(), m.end(), m.group()
+        if run[0] == "(" and ")" not in run:
+            start += 1
+        if run[-1] == ")" and "(" not in run:
+            end -= 1
+        run = text[start:end]
+        if " " not in run or any(1 in _shapes(x.strip(_TRIM)) for x in run.split()):
+            continue
+        digits = sum(c.isdigit() for c in run)
+        shapes = [2] if 12 <= digits <= 19 and all(c.isdigit() or c in " -" for c in run) else []
+        if 7 <= digits <= 15:
+            shapes.append(3)
+        if shapes:
+            yield start, end, shapes
+
+
 def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
-    """(start, end, shapes) of strings with a digit or ``@`` that no base span touches."""
+    """(start, end, shapes) of numbers in several strings, and of other strings with a digit or ``@``, that no base span touches."""
     spans, k = sorted((s, e) for s, _, e in base), 0
+    runs = []
+    for start, end, shapes in _runs(text):
+        while k < len(spans) and spans[k][1] <= start:
+            k += 1
+        if k == len(spans) or spans[k][0] >= end:
+            runs.append((start, end))
+            yield start, end, shapes
+    spans, k = sorted(spans + runs), 0
     for m in _INSTANCE.finditer(text):
         token = m.group()
         bare = token.strip(_TRIM)

@@ -265,6 +265,22 @@ def test_pii_rows_and_discovery(spark):
     assert pii.spans(df.where("false")).count() == 0
 
 
+def _card(k):
+    d = f"{4000000000000 + 7919 * k}00"
+    d = next(d + str(c) for c in range(10) if pii.luhn(d + str(c)))
+    return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_pii_discovers_numbers_with_spaces(spark):
+    texts = [f"please charge card {_card(k)} today k" for k in range(12)] + [f"my phone number +1 (988) 555-{2000 + k} please" for k in range(12)]
+    texts += ["please charge card 4000 0000 0000 1237 today k", "my phone number 017 555 7713 please", "my phone number (017) 555-7713 please", "room 12 has 3 beds and 4 lamps"]
+    df = docs(spark, texts)
+    rows = {x["doc_id"]: x["spans"] for x in pii.spans(df).collect()}
+    assert [rows[k] for k in range(24, 28)] == ["card:19:38", "phone:16:28", "phone:16:30", ""]
+    red = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert [red[k] for k in (24, 25, 26)] == ["please charge card <card> today k", "my phone number <phone> please", "my phone number <phone> please"]
+
+
 # -- 6 -------------------------------------------------------------------------------------
 
 
