@@ -3,8 +3,8 @@
 Base identifiers (email, ip, card, phone) are found by their forms and serve
 as seeds. The words around seeds and around other number-like or address-like
 strings ("instances") are lexical patterns. Spark scores the bipartite graph of
-patterns and instances iteratively: a pattern is as good as the share of its
-instances, a new instance as its best pattern. Patterns of a high score that
+patterns and instances to the fixed point: a pattern is as good as the share of
+its instances, a new instance as its best pattern. Patterns of a high score that
 enough different seeds support discover instances that no fixed form allows,
 such as a card number whose check digit is wrong.
 """
@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.llm.arrow import slices
-from fragmatch.plans.scratch import save
+from fragmatch.plans.scratch import drop, save
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 5
 MIN_SCORE = 0.9
-ROUNDS = 3
 #: Weight of unseen evidence against a pattern.
 PRIOR = 0.5
 
@@ -205,14 +204,24 @@ def discover(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN
     seeds = pairs.where("seed").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds)
     candidates = save(seeds)  # patterns with support, for one kind each or for several
     graph = pairs.join(candidates.select("pattern", F.col("kind").alias("for_kind")), "pattern")
-    graph = save(graph.select("pattern", "instance", "for_kind", (F.col("seed") & (F.col("kind") == F.col("for_kind"))).alias("sure"), ((F.col("kind") == F.col("for_kind")) & ~F.col("seed")).alias("like")))
-    trust = graph.select("instance", "for_kind").distinct().withColumn("trust", F.lit(0.0))
-    score = None
-    for _ in range(ROUNDS):
-        weighed = graph.join(trust, ["instance", "for_kind"], "left")
-        value = F.when(F.col("sure"), F.lit(1.0)).when(F.col("like"), F.coalesce("trust", F.lit(0.0))).otherwise(F.lit(0.0))
-        score = save(weighed.groupBy("pattern", "for_kind").agg((F.sum(value) / (F.count("*") + F.lit(PRIOR))).alias("score")))
+    same = F.col("kind") == F.col("for_kind")
+    graph = save(graph.groupBy("pattern", "instance", "for_kind").agg(F.max(F.col("seed") & same).alias("sure"), F.max(~F.col("seed") & same).alias("like")))  # an instance counts once
+    score = save(graph.select("pattern", "for_kind").distinct().withColumn("score", F.lit(0.0)))
+    while True:
+        # What no other pattern trusts more has the pattern's own score: solved for it, a round ends where plain rounds would
+        # come near only. Scores rise to the fixed point and reach it, those of the best patterns first.
         trust = graph.where("like").join(score, ["pattern", "for_kind"]).groupBy("instance", "for_kind").agg(F.max("score").alias("trust"))
+        weighed = graph.join(score, ["pattern", "for_kind"]).join(trust, ["instance", "for_kind"], "left")
+        sure, like = F.col("sure"), F.col("like") & ~F.col("sure")
+        own = like & (F.col("trust") <= F.col("score"))
+        value = F.when(sure, F.lit(1.0)).when(like & ~own, F.col("trust")).otherwise(F.lit(0.0))
+        solved = F.sum(value) / (F.count("*") + F.lit(PRIOR) - F.count_if(own))
+        was, score = score, save(weighed.groupBy("pattern", "for_kind").agg(solved.alias("new"), F.max("score").alias("former")))
+        moved = score.where(F.col("new") > F.col("former") + 1e-9).limit(1).count()
+        drop(was)
+        score = score.select("pattern", "for_kind", F.col("new").alias("score"))
+        if not moved:
+            break
     good = score.where(F.col("score") >= min_score).select("pattern", F.col("for_kind").alias("kind"))
     found = edges.where("not seed and kind >= 0").join(good, ["pattern", "kind"]).select("id", "h", "start", "kind", "end").distinct()
     return save(found.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("extra")))

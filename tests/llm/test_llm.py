@@ -281,6 +281,17 @@ def test_pii_discovers_numbers_with_spaces(spark):
     assert [red[k] for k in (24, 25, 26)] == ["please charge card <card> today k", "my phone number <phone> please", "my phone number <phone> please"]
 
 
+def test_pii_discovery_reaches_the_fixed_point(spark):
+    texts = [f"please charge card {_card(k).replace(' ', '')} today k" for k in range(12)]
+    wrong = [str(4000000000000000 + 10 * k) for k in range(40)]
+    texts += [f"please charge card {w} today k" for w in wrong if not pii.luhn(w)]
+    texts += [f"call desk {99000000000000 + k} now" for k in range(2)]  # no seeds there
+    assert len(texts) > 12 + 12 + 2
+    rows = {x["doc_id"]: x["spans"] for x in pii.spans(docs(spark, texts)).collect()}
+    assert all(rows[k] == "card:19:35" for k in range(12, len(texts) - 2))
+    assert all(rows[k] == "" for k in range(len(texts) - 2, len(texts)))
+
+
 # -- 6 -------------------------------------------------------------------------------------
 
 
