@@ -3,11 +3,11 @@
 Largest inner product becomes smallest distance by one more component that
 gives all indexed vectors the same norm. Each of ``TABLES`` tables hashes a
 vector by M Gaussian projections, floor((a.v + b) / w); M grows with the
-logarithm of the number of vectors. A query visits its own bucket and then
+logarithm of the number of vectors, up to ``MOST_M``. A query visits its own bucket and then
 perturbed ones (-1, 0 or +1 in each projection) in the order of the squared
 distances to the cell walls, which estimates their success. How many is fitted
-on a bounded sample, to ``FIT_RECALL`` there; recall rises with the number of
-vectors. Candidates of all tables are merged, reranked by the exact measure.
+on a bounded sample, to ``FIT_RECALL`` there, with fewer projections where all
+perturbations miss it; recall rises with the number of vectors. Candidates of all tables are merged, reranked by the exact measure.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ TABLES = 2
 WIDTH = 2.0  # of a cell, in standard deviations of a projection
 #: The number of probes is fitted on so many vectors, drawn by a hash of the id, and so many of them as queries.
 FIT_ROWS, FIT_QUERIES, FIT_RECALL = 8192, 200, 0.95
-MOST_PROBES = 4096
+#: All 3^M perturbations are listed for every query, so that none is left out.
+MOST_M = 7
 BLOCK = 2048
 
 
@@ -77,32 +78,46 @@ class Hasher:
 
 
 def make_hasher(count: int, size: int, radius: float) -> Hasher:
-    m = max(0, min(10, int(np.log2(max(count, 1) / 64) / 2))) if count >= 256 else 0
+    m = max(0, min(MOST_M, int(np.log2(max(count, 1) / 64) / 2))) if count >= 256 else 0
     rng = np.random.Generator(np.random.PCG64(7))
-    deltas = np.array(list(product((-1, 0, 1), repeat=m)), np.int64).reshape(3**m, m)
-    deltas = deltas[np.argsort(np.abs(deltas).sum(axis=1), kind="stable")][:MOST_PROBES]
+    deltas = _deltas(m)
     return Hasher(size, radius, rng.standard_normal((TABLES, size + 1, m)), rng.random((TABLES, m)), deltas, len(deltas))
 
 
+def _deltas(m: int) -> np.ndarray:
+    deltas = np.array(list(product((-1, 0, 1), repeat=m)), np.int64).reshape(3**m, m)
+    return deltas[np.argsort(np.abs(deltas).sum(axis=1), kind="stable")]
+
+
 def fit(hasher: Hasher, sample: np.ndarray, k: int) -> Hasher:
-    """The least number of probes that reaches ``FIT_RECALL`` among ``sample``."""
-    if hasher.deltas.shape[1] == 0 or len(sample) <= k + 1:
+    """The least number of probes that reaches ``FIT_RECALL`` among ``sample``, by as many projections as can.
+
+    Without projections all vectors share a bucket, and search is exact.
+    """
+    m = hasher.deltas.shape[1]
+    if m == 0 or len(sample) <= k + 1:
         return hasher
     q = sample[: min(FIT_QUERIES, len(sample))]
     exact = q @ sample.T
     exact[np.arange(len(q)), np.arange(len(q))] = -np.inf
     top = np.argpartition(-exact, k, axis=1)[:, :k]
-    cells = np.floor(hasher.cells(sample, False))
-    rank = np.full((len(q), k), len(hasher.deltas) + 1)
-    probes = hasher.probed(q, len(hasher.deltas))
-    for t in range(len(hasher.a)):
-        own = hasher.key(cells[t], t)[top]
-        for i in range(len(q)):
-            place = {key: j for j, key in reversed(list(enumerate(probes[i, t].tolist())))}
-            rank[i] = np.minimum(rank[i], [place.get(x, len(hasher.deltas) + 1) for x in own[i].tolist()])
-    ranks = np.sort(rank.ravel())
-    need = int(ranks[int(np.ceil(FIT_RECALL * len(ranks))) - 1]) + 1
-    return Hasher(hasher.size, hasher.radius, hasher.a, hasher.b, hasher.deltas, min(need, len(hasher.deltas)))
+    while m:
+        cells = np.floor(hasher.cells(sample, False))
+        rank = np.full((len(q), k), len(hasher.deltas))
+        probes = hasher.probed(q, len(hasher.deltas))
+        for t in range(len(hasher.a)):
+            own = hasher.key(cells[t], t)[top]
+            for i in range(len(q)):
+                place = {key: j for j, key in reversed(list(enumerate(probes[i, t].tolist())))}
+                rank[i] = np.minimum(rank[i], [place.get(x, len(hasher.deltas)) for x in own[i].tolist()])
+        ranks = np.sort(rank.ravel())
+        need = int(ranks[int(np.ceil(FIT_RECALL * len(ranks))) - 1]) + 1
+        if need <= len(hasher.deltas):
+            return Hasher(hasher.size, hasher.radius, hasher.a, hasher.b, hasher.deltas, need)
+        m -= 1
+        deltas = _deltas(m)
+        hasher = Hasher(hasher.size, hasher.radius, hasher.a[:, :, :m], hasher.b[:, :m], deltas, len(deltas))
+    return hasher
 
 
 def _nearest(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):

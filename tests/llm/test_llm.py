@@ -216,6 +216,19 @@ def test_ann(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_ann_leaves_no_bucket_out_and_keeps_the_fitted_recall(monkeypatch):
+    for count in (300, 10**5, 5 * 10**6, 10**8):
+        h = ann.make_hasher(count, 4, 1.0)
+        assert len(h.deltas) == 3 ** h.deltas.shape[1]
+    monkeypatch.setattr(ann, "WIDTH", 0.4)  # most neighbours are more than one cell away
+    v = np.random.RandomState(31).randn(500, 8)
+    h = ann.fit(ann.make_hasher(64 * 4**4, 8, np.linalg.norm(v, axis=1).max()), v, 10)
+    near = np.argsort(-(v[:100] @ v.T) + 1e9 * np.eye(100, 500), axis=1)[:, :10]
+    cells, probes = np.floor(h.cells(v, False)), h.probed(v[:100])
+    hit = [any(h.key(cells[t], t)[n] in probes[i, t] for t in range(ann.TABLES)) for i in range(100) for n in near[i]]
+    assert np.mean(hit) >= 0.93
+
+
 # -- 5 -------------------------------------------------------------------------------------
 
 FORMS = {
