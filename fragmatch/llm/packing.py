@@ -76,38 +76,30 @@ def place(sizes: list[int], room: int = SEQUENCE) -> list[tuple[int, int, int, i
     count = -(-sum(sizes) // room)
     used, out = [0] * count, []
     by_cost = [(0.0, s) for s in range(count)]
+    tight: list[tuple[int, float, int]] = []  # (used, cost, sequence) of those without room for a piece so far
     for k in order:
         n, start = sizes[k], 0
-        skipped = []
-        found = None
-        while by_cost:
+        while tight and tight[0][0] + n <= room:  # pieces get shorter
+            _, c, s = heapq.heappop(tight)
+            heapq.heappush(by_cost, (c, s))
+        while by_cost and used[by_cost[0][1]] + n > room:
             c, s = heapq.heappop(by_cost)
-            if used[s] + n <= room:
-                found = (c, s)
-                break
             if used[s] < room:
-                skipped.append((c, s))
-                if len(skipped) >= 64:  # all later pieces are no longer than this one; cut it below
-                    break
-        if found:
-            c, s = found
+                heapq.heappush(tight, (used[s], c, s))
+        if by_cost:
+            c, s = heapq.heappop(by_cost)
             out.append((k, 0, n, s, used[s]))
             used[s] += n
             heapq.heappush(by_cost, (c + cost(n), s))
-        else:
-            left = skipped + by_cost
-            for c, s in sorted(left, key=lambda x: (used[x[1]], x)):
-                take = min(n, room - used[s])
-                out.append((k, start, take, s, used[s]))
-                used[s] += take
-                start, n = start + take, n - take
-                left = [(c + cost(take), s) if x[1] == s else x for x in left]
-                if not n:
-                    break
-            skipped, by_cost = [], left
-            heapq.heapify(by_cost)
-        for x in skipped:
-            heapq.heappush(by_cost, x)
+            continue
+        while n:
+            _, c, s = heapq.heappop(tight)
+            take = min(n, room - used[s])
+            out.append((k, start, take, s, used[s]))
+            used[s] += take
+            start, n = start + take, n - take
+            if used[s] < room:
+                heapq.heappush(tight, (used[s], c + cost(take), s))
     return out
 
 

@@ -467,6 +467,27 @@ def test_place_is_full_and_gapless():
             assert at == n
 
 
+def test_place_takes_the_cheapest_sequence_with_room():
+    r = np.random.RandomState(13)
+    for n in (40, 1800):
+        sizes = np.minimum(np.exp(r.normal(6, 1, n)).astype(int), 9000).tolist()
+        room = packing.SEQUENCE
+        count = -(-sum(sizes) // room)
+        used, spent = [0] * count, [0.0] * count
+        want = []
+        for k in sorted((k for k in range(n) if sizes[k]), key=lambda k: (-sizes[k], k)):
+            fits = [(spent[s], s) for s in range(count) if used[s] + sizes[k] <= room]
+            start = 0
+            for s in [min(fits)[1]] if fits else sorted((s for s in range(count) if used[s] < room), key=lambda s: (used[s], spent[s], s)):
+                take = min(sizes[k] - start, room - used[s])
+                if take:
+                    want.append((k, start, take, s, used[s]))
+                    used[s] += take
+                    spent[s] += packing.cost(take)
+                    start += take
+        assert packing.place(sizes, room) == want
+
+
 def test_packing_rows(spark, words):
     from tokenizers import Tokenizer
 
