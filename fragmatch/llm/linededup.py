@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from fragmatch.plans.scratch import save
 
 MAX_RATIO = 0.1
-#: Hosts with fewer pages have no meaningful ratio and lose nothing.
-MIN_PAGES = 20
+#: A line must be on so many pages of its host, whatever the ratio: on one page alone it is no repetition.
+LEAST_PAGES = 2
 
 
 def _lines(text) -> F.Column:
@@ -29,30 +29,39 @@ def _key(line) -> F.Column:
     return F.when(bare != "", F.xxhash64(bare, F.length(bare)))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, lines): hashes of the lines that exceed the ratio. Null hosts form one host."""
     rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    total = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
     lines = rows.select("host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("line")).where("line is not null")
-    seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= max(least_pages, 2))
     over = seen.join(total, seen["host"].eqNullSafe(total["host"])).where(F.col("n") > F.col("pages") * F.lit(max_ratio))
     return over.groupBy(seen["host"].alias("host")).agg(F.collect_list("line").alias("lines"))  # at most 1 / max_ratio times a page's mean lines
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines cut out of ``text``; ``_removed`` counts them.
+def drop_boilerplate(
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES, removed: str = "_removed"
+) -> DataFrame:
+    """``pages`` with boilerplate lines cut out of ``text``; the last column, ``removed``, counts them.
 
-    Null texts stay null with 0 removed; empty lines and hosts of fewer than
-    ``min_pages`` pages stay as they are. Repeated rows count as pages of their
+    A line goes if more than ``max_ratio`` of its host's pages hold it, and at
+    least ``least_pages`` do, whatever the host's size. Null texts stay null
+    with 0 removed; empty lines stay. Repeated rows count as pages of their
     own. A line at exactly the ratio stays. All other columns pass unchanged,
-    whatever their names.
+    whatever their names; one named like ``removed`` is replaced.
     """
-    found = save(boilerplate(pages, host, text, max_ratio, min_pages)).select(F.col("host").alias("_bp_host"), F.col("lines").alias("_bp_lines"))
-    joined = pages.join(found, pages[host].eqNullSafe(found["_bp_host"]), "left")
-    kept = F.filter(_lines(joined[text]), lambda x: F.coalesce(~F.array_contains(joined["_bp_lines"], _key(x)), F.lit(True)))
-    clean = F.when(joined["_bp_lines"].isNull() | joined[text].isNull(), joined[text]).otherwise(F.array_join(kept, "\n"))
-    gone = F.when(joined["_bp_lines"].isNull() | joined[text].isNull(), F.lit(0)).otherwise(F.size(_lines(joined[text])) - F.size(kept)).cast("long")
-    return joined.select(*[clean.alias(c) if c == text else joined[c] for c in pages.columns], gone.alias("_removed"))
+    keep = [c for c in pages.columns if c != removed]
+    found = save(boilerplate(pages, host, text, max_ratio, least_pages))
+    # the row goes as one struct, so that no name of its columns can meet another
+    rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"))
+    mine = F.col("row")[text]
+    joined = rows.join(found, F.col("row")[host].eqNullSafe(F.col("host")), "left")
+    # a page's own boilerplate by a hash set, so that a host with many such lines costs its pages no more
+    marked = joined.select("row", F.array_intersect(F.transform(_lines(mine), _key), "lines").alias("bad"))
+    some = F.coalesce(F.size("bad"), F.lit(0)) > 0
+    kept = marked.select("row", "bad", F.when(some, F.filter(_lines(mine), lambda x: F.coalesce(~F.array_contains("bad", _key(x)), F.lit(True)))).alias("kept"))
+    done = kept.select("row", F.when(some, F.array_join("kept", "\n")).otherwise(mine).alias("clean"), F.when(some, F.size(_lines(mine)) - F.size("kept")).otherwise(0).cast("long").alias("n"))
+    return done.select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in keep], F.col("n").alias(removed))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +73,10 @@ OP9_SQL = f"""
 WITH line AS (
   SELECT doc_id, source, i, unnest_line AS line, trim(unnest_line, chr(32) || chr(9) || chr(13)) AS bare
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS unnest_line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-), total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= {MIN_PAGES}
+), total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source
 ), over_ratio AS (
   SELECT l.source, l.bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM line WHERE bare <> '' GROUP BY source, bare) l
-  JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > t.pages * CAST({MAX_RATIO} AS DOUBLE) AND l.n > 1
+  JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > t.pages * CAST({MAX_RATIO} AS DOUBLE) AND l.n >= {LEAST_PAGES}
 ), marked AS (
   SELECT line.*, o.bare IS NOT NULL AS gone FROM line LEFT JOIN over_ratio o ON line.source IS NOT DISTINCT FROM o.source AND line.bare = o.bare
 ), back AS (
@@ -78,6 +87,11 @@ SELECT d.doc_id, d.source, b.clean_text, coalesce(b.n_removed, 0) AS n_removed F
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; what is emptied by that goes."""
-    out = drop_boilerplate(docs)
-    return out.where((F.col("_removed") == 0) | (F.btrim(F.col("text")) != "")).drop("_removed").withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out.drop("_removed")
+    """Documents without their source's boilerplate lines; what is emptied by that goes.
+
+    Lines must be on three documents: two on a small source are most often a
+    document and its copy, both of which would go before one can be chosen.
+    """
+    count = next(f"removed{k or ''}" for k in range(len(docs.columns) + 1) if f"removed{k or ''}" not in docs.columns)
+    out = drop_boilerplate(docs, least_pages=3, removed=count).where((F.col(count) == 0) | (F.btrim(F.col("text")) != "")).drop(count)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

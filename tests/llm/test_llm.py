@@ -187,6 +187,18 @@ def test_every_word_of_a_repeated_passage_of_sentences_goes(spark, words):
     assert sum(len(rows[k]["clean_text"].split()) - 40 for k in range(21, 24)) <= 75  # of 300 words
 
 
+def test_short_repeated_lines_stay_and_long_runs_go(spark, words):
+    r = np.random.RandomState(24)
+    site = [prose(words, r, 9) + "." for _ in range(2)]
+    two = " ".join(site)
+    texts = [f"{prose(words, r, 30)}.\n{site[k % 2]}\n{prose(words, r, 30)}." for k in range(6)]
+    texts += [f"{prose(words, r, 30)}.\n{two}\n{prose(words, r, 30)}." for _ in range(2)]
+    rows = {x["doc_id"]: x for x in substring.drop_repeats(docs(spark, texts)).collect()}
+    assert all(rows[k]["clean_text"] == texts[k] and not rows[k]["removed"] for k in range(6))
+    assert two not in rows[7]["clean_text"] and len(rows[7]["clean_text"].split()) == 60
+    assert substring.long_runs("a b c d", [(0, 2), (2, 4), (6, 7)], 2) == [(0, 2), (2, 4)]
+
+
 # -- 4 -------------------------------------------------------------------------------------
 
 
@@ -430,8 +442,8 @@ def test_line_dedup_against_brute_force(spark, words):
     pages, seen = Counter(s for _, _, s in rows), Counter()
     for _, t, s in rows:
         seen.update({(s, x.strip(" \t\r")) for x in (t or "").split("\n") if x.strip(" \t\r")})
-    bad = {key for key, n in seen.items() if n > 1 and pages[key[0]] >= 20 and n > pages[key[0]] * 0.1}
-    assert ("big", "Boiler plate") in bad and (None, "Boiler plate") in bad
+    bad = {key for key, n in seen.items() if n > 1 and n > pages[key[0]] * 0.1}
+    assert ("big", "Boiler plate") in bad and (None, "Boiler plate") in bad and ("small", "Boiler plate") in bad
     want = []
     for k, t, s in rows:
         kept = [x for x in (t or "").split("\n") if (s, x.strip(" \t\r")) not in bad]
@@ -440,6 +452,22 @@ def test_line_dedup_against_brute_force(spark, words):
     assert linededup.drop_boilerplate(df.where("false")).count() == 0
 
 
+def test_line_dedup_names_small_hosts_and_stage(spark):
+    rows = [(k, f"own {k}\nfoot" if k < 4 else "foot", f"s{k // 6}", k) for k in range(6)] + [(6, "one\nand", "s1", 0), (7, "one\nand", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _bp_lines long")
+    df = df.withColumn("_bp_host", F.lit("x")).withColumn("bad", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n", F.lit(3)).withColumn("_removed", F.lit("mine"))
+    got = linededup.drop_boilerplate(df, removed="gone")
+    assert got.columns == [*df.columns, "gone"]
+    out = {x["doc_id"]: x for x in got.collect()}
+    assert [out[k]["text"] for k in range(8)] == ["own 0", "own 1", "own 2", "own 3", "", "", "", ""] and out[6]["gone"] == 2
+    assert all(x["_removed"] == "mine" and x["_bp_host"] == "x" and x["n"] == 3 and x["_bp_lines"] == (x["doc_id"] if x["doc_id"] < 6 else 0) for x in out.values())
+    kept = linededup.stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert {x["doc_id"]: x["text"] for x in kept.collect()} == {0: "own 0", 1: "own 1", 2: "own 2", 3: "own 3", 6: "one\nand", 7: "one\nand"}
+    with_size = linededup.stage(spark, df.withColumn("n_chars", F.lit(1).cast("long")), "")
+    assert sorted(x["n_chars"] for x in with_size.collect()) == [5, 5, 5, 5, 7, 7]
+
+
 # -- 10 ------------------------------------------------------------------------------------
 
 
