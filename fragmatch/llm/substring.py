@@ -10,8 +10,10 @@ in a unit. Cuts in a sentence depend on that sentence alone: a repeated
 sentence, line or run of sentences of ``MIN_WORDS`` words is made of repeated
 units. Units are normalised (lower case, words only) and digested; digests are
 grouped globally for the smallest rank (document, then position), and every
-other occurrence is removed. Removed and kept parts keep their offsets in the
-original text.
+other occurrence is removed where repeated units that touch each other make a
+run of ``MIN_RUN`` words: a shorter one, such as one sentence or one line of a
+site, may recur by chance or on purpose, unless it is a whole text. Removed and kept parts keep their
+offsets in the original text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from fragmatch.llm.arrow import plus, slices
 from fragmatch.plans.scratch import drop, save
 
 MIN_WORDS = 8
+#: Words that repeated units which touch each other must have in all.
+MIN_RUN = 15
 #: An anchor's hash is the smallest of so many words on either side.
 REACH = 6
 _UNIT = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=\s|\Z)\s*|[^\n]+\n?|\n")
@@ -111,6 +115,19 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def long_runs(text: str, spans: list[tuple[int, int]], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
+    """Those of sorted ``spans`` that, with the ones they touch, hold ``min_run`` words of ``text`` or all of it."""
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    for span in [*spans, (len(text) + 1, len(text) + 1)]:
+        if run and span[0] != run[-1][1]:
+            if (run[0][0] == 0 and run[-1][1] == len(text)) or sum(1 for _ in _WORD.finditer(text, run[0][0], run[-1][1])) >= min_run:
+                out += run
+            run = []
+        run.append(span)
+    return out
+
+
 def _digests(min_words: int):
     def run(batches):
         for part in slices(batches, "text"):
@@ -145,10 +162,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_wor
     return gone
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with ``clean_text`` and ``removed``, an array of (start, end) in the original text.
 
-    The earliest occurrence by (id, text hash, start) stays. Null texts give a null clean
+    The earliest occurrence by (id, text hash, start) stays, and so do runs of
+    repeated units under ``min_run`` words that are not the whole text. Null texts give a null clean
     text; rows with a null id lose nothing; identical rows count as one
     document and keep and lose the same. Columns of the new names are replaced.
     """
@@ -163,7 +181,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
         for part in slices(batches, text):
             out, spans = [], []
             for t, gone in zip(part[text].to_pylist(), part["removed"].to_pylist()):
-                cut = merged((g["start"], g["end"]) for g in gone)
+                cut = long_runs(t, merged((g["start"], g["end"]) for g in gone), min_run) if gone else []
                 if t is not None and cut:
                     bits, at = [], 0
                     for s, e in cut:
