@@ -6,13 +6,16 @@ strings ("instances") are lexical patterns. Spark scores the bipartite graph of
 patterns and instances to the fixed point: a pattern is as good as the share of
 its instances, a new instance as its best pattern. Patterns of a high score that
 enough different seeds support discover instances that no fixed form allows,
-such as a card number whose check digit is wrong.
+such as a card number whose check digit is wrong. What is discovered joins the
+seeds, so that the contexts it is found in elsewhere can become patterns too,
+until a round discovers nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +43,7 @@ _NO_DIGIT = re.compile(r"[^0-9]+")
 _INSTANCE = re.compile(r"[^\s0-9@]*+[0-9@][^\s]*")
 #: Numbers that white space or brackets part, as the forms of cards and phones allow; no part of a word.
 _RUN = re.compile(r"(?<![^\s\"'\[{<:=#,;])[+(]{0,2}[0-9](?:[\x20().-]*[0-9])*\)?(?![\w@+-]|\.\w)")
+_STRING = re.compile(r"\S+")
 _TRIM = ".,;:!?()[]{}\"'*#&%$|<>="
 
 
@@ -77,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(s, 0, e) for s, e in _emails(text)]
     if "." in text:
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _NO_DIGIT.sub("", m.group())
@@ -110,20 +114,42 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _word(text: str) -> str:
-    return text.strip(_TRIM).lower()
+class _Context:
+    """The words of a text: strings between white space, cut where base identifiers begin and end, which stand for their kind.
 
+    Every word is then next to few spans, however long the text or the word.
+    """
 
-def _patterns(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the patterns around a span: two words before, and one on either side."""
-    before = [_word(w) for w in text[max(0, start - 80) : start].split()[-2:]]
-    after = [_word(w) for w in text[end : end + 40].split()[:1]]
-    out = []
-    if len(before) == 2 and all(before):
-        out.append(_hash(f"2 {before[0]} {before[1]}"))
-    if before and after and before[-1] and after[0]:
-        out.append(_hash(f"1 {before[-1]} {after[0]}"))
-    return out
+    def __init__(self, text: str, base: list[tuple[int, int, int]]):
+        self.text, self.start, self.end, self.name = text, [], [], []
+        at = 0
+        for s, kind, e in [*base, (len(text), -1, len(text))]:
+            for m in _STRING.finditer(text, at, max(at, s)):
+                self._put(m.start(), m.end(), None)
+            if kind >= 0 and s >= at:
+                self._put(s, e, f"<{KINDS[kind]}>")
+            at = max(at, e)
+
+    def _put(self, start: int, end: int, name: str | None) -> None:
+        self.start.append(start)
+        self.end.append(end)
+        self.name.append(name)
+
+    def _word(self, k: int, lo: int, hi: int) -> str:
+        return self.name[k] or self.text[max(lo, self.start[k]) : min(hi, self.end[k])].strip(_TRIM).lower()
+
+    def patterns(self, start: int, end: int) -> list[int]:
+        """Hashes of the patterns around a span: two words before, and one on either side."""
+        k = bisect_left(self.start, start)
+        before = [self._word(i, 0, start) for i in range(max(0, k - 2), k)]
+        k = bisect_right(self.end, end)
+        after = self._word(k, end, len(self.text)) if k < len(self.end) else ""
+        out = []
+        if len(before) == 2 and all(before):
+            out.append(_hash(f"2 {before[0]} {before[1]}"))
+        if before and before[-1] and after:
+            out.append(_hash(f"1 {before[-1]} {after}"))
+        return out
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, list[int]]]:
@@ -183,29 +209,19 @@ def _edges(batches):
             if text is None or _ANY.search(text) is None:
                 continue
             base = base_spans(text)
+            around = _Context(text, base)
             for s, kind, e in base:
-                for p in _patterns(text, s, e):
+                for p in around.patterns(s, e):
                     put(i, h, p, _hash(text[s:e]), kind, True, s, e)
             for s, e, shapes in _instances(text, base):
-                for p in _patterns(text, s, e):
+                for p in around.patterns(s, e):
                     for kind in shapes or [-1]:
                         put(i, h, p, _hash(text[s:e]), kind, False, s, e)
         yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()))], names=list(rows))
 
 
-def discover(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """(id, h, extra): spans "start kind end" that high-confidence patterns find, per text.
-
-    ``rows`` has id, h (a hash of the text) and text. The result reads saved
-    tables and has a row only for texts with such spans.
-    """
-    edges = save(rows.mapInArrow(_edges, "id long, h long, pattern long, instance long, kind int, seed boolean, start int, end int"))
-    pairs = save(edges.groupBy("pattern", "instance", "kind", "seed").agg(F.count("*").alias("n")))
-    seeds = pairs.where("seed").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    candidates = save(seeds)  # patterns with support, for one kind each or for several
-    graph = pairs.join(candidates.select("pattern", F.col("kind").alias("for_kind")), "pattern")
-    same = F.col("kind") == F.col("for_kind")
-    graph = save(graph.groupBy("pattern", "instance", "for_kind").agg(F.max(F.col("seed") & same).alias("sure"), F.max(~F.col("seed") & same).alias("like")))  # an instance counts once
+def _scores(graph: DataFrame) -> DataFrame:
+    """(pattern, for_kind, score) at the fixed point, for rows (pattern, instance, for_kind, sure, like)."""
     score = save(graph.select("pattern", "for_kind").distinct().withColumn("score", F.lit(0.0)))
     while True:
         # What no other pattern trusts more has the pattern's own score: solved for it, a round ends where plain rounds would
@@ -216,19 +232,71 @@ def discover(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN
         own = like & (F.col("trust") <= F.col("score"))
         value = F.when(sure, F.lit(1.0)).when(like & ~own, F.col("trust")).otherwise(F.lit(0.0))
         solved = F.sum(value) / (F.count("*") + F.lit(PRIOR) - F.count_if(own))
-        was, score = score, save(weighed.groupBy("pattern", "for_kind").agg(solved.alias("new"), F.max("score").alias("former")))
-        moved = score.where(F.col("new") > F.col("former") + 1e-9).limit(1).count()
-        drop(was)
-        score = score.select("pattern", "for_kind", F.col("new").alias("score"))
+        was, both = score, save(weighed.groupBy("pattern", "for_kind").agg(solved.alias("new"), F.max("score").alias("former")))
+        moved = both.where(F.col("new") > F.col("former") + 1e-9).limit(1).count()
+        score = save(both.select("pattern", "for_kind", F.col("new").alias("score"))) if moved else both.select("pattern", "for_kind", F.col("new").alias("score"))
+        drop(was, *([both] if moved else []))
         if not moved:
-            break
-    good = score.where(F.col("score") >= min_score).select("pattern", F.col("for_kind").alias("kind"))
+            return score
+
+
+def trusted_patterns(pairs: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """(pattern, kind) of high confidence, for the saved rows (pattern, instance, kind, seed).
+
+    Round by round, what trusted patterns find joins the seeds: it supports
+    further patterns, and counts for them in full. Nothing ever leaves, so that
+    the rounds end, at the first one that finds nothing new.
+    """
+    good = accepted = None
+    found = 0
+    while True:
+        known = pairs.withColumn("sure", F.col("seed"))
+        if accepted is not None:
+            mine = accepted.select(F.col("instance").alias("_i"), F.col("kind").alias("_k"))
+            known = pairs.join(mine, (pairs["instance"] == mine["_i"]) & (pairs["kind"] == mine["_k"]), "left")
+            known = known.select(*[pairs[c] for c in pairs.columns], (F.col("seed") | F.col("_i").isNotNull()).alias("sure"))
+        supported = known.where("sure").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")).where(F.col("seeds") >= min_seeds)
+        candidates = save(supported.select("pattern", F.col("kind").alias("for_kind")))  # for one kind each or for several
+        if not candidates.head(1):
+            return candidates.select("pattern", F.col("for_kind").alias("kind"))
+        graph, same = known.join(candidates, "pattern"), F.col("kind") == F.col("for_kind")
+        graph = save(graph.groupBy("pattern", "instance", "for_kind").agg(F.max(F.col("sure") & same).alias("sure"), F.max(~F.col("seed") & same).alias("like")))  # an instance counts once
+        good = save(_scores(graph).where(F.col("score") >= min_score).select("pattern", F.col("for_kind").alias("kind")))
+        drop(graph, candidates)
+        was, accepted = accepted, save(pairs.where("not seed and kind >= 0").join(good, ["pattern", "kind"]).select("instance", "kind").distinct())
+        if was is not None:
+            drop(was)
+        before, found = found, accepted.count()
+        if found == before:
+            drop(accepted)
+            return good
+
+
+def discover(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+    """(id, h, extra): spans "start kind end" that high-confidence patterns find, per text.
+
+    ``rows`` has id, h (a hash of the text) and text. The result reads saved
+    tables and has a row only for texts with such spans.
+    """
+    edges = save(rows.mapInArrow(_edges, "id long, h long, pattern long, instance long, kind int, seed boolean, start int, end int"))
+    pairs = save(edges.select("pattern", "instance", "kind", "seed").distinct())
+    good = trusted_patterns(pairs, min_seeds, min_score)
     found = edges.where("not seed and kind >= 0").join(good, ["pattern", "kind"]).select("id", "h", "start", "kind", "end").distinct()
-    return save(found.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("extra")))
+    out = save(found.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("extra")))
+    drop(edges, pairs, good)
+    return out
+
+
+def unused(names: list[str], name: str) -> str:
+    """``name``, or with underscores until no other column has it."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def with_extra(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``docs`` with ``_extra``, the discovered spans of each text (null: none).
+def with_extra(docs: DataFrame, id_col: str, text: str, extra: str = "_extra") -> DataFrame:
+    """``docs`` with ``extra``, the discovered spans of each text (null: none).
 
     Texts are matched by id and hash, so repeated rows get the same spans. The
     discovered spans are a saved table: Spark broadcasts it if its size allows
@@ -237,7 +305,7 @@ def with_extra(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     h = F.xxhash64(F.col(text))
     found = discover(docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h"), F.col(text).alias("text")))
     on = docs[id_col].cast("long").eqNullSafe(found["id"]) & (F.xxhash64(docs[text]) == found["h"])
-    return docs.join(found, on, "left").select(*[docs[c] for c in docs.columns], found["extra"].alias("_extra"))
+    return docs.join(found, on, "left").select(*[docs[c] for c in docs.columns], found["extra"].alias(extra))
 
 
 def _all_spans(text: str, extra: list | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -276,14 +344,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets.
 
     Overlapping spans are replaced as one, by the kind of the first. Null texts
-    stay null; all other columns pass unchanged.
+    stay null; all other columns pass unchanged, whatever their names.
     """
     cols = docs.columns
+    more = unused(cols, "_extra")
 
     def run(batches):
         for part in slices(batches, text):
             out = []
-            for t, extra in zip(part[text].to_pylist(), part["_extra"].to_pylist()):
+            for t, extra in zip(part[text].to_pylist(), part[more].to_pylist()):
                 if t is not None:
                     done, end, bits = 0, -1, []
                     for s, k, e in _all_spans(t, extra)[1]:
@@ -297,7 +366,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part[c] for c in cols], names=cols)
 
-    return with_extra(docs, id_col, text).mapInArrow(run, docs.schema)
+    return with_extra(docs, id_col, text, more).mapInArrow(run, docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,6 +317,67 @@ def test_pii_discovery_reaches_the_fixed_point(spark):
     assert all(rows[k] == "" for k in range(len(texts) - 2, len(texts)))
 
 
+def test_pii_discovered_instances_support_further_patterns(spark):
+    wrong = [w for w in (str(4000000000000000 + 10 * k) for k in range(400)) if not pii.luhn(w)]
+    texts = [f"please charge card {_card(k).replace(' ', '')} today k" for k in range(12)]
+    texts += [f"please charge card {w} today k" for w in wrong[:8]]  # first round
+    texts += [f"ship for account {w} soon q" for w in wrong[:14]]  # 8 of these are known by then: second round
+    texts += [f"refund into wallet {w} again z" for w in wrong[9:20]]  # 5 of these by then: third round
+    texts += [f"lot number batch {w} in store" for w in wrong[30:60]] + [f"lot number batch {w} in store" for w in wrong[:3]]  # too few
+    rows = {x["doc_id"]: x["spans"] for x in pii.spans(docs(spark, texts)).collect()}
+    assert all(rows[k] == f"card:{texts[k].index('4')}:{texts[k].index('4') + 16}" for k in range(12 + 8 + 14 + 11))
+    assert not any(rows[k] for k in range(45, len(texts)))
+
+
+def plain_patterns(pairs, min_seeds, min_score):
+    """The graph by dictionaries, scored by plain rounds."""
+    trusted = {(i, k) for _, i, k, seed in pairs if seed}
+    while True:
+        support = defaultdict(set)
+        for p, i, k, _ in pairs:
+            if (i, k) in trusted:
+                support[p, k].add(i)
+        score = {pk: 0.0 for pk, s in support.items() if len(s) >= min_seeds}
+        for _ in range(4000):
+            trust = defaultdict(float)
+            for p, i, k, seed in pairs:
+                if not seed and (p, k) in score:
+                    trust[i, k] = max(trust[i, k], score[p, k])
+            score = {pk: (lambda own: sum(1.0 if (i, pk[1]) in trusted and (pk[0], i, pk[1]) in own else trust[i, pk[1]] if (pk[0], i, pk[1]) in own else 0.0 for i in {i for p, i, _, _ in pairs if p == pk[0]}) / (len({i for p, i, _, _ in pairs if p == pk[0]}) + pii.PRIOR))({(p, i, k) for p, i, k, _ in pairs}) for pk in score}
+        good = {pk for pk, x in score.items() if x >= min_score - 1e-6}
+        new = trusted | {(i, k) for p, i, k, seed in pairs if not seed and (p, k) in good}
+        if new == trusted:
+            return good
+        trusted = new
+
+
+def test_pii_graph_against_brute_force(spark):
+    r = np.random.RandomState(25)
+    pairs = set()
+    for _ in range(60):
+        p, i = int(r.randint(0, 6)), int(r.randint(0, 25))
+        pairs.add((p, i, int(i % 3 if i < 20 else -1), bool(i < 9)))
+    frame = spark.createDataFrame(sorted(pairs), "pattern long, instance long, kind int, seed boolean")
+    for need, least in ((1, 0.3), (2, 0.2), (2, 0.35)):
+        got = {tuple(x) for x in pii.trusted_patterns(frame, need, least).collect()}
+        assert got == plain_patterns(sorted(pairs), need, least)
+
+
+def test_pii_long_words_zeros_and_names(spark):
+    import time
+
+    texts = ["0" * 5000 + "1.2.3.4", "é" * 200000 + " 4000000000001237 " + "x" * 200000, "a@b.co," * 40000, "é4111111111111111" * 20000]
+    began = time.time()
+    assert pii.base_spans(texts[0])[0] == (0, 1, 5007) and len(pii.base_spans(texts[2])) == 40000
+    for t in texts:
+        around = pii._Context(t, base := pii.base_spans(t))
+        assert sum(len(around.patterns(s, e)) for s, _, e in base) >= 0
+    assert time.time() - began < 20
+    df = docs(spark, ["me@x.org", texts[0], None]).withColumn("_extra", F.lit(4)).withColumn("extra", F.lit(5)).withColumn("h", F.lit(6)).withColumn("kind", F.lit(7))
+    got = pii.redact(df)
+    assert got.columns == df.columns and {x["doc_id"]: (x["text"], x["_extra"], x["h"]) for x in got.collect()} == {0: ("<email>", 4, 6), 1: ("<ip>", 4, 6), 2: (None, 4, 6)}
+
+
 # -- 6 -------------------------------------------------------------------------------------
 
 
