@@ -2,8 +2,8 @@
 
 Each URL is expanded into the expressions (host suffix, path prefix) that a
 rule could have, as far as the rules' own depth goes; expressions meet rules
-by an equi-join on a short hash prefix, the full digests confirm, and the
-longest rule wins. Without a rule the verdict is ``allow``.
+by an equi-join on a short hash prefix (crc32), the full digests (SHA-256) of
+those that meet confirm, and the longest rule wins. Without a rule the verdict is ``allow``.
 """
 
 from __future__ import annotations
@@ -25,28 +25,39 @@ def parts(url) -> tuple[F.Column, F.Column]:
     return F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def expand(host, path, depths: list[tuple[int, int]]) -> F.Column:
-    """Expressions ``host suffix + path prefix`` for pairs of (labels, characters) that rules have.
+def _places(rules: DataFrame) -> tuple[int, int, int, int, list[int]]:
+    """Least and most labels of rules' hosts, least and most slashes of their paths, and lengths after the last slash."""
+    path = F.col("rule_path")
+    tail = F.length(F.substring_index(path, "/", -1))
+    labels, slashes = F.size(F.split("rule_host", r"\.", -1)), F.size(F.split(path, "/", -1)) - 1
+    row = rules.agg(F.min(labels), F.max(labels), F.min(slashes), F.max(slashes), F.sort_array(F.collect_set(tail))).first()
+    return row[0], row[1], row[2], row[3], list(row[4])  # as many lengths as a path's last part can have
 
-    A rule of so many labels and so long a path can only be this one
-    expression of the URL; so a URL has as many expressions as there are
-    shapes of rules, however long it is.
+
+def expand(host, path, least_labels: int, most_labels: int, least_slashes: int, most_slashes: int, tails: list[int]) -> F.Column:
+    """Expressions ``host suffix + path prefix`` of a URL, as far as rules go.
+
+    Host suffixes are cut at dots and path prefixes after slashes, each to the
+    depth that rules have; ``tails`` are the lengths that rules' paths have
+    after their last slash (0: all end there), which no slash may interrupt.
+    So a URL has no more expressions than labels times path prefixes.
     """
-    labels = F.split(host, r"\.", -1)
-    out = [
-        F.when(
-            (F.size(labels) >= n) & (F.length(path) >= m),
-            F.concat(F.array_join(F.slice(labels, F.greatest(F.size(labels) - F.lit(n - 1), F.lit(1)), F.lit(n)), "."), F.lit("\0"), F.substring(path, 1, m)),
-        )
-        for n, m in depths
-    ]
-    return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
-
-
-def rule_table(spark: SparkSession, rules) -> DataFrame:
-    """Rules as rows (prefix, digest, rule, rank, verdict); a repeated rule counts once, block before allow."""
-    if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, verdict string")
+    labels, parts_ = F.split(host, r"\.", -1), F.split(path, "/", most_slashes + 1)
+    depth = F.least(F.size(labels), F.lit(most_labels))
+    hosts = F.when(depth >= least_labels, F.transform(F.sequence(F.lit(least_labels), F.greatest(depth, F.lit(least_labels))), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
+    found = F.size(parts_) - 1  # slashes, ``most_slashes`` of them at most
+    upto = lambda k: F.when(k > 0, F.concat(F.array_join(F.slice(parts_, 1, k), "/"), F.lit("/"))).otherwise("")
+    paths = F.when(found >= least_slashes, F.transform(F.sequence(F.lit(least_slashes), F.greatest(found, F.lit(least_slashes))), upto))
+    if any(tails):
+        size = F.array(*[F.lit(t) for t in tails])
+        longer = lambda d: F.transform(size, lambda t: F.substr(path, F.lit(1), F.length(d) + t))
+        fits = lambda d: F.filter(longer(d), lambda x: (F.length(x) == F.length(d)) | F.array_contains(size, F.length(x) - F.length(d)) & (F.instr(F.substr(x, F.length(d) + 1), "/") == 0))
+        paths = F.array_distinct(F.flatten(F.transform(paths, fits)))
+    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\0"), p))))
+
+
+def rule_table(spark: SparkSession, rules: DataFrame) -> DataFrame:
+    """Rules as rows (prefix, digest, rule, rule_len, verdict); a repeated rule counts once, block before allow."""
     expr = F.concat("rule_host", F.lit("\0"), "rule_path")
     one = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
     return one.select(F.crc32(expr.cast("binary")).alias("prefix"), F.sha2(expr, 256).alias("digest"), F.concat("rule_host", "rule_path").alias("rule"), F.length(F.concat("rule_host", "rule_path")).alias("rule_len"), "verdict")
@@ -55,24 +66,30 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names are replaced.
 
-    Null or malformed URLs have an empty host and path, which no rule fits.
-    Repeated rows are judged one by one. Each row meets its rules under a row
-    number that is unique, so that no host or URL, however frequent, meets in
-    one task; Spark broadcasts the rules if they are small enough and else
+    ``rules``: (host, path, verdict) rows, or a table of rule_host, rule_path
+    and verdict; those with a null take no part. Null or malformed URLs have an
+    empty host and path, which no rule fits. Repeated rows are judged one by
+    one. All other columns pass unchanged, whatever their names: each row goes
+    as one struct. Rows meet rules on the short hash prefix alone; the full
+    digest is taken of what meets, and confirms. A row is put together again
+    under a number of its own, so that no host or URL, however frequent, meets
+    in one task; Spark broadcasts the rules if they are small enough and else
     shuffles both sides by hash prefix, splitting frequent expressions.
     """
     spark = pages.sparkSession
-    table = rule_table(spark, rules)
-    shapes = rules.select(F.size(F.split("rule_host", r"\.", -1)), F.length("rule_path")).distinct().collect() if isinstance(rules, DataFrame) else sorted({(r[0].count(".") + 1, len(r[1])) for r in rules})
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, verdict string")
+    rules = rules.select("rule_host", "rule_path", "verdict").dropna()
+    depth = _places(rules)
     host, path = parts(F.col(url))
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
-    exprs = rows.withColumn("_expr", F.explode_outer(expand(F.col("host"), F.col("path"), [tuple(s) for s in shapes])))
-    exprs = exprs.withColumn("_prefix", F.crc32(F.col("_expr").cast("binary")))
-    met = exprs.join(table, (F.col("_prefix") == F.col("prefix")) & (F.sha2("_expr", 256) == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct("rule_len", "rule", F.col("verdict").alias("v")))).alias("_best")
-    out = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in [*keep, "host", "path"]], best)
-    return out.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(default)).alias("verdict"))
+    rows = pages.select(F.struct(F.lit(0).alias("none"), *[pages[c] for c in keep]).alias("page"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    exprs = F.array().cast("array<string>") if depth[0] is None else expand(F.col("host"), F.col("path"), *depth)
+    met = rows.withColumn("expr", F.explode_outer(exprs)).withColumn("prefix", F.crc32(F.col("expr").cast("binary"))).join(rule_table(spark, rules), "prefix", "left")
+    confirmed = F.when(F.col("digest").isNotNull(), F.sha2("expr", 256) == F.col("digest"))
+    best = F.max(F.when(confirmed, F.struct("rule_len", "rule", F.col("verdict").alias("v")))).alias("best")
+    out = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("page", "host", "path")], best)
+    return out.select(*[F.col("page")[c].alias(c) for c in keep], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

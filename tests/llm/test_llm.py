@@ -453,6 +453,34 @@ def test_urls_against_rules(spark):
     assert urlfilter.judge(df.where("false")).count() == 0 and r is not None
 
 
+def test_urls_join_on_the_prefix_alone(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://www.example.com/en/x")], "page_id long, url string")
+    plan = urlfilter.judge(df)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) >= 1 and all("sha2" not in x and "digest" not in x for x in joins) and "sha2" in plan
+    real = F.crc32  # all prefixes meet, and only digests tell rules apart
+    monkeypatch.setattr(urlfilter.F, "crc32", lambda c: F.pmod(real(c), F.lit(1)))
+    got = urlfilter.judge(df).collect()[0]
+    assert (got["rule"], got["verdict"]) == ("www.example.com/en/", "allow")
+
+
+def test_urls_any_rules_and_clashing_names(spark):
+    r = np.random.RandomState(27)
+    hosts, bits = ["a.com", "b.a.com", "com", "x.b.a.com", "org"], ["", "/", "/p", "/p/", "/p/q", "/p/qq", "/p/q/", "/?", "/pp/q/r"]
+    rules = [(h, p, str(r.choice(["allow", "block"]))) for h in hosts for p in bits if r.rand() < 0.5 and "?" not in p] + [("org", None, "block")]
+    urls = [f"http://{h}{p}" for h in [*hosts, "y.x.b.a.com", "org.", "aorg"] for p in [*bits, "/p/q/r/s", "/pq", "/p/qq/" + "a" * 3000]]
+    names = ("digest", "prefix", "rule_len", "_row", "row", "expr", "page", "best", "v")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = urlfilter.judge(df, rules)
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    for x in got.collect():
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if p is not None and (x["host"] == h or x["host"].endswith("." + h)) and x["path"].startswith(p)]
+        top = max(fits, default=(0, None, "allow"))
+        assert (x["rule"] is None) == (not fits) and (x["rule"] is None or len(x["rule"]) == top[0]) and [x[n] for n in names] == list(range(len(names)))
+        assert x["verdict"] in {v for n, _, v in fits if n == top[0]} | ({"allow"} if not fits else set())
+    assert urlfilter.judge(df, []).where("verdict <> 'allow'").count() == 0
+
+
 # -- 8 -------------------------------------------------------------------------------------
 
 
