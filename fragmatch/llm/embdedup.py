@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fragmatch.llm.vectors import common_size, matrix, packed, usable
 from fragmatch.operators.components import components
-from fragmatch.plans.scratch import save
+from fragmatch.plans.scratch import drop, save
 
 THRESHOLD = 0.98
 DIMS = 6
@@ -30,8 +30,13 @@ LEAF = 128
 FIT_ROWS = 4096
 
 
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _axes(sample: np.ndarray, dims: int) -> np.ndarray:
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _units(sample)
     _, _, v = np.linalg.svd(unit - unit.mean(axis=0), full_matrices=True)
     return v[:dims].T
 
@@ -54,8 +59,23 @@ class _Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def _join(unit, place, weight, lo, hi, lo2, hi2, eps, least, links, sets) -> None:
-    """Links between rows lo..hi and lo2..hi2 (the same range or apart), by halving."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``a`` with that of ``b``: products and squares added up in order, in double precision."""
+    last = lambda x: np.cumsum(x, axis=1)[:, -1]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        plain = last(a * b) / np.sqrt(last(a * a) * last(b * b))
+    odd = np.flatnonzero(~np.isfinite(plain) | (last(a * a) < 1e-140) | (last(b * b) < 1e-140))
+    if len(odd):  # squares out of range: by the largest component first
+        x, y = a[odd] / np.abs(a[odd]).max(axis=1, keepdims=True), b[odd] / np.abs(b[odd]).max(axis=1, keepdims=True)
+        plain[odd] = last(x * y) / np.sqrt(last(x * x) * last(y * y))
+    return plain
+
+
+def _join(raw, unit, place, weight, lo, hi, lo2, hi2, eps, least, links, sets) -> None:
+    """Links between rows lo..hi and lo2..hi2 (the same range or apart), by halving.
+
+    Unit vectors find candidates; their cosine is that of the original ones.
+    """
     same = lo == lo2 and hi == hi2
     if not same:
         a, b = place[lo:hi], place[lo2:hi2]
@@ -63,12 +83,12 @@ def _join(unit, place, weight, lo, hi, lo2, hi2, eps, least, links, sets) -> Non
         if (gap * gap).sum() > eps * eps:
             return
     if hi - lo <= LEAF and hi2 - lo2 <= LEAF:
-        near = unit[lo:hi] @ unit[lo2:hi2].T >= least - 1e-9
+        near = unit[lo:hi] @ unit[lo2:hi2].T >= least - 1e-9  # rounding is far smaller
         if same:
             np.fill_diagonal(near, False)
         i, j = np.nonzero(near)
         if len(i):
-            fine = (unit[lo + i] * unit[lo2 + j]).sum(axis=1) >= least - 1e-15
+            fine = cosines(raw[lo + i], raw[lo2 + j]) >= least
             i, j = i[fine], j[fine]
             np.add.at(links, lo + i, weight[lo2 + j])
             if not same:
@@ -80,15 +100,15 @@ def _join(unit, place, weight, lo, hi, lo2, hi2, eps, least, links, sets) -> Non
     mid, mid2 = (lo + hi) // 2, (lo2 + hi2) // 2
     args = (eps, least, links, sets)
     if same:
-        _join(unit, place, weight, lo, mid, lo, mid, *args)
-        _join(unit, place, weight, mid, hi, mid, hi, *args)
-        _join(unit, place, weight, lo, mid, mid, hi, *args)
+        _join(raw, unit, place, weight, lo, mid, lo, mid, *args)
+        _join(raw, unit, place, weight, mid, hi, mid, hi, *args)
+        _join(raw, unit, place, weight, lo, mid, mid, hi, *args)
     elif hi - lo >= hi2 - lo2:
-        _join(unit, place, weight, lo, mid, lo2, hi2, *args)
-        _join(unit, place, weight, mid, hi, lo2, hi2, *args)
+        _join(raw, unit, place, weight, lo, mid, lo2, hi2, *args)
+        _join(raw, unit, place, weight, mid, hi, lo2, hi2, *args)
     else:
-        _join(unit, place, weight, lo, hi, lo2, mid2, *args)
-        _join(unit, place, weight, lo, hi, mid2, hi2, *args)
+        _join(raw, unit, place, weight, lo, hi, lo2, mid2, *args)
+        _join(raw, unit, place, weight, lo, hi, mid2, hi2, *args)
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", least: float = THRESHOLD) -> DataFrame:
@@ -97,7 +117,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
     Rows link if their labels are equal and not null and the cosine is at
     least ``least``. Vectors that are null, empty, zero, hold null or
     non-finite components or are not of the usual length, and rows with null
-    labels or ids, link with nothing; a null id has a null component and is
+    labels or ids, link with nothing (below the threshold by any rounding is below it); a null id has a null component and is
     kept. Ids should be unique. Equal vectors are folded and compared once.
     """
     spark = rows.sparkSession
@@ -118,13 +138,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
         for batch in batches:
             if batch.num_rows:
                 v = matrix(batch["v"])
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                at = unit @ held.value
+                at = _units(v) @ held.value
                 cell = np.floor(at / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["rep"], batch["weight"], batch["label"], packed(unit), packed(at), *[pa.array(cell[:, k]) for k in range(dims)]], names=["id", "weight", "label", "unit", "place", *cells])
+                yield pa.RecordBatch.from_arrays([batch["rep"], batch["weight"], batch["label"], packed(v), packed(at), *[pa.array(cell[:, k]) for k in range(dims)]], names=["id", "weight", "label", "vec", "place", *cells])
 
     label_type = rows.schema[label].dataType.simpleString()
-    grid = folded.mapInArrow(placed, f"id long, weight long, label {label_type}, unit binary, place binary, " + ", ".join(f"{c} int" for c in cells))
+    grid = folded.mapInArrow(placed, f"id long, weight long, label {label_type}, vec binary, place binary, " + ", ".join(f"{c} int" for c in cells))
 
     def cut(batches):
         part, number, used, last = TaskContext.get().partitionId(), -1, 0, None
@@ -153,7 +172,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
         near = near & (F.col(f"a_lo_{c}") <= F.col(f"b_hi_{c}") + 1) & (F.col(f"b_lo_{c}") <= F.col(f"a_hi_{c}") + 1)
     pairs = save(met.where(near & (F.col("a_interval") <= F.col("b_interval"))).select(F.col("a_interval").alias("a"), F.col("b_interval").alias("b")).distinct())
     sides = pairs.select("a", "b", F.col("a").alias("interval")).unionAll(pairs.where("a <> b").select("a", "b", F.col("b").alias("interval")))
-    dealt = ordered.select("interval", "id", "weight", "unit", "place").join(sides, "interval")
+    dealt = ordered.select("interval", "id", "weight", "vec", "place").join(sides, "interval")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = pdf["a"].iloc[0], pdf["b"].iloc[0]
@@ -161,17 +180,19 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
         cell = np.floor(at / eps)
         order = np.lexsort((pdf["id"].to_numpy(), *cell.T[::-1], pdf["interval"].to_numpy() == second))
         pdf, at = pdf.iloc[order], at[order]
-        unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
+        raw = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1)
+        unit = _units(raw)
         ids, weight = pdf["id"].to_numpy(), pdf["weight"].to_numpy()
         links, sets = np.zeros(len(ids), np.int64), _Sets(len(ids))
         n = int((pdf["interval"] == first).sum())
         span = (0, n, 0, n) if first == second else (0, n, n, len(ids))
-        _join(unit, at, weight, *span, eps, least, links, sets)
+        _join(raw, unit, at, weight, *span, eps, least, links, sets)
         some = np.flatnonzero(links)
         root = np.array([sets.find(k) for k in some.tolist()], int)
         return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[root] if len(some) else ids[:0]})
 
     found = save(dealt.groupBy("a", "b").applyInPandas(run, "id long, links long, root long"))
+    drop(ordered, boxes, pairs)
     comp = components(found.select("id", "root"))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     reps = folded.join(counted, folded["rep"] == counted["id"], "left").join(comp, folded["rep"] == comp["node"], "left")

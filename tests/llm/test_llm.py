@@ -516,6 +516,20 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embdedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_no_link_below_the_threshold(spark):
+    a = np.array([1.0, 0.0])
+    angle = np.arccos(0.98)
+    near = [np.array([np.cos(x), np.sin(x)]) for x in (angle - 1e-9, angle + 1e-9, angle, angle + 4e-16, angle - 4e-16)]
+    rows = [(10 * k + j, (f * x).tolist(), k) for k, b in enumerate(near) for j, (f, x) in enumerate(((1.0, a), (3.0, b)))]
+    rows += [(100, [1e200, 0.0], 9), (101, [1e200, 1e190], 9), (102, [1e-200, 1e-200], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x["id"]: x["n_links"] for x in embdedup.near_vectors(df).collect()}
+    for k, b in enumerate(near):
+        c = 3 * float(b[0])
+        assert got[10 * k] == got[10 * k + 1] == int(c / np.sqrt(1.0 * (9 * b[0] ** 2 + 9 * b[1] ** 2)) >= 0.98) or abs(c / 3 - 0.98) < 1e-15
+    assert got[0] == 1 and got[10] == 0 and (got[100], got[101], got[102]) == (1, 1, 0)
+
+
 # -- 9 -------------------------------------------------------------------------------------
 
 
