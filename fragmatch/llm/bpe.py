@@ -4,12 +4,14 @@ A merge can only be undone by text to its right through a chain of merges of
 strictly falling rank, each of which starts with a token on the right edge of
 the piece before it. The longest such chain, in bytes, is the merge list's
 sufficient lookahead: tokens that end that many bytes before the end of what
-has been read are stable and can be emitted. So a pre-token of any length is
-encoded through a window of constant size. Decoding runs the tokens' bytes
-through an incremental UTF-8 state machine.
-
-Short pieces between single spaces recur, so their token ids are kept in a
-bounded table; anything else takes the transducer.
+has been read are stable and can be emitted. Every pre-token is read through a
+window of constant size, many of them side by side, and every id comes from
+the one step that emits what is stable. Texts are read in segments, so that
+what is held besides a text is of constant size too. Decoding runs the tokens'
+bytes through an incremental UTF-8 state machine as they come.
+
+Pieces between single spaces recur, so a bounded table in front of the
+transducer keeps what it gave for recent ones.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +33,11 @@ from fragmatch.llm.arrow import plus, slices
 
 #: The split pattern of this tokenizer family; a fixed value.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Recent pieces whose ids are kept, in each of two generations, and the longest of them in characters.
 MEMO = 120_000
 MEMO_CHARS = 48
+#: Texts are read in segments of about so many characters.
+SEGMENT = 1 << 16
 _NONE = 1 << 30
 
 
@@ -61,22 +66,19 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Memo:
-    """The ids of recent short texts: at most 2 x ``MEMO`` of them.
+    """The ids of recent short pieces: about 2 x ``MEMO`` of them, and a batch's.
 
     Two generations: as the young one is full it becomes the old one, and what
-    is asked for again moves up, so that frequent texts stay.
+    is asked for again moves up, so that frequent pieces stay.
     """
 
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def keep(self, found: dict[str, bytes]) -> None:
-        for k, v in found.items():
-            if len(k) <= MEMO_CHARS:
-                if len(self.young) >= MEMO:
-                    self.young, self.old = {}, self.young
-                self.young[k] = v
+    def turn(self) -> None:
+        if len(self.young) >= MEMO:
+            self.young, self.old = {}, self.young
 
 
 class Merger:
@@ -113,13 +115,14 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.key_rank[at], _NONE)
 
-    def merge(self, words: list[bytes], ends: bool = True) -> list[bytes]:
+    def merge(self, words: list[bytes], ends) -> list[bytes]:
         """Token ids of each word, by rank and then from the left, in lockstep over words.
 
-        Ids are little-endian 32-bit integers. ``ends``: the words' last bytes
-        end a word. Words of like length share a matrix, so that padding stays small.
+        Ids are little-endian 32-bit integers. ``ends``, for all or for each:
+        whether the last byte ends a word. Words of like length share a matrix, so that padding stays small.
         """
         out = [b""] * len(words)
+        ends = np.broadcast_to(ends, len(words))
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 0]
@@ -134,8 +137,8 @@ class Merger:
             cols = np.arange(width)
             tokens = np.full((len(rows), width), -1, np.int64)
             tokens[cols < n[:, None]] = self.first[raw]
-            if ends:
-                tokens[np.arange(len(rows)), n - 1] = self.last[raw[np.cumsum(n) - 1]]
+            closed = np.flatnonzero(ends[rows])
+            tokens[closed, n[closed] - 1] = self.last[raw[np.cumsum(n)[closed] - 1]]
             rank = np.full((len(rows), width), _NONE, np.int32)
             rank[:, :-1] = self.ranks(tokens[:, :-1], tokens[:, 1:])
             done = np.full((len(rows), width), -1, np.int64)
@@ -166,6 +169,19 @@ class Merger:
                 out[r] = flat[lo:hi]
         return out
 
+    def stable(self, windows: list[bytes], ends: list[bool]) -> tuple[list[bytes], list[int]]:
+        """The transducer's step: ids of each window that nothing to its right can change, and the bytes they stand for.
+
+        ``ends``: whether the pre-token ends with the window; then all are stable.
+        """
+        out, used = self.merge(windows, ends), [len(w) for w in windows]
+        for k in [k for k, e in enumerate(ends) if not e]:
+            ids = np.frombuffer(out[k], "<u4")
+            end = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
+            n = int(np.searchsorted(end, used[k] - self.lookahead - 1, side="right"))
+            out[k], used[k] = out[k][: 4 * n], int(end[n - 1]) if n else 0
+        return out, used
+
     def stream(self, chunks: Iterator[bytes]) -> Iterator[np.ndarray]:
         """Ids of one pre-token that arrives in ``chunks``, as soon as they are stable.
 
@@ -176,86 +192,156 @@ class Merger:
             for at in range(0, len(chunk), self.window):
                 held += chunk[at : at + self.window]
                 if len(held) > self.window + 1:
-                    ids = np.frombuffer(self.merge([held], ends=False)[0], "<u4")
-                    end = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
-                    stable = int(np.searchsorted(end, len(held) - self.lookahead - 1, side="right"))
-                    if stable:
-                        yield ids[:stable]
-                        held = held[int(end[stable - 1]) :]
-        yield np.frombuffer(self.merge([held])[0], "<u4")
+                    (ids,), (used,) = self.stable([held], [False])
+                    held = held[used:]
+                    if ids:
+                        yield np.frombuffer(ids, "<u4")
+        (ids,), _ = self.stable([held], [True])
+        yield np.frombuffer(ids, "<u4")
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token, as little-endian 32-bit integers."""
+        """Ids of each pre-token, as little-endian 32-bit integers, all read side by side."""
         raw = [w.encode() for w in words]
-        long = [k for k, w in enumerate(raw) if len(w) > self.window]
-        out = self.merge([b"" if len(w) > self.window else w for w in raw] if long else raw)
-        for k in long:
-            out[k] = np.concatenate(list(self.stream(iter((raw[k],))))).astype("<u4").tobytes()
+        out: list[bytes] = [b""] * len(raw)
+        at, live = [0] * len(raw), list(range(len(raw)))
+        size = 2 * self.window
+        while live:
+            windows = [raw[k][at[k] : at[k] + size] if at[k] or len(raw[k]) > size else raw[k] for k in live]
+            ends = [at[k] + size >= len(raw[k]) for k in live]
+            for k, ids, used in zip(live, *self.stable(windows, ends)):
+                out[k] = out[k] + ids if out[k] else ids
+                at[k] += used
+            live = [k for k, e in zip(live, ends) if not e]
         return out
 
 
 class Encoder:
-    """Texts to ids: cut into chunks that can be encoded apart, each new one split into pre-tokens."""
+    """Texts to ids: cut into pieces that can be encoded apart, each new one split into pre-tokens."""
 
     pattern: str
+    #: Where a text can be cut.
+    safe: re.Pattern
 
     def __init__(self, path: str):
         self.merger = Merger(path)
         self.split = regex.compile(self.pattern)
         self.memo = Memo()
 
-    def _chunks(self, text: str) -> list[str]:
+    def _clean(self, part: str) -> str:
+        """A text between special tokens as it is to be split."""
+        return part
+
+    def _cut(self, part: str) -> list[str]:
+        """The pieces of a segment."""
         raise NotImplementedError
 
-    def _parts(self, text: str) -> list[str]:
-        """Special tokens and the texts between them."""
+    def _segments(self, text: str) -> Iterator[list[str] | Iterator[bytes]]:
+        """Pieces of a text, in lists of about ``SEGMENT`` characters; a longer pre-token comes alone, as a stream of bytes."""
         m = self.merger
-        return m.cut.split(text) if m.cut and any(s in text for s in m.special) else [text]
-
-    def _new(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the young generation doesn't know."""
-        m, old = self.merger, self.memo.old
-        out: dict[str, bytes] = {}
+        for part in m.cut.split(text) if m.cut and any(s in text for s in m.special) else [text]:
+            if part in m.special:
+                yield [part]
+                continue
+            part, at = self._clean(part), 0
+            while len(part) - at > 2 * SEGMENT:
+                if found := self.safe.search(part, at + SEGMENT, at + 2 * SEGMENT):
+                    yield self._cut(part[at : found.start()])
+                    at = found.start()
+                    continue
+                held, begin = [], at  # no place to cut near: by pre-tokens
+                for token in self.split.finditer(part, at):
+                    s, at = token.span()
+                    if at - s > SEGMENT:
+                        yield held
+                        held = []
+                        yield (part[k : min(k + 4096, e)].encode() for e in (at,) for k in range(s, e, 4096))
+                    else:
+                        held.append(token.group())
+                    if at - begin >= SEGMENT:
+                        break
+                else:
+                    at = len(part)
+                yield held
+            yield self._cut(part[at:] if at else part)
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the young generation doesn't know."""
+        m, young, old = self.merger, self.memo.young, self.memo.old
+        out = {c: old[c] for c in pieces & old.keys()}
         words, several = [], {}
-        for c in chunks:
-            if (v := old.get(c)) is not None:
-                out[c] = v
-            elif c in m.special:
+        for c in pieces - old.keys():
+            if c in m.special:
                 out[c] = np.array([m.special[c]], "<u4").tobytes()
-            elif c.isalpha() or c[0] == " " and c[1:].isalpha():
+            elif c.isalpha() or c[:1] == " " and c[1:].isalpha():
                 words.append(c)
+            elif c[-1:] in _MARKS and (c[:-1].isalpha() or c[:1] == " " and c[1:-1].isalpha()):
+                several[c] = c[:-1], c[-1]
             else:
                 several[c] = self.split.findall(c)
-        young = self.memo.young
         parts = {p for ps in several.values() for p in ps}
-        known = {p: v for p in parts if (v := young.get(p) or old.get(p)) is not None}
+        known = {p: v for p in parts if (v := out.get(p) or young.get(p) or old.get(p)) is not None}
         words += parts - known.keys() - set(words)
         known.update(zip(words, m.words(words)))
+        get = known.__getitem__
         for c, ps in several.items():
-            out[c] = b"".join([known[p] for p in ps])
-        out |= known
-        self.memo.keep(out)
+            out[c] = b"".join(map(get, ps))
+        known.update(out)
+        return known
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        self.memo.turn()
+        young = self.memo.young
+        if missing := set().union(*lists) - young.keys():
+            young.update(new := self._new(missing))
+        get = young.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in lists]
+        if missing:
+            for c in new:
+                if len(c) > MEMO_CHARS:
+                    del young[c]
         return out
 
+    def stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """(text, ids) in the order of each text, as little-endian 32-bit integers, as soon as they are stable."""
+        live = [(k, self._segments(t)) for k, t in enumerate(texts)]
+        while live:
+            owners, lists, going = [], [], []
+            for k, segments in live:
+                segment = next(segments, None)
+                if segment is None:
+                    continue
+                going.append((k, segments))
+                if isinstance(segment, list):
+                    owners.append(k)
+                    lists.append(segment)
+                else:
+                    for ids in self.merger.stream(segment):
+                        yield k, ids.tobytes()
+            yield from zip(owners, self._ids(lists))
+            live = going
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        get = self.memo.young.get
-        chunks = [self._chunks(t) for t in texts]
-        found = [list(map(get, cs)) for cs in chunks]
-        missing = {c for cs, fs in zip(chunks, found) if None in fs for c, f in zip(cs, fs) if f is None}
-        if missing:
-            new = self._new(missing)
-            found = [[new[c] if f is None else f for c, f in zip(cs, fs)] if None in fs else fs for cs, fs in zip(chunks, found)]
-        return [b"".join(fs) for fs in found]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for k, ids in self.stream(texts):
+            out[k].append(ids)
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
 
+_UNSAFE = re.compile(r" \s|\s ")
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = frozenset(".,;:!?")
+_utf8 = codecs.getincrementaldecoder("utf-8")
+
+
 class Transducer(Encoder):
     """Encoder and decoder of one byte-level vocabulary."""
 
     pattern = PRETOKEN
+    safe = _SAFE
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -264,41 +350,31 @@ class Transducer(Encoder):
         self.name_at = np.concatenate([[0], np.cumsum(self.name_len)])
         self.name_raw = np.frombuffer(b"".join(names), np.uint8)
 
-    def _chunks(self, text: str) -> list[str]:
+    def _cut(self, part: str) -> list[str]:
         """A single space between two other characters always starts a pre-token:
         there a text can be cut, but not next to more white space.
         """
-        out: list[str] = []
-        for part in self._parts(text):
-            if part in self.merger.special:
-                out.append(part)
-                continue
-            first, *rest = _SAFE.split(part) if _UNSAFE.search(part) else part.split(" ")
-            if first:
-                out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        first, *rest = _SAFE.split(part) if _UNSAFE.search(part) else part.split(" ")
+        out = [" " + w for w in rest]
+        return [first, *out] if first else out
+
+    def text_of(self, machine: codecs.IncrementalDecoder, ids: bytes) -> str:
+        """What ``machine``, which holds an unfinished character at most, reads in the bytes of ``ids``."""
+        part = np.frombuffer(ids, "<u4").astype(np.int64)
+        part = part[part < len(self.name_len)]
+        n = self.name_len[part]
+        end = np.cumsum(n)
+        where = np.repeat(self.name_at[part] - (end - n), n)
+        return machine.decode(self.name_raw[where + np.arange(len(where))].tobytes())
 
     def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[str]:
-        """Text of ``ids`` in parts, by a machine that holds an unfinished character at most.
-
-        Ids outside the vocabulary give nothing.
-        """
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        """Text of ``ids`` in parts. Ids outside the vocabulary give nothing."""
+        machine = _utf8("replace")
         for at in range(0, len(ids), 4 * step):
-            part = np.frombuffer(ids[at : at + 4 * step], "<u4").astype(np.int64)
-            part = part[part < len(self.name_len)]
-            n = self.name_len[part]
-            end = np.cumsum(n)
-            where = np.repeat(self.name_at[part] - (end - n), n)
-            yield machine.decode(self.name_raw[where + np.arange(len(where))].tobytes())
+            yield self.text_of(machine, ids[at : at + 4 * step])
         yield machine.decode(b"", True)
 
 
-_UNSAFE = re.compile(r" \s|\s ")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-
-
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
@@ -326,23 +402,25 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def digests(df: DataFrame, path: str) -> DataFrame:
     """Per row of (doc_id, text): counts and digests of what ``encode_decode`` gives.
 
-    The digests are taken where the ids are made, so that ids and texts need
-    not go back to the JVM. Nulls as in ``encode_decode``; doc_id may be null
+    The digests are fed by the ids as the transducer emits them, so that no
+    text's ids or decoded text are held whole. Nulls as in ``encode_decode``; doc_id may be null
     or repeated.
     """
 
     def run(batches):
         tool = transducer(path)
         for part in slices(batches, "text"):
-            n, ids_hash, text_hash = [], [], []
-            for ids in tool.encode_batch([t or "" for t in part["text"].to_pylist()]):
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                seen = hashlib.sha256()
-                for s in tool.decode(ids):
-                    seen.update(s.encode())
-                text_hash.append(seen.hexdigest())
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = [t or "" for t in part["text"].to_pylist()]
+            n, machines = [0] * len(texts), [_utf8("replace") for _ in texts]
+            seen, read = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+            for k, ids in tool.stream(texts):
+                n[k] += len(ids) // 4
+                seen[k].update(ids)
+                for at in range(0, len(ids), 4 * SEGMENT):
+                    read[k].update(tool.text_of(machines[k], ids[at : at + 4 * SEGMENT]).encode())
+            for machine, h in zip(machines, read):
+                h.update(machine.decode(b"", True).encode())
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array([h.hexdigest() for h in seen], pa.string()), pa.array([h.hexdigest() for h in read], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -40,18 +40,15 @@ class WordTokenizer(Encoder):
     """Ids of the word-end vocabulary: normal form C, lower case, white space dropped."""
 
     pattern = PATTERN
+    safe = re.compile(r"[ \n\t\r]")
 
-    def _chunks(self, text: str) -> list[str]:
-        out: list[str] = []
-        for part in self._parts(text):
-            if part in self.merger.special:
-                out.append(part)
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            out += [c for c in regex.split(r"\s+", part) if c] if _RARE_SPACE.search(part) else part.split()
-        return out
+    def _clean(self, part: str) -> str:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        return part.lower()
+
+    def _cut(self, part: str) -> list[str]:
+        return [c for c in regex.split(r"\s+", part) if c] if _RARE_SPACE.search(part) else part.split()
 
 
 @lru_cache(maxsize=2)

@@ -117,6 +117,57 @@ def test_streaming_emits_early_and_the_same():
     assert out == whole and len(seen) == 40
 
 
+@pytest.mark.parametrize("path,make", [(BYTE, bpe.Transducer), (WORD, packing.WordTokenizer)])
+def test_every_id_comes_from_the_streaming_step(monkeypatch, path, make):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "SEGMENT", 40)
+    monkeypatch.setattr(bpe, "MEMO", 0)
+    tool, theirs, r = make(path), Tokenizer.from_file(path), np.random.RandomState(28)
+    tool.merger.window = tool.merger.lookahead + 8  # windows that many words of these texts outgrow
+    made, inside, step, merge = [], [], tool.merger.stable, tool.merger.merge
+
+    def stable(windows, ends):
+        assert all(len(w) <= 2 * tool.merger.window + tool.merger.lookahead + 200 for w in windows)
+        inside.append(1)
+        out, used = step(windows, ends)
+        inside.pop()
+        made.extend(len(o) // 4 for o in out)
+        return out, used
+
+    def merged(*args):
+        assert inside
+        return merge(*args)
+
+    monkeypatch.setattr(tool.merger, "stable", stable)
+    monkeypatch.setattr(tool.merger, "merge", merged)
+    texts = ["".join(r.choice(ODD, r.randint(100, 900))) for _ in range(40)]
+    texts += ["".join(r.choice(list("abehinrst"), 6000)), "x" * 5000 + "." + "漢" * 3000, "word " * 50 + "-" * 4000 + " end", " " * 4000 + "a"]
+    for t in texts:
+        parts = [np.frombuffer(ids, "<u4").tolist() for _, ids in tool.stream([t])]
+        assert [i for p in parts for i in p] == theirs.encode(t, add_special_tokens=False).ids, repr(t[:60])
+        assert len(parts) > 1
+    alone = "".join(r.choice(list("abehinrst"), 9000))  # one pre-token, emitted bit by bit
+    made.clear()
+    assert len(tool.encode(alone)) // 4 == sum(made) == len(theirs.encode(alone, add_special_tokens=False).ids)
+    assert max(made) < sum(made) / 4
+    tool.memo = bpe.Memo()
+    tool._new({alone})  # the same among words that are read side by side
+    assert tool._ids([[alone]])[0] == tool.encode(alone)
+
+
+def test_bpe_digests_of_long_texts(spark):
+    texts = ["é漢 the " * 60000, "x" * 300000, " " * 200000, "😀" * 50000 + "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(BYTE)
+    for x in bpe.digests(df, BYTE).collect():
+        ids = theirs.encode(texts[x["doc_id"]], add_special_tokens=False).ids
+        assert (x["n_tokens"], x["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert x["decoded_sha256"] == hashlib.sha256(texts[x["doc_id"]].encode()).hexdigest()
+
+
 def test_bpe_rows(spark):
     df = spark.createDataFrame([(1, "ab c"), (1, "ab c"), (None, None), (3, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
     got = bpe.encode_decode(df, BYTE).collect()
