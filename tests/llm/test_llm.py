@@ -279,10 +279,19 @@ def test_ann(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_ann_leaves_no_bucket_out_and_keeps_the_fitted_recall(monkeypatch):
-    for count in (300, 10**5, 5 * 10**6, 10**8):
-        h = ann.make_hasher(count, 4, 1.0)
-        assert len(h.deltas) == 3 ** h.deltas.shape[1]
+def test_perturbations_come_in_order_and_none_is_left_out():
+    r = np.random.RandomState(30)
+    for m, most in ((0, 5), (1, 3), (3, 27), (5, 243), (6, 40), (9, 300)):
+        walls = ann.wall_distances(r.randn(4, m) * 3)
+        steps, score = ann.perturbations(walls, most)
+        for i in range(4):
+            plain = sorted((sum(walls[i, k, d + 1] for k, d in enumerate(p)), p) for p in itertools.product((-1, 0, 1), repeat=m))
+            assert np.allclose(score[i], [s for s, _ in plain[:most]]) and len({tuple(x) for x in steps[i].tolist()}) == min(most, 3**m)
+            assert np.allclose([sum(walls[i, k, d + 1] for k, d in enumerate(p)) for p in steps[i].tolist()], score[i])
+    assert [ann.make_hasher(n, 4, 1.0).m for n in (100, 5 * 10**6, 10**8, 10**11)] == [0, 8, 10, 15]
+
+
+def test_ann_keeps_the_fitted_recall_by_fewer_projections(monkeypatch):
     monkeypatch.setattr(ann, "WIDTH", 0.4)  # most neighbours are more than one cell away
     v = np.random.RandomState(31).randn(500, 8)
     h = ann.fit(ann.make_hasher(64 * 4**4, 8, np.linalg.norm(v, axis=1).max()), v, 10)
@@ -292,6 +301,40 @@ def test_ann_leaves_no_bucket_out_and_keeps_the_fitted_recall(monkeypatch):
     assert np.mean(hit) >= 0.93
 
 
+def test_ann_with_many_projections_hot_copies_and_repeated_ids(spark, monkeypatch):
+    r = np.random.RandomState(32)
+    centre = r.randn(40, 24)
+    v = centre[r.randint(0, 40, 1600)] + 0.15 * r.randn(1600, 24)
+    v[::3] = 1.5 * v[0]  # a third are copies
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "vec_id long, embedding array<double>")
+    make, made = ann.make_hasher, []
+    monkeypatch.setattr(ann, "make_hasher", lambda n, *a: made.append(make(64 * 4**9, *a)) or made[0])
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    fitted, real = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(real(*a)) or fitted[0])
+    by = defaultdict(list)
+    for x in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        by[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    assert made[0].m == 9 and fitted[0].m >= 8 and fitted[0].probes < 3**8
+    assert set(by) == set(range(0, 1600, 20))
+    hit = 0
+    for q, near in by.items():
+        near.sort()
+        assert [n for n, _, _ in near] == list(range(1, 21)) and len({i for _, i, _ in near} - {q}) == 20
+        s = v @ v[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(1600), -np.round(s, 9)))[:20].tolist()
+        hit += len({i for _, i, _ in near} & set(want))
+        if q % 3 == 0:
+            assert [i for _, i, _ in near] == [i for i in range(0, 66, 3) if i != q][:20]
+    assert hit / (20 * len(by)) >= 0.9
+    monkeypatch.undo()
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in ann.search(two, F.col("vec_id") == 20).collect()] == [(20, 1, 1, 2.0)]
+
+
 # -- 5 -------------------------------------------------------------------------------------
 
 FORMS = {
