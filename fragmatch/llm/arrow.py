@@ -42,3 +42,11 @@ def plus(schema: StructType, **fields: str) -> StructType:
     for name, kind in fields.items():
         out.add(name, kind)
     return out
+
+
+def unused(names: list[str], name: str) -> str:
+    """``name``, or with underscores until no other column has it."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmatch.llm.arrow import plus, slices
+from fragmatch.llm.arrow import plus, slices, unused
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -216,5 +216,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5)
     Rejected: null texts, texts without a letter, texts between languages, and
     texts that are not like those of any learned language.
     """
-    told = predict(docs, learned(docs), lang_col="_lang", score_col="_score", typical_col="_typical")
-    return told.where((F.col("_lang") != "und") & (F.col("_score") >= least) & F.col("_typical")).drop("_lang", "_score", "_typical")
+    lang, score_, typical = names = [unused(docs.columns, n) for n in ("lang_told", "score_told", "typical")]
+    told = predict(docs, learned(docs), lang_col=lang, score_col=score_, typical_col=typical)
+    return told.where((F.col(lang) != "und") & (F.col(score_) >= least) & F.col(typical)).drop(*names)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragmatch.llm.arrow import unused
 from fragmatch.plans.scratch import save
 
 MAX_RATIO = 0.1
@@ -92,6 +93,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Lines must be on three documents: two on a small source are most often a
     document and its copy, both of which would go before one can be chosen.
     """
-    count = next(f"removed{k or ''}" for k in range(len(docs.columns) + 1) if f"removed{k or ''}" not in docs.columns)
+    count = unused(docs.columns, "removed")
     out = drop_boilerplate(docs, least_pages=3, removed=count).where((F.col(count) == 0) | (F.btrim(F.col("text")) != "")).drop(count)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

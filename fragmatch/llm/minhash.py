@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fragmatch.llm.arrow import slices, utf8
+from fragmatch.llm.arrow import slices, unused, utf8
 from fragmatch.operators.components import components
-from fragmatch.plans.scratch import save
+from fragmatch.plans.scratch import drop, save
 
 COLLECTIONS, ROWS = 12, 2
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -158,22 +158,25 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(table_keys(mins).ravel().view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(zero_copy_only=False), tables))], names=["key", "id"])
 
 
-#: Bits of the filter that keeps texts without candidates from being read twice; 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that keeps texts without candidates from being read twice: 16 for each, from 2 MB up to 64 MB.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 29
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, n, words): full sets of at least the texts whose id is among ``ids``.
 
-    A bitmap of hashed ids, of a fixed size, goes along with the scan; what it
-    lets through by chance is never asked for.
+    A bitmap of hashed ids goes along with the scan, of a size that follows
+    their number up to a bound; what it lets through by chance is never asked
+    for.
     """
     spark = rows.sparkSession
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ids = ids.distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     parts = ids.select(bit("id").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     width = 32768
-    table = np.zeros((FILTER_BITS // width + 2, width // 8), np.uint8)
-    for r in parts.collect():  # FILTER_BITS / 32768 + 1 rows at most
+    table = np.zeros((bits // width + 2, width // 8), np.uint8)
+    for r in parts.collect():  # bits / 32768 + 1 rows at most
         table[r["k"]] = np.frombuffer(bytes(r["m"]), np.uint8)
     held = spark.sparkContext.broadcast(table)
     numbered = rows.where("id is not null").select("id", "text", F.bitmap_bucket_number(bit("id")).cast("int").alias("k"), F.bitmap_bit_position(bit("id")).cast("int").alias("at"))
@@ -242,6 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = save(_verified(star, sets, percent))
     links = _follow_up(shared, sets, links, percent)
     comp = components(member.unionAll(links))
+    drop(classes, member, leads, shared, star, sets)
     out = base.select("id", "n").join(comp, base["id"] == comp["node"], "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
@@ -300,9 +304,9 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (five-word shingles, 0.8)."""
-    found = near_duplicates(docs).where("not kept").select(F.col("id").alias("_gone")).distinct()
-    found = save(found)
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    gone = unused(docs.columns, "gone")
+    found = save(near_duplicates(docs).where("not kept").select(F.col("id").alias(gone)).distinct())
+    return docs.join(found, docs["doc_id"] == found[gone], "left_anti")
 
 
 OP6_SQL = r"""

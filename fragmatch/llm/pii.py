@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmatch.llm.arrow import slices
+from fragmatch.llm.arrow import slices, unused
 from fragmatch.plans.scratch import drop, save
 
 KINDS = ("email", "ip", "card", "phone")
@@ -287,14 +287,6 @@ def discover(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN
     return out
 
 
-def unused(names: list[str], name: str) -> str:
-    """``name``, or with underscores until no other column has it."""
-    taken = {n.lower() for n in names}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_extra(docs: DataFrame, id_col: str, text: str, extra: str = "_extra") -> DataFrame:
     """``docs`` with ``extra``, the discovered spans of each text (null: none).
 
