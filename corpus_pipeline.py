@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fragmatch.llm import langid, linededup, minhash, packing, pii
+from fragmatch.llm import arrow, langid, linededup, minhash, packing, pii
 from fragmatch.plans import scratch
 
 _made: set[str] = set()
@@ -18,6 +18,7 @@ def _stage(run):
     """A stage that first deletes what earlier stages saved for themselves: their results are written by then."""
 
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        arrow.bound_batches(spark)  # workers of several stages live side by side
         scratch.forget(spark, _made)
         _made.clear()
         before = scratch.live(spark)
