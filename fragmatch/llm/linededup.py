@@ -58,7 +58,8 @@ def drop_boilerplate(
     mine = F.col("row")[text]
     joined = rows.join(found, F.col("row")[host].eqNullSafe(F.col("host")), "left")
     # a page's own boilerplate by a hash set, so that a host with many such lines costs its pages no more
-    marked = joined.select("row", F.array_intersect(F.transform(_lines(mine), _key), "lines").alias("bad"))
+    bad = F.when(F.col("lines").isNotNull(), F.array_intersect(F.transform(_lines(mine), _key), "lines"))
+    marked = joined.select("row", F.explode(F.array(bad)).alias("bad"))  # a generator, else it is worked out anew for every line
     some = F.coalesce(F.size("bad"), F.lit(0)) > 0
     kept = marked.select("row", "bad", F.when(some, F.filter(_lines(mine), lambda x: F.coalesce(~F.array_contains("bad", _key(x)), F.lit(True)))).alias("kept"))
     done = kept.select("row", F.when(some, F.array_join("kept", "\n")).otherwise(mine).alias("clean"), F.when(some, F.size(_lines(mine)) - F.size("kept")).otherwise(0).cast("long").alias("n"))
