@@ -34,7 +34,7 @@ from fragmatch.llm.arrow import plus, slices
 #: The split pattern of this tokenizer family; a fixed value.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Recent pieces whose ids are kept, in each of two generations, and the longest of them in characters.
-MEMO = 120_000
+MEMO = 250_000
 MEMO_CHARS = 48
 #: Texts are read in segments of about so many characters.
 SEGMENT = 1 << 16
@@ -169,16 +169,17 @@ class Merger:
                 out[r] = flat[lo:hi]
         return out
 
-    def stable(self, windows: list[bytes], ends: list[bool]) -> tuple[list[bytes], list[int]]:
-        """The transducer's step: ids of each window that nothing to its right can change, and the bytes they stand for.
+    def stable(self, windows: list[bytes], ends: np.ndarray) -> tuple[list[bytes], dict[int, int]]:
+        """The transducer's step: ids of each window that nothing to its right can change.
 
-        ``ends``: whether the pre-token ends with the window; then all are stable.
+        ``ends``: whether the pre-token ends with the window; then all are
+        stable. For the other windows also the bytes that their ids stand for.
         """
-        out, used = self.merge(windows, ends), [len(w) for w in windows]
-        for k in [k for k, e in enumerate(ends) if not e]:
+        out, used = self.merge(windows, ends), {}
+        for k in np.flatnonzero(~ends).tolist():
             ids = np.frombuffer(out[k], "<u4")
             end = np.cumsum([len(self.bytes_of[i]) for i in ids.tolist()])
-            n = int(np.searchsorted(end, used[k] - self.lookahead - 1, side="right"))
+            n = int(np.searchsorted(end, len(windows[k]) - self.lookahead - 1, side="right"))
             out[k], used[k] = out[k][: 4 * n], int(end[n - 1]) if n else 0
         return out, used
 
@@ -192,26 +193,30 @@ class Merger:
             for at in range(0, len(chunk), self.window):
                 held += chunk[at : at + self.window]
                 if len(held) > self.window + 1:
-                    (ids,), (used,) = self.stable([held], [False])
-                    held = held[used:]
+                    (ids,), used = self.stable([held], np.array([False]))
+                    held = held[used[0] :]
                     if ids:
                         yield np.frombuffer(ids, "<u4")
-        (ids,), _ = self.stable([held], [True])
+        (ids,), _ = self.stable([held], np.array([True]))
         yield np.frombuffer(ids, "<u4")
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each pre-token, as little-endian 32-bit integers, all read side by side."""
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(raw)
-        at, live = [0] * len(raw), list(range(len(raw)))
-        size = 2 * self.window
-        while live:
-            windows = [raw[k][at[k] : at[k] + size] if at[k] or len(raw[k]) > size else raw[k] for k in live]
-            ends = [at[k] + size >= len(raw[k]) for k in live]
-            for k, ids, used in zip(live, *self.stable(windows, ends)):
-                out[k] = out[k] + ids if out[k] else ids
-                at[k] += used
-            live = [k for k, e in zip(live, ends) if not e]
+        left, size = [w.encode() for w in words], 2 * self.window
+        going, parts = range(len(left)), {}
+        out = left
+        while left:
+            more = np.array([len(w) > size for w in left], bool)
+            some = np.flatnonzero(more).tolist()
+            windows = [w[:size] for w in left] if some else left
+            ids, used = self.stable(windows, ~more)
+            if left is out:
+                out = ids
+            for k, x in enumerate(ids) if parts else zip(some, [ids[k] for k in some]):
+                parts.setdefault(going[k], []).append(x)
+            going, left = [going[k] for k in some], [left[k][used[k] :] for k in some]
+        for k, x in parts.items():
+            out[k] = b"".join(x)
         return out
 
 
@@ -268,11 +273,11 @@ class Encoder:
         """Ids of pieces that the young generation doesn't know."""
         m, young, old = self.merger, self.memo.young, self.memo.old
         out = {c: old[c] for c in pieces & old.keys()}
+        for c in m.special.keys() & pieces:
+            out[c] = np.array([m.special[c]], "<u4").tobytes()
         words, several = [], {}
-        for c in pieces - old.keys():
-            if c in m.special:
-                out[c] = np.array([m.special[c]], "<u4").tobytes()
-            elif c.isalpha() or c[:1] == " " and c[1:].isalpha():
+        for c in pieces - out.keys():
+            if c.isalpha() or c[:1] == " " and c[1:].isalpha():
                 words.append(c)
             elif c[-1:] in _MARKS and (c[:-1].isalpha() or c[:1] == " " and c[1:-1].isalpha()):
                 several[c] = c[:-1], c[-1]

@@ -152,8 +152,8 @@ def test_every_id_comes_from_the_streaming_step(monkeypatch, path, make):
     assert len(tool.encode(alone)) // 4 == sum(made) == len(theirs.encode(alone, add_special_tokens=False).ids)
     assert max(made) < sum(made) / 4
     tool.memo = bpe.Memo()
-    tool._new({alone})  # the same among words that are read side by side
-    assert tool._ids([[alone]])[0] == tool.encode(alone)
+    words = [alone, "a", alone[:4000], "", alone[::-1]]  # the same among words that are read side by side
+    assert tool.merger.words(words) == [tool.encode(w) for w in words]
 
 
 def test_bpe_digests_of_long_texts(spark):
