@@ -33,9 +33,9 @@ from fragmatch.llm.arrow import plus, slices
 
 #: The split pattern of this tokenizer family; a fixed value.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Recent pieces whose ids are kept, in each of two generations, and the longest of them in characters.
+#: Recent pieces whose ids are kept, in each of two generations, and the longest of them in bytes.
 MEMO = 250_000
-MEMO_CHARS = 48
+MEMO_BYTES = 64
 #: Texts are read in segments of about so many characters.
 SEGMENT = 1 << 16
 _NONE = 1 << 30
@@ -73,8 +73,8 @@ class Memo:
     """
 
     def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def turn(self) -> None:
         if len(self.young) >= MEMO:
@@ -200,18 +200,16 @@ class Merger:
         (ids,), _ = self.stable([held], np.array([True]))
         yield np.frombuffer(ids, "<u4")
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as little-endian 32-bit integers, all read side by side."""
-        left, size = [w.encode() for w in words], 2 * self.window
-        going, parts = range(len(left)), {}
-        out = left
+        left, size = words, 2 * self.window
+        going, parts, out = range(len(left)), {}, []
         while left:
             more = np.array([len(w) > size for w in left], bool)
             some = np.flatnonzero(more).tolist()
             windows = [w[:size] for w in left] if some else left
             ids, used = self.stable(windows, ~more)
-            if left is out:
-                out = ids
+            out = out or ids
             for k, x in enumerate(ids) if parts else zip(some, [ids[k] for k in some]):
                 parts.setdefault(going[k], []).append(x)
             going, left = [going[k] for k in some], [left[k][used[k] :] for k in some]
@@ -236,12 +234,15 @@ class Encoder:
         """A text between special tokens as it is to be split."""
         return part
 
-    def _cut(self, part: str) -> list[str]:
-        """The pieces of a segment."""
+    def _cut(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of segments: their bytes end to end, the length of each, and how many each segment has."""
         raise NotImplementedError
 
-    def _segments(self, text: str) -> Iterator[list[str] | Iterator[bytes]]:
-        """Pieces of a text, in lists of about ``SEGMENT`` characters; a longer pre-token comes alone, as a stream of bytes."""
+    def _segments(self, text: str) -> Iterator[str | list[str] | Iterator[bytes]]:
+        """A text in segments of about ``SEGMENT`` characters; as a list of pre-tokens where it can't be cut near.
+
+        A longer pre-token comes alone, as a stream of bytes.
+        """
         m = self.merger
         for part in m.cut.split(text) if m.cut and any(s in text for s in m.special) else [text]:
             if part in m.special:
@@ -250,10 +251,10 @@ class Encoder:
             part, at = self._clean(part), 0
             while len(part) - at > 2 * SEGMENT:
                 if found := self.safe.search(part, at + SEGMENT, at + 2 * SEGMENT):
-                    yield self._cut(part[at : found.start()])
+                    yield part[at : found.start()]
                     at = found.start()
                     continue
-                held, begin = [], at  # no place to cut near: by pre-tokens
+                held, begin = [], at
                 for token in self.split.finditer(part, at):
                     s, at = token.span()
                     if at - s > SEGMENT:
@@ -267,43 +268,65 @@ class Encoder:
                 else:
                     at = len(part)
                 yield held
-            yield self._cut(part[at:] if at else part)
+            yield part[at:] if at else part
 
-    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+    def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that the young generation doesn't know."""
         m, young, old = self.merger, self.memo.young, self.memo.old
-        out = {c: old[c] for c in pieces & old.keys()}
-        for c in m.special.keys() & pieces:
-            out[c] = np.array([m.special[c]], "<u4").tobytes()
+        out = {w: v for w in pieces if (v := old.get(w)) is not None}
         words, several = [], {}
-        for c in pieces - out.keys():
+        for w in pieces:
+            if w in out:
+                continue
+            c = w.decode()
             if c.isalpha() or c[:1] == " " and c[1:].isalpha():
-                words.append(c)
+                words.append(w)
             elif c[-1:] in _MARKS and (c[:-1].isalpha() or c[:1] == " " and c[1:-1].isalpha()):
-                several[c] = c[:-1], c[-1]
+                several[w] = w[:-1], w[-1:]
+            elif c in m.special:
+                out[w] = np.array([m.special[c]], "<u4").tobytes()
             else:
-                several[c] = self.split.findall(c)
+                several[w] = [p.encode() for p in self.split.findall(c)]
         parts = {p for ps in several.values() for p in ps}
         known = {p: v for p in parts if (v := out.get(p) or young.get(p) or old.get(p)) is not None}
         words += parts - known.keys() - set(words)
         known.update(zip(words, m.words(words)))
         get = known.__getitem__
-        for c, ps in several.items():
-            out[c] = b"".join(map(get, ps))
+        for w, ps in several.items():
+            out[w] = b"".join(map(get, ps))
         known.update(out)
         return known
 
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+    def _ids(self, items: list[str | list[str]]) -> list[bytes]:
+        """Ids of segments and of lists of pre-tokens; equal pieces are looked up once."""
         self.memo.turn()
         young = self.memo.young
-        if missing := set().union(*lists) - young.keys():
-            young.update(new := self._new(missing))
-        get = young.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in lists]
-        if missing:
-            for c in new:
-                if len(c) > MEMO_CHARS:
-                    del young[c]
+        segments, lists = [k for k, x in enumerate(items) if isinstance(x, str)], [k for k, x in enumerate(items) if not isinstance(x, str)]
+        data, size, count = self._cut([items[k] for k in segments])
+        if lists:
+            tokens = [[p.encode() for p in items[k]] for k in lists]
+            data = np.concatenate([data, np.frombuffer(b"".join(p for ps in tokens for p in ps), np.uint8)])
+            size = np.concatenate([size, np.array([len(p) for ps in tokens for p in ps], np.int64)])
+            count = np.concatenate([count, [len(ps) for ps in tokens]])
+        offset = np.concatenate([[0], np.cumsum(size)])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        found = list(map(young.get, words))
+        if missing := [w for w, f in zip(words, found) if f is None]:
+            new = self._new(missing)
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+            young.update(new)
+            for w in new:
+                if len(w) > MEMO_BYTES:
+                    del young[w]
+        ids = pa.array(found, pa.large_binary()).take(pieces.indices)
+        end = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        flat = ids.buffers()[2]
+        at = end[np.concatenate([[0], np.cumsum(count)]).astype(np.int64)].tolist()
+        out = [b""] * len(items)
+        for k, lo, hi in zip([*segments, *lists], at, at[1:]):
+            if hi > lo:
+                out[k] = flat[lo:hi].to_pybytes()
         return out
 
     def stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
@@ -316,7 +339,7 @@ class Encoder:
                 if segment is None:
                     continue
                 going.append((k, segments))
-                if isinstance(segment, list):
+                if isinstance(segment, str | list):
                     owners.append(k)
                     lists.append(segment)
                 else:
@@ -355,13 +378,25 @@ class Transducer(Encoder):
         self.name_at = np.concatenate([[0], np.cumsum(self.name_len)])
         self.name_raw = np.frombuffer(b"".join(names), np.uint8)
 
-    def _cut(self, part: str) -> list[str]:
+    def _segments(self, text: str) -> Iterator[str | list[str] | Iterator[bytes]]:
         """A single space between two other characters always starts a pre-token:
         there a text can be cut, but not next to more white space.
         """
-        first, *rest = _SAFE.split(part) if _UNSAFE.search(part) else part.split(" ")
-        out = [" " + w for w in rest]
-        return [first, *out] if first else out
+        for segment in super()._segments(text):
+            if isinstance(segment, str) and _UNSAFE.search(segment):
+                first, *rest = _SAFE.split(segment)
+                yield [x for x in (first, *[" " + w for w in rest]) if x]
+            else:
+                yield segment
+
+    def _cut(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raws = [s.encode() for s in segments]
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        end = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        begins = raw == 32
+        begins[end[:-1][end[:-1] < len(raw)]] = True
+        at = np.flatnonzero(begins)
+        return raw, np.diff(at, append=len(raw)), np.diff(np.searchsorted(at, end))
 
     def text_of(self, machine: codecs.IncrementalDecoder, ids: bytes) -> str:
         """What ``machine``, which holds an unfinished character at most, reads in the bytes of ``ids``."""

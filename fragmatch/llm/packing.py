@@ -33,7 +33,8 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_BYTES = 6 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-_RARE_SPACE = re.compile("[\x1c-\x1f]")
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 
 
 class WordTokenizer(Encoder):
@@ -47,8 +48,13 @@ class WordTokenizer(Encoder):
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
         return part.lower()
 
-    def _cut(self, part: str) -> list[str]:
-        return [c for c in regex.split(r"\s+", part) if c] if _RARE_SPACE.search(part) else part.split()
+    def _cut(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raws = [s.encode() for s in segments]
+        raw = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+        inside = _WORD_BYTE[raw]
+        edge = np.flatnonzero(np.diff(inside, prepend=False))  # a word's first byte and the one after it, in turn; the last is a space
+        end = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])]).astype(np.int64)
+        return raw[inside], edge[1::2] - edge[::2], np.diff(np.searchsorted(edge[::2], end))
 
 
 @lru_cache(maxsize=2)

@@ -153,7 +153,7 @@ def test_every_id_comes_from_the_streaming_step(monkeypatch, path, make):
     assert max(made) < sum(made) / 4
     tool.memo = bpe.Memo()
     words = [alone, "a", alone[:4000], "", alone[::-1]]  # the same among words that are read side by side
-    assert tool.merger.words(words) == [tool.encode(w) for w in words]
+    assert tool.merger.words([w.encode() for w in words]) == [tool.encode(w) for w in words]
 
 
 def test_bpe_digests_of_long_texts(spark):
