@@ -36,7 +36,7 @@ FIT_ROWS, FIT_QUERIES, FIT_RECALL = 8192, 200, 0.95
 #: Where more visits than this would be needed, cells are made larger by taking fewer projections.
 MOST_PROBES = 2187
 #: Vectors and queries of a bucket that meet in one task.
-BLOCK, QUERY_BLOCK = 512, 256
+BLOCK, QUERY_BLOCK = 1024, 512
 
 
 @dataclass(frozen=True)
