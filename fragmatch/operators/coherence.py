@@ -68,3 +68,14 @@ def median_transform(members: DataFrame, region: str = "cluster") -> DataFrame:
     mid = both.groupBy(region, "pos").agg(F.percentile("v", F.lit(0.5)).alias("v"))
     rows = mid.groupBy(region).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("all"))
     return rows.select(region, F.slice("all", 1, 9).alias("M"), F.slice("all", 10, 3).alias("b"))
+
+
+def members(found: DataFrame, matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``matches`` that belong to a region of ``found``, with its ``cluster``."""
+    by = ["image_id"] if by is None else by
+    return matches.join(found.select(*by, "cluster", F.explode("members").alias("match_ord")), [*by, "match_ord"])
+
+
+def with_transform(found: DataFrame, matches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Regions with the median colour transform (M, b) of their members."""
+    return found.join(median_transform(members(found, matches, by)), "cluster", "left").orderBy(F.desc("confidence"), "cluster")

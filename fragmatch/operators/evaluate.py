@@ -84,3 +84,55 @@ def summary(rows: DataFrame) -> DataFrame:
     mean = lambda c: F.avg(F.when(F.col("positive"), F.col(c))).alias(c)
     one = each.agg(*[mean(c) for c in ("iou", "f1", "precision", "recall")], F.avg("seconds").alias("sec_per_image"), F.count("*").alias("n"))
     return one.crossJoin(heatmap.detection_auc(rows).select(F.col("auc").alias("det_auc")))  # one row each
+
+
+def own_offset(image: np.ndarray, size: int = 8, stride: int = 2, apart: int = 8, threshold: float = 0.5, sigma: float = 0.02, probability: float = 0.5) -> tuple[tuple[int, int] | None, int]:
+    """The offset (dx, dy) within an 8-bit image that most of its fitting patches agree on, and their number.
+
+    Patches nearer than ``apart`` on both axes don't count; an offset and its
+    opposite are one.
+    """
+    a, at = K.windows(image / 255.0, size, stride)
+    b, bt = K.windows(image / 255.0, size, 1)
+    if not len(a):
+        return None, 0
+    d, i = best(K.photometric(a), K.photometric(b), np.arange(len(b)), 8, threshold)
+    q, rank = np.nonzero(i >= 0)
+    t = i[q, rank]
+    step = bt[t].astype(int) - at[q]
+    far = np.abs(step).max(axis=1) >= apart
+    q, t, step = q[far], t[far], step[far]
+    n = size * size
+    if not len(q):
+        return None, 0
+    rss, ok = K.affine_fit(a[q].reshape(-1, n, 3), b[t].reshape(-1, n, 3), sigma=sigma)[2:]
+    good = np.where(ok, K.chi2_survival(np.where(ok, rss, 0) / sigma**2, np.full(len(q), 3 * n - 12)), 0) >= probability
+    step = step[good]
+    step[(step[:, 0] < 0) | ((step[:, 0] == 0) & (step[:, 1] < 0))] *= -1
+    if not len(step):
+        return None, 0
+    offsets, votes = np.unique(step, axis=0, return_counts=True)
+    top = int(votes.argmax())
+    return (int(offsets[top, 0]), int(offsets[top, 1])), int(votes[top])
+
+
+def copy_moves(spark: SparkSession, n: int, seed: int = 0, least: int = 9, size: int = 96, region: int = 32, noise: float = 0.01, apart: int = 16, **detector) -> DataFrame:
+    """(seed, detected, error, latency_ms) of generated copy-moves: the distance between the offset found and the true one.
+
+    ``heatmap.trial_report`` sums the rows up.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k in pdf["id"]:
+                image, a, b = synthetic.copy_move(seed + int(k), size, region, noise, apart)
+                began = time.perf_counter()
+                found, votes = own_offset(image, **detector)
+                took = (time.perf_counter() - began) * 1000
+                true = np.subtract(b, a)
+                error = min(np.hypot(*(np.array(found) - true)), np.hypot(*(np.array(found) + true))) if found else np.nan
+                rows.append((int(k), bool(found and votes >= least), float(error) if found else None, took))
+            yield pd.DataFrame(rows, columns=["seed", "detected", "error", "latency_ms"])
+
+    return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "seed long, detected boolean, error double, latency_ms double")

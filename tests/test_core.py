@@ -276,6 +276,59 @@ def test_generators():
     assert synthetic.copy_move(0)[0].shape == (96, 96, 3)
 
 
+def test_generated_grades_and_copy_moves():
+    a, b = synthetic.splice(5, grade=0.0), synthetic.splice(5, grade=0.0, upscale=2.0)
+    x, y, w, h = a.bbox
+    fx, fy, fw, fh = a.params["donor_region"]
+    assert (a.tampered[y : y + h, x : x + w] == a.donor[fy : fy + fh, fx : fx + fw]).all() and a.mask.sum() == w * h
+    assert b.params["donor_region"][2:] == (12, 12) and (a.donor == b.donor).all()
+    m, lift = synthetic.grading(3, 0.15)
+    assert not np.allclose(m, np.eye(3)) and (np.abs(lift) < 0.6).all()
+    for seed in range(6):
+        image, p, q = synthetic.copy_move(seed, size=64, region=16, noise=0.0, apart=20)
+        assert max(abs(p[0] - q[0]), abs(p[1] - q[1])) >= 20 and p != q
+        assert (image[p[1] : p[1] + 16, p[0] : p[0] + 16] == image[q[1] : q[1] + 16, q[0] : q[0] + 16]).mean() > 0.99
+
+
+def test_sparse_peaks_equal_those_of_the_grid():
+    from fragmatch.operators.hough import sparse_peaks, superlevel_peaks
+
+    r = np.random.RandomState(9)
+    for _ in range(40):
+        grid = np.where(r.rand(7, 9) < 0.5, r.rand(7, 9).round(1) + 0.1, 0.0)
+        if not grid.any():
+            continue
+        x, y = np.nonzero(grid)
+        padded = np.pad(grid, 1)
+        want = sorted(round(p, 9) for a, b, _, p in superlevel_peaks(padded) if padded[a, b] > 0 and p > 0)
+        got = sparse_peaks(x, y, grid[x, y])
+        assert sorted(round(p, 9) for _, p in got if p > 0) == want
+        assert [p for _, p in got] == sorted((p for _, p in got), reverse=True)
+
+
+def test_quantiles_and_copy_move_trials(spark):
+    from fragmatch.operators import evaluate, heatmap
+
+    for values in ([3.0], [1.0, 2.0, 2.0, 9.0], list(range(101)), [5.0] * 7 + [6.0]):
+        got = heatmap.quantiles(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double"), "x", [0.0, 0.5, 0.9, 1.0]).first()["q"]
+        assert got == pytest.approx(np.quantile(values, [0.0, 0.5, 0.9, 1.0]).tolist())
+    assert heatmap.trial_report(spark.createDataFrame([], "detected boolean, error double, latency_ms double")).first()["n"] == 0
+    one = heatmap.trial_report(evaluate.copy_moves(spark, 4, size=64, region=24, noise=0.0)).first()
+    assert one["n"] == 4 and one["detect_rate"] >= 0.75 and one["error_median"] <= 1.0
+
+
+def test_region_transforms(spark):
+    r = np.random.RandomState(15)
+    target = r.rand(30, 30, 3) * 0.6
+    cfg = Config(entropy_threshold=None, k_neighbors=2)
+    index = engine.index(from_array(spark, {"t": target}), cfg, K.photometric)
+    result = engine.match(from_array(spark, {"s": target[4:16, 7:19] + 0.2}), index, cfg, K.photometric)
+    by = ["src_image", "image_id"]
+    row = coherence.with_transform(result.regions, result.matches, by).first()
+    assert np.allclose(np.array(row["M"]).reshape(3, 3), np.eye(3), atol=0.05) and np.allclose(row["b"], -0.2, atol=0.03)
+    assert coherence.members(result.regions, result.matches, by).groupBy("cluster").count().count() == result.regions.count()
+
+
 def test_scale_cue(spark):
     r = np.random.RandomState(0)
     image = r.rand(48, 48, 3)

@@ -121,3 +121,16 @@ def test_native_fraction():
     assert K.native_fraction(image) >= 0.85
     half = K.resize(K.resize(image, 32, 32), 64, 64, "cubic")
     assert K.native_fraction(half) <= 0.65
+
+
+@pytest.mark.parametrize("side", [6, 10, 16])
+def test_native_fraction_of_small_windows(side):
+    flat = np.full((side, side, 3), 90, np.uint8)
+    assert K.native_fraction(flat) == pytest.approx(0.3)  # nothing is lost at any size
+    noise = (np.random.RandomState(side).rand(side, side, 3) * 255).astype(np.uint8)
+    shares, lost = np.linspace(1.0, 0.3, 15), []
+    for f in shares:
+        back = K.resize(K.resize(noise, max(8, round(side * f)), max(8, round(side * f)), "lanczos"), side, side, "cubic")
+        lost.append(((back.astype(float) - noise) ** 2).mean())
+    knee = np.mean(lost[:2]) + 0.08 * (max(lost) - np.mean(lost[:2])) + 1.0
+    assert K.native_fraction(noise) == pytest.approx(min(f for f, e in zip(shares, lost) if e <= knee))
