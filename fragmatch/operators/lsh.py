@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmatch.functions.exprs import squared_distance
 from fragmatch.operators.knn import knn
 from fragmatch.operators.patches import stack
+from fragmatch.plans.scratch import save
 
-#: Bands x rows put the middle of the S-curve near a Jaccard similarity of 0.3.
-BANDS, ROWS = 42, 3
+#: Minhashes of a vector, shared out among bands.
+MINHASHES = 128
 #: Upper ends of the size classes; fixed values.
 EDGES = (0.1, 0.3, 0.5, 0.7, 0.9)
 _MIX = 0x9E3779B97F4A7C15
@@ -28,45 +28,71 @@ def tokens(vectors: np.ndarray) -> np.ndarray:
     return (np.arange(vectors.shape[1])[None, :] * 2 + (vectors > 0)) * (len(EDGES) + 1) + size
 
 
-def bands(vectors: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) keys of bands of minhashes."""
+def shape(threshold: float) -> tuple[int, int]:
+    """(bands, rows) that put the middle of the S-curve, (1 / bands) ** (1 / rows), nearest to a Jaccard similarity."""
+    rows = min(range(1, MINHASHES + 1), key=lambda r: abs((1 / (MINHASHES // r)) ** (1 / r) - threshold))
+    return MINHASHES // rows, rows
+
+
+def bands(vectors: np.ndarray, count: int, rows: int) -> np.ndarray:
+    """(vectors, count) keys of bands of ``rows`` minhashes."""
     t = tokens(vectors).astype(np.uint64)
-    seeds = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    out = np.zeros((len(t), BANDS), np.uint64)
+    seeds = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, count * rows, dtype=np.uint64) | np.uint64(1)
+    out = np.zeros((len(t), count), np.uint64)
     for k, s in enumerate(seeds):
         h = (t + np.uint64(1)) * s
         h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX)
-        out[:, k // ROWS] = out[:, k // ROWS] * np.uint64(_MIX) + (h >> np.uint64(8)).min(axis=1)
+        out[:, k // rows] = out[:, k // rows] * np.uint64(_MIX) + (h >> np.uint64(8)).min(axis=1)
     return out.view(np.int64)
 
 
-def banded(rows: DataFrame, id_col: str, vector: str = "descriptor") -> DataFrame:
+def banded(rows: DataFrame, id_col: str, vector: str = "descriptor", threshold: float = 0.3) -> DataFrame:
     """(id, band, key): one row for each band of each vector."""
+    count, size = shape(threshold)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keys = bands(stack(batch["v"], -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["id"].to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "band", "key"])
+                keys = bands(stack(batch["v"], -1), count, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["id"].to_numpy(), count)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "band", "key"])
 
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").mapInArrow(run, "id long, band int, key long")
 
 
-def lsh_knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", candidates: int = 1000) -> DataFrame:
+def _nearest(k: int):
+    """Rows (q, qv, t, tv) sorted by q: each query's ``k`` nearest, ties to the smaller id."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, t = batch["q"].to_numpy(), batch["t"].to_numpy()
+            dist = ((stack(batch["qv"], -1) - stack(batch["tv"], -1)) ** 2).sum(axis=1)
+            order = np.lexsort((t, dist, q))
+            first = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+            keep = order[place < k]  # of this batch; the last cut comes after
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(t[keep]), pa.array(dist[keep])], names=["q", "t", "dist"])
+
+    return run
+
+
+def lsh_knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", candidates: int = 1000, threshold: float = 0.3) -> DataFrame:
     """(q, rank, t, dist) by exact distance among banded candidates.
 
     With fewer targets than ``candidates``, and for queries without any
-    candidate, the exact search answers instead.
+    candidate, the exact search answers instead. Candidates are saved once;
+    distances are taken batch by batch, and only each batch's best go on.
     """
     if targets.count() < candidates:
         return knn(queries, targets, k, query_id, target_id, vector)
-    a = banded(queries, query_id, vector).withColumnRenamed("id", "q")
-    b = banded(targets, target_id, vector).withColumnRenamed("id", "t")
-    pairs = a.join(b, ["band", "key"]).select("q", "t").distinct()
+    a = banded(queries, query_id, vector, threshold).withColumnRenamed("id", "q")
+    b = banded(targets, target_id, vector, threshold).withColumnRenamed("id", "t")
+    pairs = save(a.join(b, ["band", "key"]).select("q", "t").distinct())
     qv = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("qv"))
     tv = targets.select(F.col(target_id).cast("long").alias("t"), F.col(vector).cast("array<double>").alias("tv"))
-    measured = pairs.join(qv, "q").join(tv, "t").select("q", "t", squared_distance(F.col("qv"), F.col("tv")).alias("dist"))
+    measured = pairs.join(qv, "q").join(tv, "t").mapInArrow(_nearest(k), "q long, t long, dist double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "t")).cast("int")
     found = measured.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "t", "dist")
     rest = queries.join(pairs.select(F.col("q").alias(query_id)).distinct(), query_id, "left_anti")
-    return found.unionByName(knn(rest, targets, k, query_id, target_id, vector))
+    return found.unionByName(knn(rest, targets, k, query_id, target_id, vector)) if rest.head(1) else found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fragmatch.errors import IndexCorruptedError, TargetExistsError, TargetNotFoundError
 from fragmatch.functions.exprs import md5_shard
+from fragmatch.plans.scratch import save
 
 
 def with_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -14,23 +15,60 @@ def with_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", md5_shard(F.col("image_id"), shards))
 
 
+def _version(spark: SparkSession, path: str) -> int | None:
+    """The latest version with a manifest, or null."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(p):
+        return None
+    names = [f.getPath() for f in files.listStatus(p)]
+    done = [int(n.getName().removeprefix("v=")) for n in names if n.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return max(done, default=None)
+
+
 def write(rows: DataFrame, path: str, shards: int | None = None) -> None:
-    """Write the index and a manifest of row counts; Spark's commit makes either all of it or nothing visible."""
+    """Write a new version of the index, and last a manifest of its row counts.
+
+    Readers take the latest version that has a manifest, so that a crash leaves
+    the one before. That one is kept for readers that are under way; older ones
+    are deleted.
+    """
+    spark = rows.sparkSession
+    before = _version(spark, path)
+    number = 0 if before is None else before + 1
     out = with_shard(rows, shards) if shards else rows
     writer = out.write.mode("overwrite")
-    (writer.partitionBy("shard") if shards else writer).parquet(f"{path}/patches")
-    stored = rows.sparkSession.read.parquet(f"{path}/patches")
+    (writer.partitionBy("shard") if shards else writer).parquet(f"{path}/patches/v={number}")
+    record(spark, f"{path}/patches/v={number}", f"{path}/manifest/v={number}", shards)
+    for k in range(max(0, number - 3), number - 1):
+        for part in ("manifest", "patches"):
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/v={k}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def record(spark: SparkSession, patches: str, manifest: str, shards: int | None = None) -> None:
+    """Write the manifest (shard, size, dim, num_shards) of a folder of patches."""
+    stored = spark.read.parquet(patches)
     keys = ["shard"] if shards else [F.lit(0).alias("shard")]
     counts = stored.groupBy(*keys).agg(F.count("*").alias("size"), F.max(F.size("descriptor")).alias("dim"))
-    counts.withColumn("num_shards", F.lit(shards or 1)).write.mode("overwrite").parquet(f"{path}/manifest")
+    counts.withColumn("num_shards", F.lit(shards or 1)).write.mode("overwrite").parquet(manifest)
+
+
+def mark(spark: SparkSession, manifest: str) -> None:
+    """Say that a manifest made of several parts can be read."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{manifest}/_SUCCESS")
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The index at ``path``; an error if its rows are not as many as its manifest says."""
-    rows, manifest = spark.read.parquet(f"{path}/patches"), spark.read.parquet(f"{path}/manifest")
-    said = manifest.agg(F.sum("size")).first()[0] or 0
-    if rows.count() != said:
-        raise IndexCorruptedError(f"{path}: {rows.count()} rows, {said} expected")
+    """The latest index at ``path``; an error if its rows are not as many as its manifest says."""
+    number = _version(spark, path)
+    if number is None:
+        raise IndexCorruptedError(f"{path}: no index with a manifest")
+    rows, manifest = spark.read.parquet(f"{path}/patches/v={number}"), spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/manifest/v={number}")
+    said, found = manifest.agg(F.sum("size")).first()[0] or 0, rows.count()
+    if found != said:
+        raise IndexCorruptedError(f"{path}: {found} rows, {said} expected")
     return rows
 
 
@@ -49,6 +87,14 @@ class Catalog:
     def __init__(self, patches: DataFrame | None = None, max_targets: int | None = None):
         self.patches, self.max_targets = patches, max_targets
         self._seq = 0
+        self._steps = 0
+
+    def _stepped(self) -> Catalog:
+        """Every 16th change is saved, so that plans don't grow with the number of targets."""
+        self._steps += 1
+        if self._steps % 16 == 0 and self.patches is not None:
+            self.patches = save(self.patches)
+        return self
 
     def targets(self) -> DataFrame:
         """(image_id, seq, patches) of the registered targets."""
@@ -70,7 +116,7 @@ class Catalog:
             if not replace and self.patches.join(ids, "image_id", "left_semi").head(1):
                 raise TargetExistsError("a target of that id is indexed already")
             self.patches = self.patches.join(ids, "image_id", "left_anti").unionByName(new)
-        return self.evict()
+        return self.evict()._stepped()
 
     def evict(self) -> Catalog:
         """Without the targets ingested earliest, beyond ``max_targets``."""
@@ -83,7 +129,18 @@ class Catalog:
         if not self.has(image_id):
             raise TargetNotFoundError(image_id)
         self.patches = self.patches.where(F.col("image_id") != image_id)
-        return self
+        return self._stepped()
+
+    def get(self, image_id: str) -> dict:
+        """The row of ``targets`` of one id."""
+        row = None if self.patches is None else self.targets().where(F.col("image_id") == image_id).first()
+        if row is None:
+            raise TargetNotFoundError(image_id)
+        return row.asDict()
+
+    def first(self, n: int = 10) -> list[str]:
+        """The ids of the ``n`` targets ingested earliest."""
+        return [] if self.patches is None else [r["image_id"] for r in self.targets().orderBy("seq", "image_id").limit(n).collect()]
 
 
 def live_hits(hits: DataFrame, live: DataFrame) -> DataFrame:

@@ -8,17 +8,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fragmatch.config import Config
 from fragmatch.plans import engine
+from fragmatch.sources import index as store
 
 
 def ingest(images: DataFrame, path: str, checkpoint: str, config: Config, kernel=None, once: bool = True) -> StreamingQuery:
-    """Append the patches of a stream of raster rows to an index table.
+    """Append the patches of a stream of raster rows to an index, which ``index.read`` reads.
 
     Each micro-batch is written under its number, which a repeated attempt
-    overwrites, so every image is indexed exactly once.
+    overwrites, and then its manifest, so every image is indexed exactly once.
     """
+    spark = images.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        engine.index(batch, config, kernel).withColumn("seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/patches/batch={number}")
+        rows = engine.index(batch, config, kernel).withColumn("seq", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").parquet(f"{path}/patches/v=0/batch={number}")
+        store.record(spark, f"{path}/patches/v=0/batch={number}", f"{path}/manifest/v=0/batch={number}")
+        store.mark(spark, f"{path}/manifest/v=0")
 
     writer = images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
