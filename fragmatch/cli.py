@@ -1,4 +1,4 @@
-"""Command line: ``python -m fragmatch match|index|search|serve|version``."""
+"""Command line: ``python -m fragmatch match|index|search|serve|bench|train|version``."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from fragmatch import __version__
 from fragmatch.config import Config
-from fragmatch.errors import FragmatchError
-from fragmatch.operators import heatmap, scale
+from fragmatch.errors import ConfigError, FragmatchError
+from fragmatch.operators import coherence, heatmap, scale
 from fragmatch.plans import engine
 from fragmatch.sources import images, index, report
 
@@ -29,20 +29,21 @@ def _config(args) -> Config:
 def match(args) -> int:
     spark, cfg = _session(), _config(args)
     source, target = images.load(spark, args.source), images.load(spark, args.target)
-    result = engine.match(source, engine.index(target, cfg), cfg)
+    result = engine.run(source, target, cfg)
     best = result.best.first()
-    regions = [r.asDict() for r in result.regions.collect()] if result.regions is not None else []
+    found = result.regions if result.regions is None or not args.report else coherence.with_transform(result.regions, result.matches, ["src_image", "image_id"])
+    regions = [r.asDict() for r in found.drop("members").collect()] if found is not None else []
     print(f"{result.matches.count()} matches, {len(regions)} regions" + (f", best {best['probability']:.4f} at ({best['tgt_x']}, {best['tgt_y']})" if best else ""))
     if args.heatmap and best:
         size = target.select("image_id", "height", "width")
-        row = heatmap.smooth(result.heatmap, size, cfg.smoothing_sigma).first()
+        row = heatmap.smooth(heatmap.inside(result.heatmap, size), size, cfg.smoothing_sigma).first()
         import numpy as np
 
         with open(args.heatmap, "wb") as f:
             f.write(report.png(report.hot(np.array(row["heat"]).reshape(row["height"], row["width"]))))
     if args.report:
         sizes = source.select(F.col("image_id").alias("src_image"), "height", "width")
-        place = heatmap.localize(result.matches, sizes, "src_image").first().asDict()
+        place = heatmap.localize(engine.coherent(result), sizes, "src_image").first().asDict()
         cue = scale.scale_inconsistency(source).first().asDict()
         s, t = sizes.first(), target.select("height", "width").first()
         doc = report.build(cfg, result.matches.count(), best.asDict() if best else None, regions, result.stats.first().asDict(), {"path": args.source, "height": s["height"], "width": s["width"]}, {"path": args.target, "height": t["height"], "width": t["width"]}, place, cue, args.heatmap)
@@ -53,7 +54,9 @@ def match(args) -> int:
 def build_index(args) -> int:
     spark, cfg = _session(), _config(args)
     good, bad = images.scan(spark, args.directory, args.pattern)
-    index.write(engine.index(good, cfg), args.output, cfg.num_shards if cfg.distributed_enabled else None)
+    basis = engine.auto_basis(good, cfg)
+    index.write(engine.index(good, cfg, engine.kernel_for(cfg, basis)), args.output, cfg.num_shards if cfg.distributed_enabled else None)
+    index.write_basis(spark, basis, args.output)
     for row in bad.toLocalIterator():
         print(f"skipped {row['path']}: {row['reason']}", file=sys.stderr)
     return 0
@@ -61,15 +64,40 @@ def build_index(args) -> int:
 
 def search(args) -> int:
     spark, cfg = _session(), _config(args)
-    result = engine.match(images.load(spark, args.source), index.read(spark, args.index), cfg)
+    if cfg.scoring_mode == "bayes":
+        raise ConfigError("an index holds patches of one size; bayes scoring needs the images: use match")
+    result = engine.match(images.load(spark, args.source), index.read(spark, args.index), cfg, engine.kernel_for(cfg, index.read_basis(spark, args.index)))
     from fragmatch.operators.knn import by_image
 
-    rows = by_image(result.matches, "probability", args.top).select("image_id", "tgt_x", "tgt_y", "probability")
-    for row in rows.toLocalIterator():
+    for row in by_image(result.matches, "probability", args.top).select("image_id", "tgt_x", "tgt_y", "probability").collect():  # args.top at most
+        if not images.exists(spark, row["image_id"]):
+            print(f"warning: {row['image_id']} is indexed but gone", file=sys.stderr)
         print(json.dumps(row.asDict()))
     return 0
 
 
+def bench(args) -> int:
+    """Accuracy of the splice detector and of copy-move offsets on generated images."""
+    from fragmatch.operators import evaluate
+
+    spark = _session()
+    print(json.dumps(evaluate.summary(evaluate.trials(spark, args.positives, args.negatives)).first().asDict()))
+    if args.copy_moves:
+        print(json.dumps(heatmap.trial_report(evaluate.copy_moves(spark, args.copy_moves)).first().asDict()))
+    return 0
+
+
+def train(args) -> int:
+    """Priors of natural patches, from the images of a folder."""
+    from fragmatch.operators import patches, priors
+
+    spark = _session()
+    good, _ = images.scan(spark, args.directory)
+    made = {s: priors.train(patches.explode(good, s).select("image_id", "patch_idx", "patch"), s, anchors=args.anchors, components=args.components) for s in args.sizes}
+    priors.write_all(spark, made, args.output)
+    return 0
+
+
 def run_service(args) -> int:
     from fragmatch.service import serve
 
@@ -83,6 +111,8 @@ def main(argv: list[str] | None = None) -> int:
     common = argparse.ArgumentParser(add_help=False)
     for name, kind in (("patch-size", int), ("stride", int), ("entropy-threshold", float), ("k-neighbors", int), ("distance-threshold", float), ("min-probability", float)):
         common.add_argument(f"--{name}", type=kind)
+    common.add_argument("--scoring-mode", choices=("chi2", "bayes"))
+    common.add_argument("--priors-dir")
     m = sub.add_parser("match", parents=[common])
     m.add_argument("source")
     m.add_argument("target")
@@ -99,6 +129,18 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("index")
     s.add_argument("--top", type=int, default=10)
     s.set_defaults(run=search)
+    b = sub.add_parser("bench")
+    b.add_argument("--positives", type=int, default=40)
+    b.add_argument("--negatives", type=int, default=20)
+    b.add_argument("--copy-moves", type=int, default=20)
+    b.set_defaults(run=bench)
+    t = sub.add_parser("train")
+    t.add_argument("directory")
+    t.add_argument("output")
+    t.add_argument("--sizes", type=int, nargs="+", default=[3, 4, 5, 6])
+    t.add_argument("--anchors", type=int, default=2000)
+    t.add_argument("--components", type=int, default=16)
+    t.set_defaults(run=train)
     r = sub.add_parser("serve", parents=[common])
     r.add_argument("--host", default="127.0.0.1")
     r.add_argument("--port", type=int, default=8000)

@@ -70,6 +70,10 @@ class Config:
             raise ConfigError("num_shards must be at least 2 if distributed_enabled")
         if self.lsh_enabled and self.k_neighbors > self.lsh_candidates:
             raise ConfigError("k_neighbors must not exceed lsh_candidates")
+        if self.use_gpu:
+            raise ConfigError("use_gpu is not offered: kernels are numpy's, spread over executors")
+        if self.aggregation_mode != "translation_cluster":
+            raise ConfigError(f"aggregation_mode must be translation_cluster, not {self.aggregation_mode!r}")
         if self.scoring_mode not in ("chi2", "bayes"):
             raise ConfigError(f"scoring_mode must be chi2 or bayes, not {self.scoring_mode!r}")
 

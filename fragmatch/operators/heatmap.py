@@ -26,6 +26,11 @@ def pixels(matches: DataFrame, weights: dict[int, float] | None = None, by: tupl
     return rows.groupBy(*by, F.col("tgt_y").alias("y"), F.col("tgt_x").alias("x")).agg((F.sum(F.col("probability") * F.col("_w")) / F.sum("_w")).alias("value"))
 
 
+def inside(values: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pixels within their image's ``height`` and ``width``."""
+    return values.join(sizes.select("image_id", "height", "width"), "image_id").where("x >= 0 and y >= 0 and x < width and y < height").drop("height", "width")
+
+
 def smooth(values: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> DataFrame:
     """(image_id, height, width, heat): blurred and divided by the maximum; one group per image.
 

@@ -24,13 +24,15 @@ def stack(column: pa.Array, *shape: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), *shape)
 
 
-def explode(images: DataFrame, size: int, stride: int = 1, entropy_threshold: float | None = None) -> DataFrame:
+def explode(images: DataFrame, size: int, stride: int = 1, entropy_threshold: float | None = None, kernel=None) -> DataFrame:
     """One row per ``size`` x ``size`` window, in row-major order, as ``PATCH``.
 
     Windows whose entropy is not above the threshold are dropped before they
     leave the kernel. ``patch_idx`` counts all windows, kept or not. Images
     smaller than a window, and null ones, give no rows. Further columns of
-    ``images`` pass with each of its patches.
+    ``images`` pass with each of its patches. With a ``kernel`` (see
+    ``describe``) patches are described in the same pass, and come with a
+    column ``descriptor``.
     """
     more = [c for c in images.columns if c not in ("image_id", "height", "width", "pixels")]
 
@@ -52,12 +54,13 @@ def explode(images: DataFrame, size: int, stride: int = 1, entropy_threshold: fl
                     if not len(keep):
                         continue
                     same = [pa.array([batch[c][k].as_py()] * len(keep), batch.schema.field(c).type) for c in ("image_id", *more)]
+                    own = [] if kernel is None else [lists(np.concatenate([kernel(part[keep[k : k + 4096]]) for k in range(0, len(keep), 4096)]))]
                     yield pa.RecordBatch.from_arrays(
-                        [same[0], pa.array(ids.astype(np.int32)), pa.array(xy[keep, 0]), pa.array((xy[keep, 1] + top).astype(np.int32)), lists(part[keep]), pa.array(e[keep]), *same[1:]],
-                        names=["image_id", "patch_idx", "x", "y", "patch", "entropy", *more],
+                        [same[0], pa.array(ids.astype(np.int32)), pa.array(xy[keep, 0]), pa.array((xy[keep, 1] + top).astype(np.int32)), lists(part[keep]), pa.array(e[keep]), *same[1:], *own],
+                        names=["image_id", "patch_idx", "x", "y", "patch", "entropy", *more, *(["descriptor"] if own else [])],
                     )
 
-    extra = "".join(f", `{c}` {images.schema[c].dataType.simpleString()}" for c in more)
+    extra = "".join(f", `{c}` {images.schema[c].dataType.simpleString()}" for c in more) + (", descriptor array<double>" if kernel else "")
     return images.select("image_id", "height", "width", "pixels", *more).mapInArrow(run, PATCH + extra)
 
 

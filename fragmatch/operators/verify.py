@@ -53,5 +53,5 @@ def accept_bayes(fits: DataFrame, size: int, sigma: float = 0.02, min_log_bf: fl
 
 
 def best_match(matches: DataFrame) -> DataFrame:
-    """The match of the highest probability; the first by ``match_ord`` wins ties."""
-    return matches.orderBy(F.desc("probability"), "match_ord").limit(1)
+    """The match of the highest probability; the first by ``match_ord``, then by source image, wins ties."""
+    return matches.orderBy(F.desc("probability"), "match_ord", *[c for c in ("src_image",) if c in matches.columns]).limit(1)

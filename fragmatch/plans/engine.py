@@ -36,6 +36,10 @@ class MatchResult:
 
 def kernel_for(config: Config, basis=None):
     """The descriptor of ``config`` as a batch function."""
+    if config.use_learned_descriptors:
+        from fragmatch.functions.learned import LearnedDescriptor
+
+        return LearnedDescriptor(config.learned_model)
     dim, pooling = config.descriptor_dim, config.descriptor_pooling
     return lambda p: K.project(K.composite(p, pooling), dim, basis)
 
@@ -57,9 +61,14 @@ def index(images: DataFrame, config: Config, kernel=None) -> DataFrame:
     if config.pyramid_enabled:
         rows = patches.pyramid_patches(images, s, config.pyramid_scales, config.stride, config.pyramid_min_size, config.entropy_threshold)
     else:
-        rows = patches.explode(images, s, config.stride, config.entropy_threshold).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0)).withColumn("orig_x", F.col("x")).withColumn("orig_y", F.col("y"))
-    t = F.xxhash64("image_id", "level", "patch_idx")
-    return patches.describe(rows.withColumn("t", t), kernel or kernel_for(config), s)
+        rows = patches.explode(images, s, config.stride, config.entropy_threshold, kernel or kernel_for(config)).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
+        return rows.withColumn("orig_x", F.col("x")).withColumn("orig_y", F.col("y")).withColumn("t", number("image_id", "level", "patch_idx"))
+    return patches.describe(rows.withColumn("t", number("image_id", "level", "patch_idx")), kernel or kernel_for(config), s)
+
+
+def number(*keys: str) -> F.Column:
+    """A 64-bit number for a patch's key: two of 10^9 patches share one with a probability of 3 %."""
+    return F.xxhash64(*keys)
 
 
 def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, target_ids=None) -> DataFrame:
@@ -68,10 +77,9 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     Descriptors and ids alone go through the search; patches are joined to the hits afterwards.
     """
     s = config.patch_size
-    src = patches.explode(sources, s, config.stride, config.entropy_threshold).withColumn("q", F.xxhash64("image_id", "patch_idx"))
-    described = save(patches.describe(src, kernel or kernel_for(config), s))
+    described = save(patches.explode(sources, s, config.stride, config.entropy_threshold, kernel or kernel_for(config)).withColumn("q", number("image_id", "patch_idx")))
     find = lsh.lsh_knn if config.lsh_enabled else knn.knn
-    more = {"candidates": config.lsh_candidates} if config.lsh_enabled else {"limit": config.distance_threshold}
+    more = {"candidates": config.lsh_candidates, "threshold": config.lsh_threshold} if config.lsh_enabled else {"limit": config.distance_threshold}
     hits = knn.within(find(described, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold)
     left = described.select("q", F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("patch").alias("src_patch"))
     right = targets.select("t", "image_id", F.col("patch_idx").alias("tgt_idx"), F.col("orig_x").alias("tgt_x"), F.col("orig_y").alias("tgt_y"), "scale", F.col("patch").alias("tgt_patch"))
@@ -82,6 +90,34 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     return out.withColumn("patch_size", size).withColumn("match_ord", F.col("src_idx").cast("long") * F.lit(config.k_neighbors + 1) + F.col("rank"))
 
 
+def coherent(result: MatchResult) -> DataFrame:
+    """The matches that belong to coherent regions, or all if there is none."""
+    by = ["src_image", "image_id"]
+    if result.regions is None or not result.regions.head(1):
+        return result.matches
+    return coherence.members(result.regions, result.matches, by).drop("cluster")
+
+
+def run(sources: DataFrame, images: DataFrame, config: Config, kernel=None) -> MatchResult:
+    """Match rasters with rasters, in the mode that ``config.scoring_mode`` names.
+
+    In chi-square mode, principal axes are fitted to the targets first if
+    ``auto_train_pca`` holds and there are enough patches; the Bayes engine
+    takes its priors from ``priors_dir``.
+    """
+    if config.scoring_mode == "bayes":
+        return match_bayes(sources, images, config, priors.read_all(images.sparkSession, config.priors_dir, BAYES_SIZES))
+    kernel = kernel or kernel_for(config, auto_basis(images, config))
+    return match(sources, save(index(images, config, kernel)), config, kernel)
+
+
+def auto_basis(images: DataFrame, config: Config):
+    """Principal axes of the images' patches, if settings ask for them and patches are enough."""
+    if not config.auto_train_pca or config.use_learned_descriptors:
+        return None
+    return fit_basis(patches.explode(images, config.patch_size, config.stride, config.entropy_threshold).select("image_id", "patch_idx", "patch"), config)
+
+
 def match(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, target_ids=None) -> MatchResult:
     """Chi-square mode: fit, score, cut, then best match, regions and the best image's heatmap.
 
@@ -99,6 +135,20 @@ def match(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, t
     return MatchResult(matches, best, found, values, stats)
 
 
+def map_decode(beliefs: DataFrame, nodes: DataFrame, found: DataFrame, backed: DataFrame, labels: int) -> DataFrame:
+    """Matches of the nodes whose best label is a peak and not the null label, which is the last.
+
+    A match's target lies at the source plus the peak's offset; its image is
+    that of the first candidate that supports the peak.
+    """
+    chosen = beliefs.where(F.col("map_label") < labels).join(nodes, "node").join(found.select(F.col("peak").alias("map_label"), "dx", "dy"), "map_label")
+    image = backed.groupBy("node", F.col("peak").alias("map_label")).agg(F.min_by("image_id", "match_ord").alias("image_id"), F.min("match_ord").alias("match_ord"))
+    return chosen.join(image, ["node", "map_label"]).select(
+        "src_image", "image_id", "src_idx", F.col("x").alias("src_x"), F.col("y").alias("src_y"), (F.col("x") + F.col("dx")).cast("int").alias("tgt_x"), (F.col("y") + F.col("dy")).cast("int").alias("tgt_y"),
+        F.col("size").alias("patch_size"), F.element_at("marginal", F.col("map_label") + 1).alias("probability"), "match_ord",
+    )
+
+
 def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: dict | None = None, sizes=BAYES_SIZES, k: int = BAYES_K, distance: float = BAYES_DISTANCE, min_log_bf: float = 0.0) -> MatchResult:
     """Bayes mode: log Bayes factors of all sizes vote; peaks become labels of a belief network.
 
@@ -111,7 +161,7 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
         own = replace(config, patch_size=s, entropy_threshold=None, k_neighbors=k, distance_threshold=distance, lsh_enabled=False, pyramid_enabled=False)
         p = (prior or {}).get(s)
         kernel = (lambda rows, p=p: K.bayesian(rows, p.embed)) if p else K.bayesian
-        pairs = candidates(sources, index(images, own, kernel), own, kernel)
+        pairs = candidates(sources, save(index(images, own, kernel)), own, kernel)
         if p:
             density = priors.with_log_density(patches.explode(sources, s, own.stride), p).select(F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), "log_p0")
             pairs = pairs.join(density, ["src_image", "src_idx"])
@@ -132,13 +182,7 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
     table = nodes.join(evidence, "node", "left").select("node", unary.alias("unary"))
     edges = hough.spatial_edges(nodes, REACH).withColumn("beta", F.lit(SPATIAL_BETA)).unionByName(hough.inclusion_edges(nodes).withColumn("beta", F.lit(INCLUSION_BETA)))
     beliefs, summary = bp.loopy_bp(table, save(edges), iterations=30, damping=0.4)
-    chosen = beliefs.where(F.col("map_label") < labels).join(nodes, "node").join(found.select(F.col("peak").alias("map_label"), "dx", "dy"), "map_label")
-    image = backed.groupBy("node", F.col("peak").alias("map_label")).agg(F.min_by("image_id", "match_ord").alias("image_id"), F.min("match_ord").alias("match_ord"))
-    out = chosen.join(image, ["node", "map_label"]).select(
-        "src_image", "image_id", "src_idx", F.col("x").alias("src_x"), F.col("y").alias("src_y"), (F.col("x") + F.col("dx")).cast("int").alias("tgt_x"), (F.col("y") + F.col("dy")).cast("int").alias("tgt_y"),
-        F.col("size").alias("patch_size"), F.element_at("marginal", F.col("map_label") + 1).alias("probability"), "match_ord",
-    )
-    matches = save(out)
+    matches = save(map_decode(beliefs, nodes, found, backed, labels))
     best = verify.best_match(matches)
     values = heatmap.pixels(matches.join(best.select("image_id"), "image_id", "left_semi"), config.scale_weights)
     stats = matches.agg(F.count("*").alias("matches")).withColumn("peaks", F.lit(labels))

@@ -1,7 +1,7 @@
 """A small HTTP service over an engine, by the standard library.
 
 ``GET /``, ``/health``, ``/health/live``, ``/health/ready``, ``/config`` and
-``/targets``; ``POST /index?image_id=..`` and ``/match?target_ids=a,b`` with an
+``/targets``, ``/targets/<id>``; ``POST /index?image_id=..`` and ``/match?target_ids=a,b`` with an
 image file as the body; ``DELETE /targets/<id>``.
 """
 
@@ -15,15 +15,17 @@ from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch import __version__
 from fragmatch.config import Config
 from fragmatch.errors import FragmatchError, TargetExistsError, TargetNotFoundError
+from fragmatch.operators import heatmap, priors
 from fragmatch.plans import engine
 from fragmatch.plans.scratch import save, shared_dir
-from fragmatch.sources import images
+from fragmatch.sources import images, report
 from fragmatch.sources.index import Catalog
 
 
@@ -39,7 +41,10 @@ class Service:
     def __init__(self, spark: SparkSession, config: Config, kernel=None):
         self.spark, self.config, self.kernel = spark, config, kernel
         self.catalog = Catalog(max_targets=config.max_targets)
-        self.lock = threading.Lock()
+        self.lock = threading.Lock()  # held while Spark makes a target's patches
+        self.bayes = config.scoring_mode == "bayes"
+        self.priors = priors.read_all(spark, config.priors_dir, engine.BAYES_SIZES) if self.bayes else {}
+        self.sizes: dict[str, tuple[int, int]] = {}
 
     def _raster(self, body: bytes, image_id: str):
         if len(body) > images.MAX_BYTES:
@@ -71,26 +76,42 @@ class Service:
         with self.lock:
             if self.catalog.has(clean):
                 raise TargetExistsError(clean)
-            rows = save(engine.index(self._raster(body, clean), self.config, self.kernel))
+            raster = self._raster(body, clean)
+            # the Bayes engine makes patches of several sizes for every match, so that it keeps the images themselves
+            rows = raster if self.bayes else save(engine.index(raster, self.config, self.kernel))
             n = rows.count()
             if n:
                 self.catalog.add(rows)
+                head = images.header(body)
+                self.sizes[clean] = head[2], head[1]
         return {"image_id": clean, "patches": n}
 
     def match(self, body: bytes, target_ids: list[str] | None) -> dict:
         if self.catalog.patches is None:
             raise Refused(503, "nothing is indexed")
-        result = engine.match(self._raster(body, "query"), self.catalog.patches, self.config, self.kernel, target_ids)
+        source, targets = self._raster(body, "query"), self.catalog.patches
+        if self.bayes:
+            chosen = targets if target_ids is None else targets.where(F.col("image_id").isin(target_ids))
+            result = engine.match_bayes(source, chosen, self.config, self.priors)
+        else:
+            result = engine.match(source, targets, self.config, self.kernel, target_ids)
         best = result.best.first()
         regions = result.regions.drop("members").collect() if result.regions is not None else []
-        return {"num_matches": result.matches.count(), "best_match": best.asDict() if best else None, "coherent_regions": [r.asDict() for r in regions]}
+        out = {"num_matches": result.matches.count(), "best_match": best.asDict() if best else None, "coherent_regions": [r.asDict() for r in regions], "heatmap": None}
+        if best and best["image_id"] in self.sizes:
+            size = self.spark.createDataFrame([(best["image_id"], *self.sizes[best["image_id"]])], "image_id string, height int, width int")
+            row = heatmap.smooth(heatmap.inside(result.heatmap, size), size, self.config.smoothing_sigma).first()
+            out["heatmap"] = report.png_base64(np.array(row["heat"]).reshape(row["height"], row["width"]))
+        if self.bayes:
+            out["peaks"] = [r.asDict() for r in result.hypotheses.select("peak", "dx", "dy", "weight", "persistence", "votes").orderBy("peak").collect()]  # MAX_PEAKS at most
+        return out
 
     def handle(self, method: str, target: str, body: bytes) -> tuple[int, dict]:
         url = urlsplit(target)
         query = {k: v[0] for k, v in parse_qs(url.query).items()}
         try:
             if method == "GET" and url.path == "/":
-                return 200, {"name": "fragmatch", "version": __version__}
+                return 200, {"name": "fragmatch", "version": __version__, "first_targets": self.catalog.first(10)}
             if method == "GET" and url.path in ("/health", "/health/live"):
                 return 200, {"status": "ok"}
             if method == "GET" and url.path == "/health/ready":
@@ -99,6 +120,8 @@ class Service:
                 return 200, asdict(self.config)
             if method == "GET" and url.path == "/targets":
                 return 200, {"targets": self.targets()}
+            if method == "GET" and url.path.startswith("/targets/"):
+                return 200, self.catalog.get(unquote(url.path.removeprefix("/targets/")))
             if method == "POST" and url.path == "/index":
                 return 200, self.index(body, query.get("image_id") or f"img_{len(self.targets()):04d}")
             if method == "POST" and url.path == "/match":

@@ -68,6 +68,11 @@ def scan(spark: SparkSession, folder: str, patterns: str | None = None, recursiv
     return good, marked.where("reason is not null").select(F.col("origin").alias("path"), "reason")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """One image file; errors if it is missing, unreadable, not RGB or under 3 x 3."""
     try:

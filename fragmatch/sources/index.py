@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +147,18 @@ class Catalog:
 def live_hits(hits: DataFrame, live: DataFrame) -> DataFrame:
     """Hits whose image is still registered: removed targets may have used up places among the best k."""
     return hits.join(live.select("image_id").distinct(), "image_id", "left_semi")
+
+
+def write_basis(spark: SparkSession, basis: np.ndarray | None, path: str) -> None:
+    """Keep the principal axes that an index was described with, or none, beside it."""
+    rows = [] if basis is None else [(k, [float(x) for x in row]) for k, row in enumerate(basis)]
+    spark.createDataFrame(rows, "k int, v array<double>").write.mode("overwrite").parquet(f"{path}/basis")
+
+
+def read_basis(spark: SparkSession, path: str) -> np.ndarray | None:
+    """The principal axes that the index at ``path`` was described with; null if none were fitted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/basis")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    rows = [r["v"] for r in spark.read.parquet(f"{path}/basis").orderBy("k").collect()]  # as many as a raw descriptor has numbers
+    return np.array(rows, float) if rows else None

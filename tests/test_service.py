@@ -59,3 +59,53 @@ def test_splice_detection(spark):
     rows = evaluate.trials(spark, 4, 3, size=48, fragment=20)
     one = evaluate.summary(rows).first()
     assert one["n"] == 7 and one["iou"] > 0.5 and one["det_auc"] >= 0.8
+
+
+def test_bayes_mode_by_command_and_service(spark, tmp_path, capsys):
+    r = np.random.RandomState(3)
+    big = (r.rand(16, 18, 3) * 255).astype(np.uint8)
+    (tmp_path / "t.png").write_bytes(png(big))
+    (tmp_path / "s.png").write_bytes(png(big[3:12, 5:14]))
+    args = ["match", str(tmp_path / "s.png"), str(tmp_path / "t.png"), "--scoring-mode", "bayes", "--report", str(tmp_path / "r.json")]
+    assert cli.main(args) == 0
+    doc = json.loads((tmp_path / "r.json").read_text())
+    assert doc["config"]["scoring_mode"] == "bayes" and doc["result"]["match_found"]
+    best = doc["result"]["best_match"]
+    offset = [a - b for a, b in zip(best["target_coord"], best["source_coord"])]  # that of the peak's cell, two pixels wide
+    assert max(abs(offset[0] - 5), abs(offset[1] - 3)) <= 1 and best["patch_size"] in (3, 4, 5, 6)
+    assert cli.main(["search", str(tmp_path / "s.png"), str(tmp_path), "--scoring-mode", "bayes"]) == 1
+    s = Service(spark, Config(scoring_mode="bayes"))
+    assert s.handle("POST", "/index?image_id=t", png(big))[0] == 200
+    status, found = s.handle("POST", "/match", png(big[3:12, 5:14]))
+    assert status == 200 and found["best_match"]["image_id"] == "t" and abs(found["peaks"][0]["dx"] - 5) <= 1
+    import base64
+
+    assert base64.b64decode(found["heatmap"])[:4] == b"\x89PNG"
+    assert s.handle("GET", "/targets/t", b"")[1]["image_id"] == "t" and s.handle("GET", "/targets/q", b"")[0] == 404
+    assert s.handle("GET", "/", b"")[1]["first_targets"] == ["t"]
+
+
+def test_priors_reach_the_bayes_engine(spark, tmp_path):
+    from fragmatch.operators import patches, priors
+    from fragmatch.plans import engine
+    from fragmatch.sources.rasters import from_array
+
+    r = np.random.RandomState(4)
+    target = r.rand(14, 14, 3)
+    images = from_array(spark, {"t": target})
+    prior = priors.train(patches.explode(images, 3).select("image_id", "patch_idx", "patch"), 3, anchors=60, components=2, rounds=3)
+    priors.write_all(spark, {3: prior}, str(tmp_path))
+    assert set(priors.read_all(spark, str(tmp_path), (3, 4))) == {3} and priors.read_all(spark, None, (3,)) == {}
+    result = engine.run(from_array(spark, {"s": target[2:9, 3:10]}), images, Config(scoring_mode="bayes", priors_dir=str(tmp_path)))
+    assert result.matches.count() >= 0 and result.hypotheses is not None
+    plain = engine.run(from_array(spark, {"s": target[2:9, 3:10]}), images, Config(entropy_threshold=None, k_neighbors=2))
+    assert plain.regions is not None and plain.best.first()["image_id"] == "t"
+
+
+def test_bench_and_train_commands(spark, tmp_path, capsys):
+    (tmp_path / "x.png").write_bytes(png(IMAGE))
+    assert cli.main(["train", str(tmp_path), str(tmp_path / "p"), "--sizes", "3", "--anchors", "50", "--components", "2"]) == 0
+    assert (tmp_path / "p" / "size=3" / "mixture").exists()
+    assert cli.main(["bench", "--positives", "2", "--negatives", "1", "--copy-moves", "1"]) == 0
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert json.loads(lines[-2])["n"] == 3 and json.loads(lines[-1])["n"] == 1
