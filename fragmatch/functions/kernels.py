@@ -30,6 +30,7 @@ def windows(image: np.ndarray, size: int, stride: int = 1) -> tuple[np.ndarray,
 
 
 def gray(patches: np.ndarray) -> np.ndarray:
+    """Luminance, added up channel by channel, so that equal pixels are equal in any batch."""
     return patches[..., 0] * GRAY[0] + patches[..., 1] * GRAY[1] + patches[..., 2] * GRAY[2]
 
 
@@ -90,7 +91,7 @@ def gradient_histogram(patches: np.ndarray) -> np.ndarray:
     g = gray(patches).astype(np.float32)
     gy, gx = np.gradient(g, axis=(1, 2))
     size = np.sqrt(gx**2 + gy**2)
-    angle = np.arctan2(gy, gx).astype(np.float64)
+    angle = np.arctan2(gy.astype(np.float64), gx.astype(np.float64)).astype(np.float32).astype(np.float64)  # rounded alike everywhere
     edges = np.linspace(-np.pi, np.pi, BINS + 1)
     out = [np.where((angle >= lo) & (angle < hi), size, 0).sum(axis=(1, 2), dtype=np.float64) for lo, hi in zip(edges, edges[1:])]
     return unit(np.stack(out, axis=1))

@@ -16,16 +16,23 @@ from fragmatch.plans.scratch import drop, save
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on rows (a, b) with a > b."""
+    """One star step on rows (a, b) with a > b.
+
+    The minima are saved before they are joined: what is joined then comes
+    straight from shuffles, whose skewed parts Spark can split, so that the
+    edges of a node with very many of them are dealt to several tasks.
+    """
     if large:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         moved = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        low = save(edges.groupBy("a").agg(F.min("b").alias("m")))
         moved = edges.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         moved = moved.unionAll(low.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = save(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    drop(low)
+    return out
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -46,8 +53,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
     now = save(e)
     for _ in range(max_rounds):
-        mid = save(_step(now, True))
-        new = save(_step(mid, False))
+        mid = _step(now, True)
+        new = _step(mid, False)
         drop(mid, now)
         now = new
         if _stars(now):

@@ -177,9 +177,7 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
     nodes = cands.groupBy("node").agg(F.first("patch_size").alias("size"), F.first("src_x").alias("x"), F.first("src_y").alias("y"), F.first("src_image").alias("src_image"), F.first("src_idx").alias("src_idx"))
     nodes = save(nodes)
     backed = save(hough.support(cands, found, REACH))
-    evidence = backed.groupBy("node", "peak").agg(F.max("log_bf").alias("e")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("peak", "e"))).alias("e"))
-    unary = F.concat(F.transform(F.sequence(F.lit(0), F.lit(max(labels, 1) - 1)), lambda p: F.coalesce(F.element_at("e", p.cast("int")), F.lit(0.0))), F.array(F.lit(NULL_LABEL)))
-    table = nodes.join(evidence, "node", "left").select("node", unary.alias("unary"))
+    table = bp.unary_vectors(nodes, backed, labels, NULL_LABEL)
     edges = hough.spatial_edges(nodes, REACH).withColumn("beta", F.lit(SPATIAL_BETA)).unionByName(hough.inclusion_edges(nodes).withColumn("beta", F.lit(INCLUSION_BETA)))
     beliefs, summary = bp.loopy_bp(table, save(edges), iterations=30, damping=0.4)
     matches = save(map_decode(beliefs, nodes, found, backed, labels))

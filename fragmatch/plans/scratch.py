@@ -42,10 +42,19 @@ def save(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
+    if not _live:
+        atexit.register(_forget_all)
     _live.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
+def _forget_all() -> None:
+    """At exit: delete what is left of this process's tables, as far as a session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        forget(spark, live(spark))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

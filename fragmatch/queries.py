@@ -6,16 +6,20 @@ at a stride of 4, and the entropy threshold is 1.3, as text has little entropy.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.config import Config
 from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
-from fragmatch.operators import bp, coherence, heatmap, hough, knn, lsh, patches, priors, scale, verify
+from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, patches, priors, scale, verify
 from fragmatch.plans import engine
+from fragmatch.plans.scratch import save, shared_dir
 from fragmatch.sources import index as store
 from fragmatch.sources.rasters import text_rasters
+from fragmatch.streaming.ingest import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -108,12 +112,16 @@ def desc_chromaticity(spark, d):
     return _checksum(spark, d, K.chromaticity)
 
 
-@query(_checksum_sql("SELECT image_id, patch_idx, list_transform(range(32), lambda i: CASE WHEN g[(1 + i // 16 + [-1,-1,-1,0,1,1,1,0][i % 8 + 1]) * 4 + 1 + (i // 8) % 2 + [-1,0,1,1,1,0,-1,-1][i % 8 + 1] + 1] >= g[(1 + i // 16) * 4 + 1 + (i // 8) % 2 + 1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM gr"))
+_LBP_SQL = "SELECT image_id, patch_idx, list_transform(range(32), lambda i: CASE WHEN g[(1 + i // 16 + [-1,-1,-1,0,1,1,1,0][i % 8 + 1]) * 4 + 1 + (i // 8) % 2 + [-1,0,1,1,1,0,-1,-1][i % 8 + 1] + 1] >= g[(1 + i // 16) * 4 + 1 + (i // 8) % 2 + 1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM gr"
+_RANK_SQL = "SELECT image_id, patch_idx, flatten(list_transform(range(1, 17), lambda i: list_transform(range(i + 1, 17), lambda j: CASE WHEN g[i] > g[j] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS r FROM gr"
+
+
+@query(_checksum_sql(_LBP_SQL))
 def desc_lbp(spark, d):
     return _checksum(spark, d, K.binary_pattern)
 
 
-@query(_checksum_sql("SELECT image_id, patch_idx, flatten(list_transform(range(1, 17), lambda i: list_transform(range(i + 1, 17), lambda j: CASE WHEN g[i] > g[j] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))) AS r FROM gr"))
+@query(_checksum_sql(_RANK_SQL))
 def desc_rank_order(spark, d):
     return _checksum(spark, d, K.rank_order)
 
@@ -123,11 +131,39 @@ def desc_photometric(spark, d):
     return _checksum(spark, d, K.photometric)
 
 
-@query()
+_GRAD_SQL = """SELECT image_id, patch_idx, list_transform(range(8), lambda b: list_sum(list_transform(range(16), lambda k: CASE WHEN a[k + 1] >= -pi() + b * pi() / 4 AND a[k + 1] < -pi() + (b + 1) * pi() / 4 THEN z[k + 1]::DOUBLE ELSE 0.0::DOUBLE END))) AS r FROM (
+  SELECT *, list_transform(range(16), lambda k: atan2(v[k + 1]::DOUBLE, u[k + 1]::DOUBLE)::FLOAT::DOUBLE) AS a, list_transform(range(16), lambda k: sqrt((u[k + 1] * u[k + 1] + v[k + 1] * v[k + 1])::DOUBLE)::FLOAT) AS z FROM (
+    SELECT image_id, patch_idx,
+      list_transform(range(16), lambda k: CASE k % 4 WHEN 0 THEN f[k + 2] - f[k + 1] WHEN 3 THEN f[k + 1] - f[k] ELSE (f[k + 2] - f[k]) * 0.5::FLOAT END) AS u,
+      list_transform(range(16), lambda k: CASE k // 4 WHEN 0 THEN f[k + 5] - f[k + 1] WHEN 3 THEN f[k + 1] - f[k - 3] ELSE (f[k + 5] - f[k - 3]) * 0.5::FLOAT END) AS v
+    FROM (SELECT image_id, patch_idx, list_transform(g, lambda x: x::FLOAT) AS f FROM gr)))"""
+
+
+@query(_checksum_sql(_GRAD_SQL))
 def desc_gradient(spark, d):
     return _checksum(spark, d, K.gradient_histogram)
 
 
+def _composite_sql() -> str:
+    """The five parts side by side, each scaled by itself, summed up like ``_checksum``."""
+    chroma = "SELECT *, list_transform(range(48), lambda k: p[k + 1] / greatest(p[k - k % 3 + 1] + p[k - k % 3 + 2] + p[k - k % 3 + 3], CAST(0.03 AS DOUBLE))) AS c FROM gr"
+    raws = [f"WITH src AS (SELECT * FROM gr) {_centred('p')}", f"WITH src AS ({chroma}) {_centred('c')}", _LBP_SQL, _RANK_SQL, _GRAD_SQL]
+    norm = "sqrt(list_sum(list_transform(r, lambda a: a * a)))"
+    scaled = f"CASE WHEN {norm} < 1e-8 THEN list_transform(r, lambda a: 1 / sqrt(len(r))) ELSE list_transform(r, lambda a: a / {norm}) END"
+    parts = ", ".join(f"d{k} AS (SELECT image_id, patch_idx, {scaled} AS v{k} FROM ({raw}))" for k, raw in enumerate(raws))
+    joins = " ".join(f"JOIN d{k} USING (image_id, patch_idx)" for k in range(1, len(raws)))
+    every = " || ".join(f"v{k}" for k in range(len(raws)))
+    return f"WITH {RASTER_SQL}, {parts}, d AS (SELECT image_id, patch_idx, {every} AS v FROM d0 {joins}) SELECT image_id, patch_idx, round(list_sum(list_transform(range(1, len(v) + 1), lambda k: v[k] * k)), 4) + 0.0 AS checksum FROM d"
+
+
+@query(_composite_sql())
+def desc_composite_raw(spark, d):
+    """The composite descriptor before projection."""
+    out = patches.describe(_patches(spark, d), lambda p: K.composite(p, False), SIZE)
+    total = F.aggregate(F.zip_with("descriptor", F.sequence(F.lit(1), F.size("descriptor")), lambda v, k: v * k), F.lit(0.0), lambda s, x: s + x)
+    return out.select("image_id", "patch_idx", (F.round(total, 4) + F.lit(0.0)).alias("checksum"))
+
+
 @query()
 def desc_composite(spark, d):
     return _checksum(spark, d, lambda p: K.project(K.composite(p, False), 64))
@@ -159,7 +195,10 @@ def desc_pca(spark, d):
     return _checksum(spark, d, lambda p: K.project(K.composite(p, False), 64, basis))
 
 
-@query()
+@query("""
+WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS image_id, CAST(ceil(length(text) / 48.0) AS INT) AS h FROM documents WHERE length(text) > 144
+), l AS (SELECT image_id, 0 AS level, 1.0::DOUBLE AS scale, h, 16 AS w FROM h UNION ALL SELECT image_id, 1, 0.5::DOUBLE, h // 2, 8 FROM h)
+SELECT image_id, CAST(level AS INT) AS level, scale, CAST(((h - 4) // 4 + 1) * ((w - 4) // 4 + 1) AS BIGINT) AS n, CAST((w - 4) // 4 * 4 / scale AS INT) AS max_x, CAST((h - 4) // 4 * 4 / scale AS INT) AS max_y FROM l WHERE h >= 8""")
 def pyramid_patches(spark, d):
     rows = patches.pyramid_patches(_docs(spark, d), SIZE, [1.0, 0.5], STRIDE, 8)
     return rows.groupBy("image_id", "level", "scale").agg(F.count("*").alias("n"), F.max("orig_x").alias("max_x"), F.max("orig_y").alias("max_y"))
@@ -226,6 +265,57 @@ def shard_counts(spark, d):
     return store.shard_info(store.with_shard(_t(spark, d, "customer").withColumn("image_id", F.col("c_name")), 7))
 
 
+_SHARD = "list_reduce(list_transform(string_split(md5({}), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: (a * 16 + b) % {})"
+
+
+@query(f"WITH {RASTER_SQL} SELECT CAST({_SHARD.format('image_id', 5)} AS INT) AS shard, count(*) AS size, count(DISTINCT image_id) AS images, CAST(max(len(p)) AS INT) AS dim FROM pat GROUP BY 1")
+def index_roundtrip(spark, d):
+    """All documents' patches written as a sharded index twice, and the latest version read again."""
+    path = f"{shared_dir(spark)}/fragmatch/index-{uuid.uuid4().hex}"
+    rows = save(engine.index(_docs(spark, d), config(stride=STRIDE, entropy_threshold=None), K.difference))
+    for shards in (3, 5):
+        store.write(rows, path, shards)
+    return store.read(spark, path).groupBy("shard").agg(F.count("*").alias("size"), F.count_distinct("image_id").alias("images"), F.max(F.size("descriptor")).alias("dim"))
+
+
+@query("""
+WITH t AS (SELECT c_nationkey, c_nationkey % 4 + 1 AS seq, count(*) AS patches FROM customer GROUP BY ALL
+), k AS (SELECT * FROM t QUALIFY row_number() OVER (ORDER BY seq DESC, CAST(c_nationkey AS VARCHAR) DESC) <= 10)
+SELECT CAST(c_nationkey AS VARCHAR) AS image_id, seq, patches FROM k WHERE c_nationkey <> 7""")
+def catalog_latest(spark, d):
+    """Customers' nations as targets, added in four steps, the ten latest kept, and one removed."""
+    rows = _t(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("image_id"), (F.col("c_nationkey") % 4).alias("step"), "c_custkey")
+    held = store.Catalog(max_targets=10)
+    for k in range(4):
+        held.add(rows.where(F.col("step") == k).drop("step"))
+    return held.remove("7").targets()
+
+
+@query(f"WITH {RASTER_SQL} SELECT image_id, count(*) AS patches, CAST(max(y) AS INT) AS last_y FROM pat GROUP BY image_id")
+def stream_ingest(spark, d):
+    """All documents as a stream of rasters, indexed incrementally, and the index read again."""
+    path = f"{shared_dir(spark)}/fragmatch/stream-{uuid.uuid4().hex}"
+    docs = spark.readStream.schema(_t(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as the table may be one file
+    ingest(text_rasters(docs, "doc_id", "text"), path, f"{path}/checkpoint", config(stride=STRIDE, entropy_threshold=None), K.difference).awaitTermination()
+    return store.read(spark, path).groupBy("image_id").agg(F.count("*").alias("patches"), F.max("y").alias("last_y"))
+
+
+_MIXTURE = ([0.5, 0.3, 0.2], [[0.02, 10.0], [0.05, 25.0], [0.08, 40.0]], [[0.0004, 30.0], [0.0009, 60.0], [0.0004, 90.0]])
+
+
+def _mixture_sql() -> str:
+    from math import log, pi
+
+    parts = [f"CAST({log(w) - 0.5 * sum(log(2 * pi * x) for x in v)!r} AS DOUBLE) - (l_discount - CAST({m[0]!r} AS DOUBLE)) ** 2 / CAST({2 * v[0]!r} AS DOUBLE) - (l_quantity - CAST({m[1]!r} AS DOUBLE)) ** 2 / CAST({2 * v[1]!r} AS DOUBLE)" for w, m, v in zip(*_MIXTURE)]
+    return f"WITH p AS (SELECT l_orderkey, l_linenumber, [{', '.join(parts)}] AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a))))), 6) AS log_p0 FROM p"
+
+
+@query(_mixture_sql())
+def prior_density(spark, d):
+    """Log density under a diagonal mixture, that of a prior's embedding space."""
+    return priors.score_mixture(_t(spark, d, "lineitem"), ["l_discount", "l_quantity"], *_MIXTURE, "log_p0").select("l_orderkey", "l_linenumber", F.round("log_p0", 6).alias("log_p0"))
+
+
 @query()
 def hash_sample(spark, d):
     rows = _t(spark, d, "part").select(F.col("p_name").alias("image_id"), F.col("p_partkey").cast("int").alias("patch_idx"))
@@ -283,7 +373,7 @@ def patch_energy(spark, d):
 @query()
 def affine_huber(spark, d):
     """Each patch fitted to the patch below it."""
-    p = _patches(spark, d)
+    p = save(_patches(spark, d).select("image_id", "patch_idx", "x", "y", "patch"))
     below = p.select("image_id", "x", (F.col("y") - STRIDE).alias("y"), F.col("patch").alias("tgt_patch"))
     out = verify.fit(p.select("image_id", "patch_idx", "x", "y", F.col("patch").alias("src_patch")).join(below, ["image_id", "x", "y"]))
     return out.select("image_id", "patch_idx", F.round("rss", 6).alias("rss"), "dof", "success", F.round("probability", 6).alias("probability"))
@@ -424,6 +514,24 @@ def unary_table(spark, d):
     return hough.unary_table(_matches(spark, d), _fixed_peaks(spark, d), 40.0).withColumn("evidence", F.round("evidence", 6))
 
 
+_PEAK_SQL = "p AS (SELECT n_nationkey AS peak, n_nationkey * 71 % 2000 - 1000 AS dx, n_nationkey * 173 % 2000 - 1000 AS dy FROM nation)"
+
+
+@query(f"""WITH {_MATCH_SQL}, {_PEAK_SQL}, u AS (SELECT node, peak, dx, dy, max(log_bf) AS e, min(match_ord) AS match_ord, arg_min(image_id, match_ord) AS image_id FROM mt JOIN p ON abs(tgt_x - src_x - dx) <= 60 AND abs(tgt_y - src_y - dy) <= 60 GROUP BY ALL
+), z AS (SELECT node, sum(exp(e)) + (25 - count(*)) + exp(CAST(0.5 AS DOUBLE)) AS total FROM u GROUP BY node
+), best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY node ORDER BY e DESC, peak) = 1)
+SELECT node, b.image_id, CAST(src_x + dx AS INT) AS tgt_x, CAST(src_y + dy AS INT) AS tgt_y, round(exp(e) / total, 6) AS probability, b.match_ord FROM best b JOIN z USING (node) JOIN mt USING (node) WHERE e > 0.5""")
+def map_decode(spark, d):
+    """Source patches without neighbours decoded to their best supported peak, or to none."""
+    cands, found = _matches(spark, d), _fixed_peaks(spark, d)
+    backed = save(hough.support(cands, found, 60.0))
+    table = bp.unary_vectors(cands.select("node").distinct(), backed, 25, engine.NULL_LABEL)
+    nodes = cands.select("node", F.lit("q").alias("src_image"), F.col("node").alias("src_idx"), F.col("src_x").alias("x"), F.col("src_y").alias("y"), F.col("patch_size").alias("size"))
+    beliefs, _ = bp.loopy_bp(table, spark.createDataFrame([], "a long, b long, beta double"), 5, 0.4)
+    out = engine.map_decode(beliefs, nodes, found, backed, 25)
+    return out.select(F.col("src_idx").alias("node"), "image_id", "tgt_x", "tgt_y", F.round("probability", 6).alias("probability"), "match_ord")
+
+
 def _nodes(spark, d) -> DataFrame:
     k = F.col("p_partkey")
     return _t(spark, d, "part").select(k.alias("node"), (F.lit(3) + F.col("p_size") % 4).cast("int").alias("size"), (k * 37 % 211).cast("int").alias("x"), (k * 101 % 223).cast("int").alias("y"))
@@ -487,11 +595,31 @@ def _passages(spark, d) -> DataFrame:
 @query()
 def match_chi2(spark, d):
     """Benchmark passages' patches among those of all documents: fits, probabilities, regions' members."""
-    index = engine.index(_docs(spark, d), config(stride=2), K.photometric)
+    index = save(engine.index(_docs(spark, d), config(stride=2), K.photometric))
     return engine.match(_passages(spark, d), index, config(), K.photometric).matches.select("src_image", "image_id", "src_idx", "tgt_idx", "rank", F.round("dist", 6).alias("dist"), F.round("rss", 6).alias("rss"), F.round("probability", 6).alias("probability"))
 
 
 @query()
 def match_regions(spark, d):
-    index = engine.index(_docs(spark, d), config(stride=2), K.photometric)
+    index = save(engine.index(_docs(spark, d), config(stride=2), K.photometric))
     return engine.match(_passages(spark, d), index, config(coherence_min_cluster=2), K.photometric).regions.drop("members")
+
+
+@query()
+def match_bayes(spark, d):
+    """Benchmark passages' images searched among themselves by the Bayes engine, with patches of four pixels."""
+    images = text_rasters(_t(spark, d, "benchmark"), "item_id", "text")
+    result = engine.match_bayes(images, images, config(), sizes=(SIZE,), k=3, distance=0.2)
+    return result.matches.select("src_image", "image_id", "src_idx", "tgt_x", "tgt_y", F.round("probability", 6).alias("probability"))
+
+
+@query()
+def splice_accuracy(spark, d):
+    """The splice detector on 40 generated splices and 20 unrelated pairs of 96 pixels."""
+    return evaluate.summary(evaluate.trials(spark, 40, 20)).drop("sec_per_image")
+
+
+@query()
+def copy_move_accuracy(spark, d):
+    """Offsets found in 20 generated copy-moves."""
+    return heatmap.trial_report(evaluate.copy_moves(spark, 20)).drop("latency_ms")
