@@ -68,6 +68,46 @@ def test_langid_scores_equal_a_plain_sum(spark):
     assert score[0] == pytest.approx(p.max(), rel=1e-5)
 
 
+def plain_grams(text):
+    """The buckets of a text's n-grams, one by one."""
+    out, cps = [], [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    mult, mask = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), (1 << 32) - 1
+    for n in (1, 2, 3):
+        for at in range(len(cps) - n + 1):
+            h = 0
+            for k in range(n):
+                h = ((h ^ (cps[at + k] + k + 1)) * mult[k]) & mask
+                h ^= h >> 15
+            out.append(h >> (32 - langid.BUCKET_BITS))
+    return out
+
+
+def test_langid_training_and_scores_against_plain_counts(spark):
+    import math
+
+    r = np.random.RandomState(2)
+    stems = {"a": ["the", "ing", "ÉÀ"], "b": ["sch", "ung", "漢"], "c": ["eau", "que", "😀x"]}
+    rows = [(k, " ".join("".join(r.choice(stems[g], 2)) for _ in range(r.randint(1, 9))) + ("!" if k % 3 else ""), g) for k, g in enumerate(r.choice(list(stems), 90))]
+    rows += [(200, None, "a"), (201, "the ing", None), (202, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, docs_of = defaultdict(Counter), Counter()
+    for k, t, g in rows:
+        if t is not None and g is not None and zlib.crc32(str(k).encode()) % 5:
+            counts[g].update(plain_grams(t))
+            docs_of[g] += 1
+    size = 1 << langid.BUCKET_BITS
+    got = langid.predict(df, langid.learned(df)).collect()
+    for x in got:
+        t = x["text"]
+        if not t or not any(c.isalpha() for c in t):
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        like = {g: math.log(docs_of[g] / sum(docs_of.values())) + sum(math.log((c[b] + langid.SMOOTHING) / (sum(c.values()) + size * langid.SMOOTHING)) for b in plain_grams(t)) for g, c in counts.items()}
+        best = max(sorted(like), key=like.get)
+        assert x["lang_pred"] == best
+        assert x["score"] == pytest.approx(1 / sum(math.exp(v - like[best]) for v in like.values()), rel=1e-3)
+
+
 def test_stage_rejects_foreign_mixed_and_noise_texts(spark):
     r = np.random.RandomState(21)
     stems = {"en": ["the", "and", "ing", "of", "tion"], "de": ["der", "und", "sch", "ung", "ü"], "fr": ["eau", "que", "é", "oi", "ment"]}
@@ -768,3 +808,21 @@ def test_pipeline(spark, words, tmp_path):
     assert "email" in told[53] and "mail" not in told[53].replace("email", "")
     assert not any("same</w>line" in t for t in told.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "pii", "packing"]
+
+
+def test_pipeline_on_an_empty_table_and_without_n_chars(spark, words, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = np.random.RandomState(14)
+    texts = [prose(words, r, 60) + ".\nSame line here" for _ in range(40)] + ["Same line here", None]
+    df = docs(spark, texts)
+    for name, rows in (("empty", df.where("false")), ("full", df), ("bare", df.drop("n_chars")), ("more", df.withColumn("gone", F.lit(1)).withColumn("typical", F.lit(2)).withColumn("_extra", F.lit(3)).withColumn("removed", F.lit(4)))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    run = lambda name: sorted(tuple(x) for x in corpus_pipeline.run(spark, f"{tmp_path}/{name}").drop("ids").collect())
+    assert run("empty") == []
+    full = run("full")
+    assert {x[0] for x in full} == set(range(40)) and run("bare") == full and run("more") == full
+    stages = spark.read.parquet(f"{tmp_path}/more/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, stages, f"{tmp_path}/more")
+        assert out.columns == stages.columns
+        stages = spark.createDataFrame(out.collect(), out.schema)
