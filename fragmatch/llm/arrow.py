@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 2 << 20
 #: What Spark sends to a Python worker at once.
 BATCH_BYTES = 4 << 20
+_libc = ctypes.CDLL(None)
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -22,6 +24,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay alive beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of batches with at most ``limit`` bytes in ``column``, or one row."""
     for batch in batches:
@@ -35,6 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(end, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

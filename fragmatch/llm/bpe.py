@@ -34,7 +34,7 @@ from fragmatch.llm.arrow import plus, slices
 #: The split pattern of this tokenizer family; a fixed value.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Recent pieces whose ids are kept, in each of two generations, and the longest of them in bytes.
-MEMO = 250_000
+MEMO = 100_000
 MEMO_BYTES = 64
 #: Texts are read in segments of about so many characters.
 SEGMENT = 1 << 16
@@ -96,7 +96,6 @@ class Merger:
         to_byte = {c: b for b, c in self.char.items()}
         raw = lambda s: bytes(to_byte[c] for c in s.removesuffix(self.suffix))
         pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.merges = [(raw(a), raw(b)) for a, b in pairs]
         ids = self.ids
         first = np.array([ids[self.char[b]] for b in range(256)], np.int64)
         last = np.array([ids[self.char[b] + self.suffix] for b in range(256)], np.int64)
@@ -105,7 +104,7 @@ class Merger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_rank = keys[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in pairs], np.int64)
-        self.lookahead = lookahead(self.merges)
+        self.lookahead = lookahead([(raw(a), raw(b)) for a, b in pairs])
         self.window = 2 * self.lookahead + 64
         self.bytes_of = {i: raw(t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
 
