@@ -34,7 +34,7 @@ from fragmatch.llm.arrow import plus, slices
 #: The split pattern of this tokenizer family; a fixed value.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Recent pieces whose ids are kept, in each of two generations, and the longest of them in bytes.
-MEMO = 100_000
+MEMO = 250_000
 MEMO_BYTES = 64
 #: Texts are read in segments of about so many characters.
 SEGMENT = 1 << 16

@@ -27,7 +27,7 @@ SMOOTHING = 0.5
 #: What a text's mean log-likelihood per n-gram may lack, the share of the usual margin it needs, and the spread of one n-gram.
 DROP, LEAST_MARGIN, SPREAD = 1.0, 0.35, 4.0
 #: n-grams take about 50 times their text's memory, so texts are taken in small parts.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _alpha: np.ndarray | None = None

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmatch.llm.arrow import slices
+from fragmatch.llm.arrow import release, slices
 from fragmatch.llm.bpe import Encoder
 
 #: The split pattern of this tokenizer; a fixed value.
@@ -32,6 +32,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SEQUENCE = 4096
 END_ID = 2
 GROUP_BYTES = 6 << 20
+#: Texts tokenised at once: of more of them, more pieces are equal.
+PART_BYTES = 8 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
@@ -144,7 +146,7 @@ def _fill(with_ids: bool):
     return fill
 
 
-def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_id", with_ids: bool = True, end_id: int = END_ID) -> DataFrame:
+def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_id", with_ids: bool = True, end_id: int = END_ID, keep: bool = True) -> DataFrame:
     """Pieces of every row of ``rows`` and their place, as ``PIECES``.
 
     ``rows`` has ``key`` and either ``ids`` (little-endian 32-bit integers) or,
@@ -154,18 +156,22 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
     and a null key stays null. Rows without ids give no piece. ``ids`` of
     pieces is null unless ``with_ids``. Sequences are at most 4096 tokens
     long and gapless; a group's padding is less than one sequence. ``groups``
-    should follow the input; each is packed in one task.
+    should follow the input; each is packed in one task. Unless ``keep``,
+    workers give up the tokenizer after each task, and its memory with it.
     """
     column = "text" if path else "ids"
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        for part in slices(batches, column):
+        for part in slices(batches, column, PART_BYTES):
             if path:
                 ids = [i + end for i in tokenizer(path).encode_batch([t or "" for t in part["text"].to_pylist()])]
             else:
                 ids = part["ids"].to_pylist()
             yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *_cut(ids, with_ids)], names=["key", "nokey", "total", "full", "rest"])
+        if not keep:
+            tokenizer.cache_clear()
+            release()
 
     named = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNull().alias("nokey"), column)
     named = named if path else named.where("ids is not null")
@@ -175,12 +181,12 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
     return out.select(F.when(~F.col("nokey"), F.col("key")).alias("doc_id"), *[c.split()[0] for c in PIECES.split(", ")[1:]])
 
 
-def pieces(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, with_ids: bool = False, keep: bool = True) -> DataFrame:
     """Packed pieces of (doc_id, text) rows, in about a group for each ``GROUP_BYTES`` of text."""
     import public_tokenizers
 
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    return pack(docs, max(1, -(-total // GROUP_BYTES)), public_tokenizers.path("word_bpe_49k.json"), with_ids=with_ids)
+    return pack(docs, max(1, -(-total // GROUP_BYTES)), public_tokenizers.path("word_bpe_49k.json"), with_ids=with_ids, keep=keep)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,5 +194,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces, with their ids, of all documents that are left."""
-    return pieces(docs, with_ids=True)
+    """The packed pieces, with their ids, of all documents that are left.
+
+    Workers keep no tokenizer: they live on beside those of the next run's stages.
+    """
+    return pieces(docs, with_ids=True, keep=False)
