@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
 #: What Spark sends to a Python worker at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _libc = ctypes.CDLL(None)
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 

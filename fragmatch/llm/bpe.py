@@ -66,18 +66,19 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Memo:
-    """The ids of recent short pieces: about 2 x ``MEMO`` of them, and a batch's.
+    """The ids of recent short pieces: about 2 x ``most`` of them, and a batch's.
 
     Two generations: as the young one is full it becomes the old one, and what
     is asked for again moves up, so that frequent pieces stay.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.most = MEMO if most is None else most
 
     def turn(self) -> None:
-        if len(self.young) >= MEMO:
+        if len(self.young) >= self.most:
             self.young, self.old = {}, self.young
 
 

@@ -27,6 +27,8 @@ from fragmatch.operators.components import components
 from fragmatch.plans.scratch import drop, save
 
 COLLECTIONS, ROWS = 12, 2
+#: Words and hashes take many times their text's memory, so texts are taken in small parts.
+PART_BYTES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +139,7 @@ def _signatures(size: int):
     """Per text: set size, a 128-bit digest of the set, and minhashes."""
 
     def run(batches):
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", PART_BYTES):
             values, at = shingle_sets(*utf8(part["text"]), size)
             n = np.diff(at)
             sums = np.zeros((len(n), 2), np.uint64)
@@ -185,7 +187,7 @@ def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             k, at = batch["k"].to_numpy(), batch["at"].to_numpy()
             some = np.flatnonzero(held.value[k, at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            for part in slices(iter([batch.take(pa.array(some))]), "text", 1 << 20):
+            for part in slices(iter([batch.take(pa.array(some))]), "text", PART_BYTES):
                 values, ends = shingle_sets(*utf8(part["text"]), size)
                 sets = [values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(sets, pa.binary())], names=["id", "n", "words"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.llm.arrow import release, slices
-from fragmatch.llm.bpe import Encoder
+from fragmatch.llm.bpe import Encoder, Memo
 
 #: The split pattern of this tokenizer; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -34,6 +34,8 @@ END_ID = 2
 GROUP_BYTES = 6 << 20
 #: Texts tokenised at once: of more of them, more pieces are equal.
 PART_BYTES = 8 << 20
+#: The same, and the table of recent pieces, where memory is short.
+LOW_BYTES, LOW_MEMO = 1 << 20, 30_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
@@ -157,15 +159,19 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
     pieces is null unless ``with_ids``. Sequences are at most 4096 tokens
     long and gapless; a group's padding is less than one sequence. ``groups``
     should follow the input; each is packed in one task. Unless ``keep``,
-    workers give up the tokenizer after each task, and its memory with it.
+    texts are tokenised in smaller parts, and workers give up the tokenizer
+    after each task, and its memory with it.
     """
     column = "text" if path else "ids"
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        for part in slices(batches, column, PART_BYTES):
-            if path:
-                ids = [i + end for i in tokenizer(path).encode_batch([t or "" for t in part["text"].to_pylist()])]
+        tool = tokenizer(path) if path else None
+        if tool and not keep:
+            tool.memo = Memo(LOW_MEMO)
+        for part in slices(batches, column, PART_BYTES if keep else LOW_BYTES):
+            if tool:
+                ids = [i + end for i in tool.encode_batch([t or "" for t in part["text"].to_pylist()])]
             else:
                 ids = part["ids"].to_pylist()
             yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *_cut(ids, with_ids)], names=["key", "nokey", "total", "full", "rest"])
