@@ -39,8 +39,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
-#: A string with a digit or ``@`` between white space, less the punctuation around it.
-_INSTANCE = re.compile(r"[^\s0-9@]*+[0-9@][^\s]*")
 #: Numbers that white space or brackets part, as the forms of cards and phones allow; no part of a word.
 _RUN = re.compile(r"(?<![^\s\"'\[{<:=#,;])[+(]{0,2}[0-9](?:[\x20().-]*[0-9])*\)?(?![\w@+-]|\.\w)")
 _STRING = re.compile(r"\S+")
@@ -95,6 +93,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _marked(text: str) -> Iterator[tuple[int, str]]:
+    """(start, string) of the strings between white space that hold a digit or ``@``: found from that character, so that long words are read once."""
+    m = _ANY.search(text)
+    while m:
+        start = m.start()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        token = _STRING.match(text, start)
+        yield start, token.group()
+        m = _ANY.search(text, token.end())
+
+
 def _shapes(token: str) -> list[int]:
     """Kinds that a string outside the fixed forms may be an instance of."""
     digits = sum(c.isdigit() for c in token)
@@ -182,12 +192,11 @@ def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             runs.append((start, end))
             yield start, end, shapes
     spans, k = sorted(spans + runs), 0
-    for m in _INSTANCE.finditer(text):
-        token = m.group()
+    for at, token in _marked(text):
         bare = token.strip(_TRIM)
         if not bare:
             continue
-        start = m.start() + token.index(bare)
+        start = at + token.index(bare)
         end = start + len(bare)
         while k < len(spans) and spans[k][1] <= start:
             k += 1
