@@ -114,19 +114,23 @@ def _join(raw, unit, place, weight, lo, hi, lo2, hi2, eps, least, links, sets) -
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding", label: str = "label", least: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) per row.
 
-    Rows link if their labels are equal and not null and the cosine is at
-    least ``least``. Vectors that are null, empty, zero, hold null or
-    non-finite components or are not of the usual length, and rows with null
-    labels or ids, link with nothing (below the threshold by any rounding is below it); a null id has a null component and is
-    kept. Ids should be unique. Equal vectors are folded and compared once.
+    Rows link if their labels are equal and not null, their vectors have equally
+    many components and the cosine is at least ``least`` (below it by any
+    rounding is below it). Vectors that are null, empty, zero or hold null or
+    non-finite components, and rows with null labels or ids, link with nothing;
+    a null id has a null component and is kept. Every row is a vector of its
+    own: repeated rows link with each other, and rows that share an id but not
+    the vector are two. Equal vectors are folded and compared once.
     """
     spark = rows.sparkSession
-    everything = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    good = everything.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
-    size = common_size(good, "v")
-    good = good.where(F.size("v") == size).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    folded = save(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    sample = folded.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(FIT_ROWS).select("v").toPandas()["v"]
+    vector, name = F.col(vec).cast("array<double>"), F.col(label)
+    fine = F.col(id_col).isNotNull() & name.isNotNull() & usable(vector)
+    everything = rows.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.transform(vector, lambda x: x + F.lit(0.0))).alias("v"), name.alias("label"))
+    good = everything.where("v is not null")
+    folded = save(good.groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
+    # axes are fitted for the usual number of components; vectors of others are laid out by their first ones
+    size = common_size(folded, "v")
+    sample = folded.where(F.size("v") == size).orderBy(F.xxhash64("low", F.lit(5)), "low", "v").limit(FIT_ROWS).select("v").toPandas()["v"]
     if not len(sample):
         return everything.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dims = min(DIMS, size)
@@ -136,19 +140,22 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
 
     def placed(batches):
         for batch in batches:
-            if batch.num_rows:
-                v = matrix(batch["v"])
-                at = _units(v) @ held.value
+            sizes = batch["v"].value_lengths().to_numpy()
+            for n in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                v = matrix(part["v"])
+                unit = _units(v)
+                at = unit @ held.value if n == size else np.pad(unit[:, :dims], ((0, 0), (0, max(0, dims - n))))
                 cell = np.floor(at / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["rep"], batch["weight"], batch["label"], packed(v), packed(at), *[pa.array(cell[:, k]) for k in range(dims)]], names=["id", "weight", "label", "vec", "place", *cells])
+                yield pa.RecordBatch.from_arrays([part["rep"], part["weight"], part["label"], pa.array(np.full(len(v), n, np.int32)), packed(v), packed(at), *[pa.array(cell[:, k]) for k in range(dims)]], names=["id", "weight", "label", "size", "vec", "place", *cells])
 
     label_type = rows.schema[label].dataType.simpleString()
-    grid = folded.mapInArrow(placed, f"id long, weight long, label {label_type}, vec binary, place binary, " + ", ".join(f"{c} int" for c in cells))
+    grid = folded.mapInArrow(placed, f"id long, weight long, label {label_type}, size int, vec binary, place binary, " + ", ".join(f"{c} int" for c in cells))
 
     def cut(batches):
         part, number, used, last = TaskContext.get().partitionId(), -1, 0, None
         for batch in batches:
-            labels = batch["label"].to_pylist()
+            labels = list(zip(batch["label"].to_pylist(), batch["size"].to_pylist()))
             out = np.zeros(len(labels), np.int64)
             for k, x in enumerate(labels):
                 if x != last or used == INTERVAL:
@@ -157,16 +164,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
                 out[k] = (part << 32) | number
             yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns], names=["interval", *batch.schema.names])
 
-    ordered = grid.repartitionByRange("label", *cells, "id").sortWithinPartitions("label", *cells, "id")
+    ordered = grid.repartitionByRange("label", "size", *cells, "id").sortWithinPartitions("label", "size", *cells, "id")
     ordered = save(ordered.mapInArrow(cut, grid.schema.__class__([*spark.createDataFrame([], "interval long").schema, *grid.schema])))
-    boxes = save(ordered.groupBy("interval", "label").agg(*[f(c).alias(f"{n}_{c}") for c in cells for n, f in (("lo", F.min), ("hi", F.max))]))
+    boxes = save(ordered.groupBy("interval", "label", "size").agg(*[f(c).alias(f"{n}_{c}") for c in cells for n, f in (("lo", F.min), ("hi", F.max))]))
 
     def keyed(df: DataFrame, side: str, reach: int) -> DataFrame:
         for c in cells[:2]:
             df = df.withColumn(f"k_{c}", F.explode(F.sequence(F.col(f"lo_{c}") - reach, F.col(f"hi_{c}") + reach)))
-        return df.select("label", *[f"k_{c}" for c in cells[:2]], *[F.col(x).alias(f"{side}_{x}") for x in ("interval", *[f"{n}_{c}" for c in cells for n in ("lo", "hi")])])
+        return df.select("label", "size", *[f"k_{c}" for c in cells[:2]], *[F.col(x).alias(f"{side}_{x}") for x in ("interval", *[f"{n}_{c}" for c in cells for n in ("lo", "hi")])])
 
-    met = keyed(boxes, "a", 0).join(keyed(boxes, "b", 1), ["label", *[f"k_{c}" for c in cells[:2]]])
+    met = keyed(boxes, "a", 0).join(keyed(boxes, "b", 1), ["label", "size", *[f"k_{c}" for c in cells[:2]]])
     near = F.lit(True)
     for c in cells:
         near = near & (F.col(f"a_lo_{c}") <= F.col(f"b_hi_{c}") + 1) & (F.col(f"b_lo_{c}") <= F.col(f"a_hi_{c}") + 1)
@@ -195,10 +202,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec: str = "embedding"
     drop(ordered, boxes, pairs)
     comp = components(found.select("id", "root"))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
+    # a component is named by its smallest id
+    named = comp.join(folded.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("name"))
+    comp = comp.join(named, "component").select("node", "name")
     reps = folded.join(counted, folded["rep"] == counted["id"], "left").join(comp, folded["rep"] == comp["node"], "left")
-    reps = reps.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    members = good.join(reps, ["label", "v"]).select("id", "links", "component")
-    out = everything.select("id").join(members, "id", "left")
+    reps = reps.select(F.col("label").alias("of"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("name", "low").alias("component"))
+    out = everything.join(reps, (F.col("label") == F.col("of")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
