@@ -30,29 +30,37 @@ def _key(line) -> F.Column:
     return F.when(bare != "", F.xxhash64(bare, F.length(bare)))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, lines): hashes of the lines that exceed the ratio. Null hosts form one host."""
-    rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES, contents: bool = False) -> DataFrame:
+    """(host, lines): hashes of the lines that exceed the ratio. Null hosts form one host.
+
+    With ``contents``, a host's pages of equal text count as one: copies of a
+    page say nothing about its site. Pages then meet as their lines' hashes,
+    which are saved.
+    """
+    keys = F.array_distinct(F.transform(_lines(F.col(text)), _key))
+    rows = pages.select(F.col(host).alias("host"), keys.alias("keys"), *([F.xxhash64(text, F.length(text)).alias("content")] if contents else []))
+    if contents:
+        rows = save(rows.groupBy("host", "content").agg(F.first("keys").alias("keys")))
     total = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = rows.select("host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("line")).where("line is not null")
+    lines = rows.select("host", F.explode("keys").alias("line")).where("line is not null")
     seen = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= max(least_pages, 2))
     over = seen.join(total, seen["host"].eqNullSafe(total["host"])).where(F.col("n") > F.col("pages") * F.lit(max_ratio))
     return over.groupBy(seen["host"].alias("host")).agg(F.collect_list("line").alias("lines"))  # at most 1 / max_ratio times a page's mean lines
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES, removed: str = "_removed"
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, least_pages: int = LEAST_PAGES, removed: str = "_removed", contents: bool = False
 ) -> DataFrame:
     """``pages`` with boilerplate lines cut out of ``text``; the last column, ``removed``, counts them.
 
     A line goes if more than ``max_ratio`` of its host's pages hold it, and at
     least ``least_pages`` do, whatever the host's size. Null texts stay null
     with 0 removed; empty lines stay. Repeated rows count as pages of their
-    own. A line at exactly the ratio stays. All other columns pass unchanged,
+    own, or with ``contents`` as one. A line at exactly the ratio stays. All other columns pass unchanged,
     whatever their names; one named like ``removed`` is replaced.
     """
     keep = [c for c in pages.columns if c != removed]
-    found = save(boilerplate(pages, host, text, max_ratio, least_pages))
+    found = save(boilerplate(pages, host, text, max_ratio, least_pages, contents))
     # the row goes as one struct, so that no name of its columns can meet another
     rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"))
     mine = F.col("row")[text]
@@ -91,9 +99,11 @@ SELECT d.doc_id, d.source, b.clean_text, coalesce(b.n_removed, 0) AS n_removed F
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; what is emptied by that goes.
 
-    Lines must be on three documents: two on a small source are most often a
-    document and its copy, both of which would go before one can be chosen.
+    Lines must be on three documents of different text: what copies share is no
+    boilerplate, and a later stage keeps one of them. Two on a small source are
+    most often a document and its near copy, both of which would go before one
+    can be chosen.
     """
     count = unused(docs.columns, "removed")
-    out = drop_boilerplate(docs, least_pages=3, removed=count).where((F.col(count) == 0) | (F.btrim(F.col("text")) != "")).drop(count)
+    out = drop_boilerplate(docs, least_pages=3, removed=count, contents=True).where((F.col(count) == 0) | (F.btrim(F.col("text")) != "")).drop(count)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
