@@ -169,20 +169,27 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
         tool = tokenizer(path) if path else None
         if tool and not keep:
             tool.memo = Memo(LOW_MEMO)
+        seen: dict[tuple, int] = {}
         for part in slices(batches, column, PART_BYTES if keep else LOW_BYTES):
             if tool:
                 ids = [i + end for i in tool.encode_batch([t or "" for t in part["text"].to_pylist()])]
             else:
                 ids = part["ids"].to_pylist()
-            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *_cut(ids, with_ids)], names=["key", "nokey", "total", "full", "rest"])
+            done = _cut(ids, with_ids)
+            # which of a task's equal rows it is: they are dealt apart, and the same way in whatever order they come
+            copy = []
+            for row in zip(part["key"].to_pylist(), done[0].to_pylist(), (zlib.crc32(r or b"") for r in done[2].to_pylist())):
+                copy.append(seen.get(row, 0))
+                seen[row] = copy[-1] + 1
+            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *done, pa.array(copy, pa.int64())], names=["key", "nokey", "total", "full", "rest", "copy"])
         if not keep:
             tokenizer.cache_clear()
             release()
 
     named = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNull().alias("nokey"), column)
     named = named if path else named.where("ids is not null")
-    dealt = named.mapInArrow(cut, "key long, nokey boolean, total long, full array<long>, rest binary")
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "total", F.crc32("rest")), F.lit(groups)).cast("int"))
+    dealt = named.mapInArrow(cut, "key long, nokey boolean, total long, full array<long>, rest binary, copy long")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "total", F.crc32("rest"), "copy"), F.lit(groups)).cast("int")).drop("copy")
     out = dealt.groupBy("group").applyInPandas(_fill(with_ids), PIECES.replace("doc_id long", "key long, nokey boolean"))
     return out.select(F.when(~F.col("nokey"), F.col("key")).alias("doc_id"), *[c.split()[0] for c in PIECES.split(", ")[1:]])
 

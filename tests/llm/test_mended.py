@@ -100,3 +100,11 @@ def test_the_pipeline_keeps_one_of_each_group_of_copies(spark, tmp_path):
     for i, t, _, _ in rows:
         of.setdefault(t, set()).add(i)
     assert all(len(ids & kept) == 1 for ids in of.values())
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    from fragmatch.llm import packing
+
+    rows = spark.createDataFrame([(None, np.arange(700, dtype="<u4").tobytes())] * 400, "doc_id long, ids binary").repartition(4)
+    out = packing.pack(rows, 16).collect()
+    assert len({x["sequence_id"] >> 32 for x in out}) == 16 and sum(x["length"] for x in out) == 400 * 700
