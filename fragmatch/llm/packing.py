@@ -114,12 +114,13 @@ PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_
 
 
 def _cut(ids: list[bytes], with_ids: bool) -> list[pa.Array]:
-    """Per row: tokens, checksums of its full sequences, and the ids that are still to place."""
+    """Per row: tokens, checksums of its full sequences and of the ids that are still to place, and these (or all) ids."""
     step = 4 * SEQUENCE
     whole = [len(i) // step * step for i in ids]
     full = [[zlib.crc32(i[k : k + step]) for k in range(0, w, step)] for i, w in zip(ids, whole)]
     rest = ids if with_ids else [i[w:] for i, w in zip(ids, whole)]
-    return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())]
+    mark = [zlib.crc32(i[w:]) for i, w in zip(ids, whole)]
+    return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(mark, pa.int64()), pa.array(rest, pa.binary())]
 
 
 def _fill(with_ids: bool):
@@ -178,18 +179,18 @@ def pack(rows: DataFrame, groups: int, path: str | None = None, key: str = "doc_
             done = _cut(ids, with_ids)
             # which of a task's equal rows it is: they are dealt apart, and the same way in whatever order they come
             copy = []
-            for row in zip(part["key"].to_pylist(), done[0].to_pylist(), (zlib.crc32(r or b"") for r in done[2].to_pylist())):
+            for row in zip(part["key"].to_pylist(), done[0].to_pylist(), done[2].to_pylist()):
                 copy.append(seen.get(row, 0))
                 seen[row] = copy[-1] + 1
-            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *done, pa.array(copy, pa.int64())], names=["key", "nokey", "total", "full", "rest", "copy"])
+            yield pa.RecordBatch.from_arrays([part["key"], part["nokey"], *done, pa.array(copy, pa.int64())], names=["key", "nokey", "total", "full", "mark", "rest", "copy"])
         if not keep:
             tokenizer.cache_clear()
             release()
 
     named = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNull().alias("nokey"), column)
     named = named if path else named.where("ids is not null")
-    dealt = named.mapInArrow(cut, "key long, nokey boolean, total long, full array<long>, rest binary, copy long")
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "total", F.crc32("rest"), "copy"), F.lit(groups)).cast("int")).drop("copy")
+    dealt = named.mapInArrow(cut, "key long, nokey boolean, total long, full array<long>, mark long, rest binary, copy long")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "total", "mark", "copy"), F.lit(groups)).cast("int")).drop("mark", "copy")
     out = dealt.groupBy("group").applyInPandas(_fill(with_ids), PIECES.replace("doc_id long", "key long, nokey boolean"))
     return out.select(F.when(~F.col("nokey"), F.col("key")).alias("doc_id"), *[c.split()[0] for c in PIECES.split(", ")[1:]])
 
