@@ -322,49 +322,100 @@ def chi2_survival(value: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return np.where((np.asarray(value) < 0) | ~np.isfinite(value), 0.0, out)
 
 
+# -- search --------------------------------------------------------------------------------
+
+
+def nearest(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, k) distances and ids of the nearest targets at ``limit`` or nearer; ties go to the smaller id.
+
+    Places without a target hold infinity and -1. Candidates come from
+    |q|^2 + |t|^2 - 2 q t in single precision, with room for its error, and are
+    measured again exactly; queries without any cost no more than that.
+    """
+    out_d, out_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+    if not len(t) or not len(q):
+        return out_d, out_i
+    limit = np.broadcast_to(np.asarray(limit, float), (len(q),))
+    q32, t32 = q.astype(np.float32), t.astype(np.float32)
+    norm, q_norm = (t32 * t32).sum(axis=1), (q32 * q32).sum(axis=1)
+    room = 1e-5 * (norm.max() + q_norm.max())
+    for lo in range(0, len(q), 512):
+        rough = q32[lo : lo + 512] @ t32.T
+        rough *= -2
+        rough += norm
+        rough += q_norm[lo : lo + 512, None]
+        near = rough <= (limit[lo : lo + 512] + room).astype(np.float32)[:, None]
+        for r in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[r])
+            if len(at) > 4 * k:
+                v = rough[r, at]
+                at = at[v <= np.partition(v, k - 1)[k - 1] + 2 * room]
+            d = ((t[at] - q[lo + r]) ** 2).sum(axis=1)
+            at, d = at[d <= limit[lo + r]], d[d <= limit[lo + r]]
+            order = np.lexsort((ids[at], d))[:k]
+            out_d[lo + r, : len(order)], out_i[lo + r, : len(order)] = d[order], ids[at][order]
+    return out_d, out_i
+
+
 # -- images --------------------------------------------------------------------------------
 
 
-def gaussian_blur(image: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
-    """Separable Gaussian blur; edges are mirrored including the edge pixel."""
-    if sigma <= 0:
-        return image.astype(float)
-    radius = int(truncate * sigma + 0.5)
-    k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+def blur_radius(sigma: float, truncate: float = 4.0) -> int:
+    return int(truncate * sigma + 0.5) if sigma > 0 else 0
+
+
+def mirrored(n: int, lo: int, hi: int) -> tuple[int, np.ndarray]:
+    """Where places ``lo`` to ``hi`` of an axis of ``n`` pixels lie, mirrored with the edge pixel: the smallest, and offsets from it."""
+    at = np.arange(lo, hi) % (2 * n)
+    at = np.where(at >= n, 2 * n - 1 - at, at)
+    return int(at.min()), at - at.min()
+
+
+def blur_pass(part: np.ndarray, axis: int, at: np.ndarray, sigma: float) -> np.ndarray:
+    """One pass of a Gaussian over an axis laid out by ``at`` (radius on both sides); weights are added up tap by tap."""
+    radius = blur_radius(sigma)
+    k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2) if radius else np.ones(1)
     k /= k.sum()
-    out = image.astype(float)
+    padded, n = np.take(part, at, axis=axis), len(at) - 2 * radius
+    return sum(w * np.take(padded, np.arange(i, i + n), axis=axis) for i, w in enumerate(k))
+
+
+def gaussian_blur(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian blur; edges are mirrored including the edge pixel."""
+    out, radius = image.astype(float), blur_radius(sigma)
     for axis in (0, 1):
-        n = out.shape[axis]
-        at = np.arange(-radius, n + radius) % (2 * n)
-        at = np.where(at >= n, 2 * n - 1 - at, at)
-        padded = np.take(out, at, axis=axis)
-        out = sum(w * np.take(padded, np.arange(i, i + n), axis=axis) for i, w in enumerate(k))
+        out = blur_pass(out, axis, mirrored(out.shape[axis], -radius, out.shape[axis] + radius)[1], sigma) if sigma > 0 else out
     return out
 
 
 def label_cells(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
-    """Connected components of a mask, numbered from 1 in row-major order of their first pixel."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
-    up = np.arange(h * w + 1)
-
-    def find(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    """Connected components of a mask, numbered from 1 in row-major order of their first pixel.
 
-    for dy, dx in steps:
-        a = label[: h - dy or None, max(0, -dx) : w - max(0, dx)]
-        b = label[dy:, max(0, dx) : w + min(0, dx)]
-        for i, j in zip(a[(a > 0) & (b > 0)].tolist(), b[(a > 0) & (b > 0)].tolist()):
-            i, j = find(i), find(j)
-            if i != j:
-                up[max(i, j)] = min(i, j)
-    roots = np.array([find(i) for i in range(h * w + 1)])[label]
-    names = np.unique(roots[roots > 0])
-    return np.searchsorted(names, roots) * (roots > 0) + (roots > 0), len(names)
+    Roots of cells that touch are hooked to the smaller one and paths are
+    halved to nothing, for all cells at once, until nothing that touches differs.
+    """
+    h, w = mask.shape
+    on = np.flatnonzero(mask)
+    place = np.full((h, w), -1)
+    place.ravel()[on] = np.arange(len(on))
+    touch = []
+    for dy, dx in [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]:
+        a, b = place[: h - dy or None, max(0, -dx) : w - max(0, dx)], place[dy:, max(0, dx) : w + min(0, dx)]
+        both = (a >= 0) & (b >= 0)
+        touch.append((a[both], b[both]))
+    a, b = (np.concatenate(x) for x in zip(*touch))
+    up = np.arange(len(on))
+    while len(a):
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up != up[up]).any():
+            up = up[up]
+    names, number = np.unique(up, return_inverse=True)
+    label = np.zeros((h, w), int)
+    label.ravel()[on] = number + 1
+    return label, len(names)
 
 
 def _lanczos(x: np.ndarray, a: int = 3) -> np.ndarray:
@@ -376,22 +427,50 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
     return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, (((x - 5) * x + 8) * x - 4) * a, 0.0))
 
 
+_FILTERS = {"lanczos": (_lanczos, 3.0), "cubic": (_cubic, 2.0)}
+
+
+def _taps(n: int, size: int, kernel: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """For outputs ``lo`` to ``hi`` of an axis of ``n`` pixels resampled to ``size``: the first input and the weights from there on."""
+    f, support = _FILTERS[kernel]
+    ratio = n / size
+    scale = max(ratio, 1.0)
+    centre = (np.arange(lo, hi) + 0.5) * ratio
+    first = np.ceil(centre - support * scale - 0.5).astype(int)
+    at = first[:, None] + np.arange(int(np.ceil(2 * support * scale)) + 1)
+    away = at + 0.5 - centre[:, None]
+    weights = np.where((np.abs(away) <= support * scale) & (at >= 0) & (at < n), f(away / scale), 0.0)
+    return first, weights / weights.sum(axis=1, keepdims=True)
+
+
+def resample_reach(n: int, size: int, kernel: str, lo: int, hi: int) -> tuple[int, int]:
+    """The range of inputs that outputs ``lo`` to ``hi`` need."""
+    if n == size:
+        return lo, hi
+    first, weights = _taps(n, size, kernel, lo, hi)
+    return max(0, int(first.min())), min(n, int(first.max()) + weights.shape[1])
+
+
+def resample(part: np.ndarray, axis: int, n: int, size: int, kernel: str, lo: int, hi: int, start: int) -> np.ndarray:
+    """Outputs ``lo`` to ``hi`` of one pass, rounded to 8 bits; ``part`` has the inputs from ``start`` on that they need.
+
+    Weights are added up tap by tap, so that a part gives what the whole does.
+    """
+    first, weights = _taps(n, size, kernel, lo, hi)
+    shape = [1] * part.ndim
+    shape[axis] = hi - lo
+    out = np.zeros(1)
+    for k in range(weights.shape[1]):
+        out = out + weights[:, k].reshape(shape) * np.take(part, np.clip(first + k - start, 0, part.shape[axis] - 1), axis=axis)
+    return np.clip(np.floor(out + 0.5), 0, 255)
+
+
 def resize(image: np.ndarray, height: int, width: int, kernel: str = "lanczos") -> np.ndarray:
     """Antialiased separable resampling of an 8-bit image, rounded to 8 bits after each pass."""
-    f, support = (_lanczos, 3.0) if kernel == "lanczos" else (_cubic, 2.0)
     out = image.astype(np.float64)
     for axis, size in ((1, width), (0, height)):
-        n = out.shape[axis]
-        if n == size:
-            continue
-        ratio = n / size
-        scale = max(ratio, 1.0)
-        centre = (np.arange(size) + 0.5) * ratio
-        weights = f((np.arange(n)[None, :] + 0.5 - centre[:, None]) / scale)
-        weights[np.abs(np.arange(n)[None, :] + 0.5 - centre[:, None]) > support * scale] = 0
-        weights /= weights.sum(axis=1, keepdims=True)
-        out = np.moveaxis(np.tensordot(weights, out, axes=(1, axis)), 0, axis)
-        out = np.clip(np.floor(out + 0.5), 0, 255)
+        if out.shape[axis] != size:
+            out = resample(out, axis, out.shape[axis], size, kernel, 0, size, 0)
     return out.astype(np.uint8)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fragmatch.functions import kernels as K
 from fragmatch.operators import heatmap
-from fragmatch.operators.knn import best
+from fragmatch.functions.kernels import nearest
 from fragmatch.sources import synthetic
 
 #: A detector takes (source, target) 8-bit images and gives a mask over the source and a score.
@@ -29,7 +29,7 @@ def fragment_detector(size: int = 8, stride: int = 2, k: int = 1, threshold: flo
         mask = np.zeros((h, w), bool)
         if not len(a) or not len(b):
             return mask, 0.0
-        d, i = best(K.photometric(a), K.photometric(b), np.arange(len(b)), k, threshold)
+        d, i = nearest(K.photometric(a), K.photometric(b), np.arange(len(b)), k, threshold)
         q, rank = np.nonzero(i >= 0)
         t = i[q, rank]
         n = size * size
@@ -96,7 +96,7 @@ def own_offset(image: np.ndarray, size: int = 8, stride: int = 2, apart: int = 8
     b, bt = K.windows(image / 255.0, size, 1)
     if not len(a):
         return None, 0
-    d, i = best(K.photometric(a), K.photometric(b), np.arange(len(b)), 8, threshold)
+    d, i = nearest(K.photometric(a), K.photometric(b), np.arange(len(b)), 8, threshold)
     q, rank = np.nonzero(i >= 0)
     t = i[q, rank]
     step = bt[t].astype(int) - at[q]

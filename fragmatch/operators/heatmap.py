@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmatch.functions import kernels as K
+from fragmatch.operators.components import components
 from fragmatch.plans.scratch import save
 
+#: Images are worked on in tiles of so many pixels a side.
+SIDE = 256
+HEAT = "image_id string, height int, width int, y int, x int, h int, w int, heat array<double>"
 WEIGHTS = {3: 1.0, 4: 1.2, 5: 1.5, 6: 2.0}
 
 
@@ -31,39 +35,108 @@ def inside(values: DataFrame, sizes: DataFrame) -> DataFrame:
     return values.join(sizes.select("image_id", "height", "width"), "image_id").where("x >= 0 and y >= 0 and x < width and y < height").drop("height", "width")
 
 
-def smooth(values: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> DataFrame:
-    """(image_id, height, width, heat): blurred and divided by the maximum; one group per image.
+def smooth_tiles(values: DataFrame, sizes: DataFrame, sigma: float = 2.0, side: int = SIDE) -> DataFrame:
+    """Tiles of blurred heat, divided by the image's maximum, as ``HEAT``; tiles that no value reaches are missing, and zero.
 
-    ``sizes`` has (image_id, height, width). An image's own pixels bound its group.
+    ``values`` has (image_id, y, x, value) inside its image, ``sizes``
+    (image_id, height, width). A value goes to the tiles within the filter's
+    radius, so that a task holds a tile and its surroundings, however large the
+    image is. Edges are mirrored at the image's, not at tiles'.
     """
+    radius = K.blur_radius(sigma)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        spans = []
+        for n, k in ((int(first["height"]), int(first["ky"])), (int(first["width"]), int(first["kx"]))):
+            lo, hi = k * side, min(n, (k + 1) * side)
+            spans.append((lo, hi, *K.mirrored(n, lo - radius, hi + radius)))
+        (y0, y1, a, down), (x0, x1, b, along) = spans
+        grid = np.zeros((down.max() + 1, along.max() + 1))
+        grid[pdf["y"].to_numpy() - a, pdf["x"].to_numpy() - b] = pdf["value"]
+        heat = K.blur_pass(K.blur_pass(grid, 0, down, sigma), 1, along, sigma)
+        return pd.DataFrame({"image_id": [first["image_id"]], "height": [first["height"]], "width": [first["width"]], "y": [y0], "x": [x0], "h": [y1 - y0], "w": [x1 - x0], "heat": [heat.ravel()]})
+
+    tile = lambda c: F.floor(c / side).cast("int")
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), tile(F.col(c) - radius)), F.least(tile(F.col(n) - 1), tile(F.col(c) + radius))))
+    placed = values.select("image_id", "y", "x", "value").where("value is not null").join(sizes.select("image_id", "height", "width"), "image_id")
+    placed = placed.withColumn("ky", near("y", "height")).withColumn("kx", near("x", "width"))
+    raw = save(placed.groupBy("image_id", "ky", "kx").applyInPandas(run, HEAT))
+    top = raw.groupBy("image_id").agg(F.max(F.array_max("heat")).alias("top"))
+    share = F.when(F.col("top") > 0, F.transform("heat", lambda v: v / F.col("top"))).otherwise(F.col("heat"))
+    return raw.join(top, "image_id").withColumn("heat", share).select(*raw.columns)
+
+
+def smooth(values: DataFrame, sizes: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """(image_id, height, width, heat): whole blurred images, for pictures of single ones; zero without values."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
         grid = np.zeros((h, w))
-        some = pdf.dropna(subset=["value"])
-        grid[some["y"].astype(int), some["x"].astype(int)] = some["value"]
-        heat = K.gaussian_blur(grid, sigma)
-        top = heat.max() if heat.size else 0
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "height": [h], "width": [w], "heat": [(heat / top if top > 0 else heat).ravel()]})
+        for t in pdf.dropna(subset=["y"]).itertuples():
+            grid[int(t.y) : int(t.y + t.h), int(t.x) : int(t.x + t.w)] = np.asarray(t.heat).reshape(int(t.h), int(t.w))
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "height": [h], "width": [w], "heat": [grid.ravel()]})
 
-    return sizes.join(values, "image_id", "left").groupBy("image_id").applyInPandas(run, "image_id string, height int, width int, heat array<double>")
+    parts = smooth_tiles(inside(values, sizes), sizes, sigma).drop("height", "width")
+    return sizes.select("image_id", "height", "width").join(parts, "image_id", "left").groupBy("image_id").applyInPandas(run, "image_id string, height int, width int, heat array<double>")
+
+
+def _joined_parts(parts: DataFrame, borders: DataFrame, key: str, diagonal: bool) -> DataFrame:
+    """``parts`` with ``part``, one number for all that touch across tiles.
+
+    ``parts`` has a row (key, ty, tx, c, ...) for each connected part of a tile,
+    ``borders`` its pixels (key, ty, tx, c, y, x) at the tile's edges. What
+    touches is an edge of a graph of parts, whose components are found by star
+    steps; no image is held anywhere.
+    """
+    named = save(parts.withColumn("id", F.monotonically_increasing_id()))
+    at = save(borders.join(named.select(key, "ty", "tx", "c", "id"), [key, "ty", "tx", "c"]).select(key, "y", "x", "id"))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+    shifted = at.select(F.col(key).alias("_k"), F.col("id").alias("_id"), F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("p"))
+    touch = at.join(shifted, (F.col(key) == F.col("_k")) & (F.col("y") == F.col("p.y")) & (F.col("x") == F.col("p.x"))).where("id <> _id").select("id", "_id").distinct()
+    touch = save(touch)
+    if not touch.head(1):
+        return named.withColumnRenamed("id", "part")
+    found = components(touch)
+    return named.join(found, named["id"] == found["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("id", "node", "component")
 
 
 def hot_regions(heatmaps: DataFrame, threshold: float = 0.5, min_area: int = 9) -> DataFrame:
-    """(image_id, region, area, x, y, w, h): 4-connected parts above ``threshold`` of at least ``min_area`` pixels."""
+    """(image_id, region, area, x, y, w, h): 4-connected parts above ``threshold`` of at least ``min_area`` pixels.
+
+    ``heatmaps`` are tiles or whole images. Regions are numbered by their first
+    pixel, row by row, the small ones too.
+    """
+    if "y" not in heatmaps.columns:
+        heatmaps = heatmaps.select("image_id", "height", "width", F.lit(0).alias("y"), F.lit(0).alias("x"), F.col("height").alias("h"), F.col("width").alias("w"), "heat")
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                label, n = K.label_cells(np.asarray(r.heat).reshape(r.height, r.width) > threshold, diagonal=False)
-                for k in range(1, n + 1):
-                    y, x = np.nonzero(label == k)
-                    if len(y) >= min_area:
-                        rows.append((r.image_id, k, len(y), x.min(), y.min(), np.ptp(x) + 1, np.ptp(y) + 1))
-            yield pd.DataFrame(rows, columns=["image_id", "region", "area", "x", "y", "w", "h"])
-
-    return heatmaps.mapInPandas(run, "image_id string, region int, area int, x int, y int, w int, h int")
+                label, n = K.label_cells(np.asarray(r.heat).reshape(r.h, r.w) > threshold, diagonal=False)
+                y, x = np.nonzero(label)
+                c = label[y, x]
+                for k, (at, down, right) in enumerate(_spans(c, y, x, n), 1):
+                    rows.append((r.image_id, r.y, r.x, k, len(at), r.y + down[0], r.x + right[0], r.y + down.min(), r.x + right.min(), r.y + down.max(), r.x + right.max(), False))
+                edge = np.flatnonzero((y == 0) | (x == 0) | (y == r.h - 1) | (x == r.w - 1)) if (r.h, r.w) != (r.height, r.width) else []
+                rows += [(r.image_id, r.y, r.x, c[e], 1, r.y + y[e], r.x + x[e], None, None, None, None, True) for e in edge]
+            yield pd.DataFrame(rows, columns=["image_id", "ty", "tx", "c", "n", "y", "x", "y0", "x0", "y1", "x1", "border"])
+
+    told = save(heatmaps.mapInPandas(run, "image_id string, ty int, tx int, c int, n int, y int, x int, y0 int, x0 int, y1 int, x1 int, border boolean"))
+    joined = _joined_parts(told.where("not border").drop("border"), told.where("border"), "image_id", False)
+    ends = [f(c).alias(c) for f, c in ((F.min, "y0"), (F.min, "x0"), (F.max, "y1"), (F.max, "x1"))]
+    regions = joined.groupBy("image_id", "part").agg(F.sum("n").cast("int").alias("area"), F.min(F.struct("y", "x")).alias("first"), *ends)
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy("first")).alias("region")
+    out = regions.select("image_id", number, "area", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"))
+    return out.where(F.col("area") >= min_area)
+
+
+def _spans(c: np.ndarray, y: np.ndarray, x: np.ndarray, n: int):
+    """For each label 1 to ``n``: places, y and x of its cells in row-major order."""
+    order = np.argsort(c, kind="stable")
+    for at in np.split(order, np.cumsum(np.bincount(c, minlength=n + 1)[1:])[:-1]) if n else []:
+        yield at, y[at], x[at]
 
 
 def footprint(matches: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -76,20 +149,31 @@ def footprint(matches: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFr
     return out.select(*by, "y", "x").distinct()
 
 
-def largest_component(mask: DataFrame, key: str = "image_id") -> DataFrame:
-    """The mask's largest 8-connected component per key; the first in row-major order wins ties."""
+def largest_component(mask: DataFrame, key: str = "image_id", side: int = SIDE) -> DataFrame:
+    """The mask's largest 8-connected component per key; the first in row-major order wins ties.
+
+    Cells (key, y, x, each once) are labelled in tiles, and parts that touch
+    across tiles are joined. Memory follows a tile's cells.
+    """
+    kind = mask.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = pdf["y"].min(), pdf["x"].min()
-        grid = np.zeros((pdf["y"].max() - y0 + 1, pdf["x"].max() - x0 + 1), bool)
-        grid[pdf["y"] - y0, pdf["x"] - x0] = True
-        label, _ = K.label_cells(grid, diagonal=True)
-        size = np.bincount(label.ravel())
-        size[0] = 0
-        own = label[pdf["y"] - y0, pdf["x"] - x0]
-        return pdf[own == size.argmax()]
-
-    return mask.groupBy(key).applyInPandas(run, mask.schema)
+        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
+        y, x = pdf["y"].to_numpy() - ty * side, pdf["x"].to_numpy() - tx * side
+        grid = np.zeros((side, side), bool)
+        grid[y, x] = True
+        return pdf.assign(c=K.label_cells(grid, diagonal=True)[0][y, x], border=(y == 0) | (x == 0) | (y == side - 1) | (x == side - 1))
+
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    cells = mask.select(F.col(key).alias("k"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).withColumn("ty", tile("y")).withColumn("tx", tile("x"))
+    told = save(cells.groupBy("k", "ty", "tx").applyInPandas(run, f"k {kind}, y int, x int, ty int, tx int, c int, border boolean"))
+    parts = told.groupBy("k", "ty", "tx", "c").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("first"))
+    joined = save(_joined_parts(parts, told.where("border").drop("border"), "k", True))
+    sizes = joined.groupBy("k", "part").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    best = sizes.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "part")).alias("best")).select("k", F.col("best.part").alias("part"))
+    mine = joined.join(best, ["k", "part"]).select("k", "ty", "tx", "c")
+    kept = told.join(mine, ["k", "ty", "tx", "c"]).select(F.col("k").alias(key), "y", "x")
+    return mask.join(kept, [key, "y", "x"], "left_semi")
 
 
 def box(mask: DataFrame, key: str = "image_id") -> DataFrame:

@@ -1,65 +1,28 @@
 """Exact k-nearest-neighbour joins by squared L2 distance, in blocks.
 
-Queries travel to the targets, which stay where they are. If the query matrix
-is proven small (its size is counted first) it is broadcast and each partition
-of targets keeps a running best k; otherwise both sides are dealt into blocks
-and each pair of blocks is one group. Either way a partial top-k leaves the
-kernel, one row per query and block, and two aggregations merge them.
+If the query matrix is proven small (its size is counted first) it is broadcast
+to the targets, which stay where they are, and each partition keeps a running
+best k; otherwise a metric index of the targets is built, and queries meet the
+blocks that it can't exclude. Either way a partial top-k leaves the kernel, one
+row per query and block, and two aggregations merge them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragmatch.functions.kernels import nearest
+from fragmatch.operators import metric
+from fragmatch.operators.blocks import BLOCK_ROWS, NEAR, merged, near_lists
 from fragmatch.operators.patches import stack
+from fragmatch.plans.scratch import drop
 
 #: Query matrices up to this size are broadcast.
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 8192
-NEAR = "array<struct<d:double,t:long>>"
-
-
-def best(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, k) distances and ids of the nearest targets at ``limit`` or nearer; ties go to the smaller id.
-
-    Places without a target hold infinity and -1. Candidates come from
-    |q|^2 + |t|^2 - 2 q t in single precision, with room for its error, and are
-    measured again exactly; queries without any cost no more than that.
-    """
-    out_d, out_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
-    if not len(t) or not len(q):
-        return out_d, out_i
-    limit = np.broadcast_to(np.asarray(limit, float), (len(q),))
-    q32, t32 = q.astype(np.float32), t.astype(np.float32)
-    norm, q_norm = (t32 * t32).sum(axis=1), (q32 * q32).sum(axis=1)
-    room = 1e-5 * (norm.max() + q_norm.max())
-    for lo in range(0, len(q), 512):
-        rough = q32[lo : lo + 512] @ t32.T
-        rough *= -2
-        rough += norm
-        rough += q_norm[lo : lo + 512, None]
-        near = rough <= (limit[lo : lo + 512] + room).astype(np.float32)[:, None]
-        for r in np.flatnonzero(near.any(axis=1)):
-            at = np.flatnonzero(near[r])
-            if len(at) > 4 * k:
-                v = rough[r, at]
-                at = at[v <= np.partition(v, k - 1)[k - 1] + 2 * room]
-            d = ((t[at] - q[lo + r]) ** 2).sum(axis=1)
-            at, d = at[d <= limit[lo + r]], d[d <= limit[lo + r]]
-            order = np.lexsort((ids[at], d))[:k]
-            out_d[lo + r, : len(order)], out_i[lo + r, : len(order)] = d[order], ids[at][order]
-    return out_d, out_i
-
-
-def _near(d: np.ndarray, i: np.ndarray) -> pa.Array:
-    some = np.isfinite(d)
-    items = pa.StructArray.from_arrays([pa.array(d[some]), pa.array(i[some])], names=["d", "t"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)), items)
 
 
 def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int, limit: float) -> DataFrame:
@@ -77,7 +40,7 @@ def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int, limit: float
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                nd, ni = best(q, stack(part["v"], -1), part["t"].to_numpy(), k, np.minimum(d[:, -1], limit))
+                nd, ni = nearest(q, stack(part["v"], -1), part["t"].to_numpy(), k, np.minimum(d[:, -1], limit))
                 new = np.flatnonzero(np.isfinite(nd[:, 0]))
                 both, who = np.concatenate([d[new], nd[new]], axis=1), np.concatenate([i[new], ni[new]], axis=1)
                 order = np.lexsort((who, both), axis=1)[:, :k]
@@ -85,26 +48,11 @@ def _broadcast_join(queries: DataFrame, targets: DataFrame, k: int, limit: float
         found = np.flatnonzero(np.isfinite(d[:, 0]))
         for at in range(0, len(found), 8192):
             rows = found[at : at + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), _near(d[rows], i[rows])], names=["q", "part", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), near_lists(d[rows], i[rows])], names=["q", "part", "near"])
 
     return targets.mapInArrow(run, f"q long, part long, near {NEAR}")
 
 
-def _block_join(queries: DataFrame, targets: DataFrame, k: int, n_q: int, n_t: int, limit: float) -> DataFrame:
-    q_blocks, t_blocks = -(-n_q // BLOCK_ROWS), -(-n_t // BLOCK_ROWS)
-    left = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))).alias("b"))
-    right = targets.select("t", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("t"), F.lit(t_blocks)).alias("b"))
-
-    def run(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"q": [], "part": [], "near": []})
-        d, i = best(np.stack(l["v"]), np.stack(r["v"]), r["t"].to_numpy(), k, limit)
-        near = [[{"d": x, "t": y} for x, y in zip(a, b) if y >= 0 or x < np.inf] for a, b in zip(d.tolist(), i.tolist())]
-        return pd.DataFrame({"q": l["q"].to_numpy(), "part": int(key[1]), "near": near})
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, f"q long, part long, near {NEAR}")
-
-
 def knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, limit: float = float("inf")) -> DataFrame:
     """(q, rank, t, dist): the ``k`` nearest targets of every query, rank from 1.
 
@@ -119,16 +67,11 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id
     n_q, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
     take = k + (1 if skip_self else 0)
     if n_q * (width or 0) * 8 <= broadcast_bytes:
-        parts = _broadcast_join(q, t, take, limit)
-    else:
-        parts = _block_join(q, t, take, n_q, t.count(), limit)
-    merge = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, take)
-    first = parts.groupBy("q", F.pmod("part", F.lit(64)).alias("part")).agg(merge("near").alias("near"))
-    near = first.groupBy("q").agg(merge("near").alias("near"))
-    if skip_self:
-        near = near.select("q", F.slice(F.filter("near", lambda x: x["t"] != F.col("q")), 1, k).alias("near"))
-    out = near.select("q", F.posexplode("near").alias("pos", "x"))
-    return out.select("q", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.t").alias("t"), F.col("x.d").alias("dist"))
+        return metric.ranked(merged(_broadcast_join(q, t, take, limit), take), k, skip_self)
+    index = metric.build(t, "t", "v")
+    near = metric.nearest(index, q, take, limit)  # a saved table
+    drop(index.cells)
+    return metric.ranked(near, k, skip_self)
 
 
 def within(hits: DataFrame, threshold: float) -> DataFrame:

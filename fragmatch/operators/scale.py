@@ -28,10 +28,15 @@ def scale_map(images: DataFrame, window: int = 64, stride: int = 32) -> DataFram
 
 def scale_inconsistency(images: DataFrame, window: int = 64, stride: int = 32) -> DataFrame:
     """(image_id, score, min_fraction, median_fraction, bbox): median less minimum; (0, 1, 1) under two windows."""
-    cells = scale_map(images, window, stride).groupBy("image_id").agg(
+    return inconsistency(scale_map(images, window, stride), images.select("image_id"), window)
+
+
+def inconsistency(cells: DataFrame, ids: DataFrame, window: int = 64) -> DataFrame:
+    """The same of a map's rows (image_id, y, x, fraction), for the images of ``ids``."""
+    cells = cells.groupBy("image_id").agg(
         F.count("*").alias("n"), F.min("fraction").alias("lo"), F.percentile("fraction", F.lit(0.5)).alias("mid"), F.min_by(F.struct("x", "y"), F.struct("fraction", "y", "x")).alias("at")
     )
-    out = images.select("image_id").join(cells, "image_id", "left")
+    out = ids.select("image_id").join(cells, "image_id", "left")
     enough = F.coalesce(F.col("n") >= 2, F.lit(False))
     return out.select(
         "image_id", F.when(enough, F.col("mid") - F.col("lo")).otherwise(F.lit(0.0)).alias("score"), F.when(enough, F.col("lo")).otherwise(F.lit(1.0)).alias("min_fraction"),

@@ -38,14 +38,20 @@ def save(df: DataFrame) -> DataFrame:
     Spark can tell from them which joins may broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fragmatch/{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for what a query writes in a form of its own; deleted at exit like saved tables, or by ``forget``."""
+    path = f"{shared_dir(spark)}/fragmatch/{uuid.uuid4().hex}"
     if not _live:
         atexit.register(_forget_all)
     _live.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return out
+    return path
 
 
 def _forget_all() -> None:

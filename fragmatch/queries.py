@@ -6,17 +6,15 @@ at a stride of 4, and the entropy threshold is 1.3, as text has little entropy.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.config import Config
 from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
-from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, patches, priors, scale, verify
+from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, metric, patches, priors, scale, tiles, verify
 from fragmatch.plans import engine
-from fragmatch.plans.scratch import save, shared_dir
+from fragmatch.plans.scratch import drop, folder, save
 from fragmatch.sources import index as store
 from fragmatch.sources.rasters import text_rasters
 from fragmatch.streaming.ingest import ingest
@@ -24,6 +22,7 @@ from fragmatch.streaming.ingest import ingest
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 SIZE, STRIDE, ENTROPY = 4, 4, 1.3
+TILE_SIDE = 64
 
 
 def query(sql: str | None = None):
@@ -195,10 +194,31 @@ def desc_pca(spark, d):
     return _checksum(spark, d, lambda p: K.project(K.composite(p, False), 64, basis))
 
 
-@query("""
+def _tiles(spark, d) -> DataFrame:
+    return tiles.text_tiles(_t(spark, d, "documents"), "doc_id", "text", side=TILE_SIDE)
+
+
+@query(f"WITH {RASTER_SQL} {_ENT} SELECT image_id, count(*) AS kept, round(avg(e), 6) AS mean_entropy, CAST(max(patch_idx) AS INT) AS last FROM ent WHERE e > {ENTROPY} GROUP BY image_id")
+def tile_patches(spark, d):
+    """Documents in tiles of 64 pixels, cut into patches across the tiles' edges."""
+    rows = tiles.explode(_tiles(spark, d), SIZE, STRIDE, ENTROPY, side=TILE_SIDE)
+    return rows.groupBy("image_id").agg(F.count("*").alias("kept"), F.round(F.avg("entropy"), 6).alias("mean_entropy"), F.max("patch_idx").alias("last"))
+
+
+_LEVELS_SQL = """
 WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS image_id, CAST(ceil(length(text) / 48.0) AS INT) AS h FROM documents WHERE length(text) > 144
 ), l AS (SELECT image_id, 0 AS level, 1.0::DOUBLE AS scale, h, 16 AS w FROM h UNION ALL SELECT image_id, 1, 0.5::DOUBLE, h // 2, 8 FROM h)
-SELECT image_id, CAST(level AS INT) AS level, scale, CAST(((h - 4) // 4 + 1) * ((w - 4) // 4 + 1) AS BIGINT) AS n, CAST((w - 4) // 4 * 4 / scale AS INT) AS max_x, CAST((h - 4) // 4 * 4 / scale AS INT) AS max_y FROM l WHERE h >= 8""")
+SELECT image_id, CAST(level AS INT) AS level, scale, CAST(((h - 4) // 4 + 1) * ((w - 4) // 4 + 1) AS BIGINT) AS n, CAST((w - 4) // 4 * 4 / scale AS INT) AS max_x, CAST((h - 4) // 4 * 4 / scale AS INT) AS max_y FROM l WHERE h >= 8"""
+
+
+@query(_LEVELS_SQL)
+def tile_pyramid(spark, d):
+    """Patches of two levels of documents in tiles of 64 pixels."""
+    rows = tiles.pyramid_patches(_tiles(spark, d), SIZE, [1.0, 0.5], STRIDE, 8, side=TILE_SIDE)
+    return rows.groupBy("image_id", "level", "scale").agg(F.count("*").alias("n"), F.max("orig_x").alias("max_x"), F.max("orig_y").alias("max_y"))
+
+
+@query(_LEVELS_SQL)
 def pyramid_patches(spark, d):
     rows = patches.pyramid_patches(_docs(spark, d), SIZE, [1.0, 0.5], STRIDE, 8)
     return rows.groupBy("image_id", "level", "scale").agg(F.count("*").alias("n"), F.max("orig_x").alias("max_x"), F.max("orig_y").alias("max_y"))
@@ -227,6 +247,16 @@ def knn_topk(spark, d):
     return _out(_knn(spark, d))
 
 
+@query(_NEAR + "SELECT q, rank, t, round(dist, 6) AS dist FROM r")
+def knn_metric(spark, d):
+    """All vectors searched in a metric index of all vectors, which is written and read again."""
+    e, path = _t(spark, d, "embeddings"), folder(spark)
+    made = metric.build(e, "vec_id", "embedding")
+    metric.write(made, path)
+    drop(made.cells)
+    return _out(metric.knn(metric.read(spark, path), e, 10, "vec_id", "embedding", skip_self=True))
+
+
 @query(_NEAR + "SELECT q, rank, t, round(dist, 6) AS dist FROM r WHERE dist <= 1.2")
 def knn_threshold(spark, d):
     return _out(knn.within(_knn(spark, d), 1.2))
@@ -271,7 +301,7 @@ _SHARD = "list_reduce(list_transform(string_split(md5({}), ''), lambda c: strpos
 @query(f"WITH {RASTER_SQL} SELECT CAST({_SHARD.format('image_id', 5)} AS INT) AS shard, count(*) AS size, count(DISTINCT image_id) AS images, CAST(max(len(p)) AS INT) AS dim FROM pat GROUP BY 1")
 def index_roundtrip(spark, d):
     """All documents' patches written as a sharded index twice, and the latest version read again."""
-    path = f"{shared_dir(spark)}/fragmatch/index-{uuid.uuid4().hex}"
+    path = folder(spark)
     rows = save(engine.index(_docs(spark, d), config(stride=STRIDE, entropy_threshold=None), K.difference))
     for shards in (3, 5):
         store.write(rows, path, shards)
@@ -294,7 +324,7 @@ def catalog_latest(spark, d):
 @query(f"WITH {RASTER_SQL} SELECT image_id, count(*) AS patches, CAST(max(y) AS INT) AS last_y FROM pat GROUP BY image_id")
 def stream_ingest(spark, d):
     """All documents as a stream of rasters, indexed incrementally, and the index read again."""
-    path = f"{shared_dir(spark)}/fragmatch/stream-{uuid.uuid4().hex}"
+    path = folder(spark)
     docs = spark.readStream.schema(_t(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as the table may be one file
     ingest(text_rasters(docs, "doc_id", "text"), path, f"{path}/checkpoint", config(stride=STRIDE, entropy_threshold=None), K.difference).awaitTermination()
     return store.read(spark, path).groupBy("image_id").agg(F.count("*").alias("patches"), F.max("y").alias("last_y"))
@@ -430,12 +460,28 @@ def heatmap_raw(spark, d):
     return heatmap.pixels(_matches(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query()
+_SMOOTH_SQL = f"""WITH RECURSIVE {_MATCH_SQL}, px AS (
+  SELECT image_id, tgt_y + 1000 AS y, tgt_x + 1000 AS x, sum(probability * w) / sum(w) AS v FROM (SELECT *, CASE patch_size WHEN 4 THEN 1.2::DOUBLE WHEN 5 THEN 1.5::DOUBLE WHEN 6 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM mt) GROUP BY ALL
+), tap AS (SELECT d, exp(-d * d / CAST(8 AS DOUBLE)) / sum(exp(-d * d / CAST(8 AS DOUBLE))) OVER () AS g FROM (SELECT unnest(range(-8, 9)) AS d)
+), tall AS (SELECT * FROM px UNION ALL SELECT image_id, -1 - y, x, v FROM px WHERE y < 8  -- mirrored at the edge; no target is near the others
+), src AS (SELECT * FROM tall UNION ALL SELECT image_id, y, -1 - x, v FROM tall WHERE x < 8
+), down AS (SELECT image_id, y + d AS y, x, sum(v * g) AS v FROM src, tap WHERE y + d >= 0 GROUP BY ALL
+), heat AS (SELECT image_id, y, x + d AS x, sum(v * g) AS v FROM down, tap WHERE x + d >= 0 GROUP BY ALL
+), hot AS (SELECT image_id, y * 2060 + x AS k FROM (SELECT *, max(v) OVER (PARTITION BY image_id) AS top FROM heat) WHERE v > 0.5 * top
+), step AS (SELECT a.image_id, a.k, b.k AS n FROM hot a JOIN (SELECT image_id, k, unnest([k - 2060, k - 1, k + 1, k + 2060]) AS j FROM hot) b ON a.image_id = b.image_id AND a.k = b.j
+), reach AS (SELECT image_id, k, k AS n FROM hot UNION SELECT r.image_id, r.k, s.n FROM reach r JOIN step s ON r.image_id = s.image_id AND r.n = s.k
+), root AS (SELECT image_id, k, min(n) AS first FROM reach GROUP BY ALL
+), part AS (SELECT image_id, first, count(*) AS area, min(k % 2060) AS x, min(k // 2060) AS y, max(k % 2060) - min(k % 2060) + 1 AS w, max(k // 2060) - min(k // 2060) + 1 AS h FROM root GROUP BY ALL
+)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY first) AS INT) AS region, CAST(area AS INT) AS area, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM part QUALIFY area >= 9"""
+
+
+@query(_SMOOTH_SQL)
 def heatmap_smooth(spark, d):
     """Hot regions of all matches, whose targets of -1000 to 1048 are moved into the image."""
     m = _matches(spark, d).withColumns({c: F.col(c) + 1000 for c in ("tgt_x", "tgt_y")})
     sizes = m.select("image_id").distinct().withColumn("height", F.lit(2060)).withColumn("width", F.lit(2060))
-    return heatmap.hot_regions(heatmap.smooth(heatmap.pixels(m), sizes), 0.5)
+    return heatmap.hot_regions(heatmap.smooth_tiles(heatmap.pixels(m), sizes), 0.5)
 
 
 _FOOT_SQL = f"WITH {_MATCH_SQL}, f AS (SELECT DISTINCT image_id, y, x FROM (SELECT image_id, patch_size, src_x, unnest(range(src_y, src_y + patch_size)) AS y, unnest(range(0, patch_size)) AS k FROM mt), LATERAL (SELECT unnest(range(src_x, src_x + patch_size)) AS x))"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmatch.errors import ImageError, ImageShapeError
+from fragmatch.operators import tiles
 from fragmatch.sources.rasters import RASTER
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp")
@@ -45,18 +46,22 @@ def paths(spark: SparkSession, folder: str, patterns: str = "*.jpg,*.jpeg,*.png"
     return reader.load(folder).select("path", "length").dropDuplicates(["path"]).orderBy("path")
 
 
+def _decoded(spark: SparkSession, folder: str, patterns: str | None, recursive: bool, least: int) -> DataFrame:
+    """Spark's rows of image files, with ``reason`` where a file can't be used."""
+    globs = patterns or ",".join(f"*.{e}" for e in EXTENSIONS)
+    names = sorted({v for p in globs.split(",") for v in (p.strip(), p.strip().lower(), p.strip().upper())})
+    loaded = spark.read.format("image").option("pathGlobFilter", "{" + ",".join(names) + "}").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("image.*")
+    bad = F.when(F.col("nChannels") != 3, "not RGB").when(F.least("height", "width") < least, f"smaller than {least} pixels")
+    return loaded.withColumn("reason", F.when(F.col("height") < 0, "not readable").otherwise(bad))
+
+
 def scan(spark: SparkSession, folder: str, patterns: str | None = None, recursive: bool = True, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """Images of a folder as raster rows, and (path, reason) of the files that can't be used.
 
     Files are decoded by Spark's image source; it gives blue, green, red, and
     here the order is turned round. ``image_id`` is the path.
     """
-    globs = patterns or ",".join(f"*.{e}" for e in EXTENSIONS)
-    names = sorted({v for p in globs.split(",") for v in (p.strip(), p.strip().lower(), p.strip().upper())})
-    loaded = spark.read.format("image").option("pathGlobFilter", "{" + ",".join(names) + "}").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("image.*")
-    bad = F.when(F.col("nChannels") != 3, "not RGB").when(F.least("height", "width") < least, f"smaller than {least} pixels")
-    bad = F.when(F.col("height") < 0, "not readable").otherwise(bad)
-    marked = loaded.withColumn("reason", bad)
+    marked = _decoded(spark, folder, patterns, recursive, least)
 
     def run(batches):
         for batch in batches:
@@ -68,6 +73,22 @@ def scan(spark: SparkSession, folder: str, patterns: str | None = None, recursiv
     return good, marked.where("reason is not null").select(F.col("origin").alias("path"), "reason")
 
 
+def scan_tiles(spark: SparkSession, folder: str, patterns: str | None = None, recursive: bool = True, least: int = 3, side: int = tiles.SIDE) -> tuple[DataFrame, DataFrame]:
+    """Like ``scan``, with images as tiles of 8-bit values (``operators.tiles``): a decoded image is never a list of numbers."""
+    marked = _decoded(spark, folder, patterns, recursive, least)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                origin, h, w = (batch[c][k].as_py() for c in ("origin", "height", "width"))
+                image = np.frombuffer(batch["data"][k].as_buffer(), np.uint8).reshape(h, w, 3)[:, :, ::-1]
+                for row in tiles.cut_array(image, side):
+                    yield tiles.tile_batch([(origin, h, w)], [row])
+
+    good = marked.where("reason is null").select("origin", "height", "width", "data").mapInArrow(run, tiles.TILE)
+    return good, marked.where("reason is not null").select(F.col("origin").alias("path"), "reason")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
