@@ -135,13 +135,13 @@ def match(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, t
     return MatchResult(matches, best, found, values, stats)
 
 
-def map_decode(beliefs: DataFrame, nodes: DataFrame, found: DataFrame, backed: DataFrame, labels: int) -> DataFrame:
+def map_decode(beliefs: DataFrame, nodes: DataFrame, found: DataFrame, backed: DataFrame, labels: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Matches of the nodes whose best label is a peak and not the null label, which is the last.
 
     A match's target lies at the source plus the peak's offset; its image is
     that of the first candidate that supports the peak.
     """
-    chosen = beliefs.where(F.col("map_label") < labels).join(nodes, "node").join(found.select(F.col("peak").alias("map_label"), "dx", "dy"), "map_label")
+    chosen = beliefs.where(F.col("map_label") < labels).join(nodes, "node").join(found.select(*by, F.col("peak").alias("map_label"), "dx", "dy"), [*by, "map_label"])
     image = backed.groupBy("node", F.col("peak").alias("map_label")).agg(F.min_by("image_id", "match_ord").alias("image_id"), F.min("match_ord").alias("match_ord"))
     return chosen.join(image, ["node", "map_label"]).select(
         "src_image", "image_id", "src_idx", F.col("x").alias("src_x"), F.col("y").alias("src_y"), (F.col("x") + F.col("dx")).cast("int").alias("tgt_x"), (F.col("y") + F.col("dy")).cast("int").alias("tgt_y"),
@@ -153,6 +153,8 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
     """Bayes mode: log Bayes factors of all sizes vote; peaks become labels of a belief network.
 
     ``prior`` has a ``Prior`` for some sizes. The last label is the null label.
+    Source images are told apart throughout: in ``hypotheses`` peaks are
+    numbered from 0 for each.
     """
     from dataclasses import replace
 
@@ -171,17 +173,22 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
     for p in parts[1:]:
         every = every.unionByName(p)
     ordinal = F.col("patch_size").cast("long") * F.lit(1 << 40) + F.col("src_idx").cast("long") * F.lit(k + 1) + F.col("rank")
-    cands = save(every.withColumn("node", F.xxhash64("src_image", "patch_size", "src_idx")).withColumn("match_ord", ordinal))
-    found = save(hough.peaks(hough.vote(cands), PEAK_FLOOR, MAX_PEAKS))
-    labels = found.count()  # at most MAX_PEAKS
-    nodes = cands.groupBy("node").agg(F.first("patch_size").alias("size"), F.first("src_x").alias("x"), F.first("src_y").alias("y"), F.first("src_image").alias("src_image"), F.first("src_idx").alias("src_idx"))
-    nodes = save(nodes)
-    backed = save(hough.support(cands, found, REACH))
+    every = save(every.withColumn("match_ord", ordinal))
+    key, by = ["src_image", "patch_size", "src_idx"], ("src_image",)
+    nodes = every.groupBy(*key).agg(F.first("src_x").alias("x"), F.first("src_y").alias("y"))
+    nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()))
+    cands = save(every.join(nodes.select(*key, "node"), key))
+    # every source image has offsets, peaks and edges of its own
+    found = save(hough.peaks(hough.vote(cands, by), PEAK_FLOOR, MAX_PEAKS, "src_image"))
+    labels = (found.agg(F.max("peak")).first()[0] or 0) + 1 if found.head(1) else 0  # at most MAX_PEAKS
+    own = found.groupBy("src_image").agg(F.count("*").alias("own"))
+    nodes = save(nodes.withColumnRenamed("patch_size", "size").join(own, "src_image", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    backed = save(hough.support(cands, found, REACH, by))
     table = bp.unary_vectors(nodes, backed, labels, NULL_LABEL)
-    edges = hough.spatial_edges(nodes, REACH).withColumn("beta", F.lit(SPATIAL_BETA)).unionByName(hough.inclusion_edges(nodes).withColumn("beta", F.lit(INCLUSION_BETA)))
+    edges = hough.spatial_edges(nodes, REACH, by).withColumn("beta", F.lit(SPATIAL_BETA)).unionByName(hough.inclusion_edges(nodes, by).withColumn("beta", F.lit(INCLUSION_BETA)))
     beliefs, summary = bp.loopy_bp(table, save(edges), iterations=30, damping=0.4)
-    matches = save(map_decode(beliefs, nodes, found, backed, labels))
+    matches = save(map_decode(beliefs, nodes, found, backed, labels, by))
     best = verify.best_match(matches)
     values = heatmap.pixels(matches.join(best.select("image_id"), "image_id", "left_semi"), config.scale_weights)
-    stats = matches.agg(F.count("*").alias("matches")).withColumn("peaks", F.lit(labels))
+    stats = matches.agg(F.count("*").alias("matches")).withColumn("peaks", F.lit(found.count()))
     return MatchResult(matches, best, None, values, stats, found, beliefs, summary)
