@@ -321,6 +321,32 @@ def catalog_latest(spark, d):
     return held.remove("7").targets()
 
 
+@query("""
+WITH t AS (SELECT c_nationkey, c_nationkey % 4 AS seq, count(*) AS patches FROM customer GROUP BY ALL
+), k AS (SELECT * FROM t QUALIFY row_number() OVER (ORDER BY seq DESC, CAST(c_nationkey AS VARCHAR) DESC) <= 10)
+SELECT CAST(c_nationkey AS VARCHAR) AS image_id, CAST(seq AS BIGINT) AS seq, patches FROM k WHERE c_nationkey <> 7""")
+def index_targets(spark, d):
+    """``catalog_latest`` on disk: four commits, the ten latest kept, one removed, and the log compacted."""
+    rows, path = _t(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("image_id"), (F.col("c_nationkey") % 4).alias("step"), "c_custkey"), folder(spark)
+    for k in range(4):
+        store.add(rows.where(F.col("step") == k).drop("step"), path)
+    store.evict(spark, path, 10)
+    store.remove(spark, path, ["7"])
+    store.compact(spark, path)
+    return store.targets(spark, path)
+
+
+@query(f"WITH {RASTER_SQL} SELECT image_id, count(*) AS patches, CAST(max(y) AS INT) AS last_y FROM pat JOIN documents ON image_id = CAST(doc_id AS VARCHAR) WHERE source IS DISTINCT FROM 'src2' GROUP BY image_id")
+def index_log(spark, d):
+    """All documents' patches in one commit; those of one source added again, those of another removed; the stored index as readers see it."""
+    path, docs = folder(spark), _t(spark, d, "documents")
+    made = lambda rows: engine.index(text_rasters(rows, "doc_id", "text"), config(stride=STRIDE, entropy_threshold=None), K.difference)
+    store.add(made(docs), path, shards=3)
+    store.add(made(docs.where("source = 'src1'")), path)
+    store.remove(spark, path, docs.where("source = 'src2'").select(F.col("doc_id").cast("string").alias("image_id")))
+    return store.read(spark, path).groupBy("image_id").agg(F.count("*").alias("patches"), F.max("y").alias("last_y"))
+
+
 @query(f"WITH {RASTER_SQL} SELECT image_id, count(*) AS patches, CAST(max(y) AS INT) AS last_y FROM pat GROUP BY image_id")
 def stream_ingest(spark, d):
     """All documents as a stream of rasters, indexed incrementally, and the index read again."""

@@ -1,8 +1,21 @@
-"""The patch index as one Parquet table, so that vectors and metadata can't diverge."""
+"""The patch index on disk: a log of commits over Parquet folders.
+
+A commit adds a folder of patches, names images whose earlier patches are gone
+(replaced, removed or evicted), or both; a compaction writes what is left into one
+folder and covers the commits before it. Folders are written first and the commit's
+entry last, under the next free number, by a rename that fails if another writer
+was sooner. So a reader sees whole commits only, those up to the number it
+starts from, whoever writes meanwhile: batch writers and streams take turns.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,63 +29,234 @@ def with_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", md5_shard(F.col("image_id"), shards))
 
 
-def _version(spark: SparkSession, path: str) -> int | None:
-    """The latest version with a manifest, or null."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(p):
-        return None
-    names = [f.getPath() for f in files.listStatus(p)]
-    done = [int(n.getName().removeprefix("v=")) for n in names if n.getName().startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-    return max(done, default=None)
+# -- the log -------------------------------------------------------------------------------
+
+LOG = "number long, data string, rows long, shards int, gone string, covers long, compacted boolean, tag string"
+#: Attempts to find a free number before giving up.
+ATTEMPTS = 100
+
+
+@dataclass(frozen=True)
+class Commit:
+    """``data`` and ``gone`` name folders; entries up to ``covers`` are out of force; ``tag`` is a writer's own mark."""
+
+    number: int
+    data: str | None = None
+    rows: int = 0
+    shards: int | None = None
+    gone: str | None = None
+    covers: int | None = None
+    compacted: bool = False
+    tag: str | None = None
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    p = _path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def history(spark: SparkSession, path: str) -> list[Commit]:
+    """All commits that are kept, the first one first; none if nothing is there."""
+    if not _files(spark, path).exists(_path(spark, f"{path}/log")):
+        return []
+    rows = spark.read.schema(LOG).json(f"{path}/log").where("number is not null").orderBy("number").collect()  # one small row for each commit since the last but one compaction
+    return [Commit(**r.asDict()) for r in rows]
+
+
+def in_force(commits: list[Commit], number: int | None = None) -> list[Commit]:
+    """The commits that make up the index, or made it up at ``number``."""
+    seen = [c for c in commits if number is None or c.number <= number]
+    covered = max((c.covers for c in seen if c.covers is not None), default=-1)
+    return [c for c in seen if c.number > covered]
+
+
+def _put(spark: SparkSession, path: str, entry: Commit) -> bool:
+    """Write one entry; whether its number was free. The rename is what commits."""
+    files = _files(spark, path)
+    temporary, final = _path(spark, f"{path}/log/_{uuid.uuid4().hex}"), _path(spark, f"{path}/log/{entry.number:012}.json")
+    out = files.create(temporary, False)
+    out.write(bytearray(json.dumps(entry.__dict__).encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        if files.exists(final):
+            return False
+        context.rename(temporary, final, options)
+        return True
+    except Exception:
+        if files.exists(final):
+            return False
+        raise
+    finally:
+        files.delete(temporary, False)
+
+
+def _commit(spark: SparkSession, path: str, start: int, everything: bool = False, **fields) -> Commit:
+    """Commit under the next free number after ``start``; ``everything`` covers all that comes before it.
+
+    A compaction that another one overtook fails, as it would bring back what that one covers.
+    """
+    for number in range(start + 1, start + 1 + ATTEMPTS):
+        entry = Commit(number, **(fields | ({"covers": number - 1} if everything else {})))
+        if _put(spark, path, entry):
+            return entry
+        if fields.get("compacted") and any(c.covers is not None and c.number > start for c in history(spark, path)):
+            raise IndexCorruptedError(f"{path}: compacted by another writer meanwhile; nothing was changed")
+    raise RuntimeError(f"{path}: no free number after {ATTEMPTS} attempts")
+
+
+def _folder(rows: DataFrame, path: str, shards: int | None) -> tuple[str, int]:
+    name = f"f{uuid.uuid4().hex}"
+    out = with_shard(rows, shards) if shards else rows
+    writer = out.write.partitionBy("shard") if shards else out.write
+    writer.parquet(f"{path}/data/folder={name}")
+    return name, rows.sparkSession.read.parquet(f"{path}/data/folder={name}").count()  # from the files' footers
+
+
+def _gone(ids: DataFrame, path: str) -> str:
+    name = f"f{uuid.uuid4().hex}"
+    ids.select(F.col("image_id").cast("string").alias("image_id")).distinct().write.parquet(f"{path}/gone/folder={name}")
+    return name
+
+
+def _last(commits: list[Commit]) -> int:
+    return max((c.number for c in commits), default=-1)
+
+
+# -- writers -------------------------------------------------------------------------------
 
 
 def write(rows: DataFrame, path: str, shards: int | None = None) -> None:
-    """Write a new version of the index, and last a manifest of its row counts.
+    """Make ``rows`` the whole index. What was there before is kept for readers that are under way, until the next time."""
+    spark = rows.sparkSession
+    name, n = _folder(rows, path, shards)
+    _commit(spark, path, _last(history(spark, path)), everything=True, data=name, rows=n, shards=shards)
+    vacuum(spark, path)
+
 
-    Readers take the latest version that has a manifest, so that a crash leaves
-    the one before. That one is kept for readers that are under way; older ones
-    are deleted.
+def add(rows: DataFrame, path: str, replace: bool = True, shards: int | None = None, tag: str | None = None) -> None:
+    """Add images; earlier patches of their ids are gone with the same commit, or the images are refused.
+
+    A commit whose ``tag`` the log has already is left out, so that a repeated
+    attempt changes nothing. ``shards`` is by default that of the last commit.
     """
     spark = rows.sparkSession
-    before = _version(spark, path)
-    number = 0 if before is None else before + 1
-    out = with_shard(rows, shards) if shards else rows
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy("shard") if shards else writer).parquet(f"{path}/patches/v={number}")
-    record(spark, f"{path}/patches/v={number}", f"{path}/manifest/v={number}", shards)
-    for k in range(max(0, number - 3), number - 1):
-        for part in ("manifest", "patches"):
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/v={k}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-
-def record(spark: SparkSession, patches: str, manifest: str, shards: int | None = None) -> None:
-    """Write the manifest (shard, size, dim, num_shards) of a folder of patches."""
-    stored = spark.read.parquet(patches)
-    keys = ["shard"] if shards else [F.lit(0).alias("shard")]
-    counts = stored.groupBy(*keys).agg(F.count("*").alias("size"), F.max(F.size("descriptor")).alias("dim"))
-    counts.withColumn("num_shards", F.lit(shards or 1)).write.mode("overwrite").parquet(manifest)
-
-
-def mark(spark: SparkSession, manifest: str) -> None:
-    """Say that a manifest made of several parts can be read."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{manifest}/_SUCCESS")
-    done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The latest index at ``path``; an error if its rows are not as many as its manifest says."""
-    number = _version(spark, path)
-    if number is None:
-        raise IndexCorruptedError(f"{path}: no index with a manifest")
-    rows, manifest = spark.read.parquet(f"{path}/patches/v={number}"), spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/manifest/v={number}")
-    said, found = manifest.agg(F.sum("size")).first()[0] or 0, rows.count()
-    if found != said:
-        raise IndexCorruptedError(f"{path}: {found} rows, {said} expected")
+    commits = history(spark, path)
+    if tag is not None and any(c.tag == tag for c in commits):
+        return
+    shards = shards or next((c.shards for c in reversed(commits) if c.data), None)
+    name, n = _folder(rows, path, shards)
+    ids = spark.read.parquet(f"{path}/data/folder={name}").select("image_id")
+    gone = None
+    if in_force(commits):
+        if not replace and read(spark, path).join(ids.distinct(), "image_id", "left_semi").head(1):
+            raise TargetExistsError("a target of that id is indexed already")
+        gone = _gone(ids, path)
+    _commit(spark, path, _last(commits), data=name, rows=n, shards=shards, gone=gone, tag=tag)
+
+
+def remove(spark: SparkSession, path: str, ids: list[str] | DataFrame) -> None:
+    """Remove images by id; an error if one of a list is not there."""
+    if isinstance(ids, list):
+        ids = spark.createDataFrame([(i,) for i in ids], "image_id string")
+        missing = ids.join(targets(spark, path), "image_id", "left_anti").first()
+        if missing:
+            raise TargetNotFoundError(missing["image_id"])
+    _commit(spark, path, _last(history(spark, path)), gone=_gone(ids, path))
+
+
+def evict(spark: SparkSession, path: str, max_targets: int) -> None:
+    """Remove the images that were added earliest, beyond ``max_targets``; ids decide within one commit."""
+    have = targets(spark, path)
+    last = have.orderBy(F.desc("seq"), F.desc("image_id")).limit(max_targets)
+    old = save(have.join(last, "image_id", "left_anti").select("image_id"))
+    if old.head(1):
+        remove(spark, path, old)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the index as one folder, which covers the commits so far; commits that are made meanwhile stay in force."""
+    commits = history(spark, path)
+    live = in_force(commits)
+    if len(live) < 2:
+        return
+    last, shards = _last(commits), next((c.shards for c in reversed(live) if c.data), None)
+    rows = read(spark, path, last)
+    name, n = _folder(rows.drop("shard") if shards else rows, path, shards)
+    _commit(spark, path, last, data=name, rows=n, shards=shards, covers=last, compacted=True)
+    vacuum(spark, path)
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete what was out of force before the last but one write or compaction: readers of that state are still served."""
+    commits = history(spark, path)
+    covers = sorted(c.covers for c in commits if c.covers is not None)
+    if len(covers) < 2:
+        return
+    files = _files(spark, path)
+    for c in commits:
+        if c.number <= covers[-2]:
+            for kind, name in (("data", c.data), ("gone", c.gone)):
+                if name:
+                    files.delete(_path(spark, f"{path}/{kind}/folder={name}"), True)
+            files.delete(_path(spark, f"{path}/log/{c.number:012}.json"), False)
+
+
+# -- readers -------------------------------------------------------------------------------
+
+
+def _folders(spark: SparkSession, path: str, kind: str, commits: list[Commit]) -> DataFrame:
+    """The folders of some commits as one table, each row with its ``folder``."""
+    return spark.read.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/folder={getattr(c, kind)}" for c in commits])
+
+
+def _numbered(rows: DataFrame, kind: str, commits: list[Commit]) -> DataFrame:
+    """``rows`` with ``seq``, the number of the commit that each came with, for its folder."""
+    pairs = [F.lit(x) for c in commits for x in (getattr(c, kind), c.number)]
+    return rows.withColumn("seq", F.create_map(pairs)[F.col("folder")].cast("long")).drop("folder")
+
+
+def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The index, or its state at a commit, with ``seq``, the commit of each row; an error if there is none or its folders are not whole."""
+    live = in_force(history(spark, path), number)
+    data = [c for c in live if c.data]
+    if not data:
+        raise IndexCorruptedError(f"{path}: no index with a commit")
+    groups: dict[tuple, list[Commit]] = {}
+    for c in data:
+        groups.setdefault((c.shards, c.compacted), []).append(c)
+    try:
+        parts = []
+        for (_, compacted), members in groups.items():
+            found = _folders(spark, path, "data", members)
+            said, there = sum(c.rows for c in members), found.count()
+            if there != said:
+                raise IndexCorruptedError(f"{path}: {there} rows, {said} expected")
+            parts.append(found.drop("folder") if compacted else _numbered(found, "data", members))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        ends = [c for c in live if c.gone]
+        if ends:
+            end = _numbered(_folders(spark, path, "gone", ends), "gone", ends).groupBy(F.col("image_id").alias("_id")).agg(F.max("seq").alias("_end"))
+            rows = rows.join(end, F.col("image_id") == F.col("_id"), "left").where(F.col("_end").isNull() | (F.col("seq") >= F.col("_end"))).drop("_id", "_end")
+    except AnalysisException as e:
+        raise IndexCorruptedError(f"{path}: {e}") from e
     return rows
 
 
+def targets(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, seq, patches) of the images of the stored index."""
+    return read(spark, path).groupBy("image_id").agg(F.max("seq").alias("seq"), F.count("*").alias("patches"))
+
+
 def shard_info(rows: DataFrame) -> DataFrame:
     """(shard, size), the smallest shard number first."""
     return rows.groupBy("shard").agg(F.count("*").alias("size")).orderBy("shard")

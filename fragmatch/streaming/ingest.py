@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fragmatch.config import Config
 from fragmatch.plans import engine
 from fragmatch.sources import index as store
 
+#: The log is compacted after so many micro-batches.
+COMPACT_EVERY = 50
 
-def ingest(images: DataFrame, path: str, checkpoint: str, config: Config, kernel=None, once: bool = True) -> StreamingQuery:
-    """Append the patches of a stream of raster rows to an index, which ``index.read`` reads.
 
-    Each micro-batch is written under its number, which a repeated attempt
-    overwrites, and then its manifest, so every image is indexed exactly once.
+def ingest(images: DataFrame, path: str, checkpoint: str, config: Config, kernel=None, once: bool = True, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Add a stream of raster rows to an index, which ``index.read`` reads.
+
+    Each micro-batch is one commit, tagged with the checkpoint and its number,
+    so that a repeated attempt changes nothing. An image that comes again
+    replaces what it had, whoever wrote that; of rows of one id in one batch
+    one is taken. Batch writers and other streams may commit in between.
     """
     spark = images.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = engine.index(batch, config, kernel).withColumn("seq", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").parquet(f"{path}/patches/v=0/batch={number}")
-        store.record(spark, f"{path}/patches/v=0/batch={number}", f"{path}/manifest/v=0/batch={number}")
-        store.mark(spark, f"{path}/manifest/v=0")
+        if batch.isEmpty():
+            return
+        store.add(engine.index(batch.dropDuplicates(["image_id"]), config, kernel), path, tag=f"{checkpoint}#{number}")
+        if number % compact_every == compact_every - 1:
+            store.compact(spark, path)
 
     writer = images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
