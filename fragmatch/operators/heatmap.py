@@ -12,7 +12,7 @@ from fragmatch.operators.components import components
 from fragmatch.plans.scratch import save
 
 #: Images are worked on in tiles of so many pixels a side.
-SIDE = 256
+SIDE = 128
 HEAT = "image_id string, height int, width int, y int, x int, h int, w int, heat array<double>"
 WEIGHTS = {3: 1.0, 4: 1.2, 5: 1.5, 6: 2.0}
 
