@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fragmatch.functions.kernels import nearest
 from fragmatch.operators.patches import stack
+from fragmatch.plans.scratch import save
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 16384
@@ -74,7 +75,8 @@ def meet(targets: DataFrame, sizes: DataFrame, queries: DataFrame, asked: DataFr
     distances as limits. ``sizes`` counts the targets (key, n), ``asked`` the
     queries (key, m). Ties go to the smaller target id.
     """
-    cut = sizes.join(asked, "key").select("key", F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"), F.ceil(F.col("m") / F.lit(query_rows)).alias("parts"))
+    # saved, so that Spark knows its size: a small table is broadcast, and no key's rows meet in one task before they are dealt
+    cut = save(sizes.join(asked, "key").select("key", F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"), F.ceil(F.col("m") / F.lit(query_rows)).alias("parts")))
     one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = targets.join(cut, "key").select("key", one("t", "blocks").alias("block"), every("parts").alias("part"), "parts", F.lit(0).alias("role"), F.col("t").alias("id"), "v", F.lit(0.0).alias("limit"))
