@@ -61,11 +61,18 @@ def index(images: DataFrame, config: Config, kernel=None) -> DataFrame:
     if config.pyramid_enabled:
         rows = patches.pyramid_patches(images, s, config.pyramid_scales, config.stride, config.pyramid_min_size, config.entropy_threshold)
     else:
-        rows = patches.explode(images, s, config.stride, config.entropy_threshold, kernel or kernel_for(config)).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
+        rows = described(images, config, kernel).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
         return rows.withColumn("orig_x", F.col("x")).withColumn("orig_y", F.col("y")).withColumn("t", number("image_id", "level", "patch_idx"))
     return patches.describe(rows.withColumn("t", number("image_id", "level", "patch_idx")), kernel or kernel_for(config), s)
 
 
+def described(images: DataFrame, config: Config, kernel=None) -> DataFrame:
+    """Patches with descriptors; a kernel that needs whole images (``priors.BayesKernel``) gets the patches as a table."""
+    if hasattr(kernel, "frame"):
+        return kernel.frame(save(patches.explode(images, config.patch_size, config.stride, config.entropy_threshold)))
+    return patches.explode(images, config.patch_size, config.stride, config.entropy_threshold, kernel or kernel_for(config))
+
+
 def number(*keys: str) -> F.Column:
     """A 64-bit number for a patch's key: two of 10^9 patches share one with a probability of 3 %."""
     return F.xxhash64(*keys)
@@ -77,11 +84,11 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     Descriptors and ids alone go through the search; patches are joined to the hits afterwards.
     """
     s = config.patch_size
-    described = save(patches.explode(sources, s, config.stride, config.entropy_threshold, kernel or kernel_for(config)).withColumn("q", number("image_id", "patch_idx")))
+    mine = save(described(sources, config, kernel).withColumn("q", number("image_id", "patch_idx")))
     find = lsh.lsh_knn if config.lsh_enabled else knn.knn
     more = {"candidates": config.lsh_candidates, "threshold": config.lsh_threshold} if config.lsh_enabled else {"limit": config.distance_threshold}
-    hits = knn.within(find(described, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold)
-    left = described.select("q", F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("patch").alias("src_patch"))
+    hits = knn.within(find(mine, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold)
+    left = mine.select("q", F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("patch").alias("src_patch"))
     right = targets.select("t", "image_id", F.col("patch_idx").alias("tgt_idx"), F.col("orig_x").alias("tgt_x"), F.col("orig_y").alias("tgt_y"), "scale", F.col("patch").alias("tgt_patch"))
     out = hits.join(left, "q").join(right, "t")
     if target_ids is not None:
@@ -162,7 +169,7 @@ def match_bayes(sources: DataFrame, images: DataFrame, config: Config, prior: di
     for s in sizes:
         own = replace(config, patch_size=s, entropy_threshold=None, k_neighbors=k, distance_threshold=distance, lsh_enabled=False, pyramid_enabled=False)
         p = (prior or {}).get(s)
-        kernel = (lambda rows, p=p: K.bayesian(rows, p.embed)) if p else K.bayesian
+        kernel = priors.BayesKernel(p) if p else K.bayesian
         pairs = candidates(sources, save(index(images, own, kernel)), own, kernel)
         if p:
             density = priors.with_log_density(patches.explode(sources, s, own.stride), p).select(F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), "log_p0")

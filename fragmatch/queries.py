@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fragmatch.config import Config
 from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
-from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, metric, patches, priors, scale, tiles, verify
+from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, medians, metric, patches, priors, scale, tiles, verify
 from fragmatch.plans import engine
 from fragmatch.plans.scratch import drop, folder, save
 from fragmatch.sources import index as store
@@ -372,6 +372,12 @@ def prior_density(spark, d):
     return priors.score_mixture(_t(spark, d, "lineitem"), ["l_discount", "l_quantity"], *_MIXTURE, "log_p0").select("l_orderkey", "l_linenumber", F.round("log_p0", 6).alias("log_p0"))
 
 
+@query("SELECT l_suppkey, median(l_extendedprice) AS median FROM lineitem GROUP BY l_suppkey")
+def group_medians(spark, d):
+    """Exact medians by group, those that give each image its kernel width."""
+    return medians.grouped(_t(spark, d, "lineitem"), "l_suppkey", "l_extendedprice")
+
+
 @query()
 def hash_sample(spark, d):
     rows = _t(spark, d, "part").select(F.col("p_name").alias("image_id"), F.col("p_partkey").cast("int").alias("patch_idx"))
