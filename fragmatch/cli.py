@@ -1,15 +1,16 @@
-"""Command line: ``python -m fragmatch match|index|search|serve|bench|train|version``."""
+"""Command line: ``python -m fragmatch match|index|search|serve|bench|train|test|version``."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fragmatch import __version__
+from fragmatch import __version__, log
 from fragmatch.config import Config
 from fragmatch.errors import ConfigError, FragmatchError
 from fragmatch.operators import coherence, heatmap, scale
@@ -105,8 +106,22 @@ def run_service(args) -> int:
     return 0
 
 
+def self_test(args) -> int:
+    """The tests beside the package, if they are there."""
+    import pytest
+
+    from fragmatch import __file__ as here
+
+    tests = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(here))), "tests")
+    if not os.path.isdir(tests):
+        print(f"error: no tests at {tests}", file=sys.stderr)
+        return 1
+    return int(pytest.main([tests, "-q", *(["-k", args.only] if args.only else [])]))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="fragmatch")
+    p.add_argument("--log-level", default="WARNING")
     sub = p.add_subparsers(dest="command", required=True)
     common = argparse.ArgumentParser(add_help=False)
     for name, kind in (("patch-size", int), ("stride", int), ("entropy-threshold", float), ("k-neighbors", int), ("distance-threshold", float), ("min-probability", float)):
@@ -147,7 +162,14 @@ def main(argv: list[str] | None = None) -> int:
     r.set_defaults(run=run_service)
     v = sub.add_parser("version")
     v.set_defaults(run=lambda args: print(__version__) or 0)
+    x = sub.add_parser("test")
+    x.add_argument("--only")
+    x.set_defaults(run=self_test)
     args = p.parse_args(argv)
+    try:
+        log.setup(args.log_level)
+    except ValueError as e:
+        p.error(str(e))
     try:
         return args.run(args)
     except FragmatchError as e:

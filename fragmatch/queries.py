@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fragmatch.config import Config
 from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
-from fragmatch.operators import bp, coherence, evaluate, heatmap, hough, knn, lsh, medians, metric, patches, priors, scale, tiles, verify
+from fragmatch.operators import bp, coherence, evaluate, geometry, heatmap, hough, knn, lsh, medians, metric, patches, priors, scale, tiles, verify
 from fragmatch.plans import engine
 from fragmatch.plans.scratch import drop, folder, save
 from fragmatch.sources import index as store
@@ -290,6 +290,13 @@ def lsh_knn(spark, d):
     return _out(lsh.lsh_knn(e, e, 5, "vec_id", "vec_id", "embedding", candidates=100))
 
 
+@query(_NEAR + "SELECT a.q, a.t, round(a.dist, 6) AS dist FROM r a JOIN r b ON a.q = b.q AND a.rank = 1 AND b.rank = 2 WHERE a.dist < b.dist * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE)")
+def ratio_test(spark, d):
+    """Vectors whose nearest other one is clearly nearer than the second."""
+    e = _t(spark, d, "embeddings")
+    return geometry.ratio_test(knn.knn(e, e, 2, "vec_id", "vec_id", "embedding", skip_self=True), 0.9).select("q", "t", F.round("dist", 6).alias("dist"))
+
+
 @query("SELECT CAST(list_reduce(list_transform(string_split(md5(c_name), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: (a * 16 + b) % 7) AS INT) AS shard, count(*) AS size FROM customer GROUP BY 1")
 def shard_counts(spark, d):
     return store.shard_info(store.with_shard(_t(spark, d, "customer").withColumn("image_id", F.col("c_name")), 7))
@@ -615,6 +622,24 @@ def _nodes(spark, d) -> DataFrame:
     return _t(spark, d, "part").select(k.alias("node"), (F.lit(3) + F.col("p_size") % 4).cast("int").alias("size"), (k * 37 % 211).cast("int").alias("x"), (k * 101 % 223).cast("int").alias("y"))
 
 
+@query("""
+WITH m AS (SELECT l_suppkey AS pair, l_orderkey % 10 < 3 AS good FROM lineitem
+) SELECT pair, round((0.8 + pair % 5 * 0.1) * cos(pair % 7 * 0.3), 2) AS a, round((0.8 + pair % 5 * 0.1) * sin(pair % 7 * 0.3), 2) + 0.0 AS b, CAST(pair % 50 - 25 AS DOUBLE) AS c, CAST(pair % 30 AS DOUBLE) AS d, true AS most FROM m GROUP BY pair HAVING count(*) FILTER (good) >= 20""")
+def ransac_pairs(spark, d):
+    """Planted similarities, one for each supplier, recovered from line items of which seven in ten are outliers."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = ((k * 37 + n * 11) % 997).cast("double"), ((k * 59 + n * 101) % 991).cast("double")
+    p = F.col("l_suppkey")
+    turn, zoom = p % 7 * 0.3, F.lit(0.8) + p % 5 * 0.1
+    a, b = zoom * F.cos(turn), zoom * F.sin(turn)
+    rows = _t(spark, d, "lineitem").select(p.alias("pair"), (k % 10 < 3).alias("good"), x.alias("sx"), y.alias("sy"), (a * x - b * y + p % 50 - 25).alias("gx"), (b * x + a * y + p % 30).alias("gy"), ((k * 7919 + n * 104729) % 1999).cast("double").alias("rx"), ((k * 15485863 + n * 32452843) % 2003).cast("double").alias("ry"))
+    found, _ = geometry.similarity(rows.select("pair", "sx", "sy", F.when(F.col("good"), F.col("gx")).otherwise(F.col("rx")).alias("tx"), F.when(F.col("good"), F.col("gy")).otherwise(F.col("ry")).alias("ty")), ["pair"])
+    good = rows.where("good").groupBy("pair").agg(F.count("*").alias("n")).where("n >= 20")
+    out = found.join(good, "pair").withColumn("most", (F.col("inliers") >= F.col("n")) & (F.col("inliers") <= F.col("n") * 1.1))
+    whole = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return out.select("pair", whole("a", 2), whole("b", 2), whole("c", 0), whole("d", 0), "most")
+
+
 _NODE_SQL = "WITH n AS (SELECT p_partkey AS node, CAST(3 + p_size % 4 AS INT) AS size, p_partkey * 37 % 211 AS x, p_partkey * 101 % 223 AS y FROM part)"
 
 
