@@ -76,6 +76,23 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return table[mask], counts[start]
 
 
+def _signed(text: str, limit: int):
+    """(sign, part): parts that overlap by all but one character of the longest n-gram, and these overlaps to take off again.
+
+    Every n-gram is in one part more than in overlaps, so that sums over a long text need one part at a time.
+    """
+    lap = max(ORDERS) - 1
+    for at in range(0, len(text), limit):
+        yield 1, text[at : at + limit + lap]
+        if at + limit < len(text):
+            yield -1, text[at + limit : at + limit + lap]
+
+
+def _is_long(texts: pa.Array) -> bool:
+    """A slice with one text, of more characters than are taken at once."""
+    return len(texts) == 1 and texts[0].is_valid and len(texts[0].as_py()) > PART_BYTES
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
@@ -88,6 +105,11 @@ def _count(batches):
     """Sparse n-gram counts of a partition by language."""
     held: dict[str, np.ndarray] = {}
     for part in slices(batches, "text", PART_BYTES):
+        if _is_long(part["text"]):
+            mine = held.setdefault(part["lang"][0].as_py(), np.zeros(1 << BUCKET_BITS, np.int64))
+            for sign, piece in _signed(part["text"][0].as_py(), PART_BYTES):
+                mine += sign * np.bincount(grams(pa.array([piece]))[0], minlength=1 << BUCKET_BITS)
+            continue
         buckets, at = grams(part["text"])
         langs = np.array(part["lang"].to_pylist(), object)
         owner = np.repeat(np.arange(len(langs)), np.diff(at))
@@ -126,6 +148,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: i
 
 def _likelihoods(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(texts, languages) log-likelihoods, and the number of n-grams of each text."""
+    if _is_long(texts):
+        like, count = np.zeros((1, len(model.langs))), np.zeros(1, np.int64)
+        for sign, piece in _signed(texts[0].as_py(), PART_BYTES):
+            more, n = _plain_likelihoods(pa.array([piece]), model)
+            like, count = like + sign * more, count + sign * n
+        return like, count
+    return _plain_likelihoods(texts, model)
+
+
+def _plain_likelihoods(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     buckets, at = grams(texts)
     like = np.zeros((len(texts), len(model.langs)))
     full = np.flatnonzero(np.diff(at))
@@ -195,13 +227,13 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_col: str = "la
     return df.mapInArrow(run, schema)
 
 
-#: Whether a row is held out from training; null for a null doc_id.
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+#: Whether a row is held out from training; one without a doc_id is not held out, and not learned from either.
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 
 def learned(docs: DataFrame) -> Model:
     """The model of the rows of ``docs`` outside the held-out fifth."""
-    return train(docs.where(~F.coalesce(F.expr(HELD_OUT), F.lit(True))))
+    return train(docs.where(~F.expr(HELD_OUT) & F.col("doc_id").isNotNull()))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
