@@ -87,9 +87,37 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _mix(h ^ width.astype(np.uint64)), np.searchsorted(begin, off)
 
 
+def _cuts(raw: np.ndarray, limit: int) -> list[int]:
+    """Where to part a long text: about every ``limit`` bytes, at white space."""
+    out, at = [0], limit
+    while at < len(raw):
+        gap = next((lo + int(np.argmax(s)) for lo in range(at, len(raw), limit) if (s := _SPACE[raw[lo : lo + limit]]).any()), len(raw))
+        out.append(gap)
+        at = gap + limit
+    return out if out[-1] == len(raw) else [*out, len(raw)]
+
+
+def _long_set(raw: np.ndarray, size: int) -> np.ndarray:
+    """The set of one long text: words and then shingles are hashed a part at a time, parts of shingles sharing ``size`` - 1 words."""
+    cuts = _cuts(raw, PART_BYTES)
+    words = np.concatenate([word_hashes(raw[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:])])
+    if len(words) < size:
+        return _shingles(words, np.array([0, len(words)]), size)[0]
+    step = PART_BYTES // 4
+    some = [_shingles(w := words[k : k + step + size - 1], np.array([0, len(w)]), size)[0] for k in range(0, len(words) - size + 1, step)]
+    return np.unique(np.concatenate(some))
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and len + 1 offsets."""
-    words, at = word_hashes(raw, off)
+    if len(off) == 2 and len(raw) > 2 * PART_BYTES:
+        values = _long_set(raw, size)
+        return values, np.array([0, len(values)])
+    return _shingles(*word_hashes(raw, off), size)
+
+
+def _shingles(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, from the hashes of the texts' words."""
     count = np.diff(at)
     parts = np.zeros(len(words), np.uint64)
     for k in range(size):  # up to ``size`` words from each start, as far as the text goes
