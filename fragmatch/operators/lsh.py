@@ -2,15 +2,25 @@
 
 A component gives the token (place, sign, size class); vectors whose token sets
 share a band of minhashes are candidates, which the exact distance then ranks.
+The index keeps vectors, the buckets that each lies in, and the buckets' sizes.
+A query visits its buckets from the smallest on, until they hold as many targets
+as it asks for, so that what it costs is bounded and frequent bands come last;
+targets and queries of a bucket meet in blocks (``blocks``), however many
+there are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fragmatch.errors import IndexCorruptedError
+from fragmatch.operators import blocks, metric
 from fragmatch.operators.knn import knn
 from fragmatch.operators.patches import stack
 from fragmatch.plans.scratch import save
@@ -46,53 +56,93 @@ def bands(vectors: np.ndarray, count: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def banded(rows: DataFrame, id_col: str, vector: str = "descriptor", threshold: float = 0.3) -> DataFrame:
-    """(id, band, key): one row for each band of each vector."""
+def _vectors(rows: DataFrame, id_col: str, vector: str, name: str) -> DataFrame:
+    return rows.select(F.col(id_col).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v")).where(f"{name} is not null and v is not null")
+
+
+def banded(rows: DataFrame, name: str, threshold: float = 0.3) -> DataFrame:
+    """(id, key): a row for each band of each vector of rows (id, v); the id's column is ``name``, and a key tells bands apart."""
     count, size = shape(threshold)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                keys = bands(stack(batch["v"], -1), count, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["id"].to_numpy(), count)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "band", "key"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = bands(stack(part["v"], -1), count, size)
+                for band in range(count):
+                    yield pa.RecordBatch.from_arrays([part[name], pa.array(keys[:, band]), pa.array(np.full(len(keys), band, np.int32))], names=[name, "key", "band"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").mapInArrow(run, "id long, band int, key long")
+    return rows.select(name, "v").mapInArrow(run, f"{name} long, key long, band int").select(name, F.xxhash64("key", "band").alias("key"))
 
 
-def _nearest(k: int):
-    """Rows (q, qv, t, tv) sorted by q: each query's ``k`` nearest, ties to the smaller id."""
+@dataclass
+class LshIndex:
+    """``vectors`` (t, v), ``members`` (key, t) and ``sizes`` (key, n) of all buckets; ``threshold`` shapes the bands."""
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, t = batch["q"].to_numpy(), batch["t"].to_numpy()
-            dist = ((stack(batch["qv"], -1) - stack(batch["tv"], -1)) ** 2).sum(axis=1)
-            order = np.lexsort((t, dist, q))
-            first = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-            keep = order[place < k]  # of this batch; the last cut comes after
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(t[keep]), pa.array(dist[keep])], names=["q", "t", "dist"])
+    vectors: DataFrame
+    members: DataFrame
+    sizes: DataFrame
+    threshold: float
 
-    return run
+    def count(self) -> int:
+        return self.vectors.count()
 
 
-def lsh_knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", candidates: int = 1000, threshold: float = 0.3) -> DataFrame:
-    """(q, rank, t, dist) by exact distance among banded candidates.
+def build(targets: DataFrame, target_id: str, vector: str = "descriptor", threshold: float = 0.3) -> LshIndex:
+    """The index of all targets whose id and vector are not null, as saved tables."""
+    vectors = save(_vectors(targets, target_id, vector, "t"))
+    members = save(banded(vectors, "t", threshold))
+    return LshIndex(vectors, members, save(members.groupBy("key").agg(F.count("*").alias("n"))), threshold)
+
+
+def write(index: LshIndex, path: str) -> None:
+    """The index as Parquet, members in the order of their keys; what tells its counts comes last."""
+    spark = index.vectors.sparkSession
+    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    index.members.repartitionByRange("key", "t").sortWithinPartitions("key", "t").write.mode("overwrite").parquet(f"{path}/members")
+    index.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+    spark.createDataFrame([(index.threshold, index.vectors.count(), index.members.count())], "threshold double, vectors long, members long").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def read(spark: SparkSession, path: str) -> LshIndex:
+    """A written index; nothing is signed again."""
+    try:
+        about = spark.read.parquet(f"{path}/about").first()
+        index = LshIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("vectors", "members", "sizes")), about["threshold"])
+    except AnalysisException as e:
+        raise IndexCorruptedError(f"{path}: {e}") from e
+    if (index.vectors.count(), index.members.count()) != (about["vectors"], about["members"]):
+        raise IndexCorruptedError(f"{path}: {about['vectors']} vectors in {about['members']} buckets expected")
+    return index
+
+
+def visits(index: LshIndex, queries: DataFrame, candidates: int) -> DataFrame:
+    """(q, key) of rows (q, v): the buckets that a query visits, smallest first, up to the one with which they hold ``candidates`` targets."""
+    met = banded(queries, "q", index.threshold).distinct().join(index.sizes, "key")
+    before = F.sum("n").over(Window.partitionBy("q").orderBy("n", "key")) - F.col("n")  # a row for each band
+    return met.withColumn("before", before).where(F.col("before") < candidates).select("q", "key")
+
+
+def search(index: LshIndex, queries: DataFrame, k: int, query_id: str, vector: str = "descriptor", candidates: int = 1000) -> DataFrame:
+    """(q, rank, t, dist) by exact distance among the targets of the visited buckets.
 
     With fewer targets than ``candidates``, and for queries without any
-    candidate, the exact search answers instead. Candidates are saved once;
-    distances are taken batch by batch, and only each batch's best go on.
+    candidate, the exact search answers instead.
     """
+    if index.count() < candidates:
+        return knn(_vectors(queries, query_id, vector, "q"), index.vectors, k, "q", "t", "v")
+    asked = save(_vectors(queries, query_id, vector, "q"))
+    chosen = save(visits(index, asked, candidates))
+    counts = save(chosen.groupBy("key").agg(F.count("*").alias("m")))
+    held = index.members.join(counts.select("key"), "key").join(index.vectors, "t").select("key", "t", "v")
+    sent = chosen.join(asked, "q").withColumn("limit", F.lit(float("inf")))
+    found = metric.ranked(blocks.merged(blocks.meet(held, index.sizes, sent, counts, k), k), k, False)
+    rest = asked.join(chosen.select("q").distinct(), "q", "left_anti")
+    return found.unionByName(knn(rest, index.vectors, k, "q", "t", "v")) if rest.head(1) else found
+
+
+def lsh_knn(queries: DataFrame, targets: DataFrame, k: int, query_id: str, target_id: str, vector: str = "descriptor", candidates: int = 1000, threshold: float = 0.3) -> DataFrame:
+    """``search`` in an index of ``targets`` made for it."""
     if targets.count() < candidates:
         return knn(queries, targets, k, query_id, target_id, vector)
-    a = banded(queries, query_id, vector, threshold).withColumnRenamed("id", "q")
-    b = banded(targets, target_id, vector, threshold).withColumnRenamed("id", "t")
-    pairs = save(a.join(b, ["band", "key"]).select("q", "t").distinct())
-    qv = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("qv"))
-    tv = targets.select(F.col(target_id).cast("long").alias("t"), F.col(vector).cast("array<double>").alias("tv"))
-    measured = pairs.join(qv, "q").join(tv, "t").mapInArrow(_nearest(k), "q long, t long, dist double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "t")).cast("int")
-    found = measured.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "t", "dist")
-    rest = queries.join(pairs.select(F.col("q").alias(query_id)).distinct(), query_id, "left_anti")
-    return found.unionByName(knn(rest, targets, k, query_id, target_id, vector)) if rest.head(1) else found
+    return search(build(targets, target_id, vector, threshold), queries, k, query_id, vector, candidates)

@@ -286,8 +286,10 @@ def tombstone_filter(spark, d):
 
 @query()
 def lsh_knn(spark, d):
-    e = _t(spark, d, "embeddings")
-    return _out(lsh.lsh_knn(e, e, 5, "vec_id", "vec_id", "embedding", candidates=100))
+    """All vectors searched in a stored index of banded buckets, each among up to 1,000 candidates."""
+    e, path = _t(spark, d, "embeddings"), folder(spark)
+    lsh.write(lsh.build(e, "vec_id", "embedding"), path)
+    return _out(lsh.search(lsh.read(spark, path), e, 5, "vec_id", "embedding"))
 
 
 @query(_NEAR + "SELECT a.q, a.t, round(a.dist, 6) AS dist FROM r a JOIN r b ON a.q = b.q AND a.rank = 1 AND b.rank = 2 WHERE a.dist < b.dist * CAST(0.9 AS DOUBLE) * CAST(0.9 AS DOUBLE)")
