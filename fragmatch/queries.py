@@ -538,7 +538,16 @@ def mask_bbox(spark, d):
     return heatmap.box(heatmap.footprint(_matches(spark, d)))
 
 
-@query()
+_LARGEST_SQL = _FOOT_SQL.replace("WITH", "WITH RECURSIVE", 1) + """, cell AS (SELECT image_id, y * 56 + x AS k, y, x FROM f WHERE y BETWEEN 0 AND 45 AND x BETWEEN 0 AND 55
+), near AS (SELECT a.image_id, a.k, b.k AS n FROM cell a JOIN (SELECT image_id, k, y, x, unnest([-57, -56, -55, -1, 1, 55, 56, 57]) AS d FROM cell) b ON a.image_id = b.image_id AND a.k = b.k + b.d AND abs(a.x - b.x) <= 1
+), seed AS (SELECT image_id, k FROM cell EXCEPT SELECT image_id, k FROM near WHERE n < k
+), reach AS (SELECT image_id, k AS seed, k FROM seed UNION SELECT r.image_id, r.seed, n.n FROM reach r JOIN near n ON r.image_id = n.image_id AND r.k = n.k
+), root AS (SELECT image_id, k, min(seed) AS root FROM reach GROUP BY ALL
+), part AS (SELECT image_id, root, count(*) AS area, min(k % 56) AS x, min(k // 56) AS y, max(k % 56) AS x1, max(k // 56) AS y1 FROM root GROUP BY image_id, root QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, root) = 1)
+SELECT image_id, area, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(x1 - x + 1 AS INT) AS w, CAST(y1 - y + 1 AS INT) AS h, area / CAST(46 * 56 AS DOUBLE) AS area_fraction FROM part"""
+
+
+@query(_LARGEST_SQL)
 def localize(spark, d):
     m = _matches(spark, d)
     return heatmap.localize(m, m.select("image_id").distinct().withColumn("height", F.lit(46)).withColumn("width", F.lit(56)))
