@@ -314,7 +314,7 @@ def test_quantiles_and_copy_move_trials(spark):
         got = heatmap.quantiles(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double"), "x", [0.0, 0.5, 0.9, 1.0]).first()["q"]
         assert got == pytest.approx(np.quantile(values, [0.0, 0.5, 0.9, 1.0]).tolist())
     assert heatmap.trial_report(spark.createDataFrame([], "detected boolean, error double, latency_ms double")).first()["n"] == 0
-    one = heatmap.trial_report(evaluate.copy_moves(spark, 4, size=64, region=24, noise=0.0)).first()
+    one = heatmap.trial_report(evaluate.own_offsets(evaluate.generated_copies(spark, 4, size=64, region=24, noise=0.0)).withColumn("latency_ms", F.lit(0.0))).first()
     assert one["n"] == 4 and one["detect_rate"] >= 0.75 and one["error_median"] <= 1.0
 
 

@@ -56,8 +56,7 @@ def test_learned_descriptor_needs_its_library():
 
 
 def test_splice_detection(spark):
-    rows = evaluate.trials(spark, 4, 3, size=48, fragment=20)
-    one = evaluate.summary(rows).first()
+    one = evaluate.summary(evaluate.detect(evaluate.generated(spark, 4, 3, size=48, fragment=20))).first()
     assert one["n"] == 7 and one["iou"] > 0.5 and one["det_auc"] >= 0.8
 
 
