@@ -664,12 +664,40 @@ def inclusion_edges(spark, d):
     return hough.inclusion_edges(_nodes(spark, d))
 
 
-@query()
+BP_ROUNDS, BP_DAMPING, BP_TOL = 10, 0.4, 1e-4
+
+
+def _bp_sql() -> str:
+    """The rounds one below the other; a round after messages have settled keeps them."""
+    ks = range(3)
+    each = lambda text, sep=", ": sep.join(text.format(k=k) for k in ks)
+    parts = [
+        _NODE_SQL,
+        f"u AS (SELECT node, {each('sin(node * ({k} + 1)) AS u{k}')} FROM n)",
+        "e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON a.size = b.size AND a.node <> b.node WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)",
+        f"m0 AS (SELECT a, b, {each('0::DOUBLE AS m{k}')}, 1e9::DOUBLE AS moved FROM e)",
+    ]
+    state = lambda r: f"s{r} AS MATERIALIZED (SELECT u.node, {each('any_value(u{k}) + coalesce(sum(m{k}), 0) AS s{k}')} FROM u LEFT JOIN m{r} ON u.node = b GROUP BY u.node)"
+    for r in range(1, BP_ROUNDS + 1):
+        was = r - 1
+        parts += [
+            state(was),
+            f"c{r} AS (SELECT m.a, m.b, {each('m.m{k} AS m{k}')}, {each('s{k} - back.m{k} AS c{k}')} FROM m{was} m JOIN s{was} s ON s.node = m.a JOIN m{was} back ON back.a = m.b AND back.b = m.a)",
+            f"d{r} AS (SELECT *, {each('ln(exp(c{k}) * (1 - exp(-1)) + exp(-1) * (exp(c0) + exp(c1) + exp(c2))) AS r{k}')} FROM c{r})",
+            f"f{r} AS (SELECT a, b, {each('m{k}')}, {each('(r{k} - greatest(r0, r1, r2)) * ' + str(1 - BP_DAMPING) + ' + m{k} * ' + str(BP_DAMPING) + ' AS w{k}')} FROM d{r})",
+            f"m{r} AS MATERIALIZED (SELECT a, b, {each('CASE WHEN last < ' + str(BP_TOL) + ' THEN m{k} ELSE w{k} END AS m{k}')}, CASE WHEN last < {BP_TOL} THEN last ELSE greatest({each('abs(w{k} - m{k})')}) END AS moved FROM f{r}, (SELECT max(moved) AS last FROM m{was}))",
+        ]
+    last = f"SELECT node, CAST(CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS INT) AS map_label, {each('round(exp(s{k}) / (exp(s0) + exp(s1) + exp(s2)), 4) AS marginal_{k}')} FROM s{BP_ROUNDS}"
+    return ", ".join([*parts, state(BP_ROUNDS)]) + " " + last
+
+
+@query(_bp_sql())
 def belief_propagation(spark, d):
+    """Marginals of three labels on the parts' spatial network."""
     n = _nodes(spark, d)
     unary = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.sin(F.col("node") * (k + 1)))
-    beliefs, _ = bp.loopy_bp(n.select("node", unary.alias("unary")), hough.spatial_edges(n).withColumn("beta", F.lit(1.0)), 10, 0.4)
-    return beliefs.select("node", "map_label", F.transform("marginal", lambda x: F.round(x, 4)).alias("marginal"))
+    beliefs, _ = bp.loopy_bp(n.select("node", unary.alias("unary")), hough.spatial_edges(n).withColumn("beta", F.lit(1.0)), BP_ROUNDS, BP_DAMPING, BP_TOL)
+    return beliefs.select("node", "map_label", *[F.round(F.col("marginal")[k], 4).alias(f"marginal_{k}") for k in range(3)])
 
 
 @query("WITH v AS (SELECT l_suppkey, [l_quantity, l_discount, l_tax, l_extendedprice, l_quantity * l_tax, l_linenumber, l_partkey, l_orderkey, l_discount * 2, l_tax * 3, l_quantity / 7, l_discount - l_tax]::DOUBLE[] AS a FROM lineitem), u AS (SELECT l_suppkey, unnest(range(12)) AS k, a FROM v) SELECT l_suppkey AS cluster, CAST(k AS INT) AS pos, round(median(a[k + 1]), 6) AS v FROM u GROUP BY l_suppkey, k")

@@ -176,7 +176,7 @@ def test_bp_on_a_tree(spark):
     got = np.array([x["marginal"] for x in beliefs.orderBy("node").collect()])
     assert np.allclose(got, want, atol=1e-9)
     s = summary.first()
-    assert s["converged"] and math.isfinite(s["log_z_ref"])
+    assert s["converged"] and math.isfinite(s["log_z_ref"]) and s["log_z_bethe"] == pytest.approx(math.log(z))
 
 
 def test_priors(spark, tmp_path):
