@@ -764,26 +764,21 @@ def match_bayes(spark, d):
     return best.select("src_image", "b.*")
 
 
-def _turns(spark, d) -> DataFrame:
-    """Images of all turns of all conversations."""
-    return text_rasters(_t(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("item"), "text"), "item", "text")
-
-
 def _splice_trials(spark, d) -> DataFrame:
-    """Each turn with a recoloured square of the conversation's next turn in it, and as it is."""
-    turn = F.col("turn")
-    pairs = _t(spark, d, "conversations").select(F.concat_ws(":", "conv_id", turn).alias("host_id"), F.concat_ws(":", "conv_id", turn + 1).alias("donor_id"))
-    return evaluate.plant(_turns(spark, d), pairs)
+    """Each benchmark passage with a recoloured square of the next one in it, and as it is."""
+    rows = _t(spark, d, "benchmark")
+    pairs = rows.select(F.col("item_id").cast("string").alias("host_id"), (F.col("item_id") + 1).cast("string").alias("donor_id"))
+    return evaluate.plant(text_rasters(rows, "item_id", "text"), pairs)
 
 
 @query()
 def splice_accuracy(spark, d):
-    """Accuracy of the search on squares planted into all conversations' turns that have room for a patch; squares of one patch can't have the three fits that must agree."""
+    """Accuracy of the search on squares planted into all benchmark passages that have room for a patch; squares of one patch can't have the three fits that must agree."""
     return evaluate.summary(evaluate.detect(_splice_trials(spark, d), SIZE, 1))
 
 
 @query()
 def copy_move_accuracy(spark, d):
-    """Offsets found in all conversations' turns that have room for a square and its copy."""
-    trials = evaluate.plant_copies(_turns(spark, d))
+    """Offsets found in all benchmark passages that have room for a square and its copy."""
+    trials = evaluate.plant_copies(text_rasters(_t(spark, d, "benchmark"), "item_id", "text"), region=6)
     return heatmap.trial_report(evaluate.own_offsets(trials, SIZE, 1).withColumn("latency_ms", F.lit(0.0))).drop("latency_ms")

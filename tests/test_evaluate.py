@@ -62,7 +62,7 @@ def test_without_trials(spark):
     assert evaluate.own_offsets(evaluate.plant_copies(none)).count() == 0
 
 
-def test_all_turns(spark):
+def test_all_passages(spark):
     trials = queries._splice_trials(spark, SF)
     trials = save(trials)
     rows = evaluate.detect(trials, 4, 1).join(trials.select("seed", "positive", "side"), ["seed", "positive"]).toPandas()
