@@ -45,6 +45,7 @@ def agreement(a, b, width: float = 0.4) -> Column:
 
 
 def effective_size(size, scale) -> Column:
+    """The side in the original image of a patch that was cut at ``scale``."""
     return (size / scale).cast("int")
 
 
@@ -76,8 +77,11 @@ def patch_energy(patch) -> Column:
     return F.aggregate(patch, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
 
 
-def squared_distance(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def root_normalised(histogram) -> Column:
+    """Square roots of a histogram's shares, so that plain distances are Hellinger's; null where the histogram is."""
+    values = F.transform(histogram, lambda x: x.cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) + F.lit(1e-7)
+    return F.transform(values, lambda x: F.sqrt(x / total))
 
 
 def hough_cell(dx, dy, degrees, scale, step: float = 2, turn: float = 5, octave: float = 4) -> Column:

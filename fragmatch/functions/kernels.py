@@ -142,10 +142,6 @@ def photometric(patches: np.ndarray) -> np.ndarray:
     return flat / np.maximum(np.sqrt((flat * flat).sum(axis=1, keepdims=True)), 1e-8)
 
 
-def root_sift(rows: np.ndarray) -> np.ndarray:
-    return np.sqrt(rows / (rows.sum(axis=1, keepdims=True) + 1e-7))
-
-
 # -- persistence ---------------------------------------------------------------------------
 
 

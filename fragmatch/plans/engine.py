@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmatch.config import Config
+from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
 from fragmatch.operators import bp, coherence, heatmap, hough, knn, lsh, patches, priors, verify
 from fragmatch.plans.scratch import save
@@ -93,7 +94,7 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     out = hits.join(left, "q").join(right, "t")
     if target_ids is not None:
         out = knn.of_targets(out, target_ids)
-    size = F.when(F.col("scale") == 1.0, F.lit(s)).otherwise((F.lit(s) / F.col("scale")).cast("int"))
+    size = F.when(F.col("scale") == 1.0, F.lit(s)).otherwise(X.effective_size(F.lit(s), F.col("scale")))
     return out.withColumn("patch_size", size).withColumn("match_ord", F.col("src_idx").cast("long") * F.lit(config.k_neighbors + 1) + F.col("rank"))
 
 

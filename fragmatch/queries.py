@@ -299,6 +299,13 @@ def ratio_test(spark, d):
     return geometry.ratio_test(knn.knn(e, e, 2, "vec_id", "vec_id", "embedding", skip_self=True), 0.9).select("q", "t", F.round("dist", 6).alias("dist"))
 
 
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings), r AS (SELECT vec_id, unnest(range(len(a))) AS k, a, list_sum(a) + 1e-7 AS total FROM v) SELECT vec_id, CAST(k AS INT) AS pos, round(sqrt(a[k + 1] / total), 6) AS v FROM r")
+def desc_root(spark, d):
+    """Magnitudes of vectors as histograms, root-normalised."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("a"))
+    return e.select("vec_id", F.posexplode(X.root_normalised("a")).alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
 @query("SELECT CAST(list_reduce(list_transform(string_split(md5(c_name), ''), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, b: (a * 16 + b) % 7) AS INT) AS shard, count(*) AS size FROM customer GROUP BY 1")
 def shard_counts(spark, d):
     return store.shard_info(store.with_shard(_t(spark, d, "customer").withColumn("image_id", F.col("c_name")), 7))

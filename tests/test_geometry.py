@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragmatch import cli, log
+from fragmatch.functions import exprs as X
 from fragmatch.operators import geometry
 
 
@@ -93,3 +94,15 @@ def test_self_test_command():
     assert cli.main(["--log-level", "error", "test", "--only", "test_no_such_test_anywhere"]) == 5  # none collected
     with pytest.raises(SystemExit):
         cli.main(["--log-level", "loud", "version"])
+
+
+def test_hellinger_distances(spark):
+    r = np.random.RandomState(2)
+    h = r.rand(5, 8) * 10
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(h)] + [(5, None), (6, [0.0, 0.0])], "id long, h array<double>").select("id", X.root_normalised("h").alias("v"))
+    got = {x["id"]: x["v"] for x in rows.collect()}
+    share = h / h.sum(axis=1, keepdims=True)
+    for i in range(5):
+        for j in range(5):
+            assert np.sum((np.array(got[i]) - np.array(got[j])) ** 2) == pytest.approx(2 - 2 * np.sqrt(share[i] * share[j]).sum(), abs=1e-6)
+    assert got[5] is None and got[6] == [0.0, 0.0]
