@@ -74,7 +74,8 @@ def patch_energy(patch) -> Column:
     """Mean squared deviation of a patch's values from their mean."""
     n = F.size(patch)
     mean = F.aggregate(patch, F.lit(0.0), lambda s, x: s + x) / n
-    return F.aggregate(patch, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
+    # the mean as the element of a list, or it would be worked out for every value again
+    return F.aggregate(F.array(mean), F.lit(0.0), lambda _, m: F.aggregate(patch, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / n
 
 
 def root_normalised(histogram) -> Column:
