@@ -21,6 +21,8 @@ RATIO = 0.75
 TRIALS = 256
 TOLERANCE = 3.0
 MIN_INLIERS = 4
+#: Inliers farther than so many times their root mean square residual are left out of the last fit.
+OUTLYING = 3.0
 #: Matches of one task that meet a pair's hypotheses.
 PART_ROWS = 65536
 _POINT = ("sx", "sy", "tx", "ty")
@@ -97,13 +99,16 @@ def similarity(matches: DataFrame, by: list[str], trials: int = TRIALS, toleranc
 
     ``matches`` has the columns ``by`` and sx, sy, tx, ty; rows with nulls are
     left out. The transform with the most matches within ``tolerance`` (ties:
-    the smallest trial) is fitted again to these by least squares, and matches
-    within the tolerance of that are the inliers. Pairs with fewer than
+    the smallest trial) is fitted again to these by least squares, once more without those of them
+    that are ``OUTLYING``, and matches within the tolerance of that are the inliers. Pairs with fewer than
     ``min_inliers`` have no row. The second table has the columns of ``matches``.
     """
-    points = matches.select(*by, *[F.col(c).cast("double").alias(c) for c in _POINT]).na.drop()
-    pairs = save(points.groupBy(*by).agg(F.count("*").alias("n")).withColumn("pair", F.monotonically_increasing_id()))
-    given = save(points.join(pairs, by).select("pair", *_POINT))
+    # names of our own for ``by``, which may have any, that of the pair's number too
+    key = [f"_by{k}" for k in range(len(by))]
+    named = [F.col(k).alias(c) for k, c in zip(key, by)]
+    points = matches.select(*[F.col(c).alias(k) for k, c in zip(key, by)], *[F.col(c).cast("double").alias(c) for c in _POINT]).na.drop()
+    pairs = save(points.groupBy(*key).agg(F.count("*").alias("n")).withColumn("pair", F.monotonically_increasing_id()))
+    given = save(points.join(pairs, key).select("pair", *_POINT))
     found = save(_hypotheses(given, pairs, trials, seed))
     parts = pairs.select("pair", F.ceil(F.col("n") / F.lit(PART_ROWS)).alias("parts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -118,19 +123,28 @@ def similarity(matches: DataFrame, by: list[str], trials: int = TRIALS, toleranc
         far = (F.expr("a * sx - b * sy + c - tx") ** 2) + (F.expr("b * sx + a * sy + d - ty") ** 2)
         return given.join(models, "pair").where(far <= tolerance * tolerance)
 
-    # least squares by sums, from the first transform's own residuals, which are small
-    m = inlying(first).groupBy("pair").agg(*[F.avg(c).alias(f"m{c}") for c in _POINT])
-    near = inlying(first).drop(*_MODEL).join(m, "pair")
-    x, y, u, v = (F.col(c) - F.col(f"m{c}") for c in _POINT)
-    sums = near.groupBy("pair").agg(F.sum(x * x + y * y).alias("n"), F.sum(x * u + y * v).alias("p"), F.sum(x * v - y * u).alias("q"), *[F.first(f"m{c}").alias(f"m{c}") for c in _POINT]).where("n > 0")
-    again = sums.select("pair", (F.col("p") / F.col("n")).alias("a"), (F.col("q") / F.col("n")).alias("b"), *[f"m{c}" for c in _POINT])
-    again = save(again.select("pair", "a", "b", F.expr("mtx - a * msx + b * msy").alias("c"), F.expr("mty - b * msx - a * msy").alias("d")))
+    def fitted(near: DataFrame) -> DataFrame:
+        # least squares by sums of deviations from the means, which are small
+        near = near.select("pair", *_POINT)
+        m = near.groupBy("pair").agg(*[F.avg(c).alias(f"m{c}") for c in _POINT])
+        x, y, u, v = (F.col(c) - F.col(f"m{c}") for c in _POINT)
+        sums = near.join(m, "pair").groupBy("pair").agg(F.sum(x * x + y * y).alias("n"), F.sum(x * u + y * v).alias("p"), F.sum(x * v - y * u).alias("q"), *[F.first(f"m{c}").alias(f"m{c}") for c in _POINT]).where("n > 0")
+        made = sums.select("pair", (F.col("p") / F.col("n")).alias("a"), (F.col("q") / F.col("n")).alias("b"), *[f"m{c}" for c in _POINT])
+        return made.select("pair", "a", "b", F.expr("mtx - a * msx + b * msy").alias("c"), F.expr("mty - b * msx - a * msy").alias("d"))
+
+    near = save(inlying(first).select("pair", *_POINT))
+    rough = save(fitted(near))
+    r2 = (F.expr("a * sx - b * sy + c - tx") ** 2) + (F.expr("b * sx + a * sy + d - ty") ** 2)
+    off = near.join(rough, "pair").withColumn("r2", r2)
+    # what is near by chance stands out from the others' residuals
+    cut = off.groupBy("pair").agg((F.avg("r2") * F.lit(OUTLYING**2)).alias("cut"))
+    again = save(fitted(off.join(cut, "pair").where("r2 <= cut")))
     kept = save(inlying(again).drop(*_MODEL))
-    drop(found, first)
+    drop(found, first, near, rough)
     counted = kept.groupBy("pair").agg(F.count("*").alias("inliers")).where(F.col("inliers") >= min_inliers)
     models = pairs.join(again, "pair").join(counted, "pair")
-    inliers = kept.join(models.select("pair", *by), "pair").select(*by, *_POINT)
-    return models.select(*by, *_MODEL, "inliers", F.col("n").alias("matches")), inliers
+    inliers = kept.join(models.select("pair", *key), "pair").select(*named, *_POINT)
+    return models.select(*named, *_MODEL, "inliers", F.col("n").alias("matches")), inliers
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:

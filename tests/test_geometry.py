@@ -106,3 +106,24 @@ def test_hellinger_distances(spark):
         for j in range(5):
             assert np.sum((np.array(got[i]) - np.array(got[j])) ** 2) == pytest.approx(2 - 2 * np.sqrt(share[i] * share[j]).sum(), abs=1e-6)
     assert got[5] is None and got[6] == [0.0, 0.0]
+
+
+def test_pairs_may_be_called_pair_and_have_any_number(spark):
+    r = np.random.RandomState(7)
+    rows = []
+    for p in (-5, 3, 1 << 40):
+        for x, y in r.randint(0, 500, (12, 2)).tolist():
+            rows.append((p, float(x), float(y), x + p % 50, y - p % 30))
+    df = spark.createDataFrame([(p, x, y, float(u), float(v)) for p, x, y, u, v in rows], "pair long, sx double, sy double, tx double, ty double").repartition(5)
+    models, inliers = geometry.similarity(df, ["pair"])
+    assert {(m["pair"], round(m["c"]), round(m["d"]), m["inliers"], m["matches"]) for m in models.collect()} == {(p, p % 50, -(p % 30), 12, 12) for p in (-5, 3, 1 << 40)}
+    assert sorted(tuple(i) for i in inliers.select("pair", "sx", "sy").collect()) == sorted((p, x, y) for p, x, y, _, _ in rows)
+
+
+def test_a_match_near_by_chance_does_not_move_the_fit(spark):
+    r = np.random.RandomState(8)
+    rows = [(1, float(x), float(y), 0.5 * x - 0.5 * y + 7, 0.5 * x + 0.5 * y - 9) for x, y in r.randint(0, 500, (60, 2)).tolist()]
+    rows.append((1, 900.0, 900.0, 7 + 2.5, 900.0 - 9))  # 2.5 pixels off, and far out
+    models, inliers = geometry.similarity(spark.createDataFrame(rows, "i long, sx double, sy double, tx double, ty double"), ["i"])
+    m = models.first()
+    assert np.allclose([m["a"], m["b"], m["c"], m["d"]], [0.5, 0.5, 7, -9], atol=1e-9) and m["inliers"] == inliers.count() == 61
