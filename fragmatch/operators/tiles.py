@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fragmatch.functions import kernels as K
 from fragmatch.operators.patches import PATCH, lists
+from fragmatch.plans.scratch import save
 
 #: ``pixels`` holds 8-bit values where that is exact, else 64-bit floats; rows of the tile, one after the other.
 TILE = "image_id string, height int, width int, y int, x int, h int, w int, pixels binary"
@@ -80,8 +81,8 @@ def text_tiles(rows: DataFrame, id_col: str, text: str, width: int = 16, side: i
     def run(batches):
         for batch in batches:
             head, out, held = [], [], 0
-            for i, t in zip(batch["image_id"].to_pylist(), batch["text"].to_pylist()):
-                t = t or ""
+            for k in range(batch.num_rows):
+                i, t = batch["image_id"][k].as_py(), batch["text"][k].as_py() or ""
                 height = -(-len(t) // (3 * width))
                 for y in range(0, height, side):
                     part = t[y * 3 * width : (y + side) * 3 * width]
@@ -93,7 +94,7 @@ def text_tiles(rows: DataFrame, id_col: str, text: str, width: int = 16, side: i
                         head.append((i, height, width))
                         out.append((y, x, h, piece.shape[1], piece.tobytes()))
                         held += piece.size
-                    if held > 1 << 22:
+                    if held > 1 << 20:
                         yield tile_batch(head, out)
                         head, out, held = [], [], 0
             if out:
@@ -153,7 +154,7 @@ def _put_together(rows: Need, cols: Need, more: list[str], work):
     def run(batches):
         down, along = _Needs(rows), _Needs(cols)
         now = region = args = None
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             cols_ = {c: batch[c].to_pylist() for c in batch.schema.names}
             for k in range(batch.num_rows):
                 key = tuple(cols_[c][k] for c in keys)
@@ -211,11 +212,13 @@ def grid(side: int, before: int = 0, after: int = 0) -> Need:
 # -- operators -----------------------------------------------------------------------------
 
 
-def explode(tiles: DataFrame, size: int, stride: int = 1, entropy_threshold: float | None = None, kernel=None, side: int = SIDE) -> DataFrame:
+def explode(tiles: DataFrame, size: int, stride: int = 1, entropy_threshold: float | None = None, kernel=None, side: int = SIDE, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``patches.explode``, from tiles: the same numbers, coordinates and patches, in another order."""
     more = [c for c in tiles.columns if c not in _OWN]
     types = {f.name: f for f in tiles.schema}
     arrow = {c: to_arrow_type(types[c].dataType) for c in more}
+    schema = {p.split()[0]: p for p in PATCH.split(", ")} | {c: f"`{c}` {types[c].dataType.simpleString()}" for c in more} | ({"descriptor": "descriptor array<double>"} if kernel else {})
+    names = [c for c in schema if columns is None or c in columns]
 
     def work(i, height, width, rest, ky, kx, y0, x0, region):
         across = (width - size) // stride + 1
@@ -225,20 +228,20 @@ def explode(tiles: DataFrame, size: int, stride: int = 1, entropy_threshold: flo
             part, xy = K.windows(region[top : top + step - stride + size, right:], size, stride)
             if not len(part):
                 break
-            e = K.entropy(part)
-            keep = np.flatnonzero(e > entropy_threshold) if entropy_threshold is not None else np.arange(len(e))
+            e = K.entropy(part) if entropy_threshold is not None or "entropy" in names else None
+            keep = np.flatnonzero(e > entropy_threshold) if entropy_threshold is not None else np.arange(len(part))
             if not len(keep):
                 continue
             x, y = xy[keep, 0] + right + x0, xy[keep, 1] + top + y0
-            own = [] if kernel is None else [lists(np.concatenate([kernel(part[keep[k : k + 4096]]) for k in range(0, len(keep), 4096)]))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i] * len(keep), pa.string()), pa.array((y // stride * across + x // stride).astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), lists(part[keep]), pa.array(e[keep]), *[pa.array([v] * len(keep), arrow[c]) for c, v in zip(more, rest)], *own],
-                names=["image_id", "patch_idx", "x", "y", "patch", "entropy", *more, *(["descriptor"] if own else [])],
-            )
+            out = {
+                "image_id": lambda: pa.array([i] * len(keep), pa.string()), "patch_idx": lambda: pa.array((y // stride * across + x // stride).astype(np.int32)), "x": lambda: pa.array(x.astype(np.int32)), "y": lambda: pa.array(y.astype(np.int32)),
+                "patch": lambda: lists(part[keep]), "entropy": lambda: pa.array(e[keep]), **{c: (lambda c=c, v=v: pa.array([v] * len(keep), arrow[c])) for c, v in zip(more, rest)},
+                "descriptor": lambda: lists(np.concatenate([kernel(part[keep[k : k + 4096]]) for k in range(0, len(keep), 4096)])),
+            }
+            yield pa.RecordBatch.from_arrays([out[c]() for c in names], names=names)
 
-    extra = "".join(f", `{c}` {types[c].dataType.simpleString()}" for c in more) + (", descriptor array<double>" if kernel else "")
     need = grid(side, 0, size - 1)
-    return over_regions(tiles, need, need, work, PATCH + extra)
+    return over_regions(tiles, need, need, work, ", ".join(schema[c] for c in names))
 
 
 def _level_need(scale: float, least: int, side: int) -> Need:
@@ -278,9 +281,10 @@ def pyramid(tiles: DataFrame, scales: list[float], min_size: int = 16, side: int
     return out
 
 
-def pyramid_patches(tiles: DataFrame, size: int, scales: list[float], stride: int = 1, min_size: int = 16, entropy_threshold: float | None = None, side: int = SIDE) -> DataFrame:
-    """The rows of ``patches.pyramid_patches``, from tiles."""
-    rows = explode(pyramid(tiles, scales, min_size, side), size, stride, entropy_threshold, side=side)
+def pyramid_patches(tiles: DataFrame, size: int, scales: list[float], stride: int = 1, min_size: int = 16, entropy_threshold: float | None = None, side: int = SIDE, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``patches.pyramid_patches``, from tiles; tiles and levels are saved, or each branch over them would make them again."""
+    levels = save(pyramid(save(tiles.select(*_OWN)), scales, min_size, side))
+    rows = explode(levels, size, stride, entropy_threshold, side=side, columns=None if columns is None else (*columns, "x", "y", "scale"))
     return rows.withColumn("orig_x", F.bround(F.col("x") / F.col("scale")).cast("int")).withColumn("orig_y", F.bround(F.col("y") / F.col("scale")).cast("int"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fragmatch.functions import exprs as X
 from fragmatch.functions import kernels as K
-from fragmatch.operators import patches
+from fragmatch.operators import patches, tiles
 from fragmatch.sources.rasters import text_images, text_rasters
 
 
@@ -61,3 +61,10 @@ def test_persistence_of_a_whole_batch(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(K, "elder_pairs", None)  # no loop over patches
             assert np.allclose(K.persistence_descriptor(p), K.unit(np.array(want)), atol=1e-12)
+
+
+def test_tiles_of_levels_are_made_once(spark):
+    df = texts(spark)
+    made = tiles.pyramid_patches(tiles.text_tiles(df, "i", "t", side=64), 4, [1.0, 0.5], 4, 8, side=64, columns=("image_id", "level"))
+    assert made.columns == ["image_id", "x", "y", "level", "scale", "orig_x", "orig_y"]
+    assert made._jdf.queryExecution().toString().count("MapInArrow image_id") == 0 and rows(made) == rows(patches.pyramid_patches(text_images(df, "i", "t"), 4, [1.0, 0.5], 4, 8).select(made.columns))
