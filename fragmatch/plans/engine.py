@@ -19,6 +19,8 @@ BAYES_K, BAYES_DISTANCE = 32, 1.5
 PEAK_FLOOR, MAX_PEAKS, REACH = 5.0, 32, 4.0
 NULL_LABEL = 0.5
 SPATIAL_BETA, INCLUSION_BETA = 1.0, 2.0
+#: The numbers of at most so many hits are broadcast.
+FEW_HITS = 1 << 20
 
 
 @dataclass
@@ -83,15 +85,20 @@ def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=No
     """Pairs of source and target patches within the distance threshold, with both patches.
 
     Descriptors and ids alone go through the search; patches are joined to the hits afterwards.
+    ``targets`` is read for the search and again for the patches that were hit: an index that is
+    not saved is described twice, and takes no room on disk.
     """
     s = config.patch_size
     mine = save(described(sources, config, kernel).withColumn("q", number("image_id", "patch_idx")))
     find = lsh.lsh_knn if config.lsh_enabled else knn.knn
     more = {"candidates": config.lsh_candidates, "threshold": config.lsh_threshold} if config.lsh_enabled else {"limit": config.distance_threshold}
-    hits = knn.within(find(mine, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold)
+    hits = save(knn.within(find(mine, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold))
     left = mine.select("q", F.col("image_id").alias("src_image"), F.col("patch_idx").alias("src_idx"), F.col("x").alias("src_x"), F.col("y").alias("src_y"), F.col("patch").alias("src_patch"))
     right = targets.select("t", "image_id", F.col("patch_idx").alias("tgt_idx"), F.col("orig_x").alias("tgt_x"), F.col("orig_y").alias("tgt_y"), "scale", F.col("patch").alias("tgt_patch"))
-    out = hits.join(left, "q").join(right, "t")
+    named = hits.select("t").distinct()
+    # of the targets, which may be far more than were hit, only those named are exchanged
+    right = right.join(F.broadcast(named) if hits.count() <= FEW_HITS else named, "t", "left_semi")
+    out = save(hits.join(left, "q")).join(right, "t")
     if target_ids is not None:
         out = knn.of_targets(out, target_ids)
     size = F.when(F.col("scale") == 1.0, F.lit(s)).otherwise(X.effective_size(F.lit(s), F.col("scale")))
