@@ -1,8 +1,11 @@
 """What queries leave on disk beside their results."""
 
+import pyarrow.parquet as pq
+
 from fragmatch import queries
 from fragmatch.plans import engine
 from fragmatch.plans.scratch import save
+from fragmatch.sources import index as store
 
 
 def test_targets_of_a_match_are_not_saved(spark, monkeypatch):
@@ -11,3 +14,14 @@ def test_targets_of_a_match_are_not_saved(spark, monkeypatch):
         monkeypatch.setattr(module, "save", lambda df: saved.append(set(df.columns)) or save(df))
     assert queries.match_chi2(spark, "/root/testdata/sf0.001").columns[:2] == ["src_image", "image_id"]
     assert saved and not any({"t", "descriptor"} <= names for names in saved)
+
+
+def test_index_files_have_small_row_groups_of_zstd(spark, tmp_path):
+    rows = spark.range(40000).selectExpr("cast(id % 50 as string) as image_id", "transform(sequence(1, 48), k -> xxhash64(id, k) / 9e18D) as descriptor").coalesce(1)
+    store.write(rows, f"{tmp_path}/i", shards=2)
+    files = list((tmp_path / "i" / "data").rglob("*.parquet"))
+    assert store.read(spark, f"{tmp_path}/i").count() == 40000 and len(files) == 2
+    meta = pq.ParquetFile(min(files, key=lambda f: f.stat().st_size)).metadata
+    assert meta.row_group(0).column(0).compression == "ZSTD"
+    assert max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 2 * store.ROW_GROUP
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) in (None, "0")
