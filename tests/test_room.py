@@ -1,11 +1,13 @@
 """What queries leave on disk beside their results."""
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from fragmatch import queries
 from fragmatch.plans import engine
 from fragmatch.plans.scratch import save
 from fragmatch.sources import index as store
+from fragmatch.streaming import ingest
 
 
 def test_targets_of_a_match_are_not_saved(spark, monkeypatch):
@@ -25,3 +27,12 @@ def test_index_files_have_small_row_groups_of_zstd(spark, tmp_path):
     assert meta.row_group(0).column(0).compression == "ZSTD"
     assert max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 2 * store.ROW_GROUP
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) in (None, "0")
+
+
+def test_texts_of_a_stream_are_exchanged_only_where_ids_repeat(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    texts = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "image_id string, text string")
+    assert "Exchange" not in plan(ingest.one_each(texts, ingest.repeated(texts)))
+    more = texts.unionAll(texts.where("image_id = 'b' or image_id is null").withColumn("text", F.lit("w")))
+    rows = ingest.one_each(more, ingest.repeated(more)).collect()
+    assert sorted(str(r["image_id"]) for r in rows) == ["None", "a", "b"]
