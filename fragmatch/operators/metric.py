@@ -28,6 +28,8 @@ from fragmatch.plans.scratch import drop, save
 #: The matrix of pivots goes to every task: at most so many bytes and pivots.
 PIVOT_BYTES, MOST_PIVOTS = 16 << 20, 4096
 SEED = 7
+#: Queries that are measured against the pivots at a time, and rows of them that leave at a time, however many blocks they meet.
+ASKED, SENT = 256, 8192
 #: Relative room for rounding in bounds of distance.
 ROOM = 1e-9
 
@@ -139,8 +141,8 @@ def _visits(index: MetricIndex, take: int, first: bool, with_vectors: bool):
         pivots, count, low, high, key = held.value
         own = MetricIndex(pivots, count, low, high, key, None)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, ASKED):
+                part = batch.slice(lo, ASKED)
                 d = distances(stack(part["v"], -1), pivots)
                 met = _first_cells(own, d, take)
                 if not first:
@@ -153,10 +155,12 @@ def _visits(index: MetricIndex, take: int, first: bool, with_vectors: bool):
                 else:
                     met = by_key(met)
                 q, k = np.nonzero(met)
-                cols = [pa.array(k.astype(np.int64)), part["q"].take(pa.array(q))]
-                if with_vectors:
-                    cols += [part["v"].take(pa.array(q)), part["limit"].take(pa.array(q))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "q", "v", "limit"][: len(cols)])
+                for at in range(0, len(q), SENT):
+                    rows = pa.array(q[at : at + SENT])
+                    cols = [pa.array(k[at : at + SENT].astype(np.int64)), part["q"].take(rows)]
+                    if with_vectors:
+                        cols += [part["v"].take(rows), part["limit"].take(rows)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "q", "v", "limit"][: len(cols)])
 
     return run
 
