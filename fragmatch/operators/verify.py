@@ -37,6 +37,7 @@ def fit(pairs: DataFrame, source: str = "src_patch", target: str = "tgt_patch",
                     m[rows], bias[rows], rss[rows], ok[rows] = K.affine_fit(pick(source), pick(target), loss, sigma, ridge)
                 p = np.where(ok, K.chi2_survival(np.where(ok, rss, 0) / sigma**2, dof), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists(m), lists(bias), pa.array(rss), pa.array(dof.astype(np.int32)), pa.array(ok), pa.array(p)], names=[*batch.schema.names, *names])
+            whole = batch = None  # or they would be kept while the next batch is read
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
     return pairs.select(*keep).mapInArrow(run, f"{schema}, M array<double>, b array<double>, rss double, dof int, success boolean, probability double")
