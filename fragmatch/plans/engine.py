@@ -37,6 +37,28 @@ class MatchResult:
     log_z: DataFrame | None = None
 
 
+@dataclass
+class Unindexed:
+    """Target images whose patches, cut as ``config`` says, are searched while they are cut; no index of them is made."""
+
+    images: DataFrame
+    config: Config
+
+    def near(self, sources: DataFrame, config: Config, kernel=None) -> DataFrame:
+        """An index of the patches that a search for the nearest of ``sources`` can find, saved; of all, not saved, where that is not told exactly."""
+        exact = not (config.lsh_enabled or self.config.pyramid_enabled or hasattr(kernel, "frame"))
+        sift = knn.sift(sources, config.k_neighbors, limit=config.distance_threshold) if exact else None
+        if sift is None:
+            return index(self.images, self.config, kernel)
+        return save(index(dealt(self.images), self.config, kernel, sift).drop("t")).withColumn("t", number("image_id", "level", "patch_idx"))
+
+
+def dealt(images: DataFrame) -> DataFrame:
+    """Images that lie in no more partitions than there are cores, as one file does, in four times as many."""
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(4 * cores, "image_id") if images.rdd.getNumPartitions() <= cores else images
+
+
 def kernel_for(config: Config, basis=None):
     """The descriptor of ``config`` as a batch function."""
     if config.use_learned_descriptors:
@@ -58,22 +80,25 @@ def fit_basis(rows: DataFrame, config: Config):
     return K.principal_axes(K.composite(np.stack(sample).reshape(-1, s, s, 3), config.descriptor_pooling), config.descriptor_dim)
 
 
-def index(images: DataFrame, config: Config, kernel=None) -> DataFrame:
-    """Patches of all target images with descriptors and an id ``t``; of all pyramid levels if enabled."""
+def index(images: DataFrame, config: Config, kernel=None, sift=None) -> DataFrame:
+    """Patches of all target images with descriptors and an id ``t``; of all pyramid levels if enabled. For ``sift`` see ``described``."""
     s = config.patch_size
     if config.pyramid_enabled:
         rows = patches.pyramid_patches(images, s, config.pyramid_scales, config.stride, config.pyramid_min_size, config.entropy_threshold)
     else:
-        rows = described(images, config, kernel).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
+        rows = described(images, config, kernel, sift).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
         return rows.withColumn("orig_x", F.col("x")).withColumn("orig_y", F.col("y")).withColumn("t", number("image_id", "level", "patch_idx"))
     return patches.describe(rows.withColumn("t", number("image_id", "level", "patch_idx")), kernel or kernel_for(config), s)
 
 
-def described(images: DataFrame, config: Config, kernel=None) -> DataFrame:
-    """Patches with descriptors; a kernel that needs whole images (``priors.BayesKernel``) gets the patches as a table."""
+def described(images: DataFrame, config: Config, kernel=None, sift=None) -> DataFrame:
+    """Patches with descriptors; a kernel that needs whole images (``priors.BayesKernel``) gets the patches as a table.
+
+    With ``sift`` (see ``patches.explode``) those alone that it wants; neither such a kernel nor a pyramid is sifted.
+    """
     if hasattr(kernel, "frame"):
         return kernel.frame(save(patches.explode(images, config.patch_size, config.stride, config.entropy_threshold)))
-    return patches.explode(images, config.patch_size, config.stride, config.entropy_threshold, kernel or kernel_for(config))
+    return patches.explode(images, config.patch_size, config.stride, config.entropy_threshold, kernel or kernel_for(config), sift=sift)
 
 
 def number(*keys: str) -> F.Column:
@@ -81,15 +106,18 @@ def number(*keys: str) -> F.Column:
     return F.xxhash64(*keys)
 
 
-def candidates(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, target_ids=None) -> DataFrame:
+def candidates(sources: DataFrame, targets: DataFrame | Unindexed, config: Config, kernel=None, target_ids=None) -> DataFrame:
     """Pairs of source and target patches within the distance threshold, with both patches.
 
     Descriptors and ids alone go through the search; patches are joined to the hits afterwards.
     ``targets`` is read for the search and again for the patches that were hit: an index that is
-    not saved is described twice, and takes no room on disk.
+    not saved is described twice, and takes no room on disk. Images that are not indexed are cut,
+    described and compared with the sources in one pass, and only patches near them leave it.
     """
     s = config.patch_size
     mine = save(described(sources, config, kernel).withColumn("q", number("image_id", "patch_idx")))
+    if isinstance(targets, Unindexed):
+        targets = targets.near(mine, config, kernel)
     find = lsh.lsh_knn if config.lsh_enabled else knn.knn
     more = {"candidates": config.lsh_candidates, "threshold": config.lsh_threshold} if config.lsh_enabled else {"limit": config.distance_threshold}
     hits = save(knn.within(find(mine, targets, config.k_neighbors, "q", "t", **more), config.distance_threshold))
@@ -133,11 +161,11 @@ def auto_basis(images: DataFrame, config: Config):
     return fit_basis(patches.explode(images, config.patch_size, config.stride, config.entropy_threshold).select("image_id", "patch_idx", "patch"), config)
 
 
-def match(sources: DataFrame, targets: DataFrame, config: Config, kernel=None, target_ids=None) -> MatchResult:
+def match(sources: DataFrame, targets: DataFrame | Unindexed, config: Config, kernel=None, target_ids=None) -> MatchResult:
     """Chi-square mode: fit, score, cut, then best match, regions and the best image's heatmap.
 
     ``sources`` is one query image, or several that are matched as one query.
-    ``targets`` is an index. Nothing runs before a result is asked for but the
+    ``targets`` is an index, or images without one. Nothing runs before a result is asked for but the
     saving of descriptors and matches.
     """
     pairs = candidates(sources, targets, config, kernel, target_ids)
