@@ -91,6 +91,12 @@ def index(images: DataFrame, config: Config, kernel=None, sift=None) -> DataFram
     return patches.describe(rows.withColumn("t", number("image_id", "level", "patch_idx")), kernel or kernel_for(config), s)
 
 
+def cut(images: DataFrame, config: Config) -> DataFrame:
+    """The rows of ``index`` without descriptors, of images as they are."""
+    rows = patches.explode(images, config.patch_size, config.stride, config.entropy_threshold).withColumn("level", F.lit(0)).withColumn("scale", F.lit(1.0))
+    return rows.withColumn("orig_x", F.col("x")).withColumn("orig_y", F.col("y")).withColumn("t", number("image_id", "level", "patch_idx"))
+
+
 def described(images: DataFrame, config: Config, kernel=None, sift=None) -> DataFrame:
     """Patches with descriptors; a kernel that needs whole images (``priors.BayesKernel``) gets the patches as a table.
 
